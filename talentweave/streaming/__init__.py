@@ -1,0 +1,4 @@
+"""No operator here: the work covered by this package has no streaming part.
+
+The action table carries no timestamp, so nothing drives a watermark or a window.
+"""
