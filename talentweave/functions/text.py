@@ -16,7 +16,7 @@ TOKEN_EDGE_CHARS = " ：:;；,，。.!！？?()（）[]【】{}<>《》\"'“”
 MULTI_VALUE_SEPARATORS = r"[|,，、;；/\n\r\t]+"
 TAG_SEPARATORS = r"[|,，、;；/]+"
 SKILL_SEPARATORS = r"[|,，、;；\n\r\t/／]+"
-TEXT_SEPARATORS = r"(?U)[|,，、;；/\n\r\t\s]+"
+TEXT_SEPARATORS = r"(?U)[|,，、;；/\n\r\t\s\x1c-\x1f]+"
 TASK_SEPARATORS = r"[;；,，、。.\n\r\t]+"
 # Tokens made of these characters only count as Latin-script technical terms.
 ASCII_TOKEN = r"^[A-Za-z0-9+.#\-]+$"

@@ -142,12 +142,13 @@ def build_vocabulary(tags: DataFrame, min_count: int = 2, gate: SkillGate | None
     return numbered.select("skill", F.col("skill_id").cast("int").alias("skill_id"), "freq")
 
 
-def ids_of_tags(tags: DataFrame, vocabulary: DataFrame, limit: int = 64) -> DataFrame:
+def ids_of_tags(tags: DataFrame, vocabulary: DataFrame, limit: int | None = 64) -> DataFrame:
     """(user_id, skill_ids): vocabulary ids of a user's tags in tag order, at most ``limit``."""
     found = tags.join(broadcast_if_small(vocabulary.select(F.col("skill").alias("tag"), "skill_id")), "tag")
-    kept = top_per_group(found, ["user_id"], [F.asc("pos")], limit, "_n")
-    return kept.groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", "skill_id"))), lambda e: e["skill_id"]).alias("skill_ids")
+    if limit is not None:
+        found = top_per_group(found, ["user_id"], [F.asc("pos")], limit, "_n")
+    return found.groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill_id"))), lambda e: e["skill_id"]).alias("skill_ids")
     )
 
 
@@ -197,11 +198,12 @@ def match_dictionary(fields: DataFrame, vocabulary: DataFrame, strict_boundaries
         .withColumn("n", F.explode("lengths"))
         .where(~F.col("ascii") | free_right)
         .select("id", "field_weight", "n", F.substring("piece", F.col("at"), F.col("n")).alias("term"))
+        .where(F.length("term") == F.col("n"))  # the text may end before the term does
     )
     # each term is one vocabulary row, so the join never yields more rows than there are candidates
     value = F.col("weight") * F.col("field_weight") * (1.0 + 0.1 * F.length("term"))
     matched = candidates.join(broadcast_if_small(terms.select("term", "skill_id", "weight")), "term")
-    return matched.groupBy("id", "skill_id").agg(F.sum(value).alias("score"))
+    return matched.groupBy("id", "skill_id").agg(F.round(F.sum(value), 9).alias("score"))
 
 
 def text_fields(jobs: DataFrame, title_weight: float = 2.0, max_chars: int | None = 1200) -> DataFrame:
