@@ -16,7 +16,10 @@ TOKEN_EDGE_CHARS = " ：:;；,，。.!！？?()（）[]【】{}<>《》\"'“”
 MULTI_VALUE_SEPARATORS = r"[|,，、;；/\n\r\t]+"
 TAG_SEPARATORS = r"[|,，、;；/]+"
 SKILL_SEPARATORS = r"[|,，、;；\n\r\t/／]+"
-TEXT_SEPARATORS = r"(?U)[|,，、;；/\n\r\t\s\x1c-\x1f]+"
+# White space of any script.
+SPACE = r"\t\n\x0b\f\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CHARS = "".join(chr(n) for n in range(0x10000) if chr(n).isspace())
+TEXT_SEPARATORS = rf"[|,，、;；/{SPACE}]+"
 TASK_SEPARATORS = r"[;；,，、。.\n\r\t]+"
 # Tokens made of these characters only count as Latin-script technical terms.
 ASCII_TOKEN = r"^[A-Za-z0-9+.#\-]+$"
@@ -31,12 +34,10 @@ SKILL_STOPWORDS = [
 ]
 # ---------------------------------------------------------------------------------------------
 
-_SPACE = r"[\s\x1c-\x1f]"
-
 
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode white space; NULL becomes the empty string."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(SPACE_CHARS))
 
 
 def normalize_value(c: Column, keep_null_marker: bool = False) -> Column:
@@ -56,7 +57,7 @@ def clean_token(c: Column, lower_ascii: bool = True, keep_null_marker: bool = Fa
     keeps their case.
     """
     trimmed = F.btrim(normalize_value(c, keep_null_marker), F.lit(TOKEN_EDGE_CHARS))
-    token = F.regexp_replace(trimmed, rf"(?U){_SPACE}+", "")
+    token = F.regexp_replace(trimmed, rf"[{SPACE}]+", "")
     return F.transform(F.array(token), _lower_ascii)[0] if lower_ascii else token
 
 
@@ -95,20 +96,29 @@ def _grams(run: Column, size: int) -> Column:
 
 
 def _part_candidates(part: Column) -> Column:
-    """Terms of one cleaned part: Latin terms, then short Chinese runs whole or long ones as 2- and 3-grams."""
+    """Terms of one cleaned part: Latin terms, then short Chinese runs whole or long ones as 2- and 3-grams.
+
+    Most parts are one Latin term, so that case is settled by a single pattern.
+    """
     runs = F.transform(
         F.regexp_extract_all(part, F.lit(CHINESE_RUNS), F.lit(1)),
         lambda run: F.when(F.length(run) <= 6, F.array(run)).otherwise(F.concat(_grams(run, 2), _grams(run, 3))),
     )
-    plain = ~part.rlike(f"{ASCII_TERMS}|{CHINESE_RUNS}") & F.length(part).between(2, 32)
-    whole = F.when(plain, F.array(part)).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.regexp_extract_all(part, F.lit(ASCII_TERMS), F.lit(1)), F.flatten(runs), whole)
+    mixed = F.concat(F.regexp_extract_all(part, F.lit(ASCII_TERMS), F.lit(1)), F.flatten(runs))
+    whole = F.when(F.length(part).between(2, 32), F.array(part)).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when(part.rlike(f"^{ASCII_TERMS}$"), F.array(part))
+        .when(part.rlike(f"{ASCII_TERMS}|{CHINESE_RUNS}"), mixed)
+        .otherwise(whole)
+    )
 
 
 def tokenize_text(c: Column, max_tokens: int | None = None, distinct: bool = True) -> Column:
     """Mixed Chinese / Latin tokens of a text; ``distinct=False`` keeps repeats for term counts."""
-    parts = _clean_parts(F.lower(normalize_value(c)), TEXT_SEPARATORS, True)
-    tokens = F.flatten(F.transform(F.filter(parts, lambda p: p != ""), _part_candidates))
+    # parts hold neither white space nor capitals, so cleaning is a marker test and an edge trim
+    present = F.filter(F.split(F.lower(normalize_value(c)), TEXT_SEPARATORS), lambda p: ~p.isin([*MISSING_MARKERS, NULL_MARKER.lower()]))
+    parts = F.filter(F.transform(present, lambda p: F.btrim(p, F.lit(TOKEN_EDGE_CHARS))), lambda p: p != "")
+    tokens = F.flatten(F.transform(parts, _part_candidates))
     return _capped(F.array_distinct(tokens) if distinct else tokens, max_tokens)
 
 
@@ -118,7 +128,7 @@ def _capped(tokens: Column, limit: int | None) -> Column:
 
 def squeeze_whitespace(c: Column) -> Column:
     """Single spaces between words; NULL becomes the empty string."""
-    return F.regexp_replace(strip(c), rf"(?U){_SPACE}+", " ")
+    return F.regexp_replace(strip(c), rf"[{SPACE}]+", " ")
 
 
 def join_non_empty(*parts: Column) -> Column:

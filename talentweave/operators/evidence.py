@@ -225,14 +225,14 @@ def html_fragment(text: Column) -> Column:
 
 
 def audit_texts(evidence: DataFrame, texts: DataFrame, skills: DataFrame) -> DataFrame:
-    """Add ``text`` and ``faithful`` to the pairs that have a supplied text.
+    """Add ``given_text`` and ``faithful`` to the pairs that have a supplied text.
 
     A text is unfaithful when it names a Latin-script term of the whole vocabulary that is neither
     allowed for the pair nor its job title. Terms meet the vocabulary by equality, one row each.
     """
-    given = evidence.join(texts.select("user_id", "job_id", "text"), ["user_id", "job_id"])
+    given = evidence.join(texts.select("user_id", "job_id", F.col("text").alias("given_text")), ["user_id", "job_id"])
     lower_allowed = F.transform(allowed_terms(), F.lower)
-    mentioned = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(SKILL_TERM), F.lit(1)), F.lower))
+    mentioned = F.array_distinct(F.transform(F.regexp_extract_all("given_text", F.lit(SKILL_TERM), F.lit(1)), F.lower))
     stray = F.filter(F.array_except(mentioned, lower_allowed), lambda t: t != F.lower("job_title"))
     known = skills.where(F.col("skill").rlike(ASCII_VOCABULARY)).select(F.lower("skill").alias("_term")).distinct()
     offending = (
@@ -254,7 +254,7 @@ def grounded_explanations(evidence: DataFrame, texts: DataFrame | None, skills:
     else:
         audited = audit_texts(evidence, texts.where(F.coalesce("text", F.lit("")) != ""), skills)
         judged = evidence.join(
-            audited.select("user_id", "job_id", F.col("text").alias("_text"), F.col("faithful").alias("_ok")), ["user_id", "job_id"], "left"
+            audited.select("user_id", "job_id", F.col("given_text").alias("_text"), F.col("faithful").alias("_ok")), ["user_id", "job_id"], "left"
         )
     chosen = judged.withColumn("text", F.when(F.col("_ok"), F.col("_text")).otherwise(template)).withColumn(
         "source",

@@ -56,7 +56,7 @@ def profile_to_candidate(profiles: DataFrame, max_tokens: int | None = 160) -> D
     def listed(name: str) -> Column:
         return F.coalesce(F.col(p + name), none)
 
-    explicit = F.flatten(F.transform(listed("skills"), split_multi_value))
+    explicit = F.flatten(F.transform(listed("skills"), lambda v: split_multi_value(v)))
     words = F.coalesce(F.col(p + "experience_text"), F.lit(""))
     text = F.concat_ws(" ", words, *[F.concat_ws(" ", listed(c)) for c in ("skills", "industries", "desired_job_types")])
     degree = F.coalesce(F.col(p + "degree"), F.lit(""))
