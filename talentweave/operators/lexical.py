@@ -101,6 +101,7 @@ def bm25_rankings(
         exclude,
         item_block_rows=item_block_rows,
         min_score=min_score,
+        sizes=(queries.count(), documents.count()),
     )
 
 
@@ -177,6 +178,7 @@ def hashed_rankings(queries: DataFrame, documents: DataFrame, topn: int, exclude
         sparse_product,
         exclude,
         item_block_rows=item_block_rows,
+        sizes=(queries.count(), documents.count()),
     )
 
 

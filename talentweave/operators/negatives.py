@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dense import dense_rankings
-from .ordering import global_position, position_in_group, top_per_group
+from .ordering import exploded_range, global_position, position_in_group, top_per_group
 
 
 def shuffled_catalogue(jobs: DataFrame, seed: int, bucket: list[str] | None = None) -> DataFrame:
@@ -38,8 +38,8 @@ def uniform_negatives(pairs: DataFrame, jobs: DataFrame, known: DataFrame, per_p
     blocked = known.join(wanted.select("user_id"), "user_id", "left_semi").select("user_id", "job_id").distinct()
     counts = blocked.groupBy("user_id").agg(F.count(F.lit(1)).alias("_known"))
     runs = wanted.join(counts, "user_id", "left").fillna(0, ["_known"])
-    steps = F.sequence(F.lit(0).cast("long"), F.least(size, F.col("_wanted") + F.col("_known")) - 1)
-    places = runs.select("user_id", F.explode(steps).alias("_step")).withColumn(
+    steps = exploded_range(runs, F.least(size, F.col("_wanted") + F.col("_known")), "_step")
+    places = steps.select("user_id", "_step").withColumn(
         "place", (_start(seed, size, "user_id") + F.col("_step")) % size
     )
     free = places.join(catalogue, "place").join(blocked, ["user_id", "job_id"], "left_anti")

@@ -77,6 +77,18 @@ def top_per_group(
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
+def exploded_range(df: DataFrame, length: Column, name: str, chunk: int = 8192) -> DataFrame:
+    """One row per 0 <= ``name`` < ``length``, made in chunks: a long range never sits in one array or one task."""
+    starts = df.withColumn("_len", length.cast("long")).where(F.col("_len") > 0).withColumn(
+        "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1, F.lit(chunk).cast("long")))
+    )
+    # only ranges longer than one chunk are worth spreading
+    short, long = starts.where(F.col("_len") <= chunk), starts.where(F.col("_len") > chunk)
+    pieces = short.unionByName(long.repartition(F.xxhash64(*df.columns, "_from")))
+    last = F.least(F.col("_len"), F.col("_from") + chunk) - 1
+    return pieces.withColumn(name, F.explode(F.sequence(F.col("_from"), last))).drop("_len", "_from")
+
+
 def systematic_sample(df: DataFrame, key: str, size: int) -> DataFrame:
     """Every (count // size)-th row in key order."""
     numbered = global_position(df, [key], "_at")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.features import RULE_V1_WEIGHTS, RULE_V2_WEIGHTS
-from .ordering import global_position, position_in_group
+from .ordering import exploded_range, global_position, position_in_group
 from .topk import blocked_topk, reaches, sparse_product, term_keys
 
 TOPN = 1000
@@ -63,7 +63,7 @@ def popularity_rankings(
     if many.limit(1).count() == 0:
         return light
     places = global_position(counts, place, "_place")
-    wanted = many.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), topn + F.col("_hidden") - 1)).alias("_place"))
+    wanted = exploded_range(many, topn + F.col("_hidden"), "_place").select("user_id", "_place")
     left_over = wanted.join(places, "_place").join(hidden, ["user_id", "job_id"], "left_anti")
     heavy = position_in_group(left_over, ["user_id"], ["_place"], "_pos").where(F.col("_pos") < topn)
     return light.unionByName(

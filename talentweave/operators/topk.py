@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .ordering import top_per_group
 
-QUERY_BLOCK_ROWS = 4096
-ITEM_BLOCK_ROWS = 8192
+QUERY_BLOCK_ROWS = 16_384
+ITEM_BLOCK_ROWS = 32_768
 SCORE_DIGITS = 9
 _CELLS = 4_000_000
 
@@ -44,8 +44,12 @@ def sparse_vectors(df: DataFrame, id_col: str, entries: Column) -> DataFrame:
     )
 
 
-def _blocks(df: DataFrame, rows_per_block: int) -> int:
-    return max(1, ceil(df.count() / rows_per_block))
+def block_counts(n_queries: int, n_items: int, query_block_rows: int, item_block_rows: int, cores: int) -> tuple[int, int]:
+    """Number of query and item blocks: bounded rows per block, and enough block pairs to keep the cores busy."""
+    item_blocks = max(1, ceil(n_items / item_block_rows))
+    query_blocks = max(1, ceil(n_queries / query_block_rows))
+    busy = min(cores, ceil(n_queries * n_items / _CELLS)) if n_queries * n_items > _CELLS // 4 else 1
+    return max(query_blocks, min(n_queries or 1, ceil(busy / item_blocks))), item_blocks
 
 
 def _block_of(c: Column, blocks: int) -> Column:
@@ -61,15 +65,18 @@ def blocked_topk(
     query_block_rows: int = QUERY_BLOCK_ROWS,
     item_block_rows: int = ITEM_BLOCK_ROWS,
     min_score: float | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(user_id, job_id, score, rank) with the ``k`` best items per query.
 
     ``queries`` and ``items`` carry a unique ``id`` and the payload ``score`` reads; ``exclude`` holds
     (user_id, job_id) pairs never to return. Ties go to the smaller item id. ``score(q, i)`` prepares
-    two blocks and returns a function giving the score rows of a slice of the queries.
+    two blocks and returns a function giving the score rows of a slice of the queries. ``sizes`` gives the
+    numbers of queries and items where counting the prepared tables would be costly.
     """
-    n_query_blocks = _blocks(queries, query_block_rows)
-    n_item_blocks = _blocks(items, item_block_rows)
+    n_queries, n_items = sizes or (queries.count(), items.count())
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_query_blocks, n_item_blocks = block_counts(n_queries, n_items, query_block_rows, item_block_rows, cores)
     id_type = items.schema["id"].dataType
 
     q = queries.withColumn("_qb", _block_of(F.col("id"), n_query_blocks)).withColumn(

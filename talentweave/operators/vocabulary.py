@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_token, split_tags
@@ -68,9 +68,11 @@ class SkillGate:
         return cls(**known)
 
 
-def _isin(token: Column, terms: list[str]) -> Column:
-    cleaned = F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.lower(clean_token(t)))
-    return F.array_contains(cleaned, token) if terms else F.lit(False)
+def gate_terms(spark: SparkSession, gate: SkillGate) -> DataFrame:
+    """(kind, term) rows of the configured lists, cleaned the same way as the tokens they meet."""
+    lists = {"short_english": gate.short_english, "drop": gate.drop_terms, "transversal": gate.transversal_terms}
+    rows = [(kind, term) for kind, terms in lists.items() for term in terms]
+    return spark.createDataFrame(rows, "kind string, term string").select("kind", F.lower(clean_token(F.col("term"))).alias("term"))
 
 
 def gate_decisions(tokens: DataFrame, gate: SkillGate, reference: DataFrame | None = None) -> DataFrame:
@@ -78,17 +80,16 @@ def gate_decisions(tokens: DataFrame, gate: SkillGate, reference: DataFrame | No
 
     ``reference`` holds (kind, term). Rules apply in a fixed order and the first that fits decides.
     """
+    terms = gate_terms(tokens.sparkSession, gate)
+    if reference is not None:
+        terms = terms.unionByName(reference.select("kind", "term"))
+    groups = {"_short": ["short_english"], "_drop": ["drop"], "_transversal": ["transversal"], "_occupation": OCCUPATION_KINDS, "_task": TASK_KINDS}
+    flags = [F.max(F.col("kind").isin(kinds)).alias(name) for name, kinds in groups.items()]
+    known = terms.groupBy(F.col("term").alias("_key")).agg(*flags)
     rows = tokens.withColumn("_key", F.lower(clean_token(F.col("token"))))
-    if reference is None:
-        rows = rows.withColumn("_occupation", F.lit(False)).withColumn("_task", F.lit(False))
-    else:
-        kinds = reference.groupBy(F.col("term").alias("_key")).agg(
-            F.max(F.col("kind").isin(OCCUPATION_KINDS)).alias("_occupation"),
-            F.max(F.col("kind").isin(TASK_KINDS)).alias("_task"),
-        )
-        rows = rows.join(broadcast_if_small(kinds), "_key", "left").fillna(False, ["_occupation", "_task"])
+    rows = rows.join(broadcast_if_small(known), "_key", "left").fillna(False, list(groups))
     key, w = F.col("_key"), gate.type_weights
-    short = key.rlike(ASCII_SKILL) & (F.length(key) < gate.english_min_len) & ~_isin(key, gate.short_english)
+    short = key.rlike(ASCII_SKILL) & (F.length(key) < gate.english_min_len) & ~F.col("_short")
 
     def decision(keep: bool, skill_type: str, weight: float, reason: str = "") -> Column:
         return F.struct(
@@ -100,10 +101,10 @@ def gate_decisions(tokens: DataFrame, gate: SkillGate, reference: DataFrame | No
         (F.lit(not gate.enabled), decision(True, "unknown", 1.0)),
         (key == "", decision(False, "empty", 0.0, "empty")),
         (short, decision(False, "english_noise", 0.0, "short_english")),
-        (_isin(key, gate.drop_terms), decision(False, "generic_non_skill", 0.0, "drop_term")),
+        (F.col("_drop"), decision(False, "generic_non_skill", 0.0, "drop_term")),
         (F.lit(gate.drop_occupation_terms) & F.col("_occupation"),
          decision(False, "occupation_or_job_type", 0.0, "occupation_reference")),
-        (_isin(key, gate.transversal_terms), decision(True, "transversal", w.get("transversal", 0.35), "transversal_downweight")),
+        (F.col("_transversal"), decision(True, "transversal", w.get("transversal", 0.35), "transversal_downweight")),
         (F.col("_task"), decision(True, "reference_task", w.get("reference_task", 1.0), "standard_reference")),
     ]
     verdict = decision(True, "hard_or_knowledge", w.get("hard_or_knowledge", 1.0))

@@ -144,13 +144,11 @@ def stored_rankings(spark, d):
 def occupation_reference(spark, d):
     """Occupation reference document built from nations and parts, written as JSON, read back as terms."""
     parts, nations = b.table(spark, d, "part"), b.table(spark, d, "nation")
-    names = parts.select(F.concat("p_brand", F.lit(" "), "p_type").alias("n")).distinct().groupBy(F.pmod(F.xxhash64("n"), F.lit(16)).alias("k"))
-    listed = names.agg(F.collect_list(F.to_json(F.struct(F.col("n").alias("name"), F.concat("n", F.lit("；x")).alias("task")))).alias("occupations"))
-    categories = nations.groupBy(F.pmod(F.col("n_nationkey"), F.lit(16)).alias("k")).agg(F.collect_list("n_name").alias("career_categories"))
+    name = F.concat("p_brand", F.lit(" "), "p_type")
+    occupations = parts.select(F.array(F.struct(name.alias("name"), F.concat(name, F.lit("；x")).alias("task"))).alias("occupations"))
+    docs = occupations.unionByName(nations.select(F.array("n_name").alias("career_categories")), allowMissingColumns=True)
     folder = shared_folder(spark, "reference")
-    docs = listed.join(categories, "k", "full_outer")
-    objects = F.transform("occupations", lambda o: F.from_json(o, readers.OCCUPATION))
-    docs.select("career_categories", objects.alias("occupations")).coalesce(1).write.option("ignoreNullFields", True).json(folder)
+    docs.write.json(folder)
     raw_docs = spark.read.schema(readers.REFERENCE_SCHEMA).json(folder)
     return readers.reference_terms(raw_docs)
 

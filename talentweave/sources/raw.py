@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_value
 from ..operators.ordering import capped_by_order, first_rows
+from ..session import broadcast_if_small, cut_lineage
 
 BOM = "﻿"
 FILLER_JOBS = 500
@@ -37,8 +38,10 @@ def read_table(spark: SparkSession, path: str | Sequence[str], max_rows: int | N
 
     splits = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    indexed = lines.join(F.broadcast(offsets), ["_file", "_start"]).select(
+    offsets = cut_lineage(
+        splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
+    indexed = lines.join(broadcast_if_small(offsets), ["_file", "_start"]).select(
         "line", (F.col("_offset") + F.col("_at") - F.col("_first") - 1).alias("row_index")
     )
     parts = F.split("line", "\t", len(columns))
