@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions.fields import behaviour_level
 from .operators.interactions import jobs_with_behaviour, leave_last_out, restrict_to_known
@@ -15,8 +16,15 @@ AS_OF_YEAR = 2024
 FIRST_VIEWS = 3
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; its schema is looked up once."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def actions(spark: SparkSession, folder: str) -> DataFrame:

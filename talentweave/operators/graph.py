@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import BEHAVIOUR_WEIGHTS, flag_is_set
 from ..functions.text import clean_token, extract_skill_tokens, node_id, normalize_value, split_multi_value
+from ..session import spread
 from .interactions import browsed_pairs, positives
 from .ordering import first_occurrence
 from .pairs import skill_entries
@@ -197,31 +198,47 @@ def skill_values(user_skill_rows: DataFrame, job_skill_rows: DataFrame, min_freq
     return frequent(user_skill_rows).union(frequent(job_skill_rows)).distinct()
 
 
+def node_table(user_rows: DataFrame, job_rows: DataFrame, values: DataFrame) -> DataFrame:
+    """All nodes: users, jobs and the observed dimension values."""
+    return user_nodes(user_rows).unionByName(job_nodes(job_rows)).unionByName(dimension_nodes(values))
+
+
+def edge_table(user_rows: DataFrame, job_rows: DataFrame, u_skills: DataFrame, j_skills: DataFrame, actions: DataFrame) -> DataFrame:
+    """All edges, each once."""
+    return (
+        attribute_edges(user_rows, "user", "user_id", USER_RELATIONS, USER_TABLE)
+        .unionByName(skill_edges(u_skills, "user", "user_id", "HAS_SKILL", USER_TABLE + ".experience"))
+        .unionByName(attribute_edges(job_rows, "job", "job_id", JOB_RELATIONS, JOB_TABLE))
+        .unionByName(skill_edges(j_skills, "job", "job_id", "REQUIRES_SKILL", JOB_TABLE + ".jd_title+job_description"))
+        .unionByName(behaviour_edges(actions))
+        .distinct()
+    )
+
+
 def build_graph(
     users: DataFrame, jobs: DataFrame, actions: DataFrame, min_skill_freq: int = 1,
     user_skill_limit: int | None = USER_SKILL_LIMIT, job_skill_limit: int | None = JOB_SKILL_LIMIT,
-    prune_dangling: bool = False,
+    prune_dangling: bool = False, parts: tuple[str, ...] = ("nodes", "edges", "stats"),
 ) -> dict[str, DataFrame]:
-    """``nodes``, ``edges`` and ``stats`` from the three raw tables.
+    """The asked ``parts`` of ``nodes``, ``edges`` and ``stats`` from the three raw tables.
 
     Rare skills lose their node but keep their edges unless ``prune_dangling`` is set. Users and jobs are
     counted before deduplication, edges after.
     """
-    u, j = user_cells(users), job_cells(jobs)
+    u, j = user_cells(spread(users, "user_id")), job_cells(spread(jobs, "jd_no"))
     u_skills, j_skills = user_skills(u, user_skill_limit), job_skills(j, job_skill_limit)
-    values = dimension_values(u, j).union(skill_values(u_skills, j_skills, min_skill_freq))
-    nodes = user_nodes(u).unionByName(job_nodes(j)).unionByName(dimension_nodes(values))
-    edges = (
-        attribute_edges(u, "user", "user_id", USER_RELATIONS, USER_TABLE)
-        .unionByName(skill_edges(u_skills, "user", "user_id", "HAS_SKILL", USER_TABLE + ".experience"))
-        .unionByName(attribute_edges(j, "job", "job_id", JOB_RELATIONS, JOB_TABLE))
-        .unionByName(skill_edges(j_skills, "job", "job_id", "REQUIRES_SKILL", JOB_TABLE + ".jd_title+job_description"))
-        .unionByName(behaviour_edges(actions))
-        .distinct()
-    )
-    if prune_dangling:
-        edges = edges.join(nodes.select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
-    return {"nodes": nodes, "edges": edges, "stats": graph_stats(u, j, values, edges)}
+    graph: dict[str, DataFrame] = {}
+    if parts != ("edges",) or prune_dangling:
+        values = dimension_values(u, j).union(skill_values(u_skills, j_skills, min_skill_freq))
+        graph["nodes"] = node_table(u, j, values)
+    if parts != ("nodes",):
+        edges = edge_table(u, j, u_skills, j_skills, spread(actions, "user_id", "jd_no"))
+        if prune_dangling:
+            edges = edges.join(graph["nodes"].select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
+        graph["edges"] = edges
+    if "stats" in parts:
+        graph["stats"] = graph_stats(u, j, values, graph["edges"])
+    return {name: graph[name] for name in parts}
 
 
 def graph_stats(user_rows: DataFrame, job_rows: DataFrame, values: DataFrame, edges: DataFrame) -> DataFrame:

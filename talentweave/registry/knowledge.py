@@ -23,20 +23,20 @@ def _build(spark, d, **options) -> dict[str, DataFrame]:
 
 
 def graph_nodes(spark, d):
-    return _build(spark, d)["nodes"]
+    return _build(spark, d, parts=("nodes",))["nodes"]
 
 
 def graph_edges(spark, d):
-    return _build(spark, d)["edges"]
+    return _build(spark, d, parts=("edges",))["edges"]
 
 
 def graph_stats(spark, d):
-    return _build(spark, d)["stats"].select("item", F.col("count").alias("n"))
+    return _build(spark, d, parts=("nodes", "edges", "stats"))["stats"].select("item", F.col("count").alias("n"))
 
 
 def pruned_graph_edges(spark, d):
     """Edges left when rare skills lose their node and dangling edges are dropped."""
-    edges = _build(spark, d, min_skill_freq=100, prune_dangling=True)["edges"]
+    edges = _build(spark, d, min_skill_freq=100, prune_dangling=True, parts=("edges",))["edges"]
     return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("edges"))
 
 

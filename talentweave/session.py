@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+SPREAD_BYTES_PER_CORE = 16 << 20
 
 
 def build_session(app: str = "talentweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,6 +20,8 @@ def build_session(app: str = "talentweave", master: str | None = None, **conf: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call sites of every column expression are only worth their time while debugging
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -55,15 +58,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by unique keys, but only if the input has fewer partitions than cores.
+    """Repartition small inputs by unique keys so that costly expressions use all cores.
 
-    A single-row-group file is read by one task however large its texts are. At scale the scan
-    already has more splits than cores and nothing is shuffled.
+    A file of one row group is read by one task however costly its rows are. Judged by the estimated size
+    of the tables read: enough bytes for every core come in enough splits and are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df if size >= cores * SPREAD_BYTES_PER_CORE else df.repartition(cores, *keys)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
