@@ -140,7 +140,7 @@ def node_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 def raw_users(spark: SparkSession, folder: str) -> DataFrame:
     """``table1_user`` from customers: nations are cities, segments industries."""
     people = table(spark, folder, "customer").join(
-        F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+        table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
     return people.select(
         F.col("c_custkey").cast("string").alias("user_id"),

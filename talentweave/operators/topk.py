@@ -35,15 +35,6 @@ def term_keys(terms: Column) -> Column:
     return F.transform(terms, term_key)
 
 
-def sparse_vectors(df: DataFrame, id_col: str, entries: Column) -> DataFrame:
-    """(id, keys, weights) from an array of (term, weight) structs held in each row."""
-    return df.select(
-        F.col(id_col).alias("id"),
-        F.transform(entries, lambda e: term_key(e["term"])).alias("keys"),
-        F.transform(entries, lambda e: e["weight"].cast("double")).alias("weights"),
-    )
-
-
 def block_counts(n_queries: int, n_items: int, query_block_rows: int, item_block_rows: int, cores: int) -> tuple[int, int]:
     """Number of query and item blocks: bounded rows per block, and enough block pairs to keep the cores busy."""
     item_blocks = max(1, ceil(n_items / item_block_rows))

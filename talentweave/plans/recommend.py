@@ -109,7 +109,8 @@ def resolve_requests(requests: DataFrame, candidates: DataFrame, stored_model: s
 
 def recommend(
     requests: DataFrame, candidates: DataFrame, jobs: DataFrame, stored_rankings: DataFrame | None = None,
-    stored_model: str = STORED_MODEL, query_tokens: int | None = 300, document_tokens: int | None = 500,
+    stored_model: str = STORED_MODEL, bm25_tokens: int | None = 220, hashed_tokens: int | None = 300,
+    document_tokens: int | None = 500,
 ) -> dict[str, DataFrame]:
     """``items`` (one row per recommended job with evidence) and ``rejects`` (failed requests).
 
@@ -139,10 +140,10 @@ def recommend(
     parts = [from_store, rule_rankings_v1(by_rule, jobs, None, MAX_TOP_K).withColumn("used", F.lit("rule"))]
     for_bm25 = queries.where(F.col("model") == "bm25")
     if not for_bm25.isEmpty():
-        parts.append(bm25_rankings_v1(for_bm25, jobs, MAX_TOP_K, document_tokens=document_tokens).withColumn("used", F.lit("bm25")))
+        parts.append(bm25_rankings_v1(for_bm25, jobs, MAX_TOP_K, None, bm25_tokens, document_tokens).withColumn("used", F.lit("bm25")))
     for_hash = queries.where(F.col("model") == "semantic_hash")
     if not for_hash.isEmpty():
-        hashed = hashed_rankings(tokens(for_hash, "user_id", query_tokens), tokens(jobs, "job_id", document_tokens), MAX_TOP_K)
+        hashed = hashed_rankings(tokens(for_hash, "user_id", hashed_tokens), tokens(jobs, "job_id", document_tokens), MAX_TOP_K)
         parts.append(hashed.withColumn("used", F.lit("semantic_hash")))
     ranked = parts[0]
     for part in parts[1:]:

@@ -63,7 +63,7 @@ def jobs_v1(jobs: DataFrame, as_of_year: int, max_tokens: int | None = JOB_TOKEN
     ).where(F.col("job_id") != "")
 
 
-def users_v2(users: DataFrame, tags: DataFrame, vocabulary: DataFrame, as_of_year: int, max_skills: int = 64,
+def users_v2(users: DataFrame, tags: DataFrame, vocabulary: DataFrame, as_of_year: int, max_skills: int | None = 64,
              max_text_tags: int | None = TEXT_TAGS) -> DataFrame:
     """Second-generation user rows; ``tags`` holds the (user_id, pos, tag) rows the gate kept."""
     kept = tags.groupBy("user_id").agg(
@@ -124,8 +124,9 @@ def jobs_v2(jobs: DataFrame, skills: DataFrame, as_of_year: int, max_text_chars:
 
 def preprocess(
     users: DataFrame, jobs: DataFrame, actions: DataFrame, as_of_year: int, gate: SkillGate | None = None,
-    reference: DataFrame | None = None, min_count: int = 2, max_job_skills: int = 20, max_user_skills: int = 64,
-    title_weight: float = 2.0, max_desc_chars: int | None = MATCHED_DESCRIPTION,
+    reference: DataFrame | None = None, min_count: int = 2, max_job_skills: int = 20, max_user_skills: int | None = 64,
+    title_weight: float = 2.0, max_desc_chars: int | None = MATCHED_DESCRIPTION, max_text_chars: int | None = TEXT_DESCRIPTION,
+    max_text_tags: int | None = TEXT_TAGS,
 ) -> dict[str, DataFrame]:
     """Raw tables to ``users``, ``jobs``, ``interactions``, ``skill_vocab`` and ``meta``."""
     gate = gate or SkillGate(enabled=False)
@@ -144,8 +145,8 @@ def preprocess(
     terms = weights.select(F.col("token").alias("skill"), "skill_id", "weight")
     texts = seen.select("job_id", _cell(seen, "jd_title").alias("title"), _cell(seen, "job_description").alias("description"))
     matches = match_dictionary(text_fields(texts, title_weight, max_desc_chars), terms, gate.enabled and gate.strict_ascii_boundaries)
-    out_users = users_v2(user_rows, tags, vocabulary, as_of_year, max_user_skills)
-    out_jobs = jobs_v2(seen, top_skills(matches, max_job_skills), as_of_year, max_match_chars=max_desc_chars)
+    out_users = users_v2(user_rows, tags, vocabulary, as_of_year, max_user_skills, max_text_tags)
+    out_jobs = jobs_v2(seen, top_skills(matches, max_job_skills), as_of_year, max_text_chars, max_desc_chars)
     split = leave_last_out(restrict_to_known(interactions, out_users, out_jobs), min_level=2)
     return {
         "users": out_users,

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import bindings as b
+from ..functions.features import pair_features_v1, rule_score_v1
 from ..operators import evidence, graph, interactions, pairs, propagation, taxonomy
-from ..operators.ordering import first_rows
+from ..operators.ordering import dense_index, first_rows
 from ..operators.vocabulary import SkillGate
 from ..plans import experiments, recommend, records
 from ..session import cut_lineage, shared_folder
@@ -16,6 +17,9 @@ from ..sources import raw, sinks
 from .matching import DIM, _by_dimension, _requirement_sides
 
 
+WHOLE_TEXTS = {"bm25_tokens": None, "hashed_tokens": None, "document_tokens": None}
+
+
 def _build(spark, d, **options) -> dict[str, DataFrame]:
     return graph.build_graph(
         b.raw_users(spark, d), b.raw_jobs(spark, d), b.raw_actions(spark, d), user_skill_limit=None, job_skill_limit=None, **options
@@ -78,7 +82,8 @@ def jobs_v1(spark, d):
 
 def _processed(spark, d) -> dict[str, DataFrame]:
     return records.preprocess(
-        b.raw_users(spark, d), b.raw_jobs(spark, d), b.raw_actions(spark, d), b.AS_OF_YEAR, SkillGate(), max_desc_chars=None
+        b.raw_users(spark, d), b.raw_jobs(spark, d), b.raw_actions(spark, d), b.AS_OF_YEAR, SkillGate(), max_user_skills=None,
+        max_desc_chars=None, max_text_chars=None, max_text_tags=None,
     )
 
 
@@ -111,8 +116,7 @@ def raw_scan(spark, d):
     rows = b.raw_actions(spark, d)
     names = ["user_id", "jd_no", "browsed", "delivered", "satisfied"]
     ordered = rows.repartitionByRange("row_index").sortWithinPartitions("row_index")
-    lines = ordered.select(F.concat_ws("\t", *names).alias("value"), (F.spark_partition_id() + 1).alias("_part"))
-    lines.select("value").write.text(f"{folder}/b_rows")
+    ordered.select(F.concat_ws("\t", *names).alias("value")).write.text(f"{folder}/b_rows")
     spark.createDataFrame([("\t".join(names),)], "value string").coalesce(1).write.text(f"{folder}/a_header")
     table = raw.read_table(spark, [f"{folder}/a_header", f"{folder}/b_rows"])
     return first_rows(table, None).select(*names, "row_index")
@@ -198,8 +202,6 @@ def path_attention(spark, d):
 def pooled_paths(spark, d):
     """Attention-pooled path vectors and mean gap vectors; a skill's vector is the stored one at its rank."""
     skills = b.all_jobs(spark, d).select(F.explode("skills").alias("skill")).distinct()
-    from ..operators.ordering import dense_index
-
     numbered = dense_index(skills, "skill", "vec_id")
     vectors = numbered.join(b.table(spark, d, "embeddings"), "vec_id").select("skill", F.col("embedding").alias("vector"))
     rows = _evidence_v2(spark, d).withColumn("gap_skills", F.slice("missing_skills", 1, 10))
@@ -294,7 +296,7 @@ def _stored(spark, d) -> DataFrame:
 def recommendations(spark, d):
     """Every customer's request answered; a stored ranking exists for even customers only."""
     people, posts = _service_tables(spark, d)
-    items = recommend.recommend(_requests(spark, d), people, posts, _stored(spark, d))["items"]
+    items = recommend.recommend(_requests(spark, d), people, posts, _stored(spark, d), **WHOLE_TEXTS)["items"]
     return items.select("request_id", "candidate_id", "model", "rank", "job_id", F.round("score", 6).alias("score"),
                         F.array_join("matched_skills", "|").alias("matched"), F.size("warnings").alias("warnings"))
 
@@ -303,7 +305,7 @@ def recommendations_by_rule(spark, d):
     """The requests that end in the rule ranking, by name or as a fallback."""
     people, posts = _service_tables(spark, d)
     asked = _requests(spark, d).withColumn("model", F.when(F.col("model").isin("rule", "unknown"), F.col("model")).otherwise("graph"))
-    items = recommend.recommend(asked, people, posts, _stored(spark, d))["items"]
+    items = recommend.recommend(asked, people, posts, _stored(spark, d), **WHOLE_TEXTS)["items"]
     return items.select("request_id", "candidate_id", "model", "rank", "job_id", F.round("score", 6).alias("score"),
                         F.array_join("matched_skills", "|").alias("matched"), F.size("warnings").alias("warnings"))
 
@@ -320,7 +322,7 @@ def recommendations_for_profiles(spark, d):
         F.concat(F.lit("p"), "user_id").alias("request_id"), F.lit(None).cast("string").alias("candidate_id"), profile.alias("candidate_profile"),
         F.lit("rule").alias("model"), F.lit(10).alias("top_k"), F.lit(True).alias("include_explanations"),
     )
-    items = recommend.recommend(asked, people, posts)["items"]
+    items = recommend.recommend(asked, people, posts, **WHOLE_TEXTS)["items"]
     return items.select("request_id", "candidate_id", "rank", "job_id", F.round("score", 6).alias("score"))
 
 
@@ -332,8 +334,6 @@ def rejected_requests(spark, d):
 
 def candidate_pages(spark, d):
     """Candidates per job by match percentage, second page of ten."""
-    from ..functions.features import pair_features_v1, rule_score_v1
-
     rows = _known_pairs(spark, d).select("user_id", "job_id", *pair_features_v1())
     scored = rows.select("job_id", "user_id", recommend.match_percent(rule_score_v1(), F.lit(1.0)).alias("match"))
     return recommend.paged(scored, "job_id", F.col("match"), "user_id", 2, 10)

@@ -44,8 +44,8 @@ users AS (
 sharedn AS (SELECT u.user_id, j.job_id, count(*) AS n FROM uskill u JOIN jskill j ON u.skill = j.skill GROUP BY ALL),
 pairs AS (
   SELECT u.user_id, j.job_id, coalesce(s.n, 0) AS n, j.n_job, u.degree_rank, u.years, j.min_degree_rank, j.min_years,
-         CASE WHEN j.city IN (u.live_city, u.next_city) THEN 1.0 ELSE 0.0 END AS city,
-         CASE WHEN t.user_id IS NOT NULL THEN 1.0 ELSE 0.0 END AS type
+         CASE WHEN j.city IN (u.live_city, u.next_city) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS city,
+         CASE WHEN t.user_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS type
   FROM users u CROSS JOIN jobs j
   LEFT JOIN sharedn s ON s.user_id = u.user_id AND s.job_id = j.job_id
   LEFT JOIN utype t ON t.user_id = u.user_id AND t.job_type = j.job_type),
@@ -62,8 +62,8 @@ rulerank AS (
   FROM rule2 r SEMI JOIN askers a ON a.user_id = r.user_id ANTI JOIN hidden h ON h.user_id = r.user_id AND h.job_id = r.job_id),
 feat1 AS (
   SELECT user_id, job_id, n / n_job AS cov, (n_job - n) / n_job AS miss, city,
-         CASE WHEN min_degree_rank > 0 AND degree_rank >= min_degree_rank THEN 1.0 ELSE 0.0 END AS edu,
-         CASE WHEN min_years > 0 AND years >= min_years THEN 1.0 ELSE 0.0 END AS exp, type, ln(1.0 + n) AS paths
+         CASE WHEN min_degree_rank > 0 AND degree_rank >= min_degree_rank THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS edu,
+         CASE WHEN min_years > 0 AND years >= min_years THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exp, type, ln(1.0 + n) AS paths
   FROM pairs),
 rule1 AS (SELECT *, round(0.5 * cov + 0.1 * (1 - miss) + 0.15 * city + 0.1 * edu + 0.1 * exp + 0.05 * type + 0.03 * paths, 9) AS score FROM feat1),
 test1 AS (SELECT DISTINCT user_id, job_id FROM sp1 WHERE split = 'test'),
@@ -101,7 +101,7 @@ def metrics_sql(ranks: str, relevant: str, ks: tuple[int, ...], skip: bool, coun
     outs = ", ".join(
         f"avg(h{k} / n) AS recall_at_{k}, avg(h{k} / {k}) AS precision_at_{k}, "
         f"avg(d{k} / (SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + CAST(least(n, {k}) AS BIGINT)) t(i))) AS ndcg_at_{k}, "
-        f"avg(CASE WHEN h{k} > 0 THEN 1.0 ELSE 0.0 END) AS hitrate_at_{k}"
+        f"avg(CASE WHEN h{k} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hitrate_at_{k}"
         for k in ks
     )
     only = f"WHERE w.user_id IN (SELECT user_id FROM {ranks})" if skip else ""
@@ -183,10 +183,10 @@ SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS
 SELECT count(*) AS users, round(avg(a.ndcg - b.ndcg), 6) AS mean_diff, round(avg(a.ndcg - b.ndcg) / (stddev_samp(a.ndcg - b.ndcg) / sqrt(count(*))), 6) AS t
 FROM nd a JOIN nd b ON a.user_id = b.user_id WHERE a.model = 'rule' AND b.model = 'popularity'""", TWO),
     "model_comparison": sql("""
-SELECT model, 1::BIGINT AS n_seeds, round(avg(coalesce(1 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_10,
+SELECT model, 1::BIGINT AS n_seeds, round(avg(coalesce(1 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall_at_10,
   round(avg(CASE WHEN rank <= 10 THEN 0.1 ELSE 0.0 END), 6) AS precision_at_10,
   round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0.0 END), 6) AS ndcg_at_10,
-  round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hitrate_at_10, CAST(count(*) AS DOUBLE) AS eval_users
+  round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hitrate_at_10, CAST(count(*) AS DOUBLE) AS eval_users
 FROM found GROUP BY model""", """found AS (
   SELECT 'popularity' AS model, w.user_id, r.rank FROM test w LEFT JOIN poprank r ON r.user_id = w.user_id AND r.job_id = w.job_id
   UNION ALL SELECT 'rule', w.user_id, r.rank FROM test w LEFT JOIN rulerank r ON r.user_id = w.user_id AND r.job_id = w.job_id)"""),
@@ -211,7 +211,7 @@ SELECT f.user_id, f.job_id, round(cov, 6) AS required_skill_coverage, round(miss
 FROM {ALL_PAIRS.format('rule1')}"""),
     "pair_features_v2": sql(f"""
 SELECT f.user_id, f.job_id, round(n / n_job, 6) AS coverage, round((n_job - n) / n_job, 6) AS missing, city,
-  CASE WHEN degree_rank >= min_degree_rank THEN 1.0 ELSE 0.0 END AS degree, CASE WHEN years >= min_years THEN 1.0 ELSE 0.0 END AS experience,
+  CASE WHEN degree_rank >= min_degree_rank THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS degree, CASE WHEN years >= min_years THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS experience,
   type, round(ln(1.0 + n), 6) AS paths, coalesce(l.path_skills, '') AS path_skills, coalesce(l.gap_skills, '') AS gap_skills
 FROM {ALL_PAIRS.format('pairs')}
 LEFT JOIN (SELECT k.user_id, k.job_id, string_agg(s.skill, '|' ORDER BY s.pos) FILTER (u.skill IS NOT NULL) AS path_skills,
@@ -226,13 +226,13 @@ UNION ALL SELECT 'job', skill, count(*) FROM jskill GROUP BY skill"""),
     "requirement_scores": sql(f"""
 SELECT *, round(0.5 * (0.8 * rq + 0.2 * pf) + 0.2 * education_match + 0.2 * experience_match + 0.1 * city_match, 6) AS score FROM (
 SELECT f.user_id, f.job_id, rq AS required_skill_coverage, pf AS preferred_skill_coverage,
-  CASE WHEN j.city = u.live_city THEN 1.0 ELSE 0.0 END AS city_match,
-  CASE WHEN u.degree_rank = j.min_degree_rank THEN 1.0 ELSE 0.0 END AS education_match,
-  CASE WHEN u.years >= j.min_years THEN 1.0 ELSE 0.0 END AS experience_match, rq, pf
+  CASE WHEN j.city = u.live_city THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS city_match,
+  CASE WHEN u.degree_rank = j.min_degree_rank THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS education_match,
+  CASE WHEN u.years >= j.min_years THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS experience_match, rq, pf
 FROM {ALL_PAIRS.format('wanted')} JOIN users u ON u.user_id = f.user_id JOIN jobs j ON j.job_id = f.job_id)""".replace("SELECT *,", "SELECT user_id, job_id, round(rq, 6) AS required_skill_coverage, round(pf, 6) AS preferred_skill_coverage, city_match, education_match, experience_match,", 1), """
 wanted AS (
-  SELECT k.user_id, k.job_id, avg(CASE WHEN u.skill IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (s.kind = 'r') AS rq,
-    avg(CASE WHEN u.skill IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (s.kind = 'p') AS pf
+  SELECT k.user_id, k.job_id, avg(CASE WHEN u.skill IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (s.kind = 'r') AS rq,
+    avg(CASE WHEN u.skill IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (s.kind = 'p') AS pf
   FROM (SELECT DISTINCT user_id, job_id FROM lv) k
   JOIN (SELECT job_id, w1 AS skill, 'r' AS kind FROM alljobs UNION SELECT job_id, w2, 'r' FROM alljobs
         UNION SELECT job_id, brand, 'p' FROM alljobs UNION SELECT job_id, job_type, 'p' FROM alljobs) s ON s.job_id = k.job_id
@@ -309,7 +309,7 @@ SQL["dense_label_report"] = sql(
         + [
             f"round(avg(h{k} / n), 6) AS recall_at_{k}, round(avg(h{k} / {k}), 6) AS precision_at_{k}, "
             f"round(avg(d{k} / (SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + CAST(least(n, {k}) AS BIGINT)) t(i))), 6) AS ndcg_at_{k}, "
-            f"round(avg(CASE WHEN h{k} > 0 THEN 1.0 ELSE 0.0 END), 6) AS hitrate_at_{k}"
+            f"round(avg(CASE WHEN h{k} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hitrate_at_{k}"
             for k in _LABEL_KS
         ]
     )

@@ -92,3 +92,10 @@ def test_graph_stats_file(spark, tmp_path):
     path = tmp_path / "stats.csv"
     path.write_text("﻿item,count\nusers,4.0\njobs,\n", encoding="utf-8")
     assert {r["item"]: r["count"] for r in bundle.read_graph_stats(spark, str(path)).collect()} == {"users": 4, "jobs": 0}
+
+
+def test_vectors_are_keyed_by_id(spark, tmp_path):
+    for name in ("user", "job", "skill"):
+        spark.createDataFrame([(name, [1.0, 2.0])], "id string, vector array<double>").write.parquet(str(tmp_path / f"emb_{name}"))
+    vectors = bundle.read_vectors(spark, str(tmp_path))
+    assert {k: v.first()["id"] for k, v in vectors.items()} == {"user": "user", "job": "job", "skill": "skill"}
