@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions import features as fx
 from ..operators import evaluation, interactions, negatives, ordering, pairs, propagation, rerank, scoring
-from ..operators.graph import with_reverse
 from ..operators.dense import dense_rankings, unit_vectors
+from ..operators.graph import with_reverse
 from ..plans import experiments, recommend
 from ..session import cut_lineage
 from ..sources import raw, sinks
@@ -360,6 +360,14 @@ def _train_nodes(spark, d):
     return cut_lineage(rerank.tagged_nodes(users, jobs)), train
 
 
+def _train_edges(train: DataFrame) -> DataFrame:
+    """Candidate-job edges of the train pairs and their reverses, with tagged node names."""
+    rows = train.select(
+        F.lit("cj").alias("relation"), F.concat(F.lit("c:"), "user_id").alias("src"), F.concat(F.lit("j:"), "job_id").alias("dst")
+    )
+    return with_reverse(rows)
+
+
 def _by_dimension(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode("vector").alias("dim", "_v")).select(*keys, "dim", F.round("_v", 6).alias("value"))
 
@@ -371,14 +379,12 @@ def propagated_vectors(spark, d):
 
 def relation_means(spark, d):
     nodes, train = _train_nodes(spark, d)
-    rows = train.select(F.lit("cj").alias("relation"), F.concat(F.lit("c:"), "user_id").alias("src"), F.concat(F.lit("j:"), "job_id").alias("dst"))
-    return _by_dimension(propagation.relation_means(nodes, with_reverse(rows), DIM), "relation", "dst")
+    return _by_dimension(propagation.relation_means(nodes, _train_edges(train), DIM), "relation", "dst")
 
 
 def relational_encoding(spark, d):
     nodes, train = _train_nodes(spark, d)
-    rows = train.select(F.lit("cj").alias("relation"), F.concat(F.lit("c:"), "user_id").alias("src"), F.concat(F.lit("j:"), "job_id").alias("dst"))
-    return _by_dimension(propagation.relational_encode(nodes, with_reverse(rows), DIM, 2), "node")
+    return _by_dimension(propagation.relational_encode(nodes, _train_edges(train), DIM, 2), "node")
 
 
 def graph_dot_ranking(spark, d):
@@ -430,8 +436,7 @@ def fused_encoding(spark, d):
     users, jobs = b.node_vectors(spark, d)
     u, j = rerank.node_inputs(bundle.users, bundle.jobs, users, jobs)
     nodes = cut_lineage(rerank.tagged_nodes(rerank.fuse_vectors(u, DIM), rerank.fuse_vectors(j, DIM)))
-    rows = bundle.pairs("train").select(F.lit("cj").alias("relation"), F.concat(F.lit("c:"), "user_id").alias("src"), F.concat(F.lit("j:"), "job_id").alias("dst"))
-    return _by_dimension(propagation.relational_encode(nodes, with_reverse(rows), DIM, 1), "node")
+    return _by_dimension(propagation.relational_encode(nodes, _train_edges(bundle.pairs("train")), DIM, 1), "node")
 
 
 QUERIES = {
