@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, substring_duplicates
-from .frames import table
+from . import bpe, decontamination, language_id, near_duplicates, quality_classifier, substring_duplicates
+from .frames import held_out, table
+
+
+def op1_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
+    found = bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,11 +28,27 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_duplicates.without_repeats(table(spark, folder, "documents"), size=50).drop("kept_text")
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    net = quality_classifier.learned(docs, table(spark, folder, "labels"))
+    found = quality_classifier.scored(docs, net)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identified(docs.select("doc_id", "text"), language_id.learned(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_bpe_encode_decode,
         op2_benchmark_decontamination,
         op3_minhash_near_dedup,
         op5_substring_dedup,
+        op7_quality_classifier,
+        op8_language_id,
     )
 }
