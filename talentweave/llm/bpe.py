@@ -72,43 +72,10 @@ def split_words(text: str) -> list[str]:
     return (_QUICK if quick else _FULL).findall(text)
 
 
-class Vocabulary:
-    """Merges, symbols and special tokens of a tokenizer file of this kind."""
+class Merges:
+    """Merging of neighbouring ids by rank; ``merge`` maps a pair of ids to (rank, new id)."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            found = json.load(file)
-        model = found["model"]
-        if model.get("end_of_word_suffix") != END or model.get("ignore_merges") or model.get("byte_fallback"):
-            raise ValueError(f"not a byte-level BPE with word ends: {path}")
-        ids: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in found["added_tokens"]}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.text = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
-        self.merge = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge[ids[a], ids[b]] = (rank, ids[a + b])
-        symbols = byte_symbols()
-        self.inner = [ids[s] for s in symbols]
-        self.last = [ids[s + END] for s in symbols]
-        self.parts = {i: self._symbols(t, ids) for t, i in ids.items()}
-        self.memory: dict[str, bytes] = {}
-
-    @staticmethod
-    def _symbols(token: str, ids: dict[str, int]) -> tuple[int, ...]:
-        body = token[: -len(END)] if token.endswith(END) and len(token) > len(END) else token
-        out = [ids[c] for c in body if c in ids]
-        if body is not token:
-            out[-1] = ids[body[-1] + END]
-        return tuple(out)
-
-    def symbols(self, word: str, ends: bool = True) -> list[int]:
-        raw = word.encode()
-        out = [self.inner[b] for b in raw]
-        if ends and out:
-            out[-1] = self.last[raw[-1]]
-        return out
+    merge: dict[tuple[int, int], tuple[int, int]]
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, the leftmost of equals, until no pair is left."""
@@ -148,6 +115,45 @@ class Vocabulary:
                 heapq.heappush(queue, (found[0], before[i], found[1]))
         return [x for x in ids if x is not None]
 
+
+class Vocabulary(Merges):
+    """Merges, symbols and special tokens of a tokenizer file of this kind."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            found = json.load(file)
+        model = found["model"]
+        if model.get("end_of_word_suffix") != END or model.get("ignore_merges") or model.get("byte_fallback"):
+            raise ValueError(f"not a byte-level BPE with word ends: {path}")
+        ids: dict[str, int] = model["vocab"]
+        self.special = {t["content"]: t["id"] for t in found["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.text = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        self.merge = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            self.merge[ids[a], ids[b]] = (rank, ids[a + b])
+        symbols = byte_symbols()
+        self.inner = [ids[s] for s in symbols]
+        self.last = [ids[s + END] for s in symbols]
+        self.parts = {i: self._symbols(t, ids) for t, i in ids.items()}
+        self.memory: dict[str, bytes] = {}
+
+    @staticmethod
+    def _symbols(token: str, ids: dict[str, int]) -> tuple[int, ...]:
+        body = token[: -len(END)] if token.endswith(END) and len(token) > len(END) else token
+        out = [ids[c] for c in body if c in ids]
+        if body is not token:
+            out[-1] = ids[body[-1] + END]
+        return tuple(out)
+
+    def symbols(self, word: str, ends: bool = True) -> list[int]:
+        raw = word.encode()
+        out = [self.inner[b] for b in raw]
+        if ends and out:
+            out[-1] = self.last[raw[-1]]
+        return out
+
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbouring stretches of a word from their own encodings."""
         width = 4

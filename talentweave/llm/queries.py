@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, near_duplicates, quality_classifier, substring_duplicates
+from . import bpe, decontamination, edit_counts, language_id, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates
 from .frames import held_out, table
 
 
@@ -24,6 +24,19 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, folder, "documents"), percent=85, size=5)
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every text before and after three edits each: a stretch replaced, a word put in, a line appended."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = edit_counts.trees(docs, path, pattern)
+    size = F.length("text").cast("long")
+    edit = lambda at, removed, text: F.struct(at.cast("long").alias("at"), F.lit(removed).cast("long").alias("removed"), text.alias("inserted"))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    edits = F.array(edit(F.floor(size / 3), 7, number), edit(F.floor(2 * size / 3), 0, F.lit(" inserted ")), edit(size + 100, 0, F.concat(F.lit("\n"), number)))
+    found = edit_counts.edited(kept.withColumn("edits", edits), path, pattern)
+    return found.select("doc_id", F.col("n_tokens").alias("n_tokens_edited"), "n_encoded", F.length("text").cast("long").alias("n_chars_edited"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_duplicates.without_repeats(table(spark, folder, "documents"), size=50).drop("kept_text")
 
@@ -41,14 +54,27 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.document_shards(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return line_labelling.judged(docs, line_labelling.learned(docs, table(spark, folder, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe_encode_decode,
         op2_benchmark_decontamination,
         op3_minhash_near_dedup,
+        op4_token_counts,
         op5_substring_dedup,
         op7_quality_classifier,
         op8_language_id,
+        op9_sharding,
+        op10_quality_rules,
     )
 }
