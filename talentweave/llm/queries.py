@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, edit_counts, language_id, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates
+from . import bpe, decontamination, edit_counts, language_id, line_duplicates, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates
 from .frames import held_out, table
 
 
@@ -41,6 +41,10 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_duplicates.without_repeats(table(spark, folder, "documents"), size=50).drop("kept_text")
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_duplicates.line_report(table(spark, folder, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     net = quality_classifier.learned(docs, table(spark, folder, "labels"))
@@ -72,6 +76,7 @@ QUERIES = {
         op3_minhash_near_dedup,
         op4_token_counts,
         op5_substring_dedup,
+        op6_line_dedup,
         op7_quality_classifier,
         op8_language_id,
         op9_sharding,

@@ -86,3 +86,41 @@ def substring(docs, size=50):
         kept = [w for i, w in enumerate(words) if i not in gone]
         out.append((doc, len(words), len(gone), sha(" ".join(kept))))
     return out
+
+
+def one_edit(a, b):
+    """At most one substitution, insertion or deletion."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        return a[i + 1 :] == b[i + 1 :]
+    if len(a) > len(b):
+        a, b = b, a
+    return a[i:] == b[i + 1 :]
+
+
+def line_duplicates(docs, min_chars=20):
+    """{(doc_id, line)} to go: False for copies, True for near matches. Ids must be unique and not null."""
+    visible = re.compile(r"[^\x09-\x0D\x20]")
+    first, out = {}, {}
+    for doc, text in sorted(docs):
+        for i, line in enumerate((text or "").split("\n") if text is not None else ()):
+            if visible.search(line):
+                if line in first:
+                    out[doc, i] = False
+                else:
+                    first[line] = (doc, i)
+    by_size = defaultdict(list)
+    for line, place in first.items():
+        if len(line) >= min_chars:
+            by_size[len(line)].append((place, line))
+    for size, own in by_size.items():
+        for place, line in own:
+            for near in (size - 1, size, size + 1):
+                if any(p < place and one_edit(x, line) for p, x in by_size.get(near, ())):
+                    out[place] = True
+                    break
+    return out
