@@ -4,16 +4,16 @@ A window is ``size`` consecutive words; a word goes if a window over it also sta
 
 * Every window has an anchor: the word gram of least hash in it (the leftmost on ties). Equal windows have equal anchors
   at the same place, so it is enough to compare the texts around equal anchors.
-* Index: the reference block of an anchor is the stretch of words that windows with this anchor can span, taken from the
-  smallest document that has the anchor. All documents are indexed; the index is one aggregate row per anchor.
-* Parse: a document is walked from anchor to anchor; consecutive anchors whose blocks agree with the reference of their
-  anchor make one factor, a copy from earlier text as long as the agreement lasts (the greedy step). Factors of at least
-  a window are duplicate spans.
-* Factor boundaries: where the blocks of an anchor differ between documents, a factor ends inside the block although some
-  of its windows may still repeat, there or in another document. Those windows, of all documents with that anchor, are
-  compared one by one through their hashes.
-
-Anchors and windows are compared through 128 bits (anchor and block, anchor and window). All steps are aggregates with
+* Index: the block of an anchor's occurrence is the stretch of words that its windows span. Every distinct block of every
+  document is a reference block, owned by the smallest document that has it.
+* Parse: a document is taken from anchor to anchor; wherever its block is an earlier document's, the whole block is
+  copied, and consecutive copied blocks overlap and make one factor that lasts as long as the agreement does (the greedy
+  step). A block spans at least a window, so every factor is a duplicate span.
+* Factor boundaries: where blocks of one anchor differ, a factor ends inside a block, although some of the block's windows
+  may still repeat another block. These windows are compared one by one through their hashes; only the owner of each
+  block needs that, because a block's later documents copy it whole.
+
+Blocks and windows are compared through 128 bits (anchor and block, anchor and window). All steps are aggregates with
 map-side combining and joins on anchor, window or row; nothing gathers the documents that share a passage.
 
 Defined cases: null, empty and blank texts have no words and lose none. Rows that repeat a doc_id don't remove words of
@@ -34,7 +34,7 @@ from ..session import cut_lineage
 from . import textblocks as tb
 from .frames import by_batch
 
-GRAM = 16
+GRAM = 8
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -144,26 +144,35 @@ def without_spans(docs: DataFrame) -> DataFrame:
 def duplicate_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     """(doc_id, row, spans) of the rows of ``docs(doc_id, text, row)`` that repeat earlier documents; spans may overlap.
 
-    ``row`` is a hash of the text: with the id it names a row by its content, so any task can be run again.
+    ``row`` is a checksum of the text: with the id it names a row by its content, so any task can be run again. For the
+    same reason the anchors are not written: hashing the texts twice costs less than storing them.
     """
-    found = cut_lineage(anchors(docs.where("doc_id is not null"), size))
+    found = anchors(docs.where("doc_id is not null"), size)
     index = found.groupBy("anchor").agg(
         F.min("doc_id").alias("reference"), F.max("doc_id").alias("last"), (F.min("block") == F.max("block")).alias("agrees")
     )
     # an anchor of one document cannot make any of its windows repeat an earlier one
     index = index.where("reference <> last").drop("last")
-    met = cut_lineage(found.join(index, "anchor").where("not agrees or doc_id > reference").select("row", "doc_id", "lo", "hi", "anchor", "agrees", "reference"))
-    copied = met.where("agrees").select("doc_id", "row", "lo", (F.col("hi") + size).alias("hi"))
-
-    runs = met.where("not agrees").groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("runs"))
+    met = found.join(index, "anchor").where("not agrees or doc_id > reference")
+    met = cut_lineage(met.select("doc_id", "row", "lo", "hi", "anchor", F.when(~F.col("agrees"), F.col("block")).alias("block")))
+    span = ("doc_id", "row", "lo", (F.col("hi") + size).alias("hi"))
+    copied = met.where("block is null").select(*span)
+
+    # an anchor with several blocks: a block's later documents copy it; what its first document shares with the anchor's
+    # other blocks is seen window by window
+    several = met.where("block is not null")
+    owners = several.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"))
+    several = cut_lineage(several.join(owners, ["anchor", "block"]).drop("block"))
+    runs = several.where("doc_id = first").groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("runs"))
     edge = cut_lineage(boundary_windows(docs.join(runs, ["doc_id", "row"]).select("row", "doc_id", "text", "runs"), size))
     earliest = edge.groupBy("anchor", "window").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("last")).where("earliest <> last").drop("last")
     repeated = edge.join(earliest, ["anchor", "window"]).where("doc_id > earliest").select("doc_id", "row", "lo", (F.col("lo") + size).alias("hi"))
-    return copied.union(repeated).groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = copied.union(several.where("doc_id > first").select(*span)).union(repeated)
+    return spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and kept_sha256 of every row."""
-    keyed = docs.select("doc_id", "text").withColumn("row", F.xxhash64("text"))
+    keyed = docs.select("doc_id", "text").withColumn("row", F.crc32(F.col("text").cast("binary")))
     spans = duplicate_spans(keyed, size)
     return without_spans(keyed.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "spans"))
