@@ -123,6 +123,12 @@ def _differing(x: str, y: str) -> Column:
     return F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SKETCH_WORDS)))
 
 
+def _screened(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in at most ``limit`` bits."""
+    both = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    return both.where(_differing("sketch_a", "sketch_b") <= limit).select("a", "b")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -141,13 +147,13 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, size: int = 5, ro
     named = scanned.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = cut_lineage(classes)
-    members = classes.select("c", "sketch", F.explode("bands").alias("bucket"))
+    members = classes.select("c", F.explode("bands").alias("bucket"))
+    sketches = classes.select("c", "sketch")
     # a bucket of one class says nothing; the smallest class of a bucket is its centre
-    shared = members.groupBy("bucket").agg(F.min_by("sketch", "c").alias("centre_sketch"), F.min("c").alias("centre"), F.max("c").alias("last"))
-    shared = cut_lineage(shared.where("centre <> last").drop("last"))
+    shared = members.groupBy("bucket").agg(F.min("c").alias("centre"), F.max("c").alias("last")).where("centre <> last").drop("last")
     mates = cut_lineage(members.join(shared, "bucket"))
-    first = mates.where((F.col("c") != F.col("centre")) & (_differing("sketch", "centre_sketch") <= limit))
-    first = cut_lineage(first.select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct())
+    first = mates.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct()
+    first = cut_lineage(_screened(first, sketches, limit))
     wanted = mates.select(F.col("c").alias("doc_id")).distinct()
     sets = cut_lineage(full_sets(docs.join(wanted, "doc_id", "left_semi"), size))
     links = cut_lineage(confirmed(first, sets, percent))
@@ -158,11 +164,13 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, size: int = 5, ro
     own = mates.join(of, "c", "left").withColumn("own", F.coalesce("own", "c"))
     centre_of = label.select(F.col("node").alias("centre"), F.col("component").alias("theirs"))
     own = cut_lineage(own.join(centre_of, "centre", "left").withColumn("theirs", F.coalesce("theirs", "centre")))
-    apart = own.where("own <> theirs").select("bucket", F.col("c").alias("a"), F.col("own").alias("own_a"), F.col("sketch").alias("sketch_a"))
-    rest = own.select("bucket", F.col("c").alias("b"), F.col("own").alias("own_b"), F.col("theirs"), F.col("centre"), F.col("sketch").alias("sketch_b"))
+    apart = own.where("own <> theirs").select("bucket", F.col("c").alias("a"), F.col("own").alias("own_a"))
+    rest = own.where("c <> centre").select("bucket", F.col("c").alias("b"), F.col("own").alias("own_b"), "theirs")
+    rest = rest.join(sketches.select(F.col("c").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    apart = apart.join(sketches.select(F.col("c").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     new = apart.join(rest, "bucket").where(
-        (F.col("own_a") != F.col("own_b")) & (F.col("b") != F.col("centre"))
-        & ((F.col("own_b") == F.col("theirs")) | (F.col("b") < F.col("a"))) & (_differing("sketch_a", "sketch_b") <= limit)
+        (F.col("own_a") != F.col("own_b")) & ((F.col("own_b") == F.col("theirs")) | (F.col("b") < F.col("a")))
+        & (_differing("sketch_a", "sketch_b") <= limit)
     )
     second = cut_lineage(new.select("a", "b").distinct())
     more = confirmed(second, sets, percent)
