@@ -4,9 +4,10 @@
   form one class; only classes are compared, so a group of copies costs one row however large it is.
 * Every class has ``bands * rows`` MinHash samples. Each band of ``rows`` samples is a bucket key; ``bands_for`` gives
   the number of bands at which a pair at the threshold is missed with a chance of at most ``miss``.
-* The same samples are folded into an odd sketch: sample i with value v flips bit hash(i, v). Equal samples cancel in
-  the XOR of two sketches, so its population count estimates the share of differing samples, most precisely where the
-  similarity is high. Bucket mates whose count is over ``sketch_limit`` are dropped before any set is fetched.
+* Classes that share a bucket get an odd sketch of ``SAMPLES`` further samples: sample i with value v flips the bit
+  hash(i, v). Equal samples cancel in the XOR of two sketches, so its population count estimates the share of differing
+  samples, most precisely where the similarity is high. Pairs whose count is over ``sketch_limit`` are dropped before
+  any set is fetched.
 * Links are confirmed on the full sets. No group's pairs are all emitted: first each bucket member is held against the
   smallest of its bucket; then members that ended in another component than it are held against the bucket's members
   outside their own component. What shares a component by then needs no further check, so no link between components
@@ -33,7 +34,8 @@ from .components import components
 from .frames import by_batch
 
 ROWS = 8
-SKETCH_WORDS = 8
+SAMPLES = 1024
+SKETCH_WORDS = 32
 SKETCH_BITS = 64 * SKETCH_WORDS
 
 
@@ -42,7 +44,7 @@ def bands_for(percent: int, rows: int = ROWS, miss: float = 1e-5) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
 
-def sketch_limit(percent: int, samples: int, sigmas: float = 6.0) -> int:
+def sketch_limit(percent: int, samples: int = SAMPLES, sigmas: float = 4.5) -> int:
     """Bits that two sketches at the threshold similarity differ in, plus ``sigmas`` standard deviations."""
     q = 1 - percent / 100
     flips = 2 * samples * q
@@ -67,8 +69,32 @@ def shingle_sets(block: tb.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, tb.sequence_hashes(found.hash, first, first + np.repeat(np.minimum(counts, size), n))
 
 
+def least_samples(starts: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """samples x rows: MinHash samples of the rows with shingles."""
+    some = np.flatnonzero(np.diff(starts))
+    out = np.empty((len(times), len(some)), np.uint64)
+    for k in range(len(times)) if len(some) else ():
+        np.minimum.reduceat(hashes * times[k], starts[some], out=out[k])
+    return out
+
+
+def folded(least: np.ndarray) -> np.ndarray:
+    """rows x SKETCH_WORDS: the samples as an odd sketch."""
+    rows = np.arange(least.shape[1])
+    flips = np.zeros((least.shape[1], SKETCH_BITS), np.uint8)
+    for k, sample in enumerate(least):
+        flips[rows, (tb.mixed(sample + np.uint64(k)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)] ^= 1
+    return np.packbits(flips, axis=1, bitorder="little").view(np.int64)
+
+
+def _lists(values: np.ndarray, some: np.ndarray) -> pa.ListArray:
+    """The rows of ``values`` as lists where ``some`` is true, empty lists elsewhere."""
+    at = np.concatenate([[0], np.cumsum(some * values.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(values).reshape(-1).view(np.int64)))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int = ROWS, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (sums over the set's hashes), bands and sketch of every row."""
+    """doc_id, n_shingles, set_a and set_b (sums over the set's hashes) and bucket keys of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -80,42 +106,36 @@ def signatures(docs: DataFrame, bands: int, rows: int = ROWS, size: int = 5) ->
             for i in range(n):
                 own = np.unique(hashes[starts[i] : starts[i + 1]])
                 distinct[i], a[i], b[i] = len(own), own.sum(dtype=np.uint64), tb.mixed(own).sum(dtype=np.uint64)
-            some = np.flatnonzero(np.diff(starts))
-            least = np.empty((bands * rows, len(some)), np.uint64)
-            for k in range(bands * rows) if len(some) else ():
-                np.minimum.reduceat(hashes * times[k], starts[some], out=least[k])
-            places = (tb.mixed(least + np.arange(bands * rows, dtype=np.uint64)[:, None]) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-            flips = np.zeros((len(some), SKETCH_BITS), np.uint8)
-            for row in places:
-                flips[np.arange(len(some)), row] ^= 1
-            sketch = np.packbits(flips, axis=1, bitorder="little").view(np.int64)
-            keys = np.zeros((bands, len(some)), np.uint64)
+            least = least_samples(starts, hashes, times)
+            keys = np.zeros((bands, least.shape[1]), np.uint64)
             for k in range(bands * rows):
                 keys[k // rows] = tb.mixed(keys[k // rows] + least[k] + np.uint64(k + 1))
-            at = np.zeros(n + 1, np.int32)
-            at[1:] = np.cumsum(np.diff(starts) > 0)
-            arrays = (pa.ListArray.from_arrays(pa.array(at * w), pa.array(np.ascontiguousarray(v).reshape(-1).view(np.int64))) for w, v in ((bands, keys.T), (SKETCH_WORDS, sketch)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(block.first, n), pa.array(distinct), pa.array(tb.signed(a)), pa.array(tb.signed(b)), *arrays],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [batch.column("doc_id").slice(block.first, n), pa.array(distinct), pa.array(tb.signed(a)), pa.array(tb.signed(b)), _lists(keys.T, distinct > 0)],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
             )
 
-    return by_batch(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>")
+    return by_batch(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, shingles): the distinct shingle hashes of every row."""
+    """(doc_id, shingles, sketch): the distinct shingle hashes of every row, and their odd sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        times = _multipliers(2 * SAMPLES)[SAMPLES:]  # none of the bands' samples
         for block in tb.blocks(batch.column("text")):
             starts, hashes = shingle_sets(block, size)
             sets = [np.unique(hashes[starts[i] : starts[i + 1]]) for i in range(block.rows)]
+            sketch = folded(least_samples(starts, hashes, times))
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.rows), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(block.first, block.rows), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), _lists(sketch, np.diff(starts) > 0)],
+                ["doc_id", "shingles", "sketch"],
+            )
 
-    return by_batch(docs.select("doc_id", "text"), work, f"doc_id {kind}, shingles array<bigint>")
+    return by_batch(docs.select("doc_id", "text"), work, f"doc_id {kind}, shingles array<bigint>, sketch array<bigint>")
 
 
 def _differing(x: str, y: str) -> Column:
@@ -141,21 +161,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, percent: int = 80, size: int = 5, rows: int = ROWS, miss: float = 1e-5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row: kept where doc_id is its component's smallest."""
     bands = bands_for(percent, rows, miss)
-    limit = sketch_limit(percent, bands * rows)
+    limit = sketch_limit(percent)
     scanned = cut_lineage(signatures(docs, bands, rows, size))
     key = ["n_shingles", "set_a", "set_b"]
     named = scanned.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy(*key).agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = named.groupBy(*key).agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"))
     classes = cut_lineage(classes)
     members = classes.select("c", F.explode("bands").alias("bucket"))
-    sketches = classes.select("c", "sketch")
     # a bucket of one class says nothing; the smallest class of a bucket is its centre
     shared = members.groupBy("bucket").agg(F.min("c").alias("centre"), F.max("c").alias("last")).where("centre <> last").drop("last")
     mates = cut_lineage(members.join(shared, "bucket"))
     first = mates.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct()
-    first = cut_lineage(_screened(first, sketches, limit))
     wanted = mates.select(F.col("c").alias("doc_id")).distinct()
     sets = cut_lineage(full_sets(docs.join(wanted, "doc_id", "left_semi"), size))
+    sketches = sets.select("doc_id", "sketch")
+    first = _screened(first, sketches, limit)
     links = cut_lineage(confirmed(first, sets, percent))
     label = components(links)
 
@@ -166,8 +186,8 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, size: int = 5, ro
     own = cut_lineage(own.join(centre_of, "centre", "left").withColumn("theirs", F.coalesce("theirs", "centre")))
     apart = own.where("own <> theirs").select("bucket", F.col("c").alias("a"), F.col("own").alias("own_a"))
     rest = own.where("c <> centre").select("bucket", F.col("c").alias("b"), F.col("own").alias("own_b"), "theirs")
-    rest = rest.join(sketches.select(F.col("c").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    apart = apart.join(sketches.select(F.col("c").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    rest = rest.join(sketches.toDF("b", "sketch_b"), "b")
+    apart = apart.join(sketches.toDF("a", "sketch_a"), "a")
     new = apart.join(rest, "bucket").where(
         (F.col("own_a") != F.col("own_b")) & ((F.col("own_b") == F.col("theirs")) | (F.col("b") < F.col("a")))
         & (_differing("sketch_a", "sketch_b") <= limit)

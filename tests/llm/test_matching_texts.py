@@ -48,7 +48,22 @@ def test_near_duplicate_chains_link_through_every_member(spark):
 
 def test_odd_sketch_limit_and_bands():
     assert near_duplicates.bands_for(85) == 37 and near_duplicates.bands_for(80) == 63
-    assert near_duplicates.sketch_limit(85, 296) < near_duplicates.SKETCH_BITS / 2
+    assert near_duplicates.sketch_limit(80) < near_duplicates.SKETCH_BITS / 2
+
+
+def test_odd_sketches_estimate_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**63, 850).astype(np.uint64)
+    sets = [np.concatenate([common, rng.integers(0, 2**63, 75).astype(np.uint64)]) for _ in range(2)]
+    starts = np.array([0, 925, 1850])
+    least = near_duplicates.least_samples(starts, np.concatenate(sets), near_duplicates._multipliers(near_duplicates.SAMPLES))
+    a, b = near_duplicates.folded(least)
+    differing = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+    bits = near_duplicates.SKETCH_BITS
+    estimate = 1 + bits / 4 / near_duplicates.SAMPLES * np.log(1 - 2 * differing / bits)
+    assert abs(estimate - 0.85) < 0.07 and differing <= near_duplicates.sketch_limit(85)
 
 
 def test_substrings_equal_brute_force(docs, documents, no_docs):
