@@ -42,7 +42,8 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_duplicates.line_report(table(spark, folder, "documents"))
+    found = line_duplicates.line_report(table(spark, folder, "documents"))
+    return found.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
 
 
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
