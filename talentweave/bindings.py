@@ -8,12 +8,11 @@ from pyspark.sql.types import StructType
 
 from .functions.fields import behaviour_level
 from .operators.interactions import jobs_with_behaviour, leave_last_out, restrict_to_known
-from .operators.ordering import top_per_group
 from .plans.experiments import Bundle
 from .session import cut_lineage
 
 AS_OF_YEAR = 2024
-FIRST_VIEWS = 3
+MIN_VIEWS = 2
 
 
 _schemas: dict[str, StructType] = {}
@@ -70,18 +69,19 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
-    """Profiles of the users with behaviour; skills and desired types come from the first three viewed jobs."""
+    """Profiles of the users with behaviour: the skills and types met in at least two of all the jobs a user viewed."""
     behaviour = levels(spark, folder)
-    viewed = behaviour.where(F.col("level") == 1).select("user_id", "job_id", "row_index")
-    first = top_per_group(viewed, ["user_id"], [F.asc("row_index")], FIRST_VIEWS, "_n")
-    # at most three viewed jobs per user are gathered here
-    learnt = (
-        first.join(all_jobs(spark, folder).select("job_id", "skills", "job_type"), "job_id")
-        .groupBy("user_id")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("skills")))).alias("_skills"),
-            F.array_sort(F.collect_set("job_type")).alias("_types"),
-        )
+    viewed = behaviour.where(F.col("level") == 1).select("user_id", "job_id").distinct()
+    met = viewed.join(all_jobs(spark, folder).select("job_id", "skills", "job_type"), "job_id")
+    values = met.select("user_id", F.explode(F.concat(
+        F.transform("skills", lambda s: F.struct(F.lit(True).alias("is_skill"), s.alias("value"))),
+        F.array(F.struct(F.lit(False).alias("is_skill"), F.col("job_type").alias("value"))),
+    )).alias("v")).select("user_id", "v.*")
+    # a job holds a value once, so rows are jobs
+    often = values.groupBy("user_id", "is_skill", "value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_VIEWS)
+    learnt = often.groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_skill"), F.col("value")))).alias("_skills"),
+        F.array_sort(F.collect_list(F.when(~F.col("is_skill"), F.col("value")))).alias("_types"),
     )
     none = F.array().cast("array<string>")
     people = table(spark, folder, "customer").withColumnRenamed("c_custkey", "user_id")

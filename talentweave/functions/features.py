@@ -30,10 +30,14 @@ FEATURE_NAMES = [
     "job_type_match",
     "skill_path_count_log1p",
 ]
-PATH_LIMIT = 10
 # ---------------------------------------------------------------------------------------------
 
 
+def head(values: Column, limit: int | None) -> Column:
+    """The first ``limit`` values, or all of them."""
+    return values if limit is None else F.slice(values, 1, limit)
+
+
 def flag(condition: Column) -> Column:
     """1.0 / 0.0; NULL counts as no."""
     return F.when(condition, 1.0).otherwise(0.0)
@@ -99,11 +103,11 @@ def pair_features_v2() -> list[Column]:
     ]
 
 
-def path_and_gap(limit: int = PATH_LIMIT) -> list[Column]:
-    """First shared and first missing skills of the pair, in job order."""
+def path_and_gap(limit: int | None = None) -> list[Column]:
+    """Shared and missing skills of the pair, in job order."""
     return [
-        F.slice(shared_skills(F.col("skills"), F.col("job_skills")), 1, limit).alias("path_skills"),
-        F.slice(gap_skills(F.col("skills"), F.col("job_skills")), 1, limit).alias("gap_skills"),
+        head(shared_skills(F.col("skills"), F.col("job_skills")), limit).alias("path_skills"),
+        head(gap_skills(F.col("skills"), F.col("job_skills")), limit).alias("gap_skills"),
     ]
 
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import FEATURE_NAMES, flag, gap_skills, pair_features_v1, rule_score_v1, shared_skills
+from ..functions.features import FEATURE_NAMES, flag, gap_skills, head, pair_features_v1, rule_score_v1, shared_skills
 from ..functions.text import escape_html, strip
 from ..session import broadcast_if_small
 from .propagation import path_attention
 
 # ---- fixed values ---------------------------------------------------------------------------
-MATCHED_LIMIT, MISSING_LIMIT, PATHS_LIMIT = 20, 20, 5
-PATH_SKILLS, GAP_SKILLS, SUBGRAPH_GAPS = 10, 12, 8
 SCHEMA_VERSION = "local_kg_v1"
 REASONS_V1 = {
     "coverage": "技能覆盖度 ",
@@ -51,8 +49,8 @@ def first_generation_evidence(pairs: DataFrame, include_explanations: bool = Tru
     scored = features.withColumn("rule_score", rule_score_v1())
     rounded = {n: F.round(F.col(n), 6) for n in FEATURE_NAMES}
     feature_map = F.create_map(*[x for n in FEATURE_NAMES for x in (F.lit(n), rounded[n])])
-    matched = F.slice(F.array_sort(F.array_distinct(shared_skills(F.col("skills"), F.col("job_skills")))), 1, MATCHED_LIMIT)
-    missing = F.slice(F.array_sort(gap_skills(F.col("skills"), F.col("job_skills"))), 1, MISSING_LIMIT)
+    matched = F.array_sort(F.array_distinct(shared_skills(F.col("skills"), F.col("job_skills"))))
+    missing = F.array_sort(gap_skills(F.col("skills"), F.col("job_skills")))
     reasons = _present(
         F.when(rounded[FEATURE_NAMES[0]] > 0, F.concat(F.lit(REASONS_V1["coverage"]), F.format_string("%.2f", rounded[FEATURE_NAMES[0]]))),
         *[F.when(rounded[n] >= 1.0, REASONS_V1[n]) for n in ("city_match", "education_match", "experience_match", "job_type_match")],
@@ -61,7 +59,7 @@ def first_generation_evidence(pairs: DataFrame, include_explanations: bool = Tru
     out = scored.withColumn("feature_evidence", feature_map).withColumn("matched_skills", matched).withColumn("missing_skills", missing)
     out = out.withColumn(
         "graph_paths",
-        _paths(F.col("user_id").cast("string"), F.col("job_id").cast("string"), F.slice("matched_skills", 1, PATHS_LIMIT)),
+        _paths(F.col("user_id").cast("string"), F.col("job_id").cast("string"), F.col("matched_skills")),
     ).withColumn("reasons", reasons)
     if not include_explanations:
         nothing = F.array().cast("array<string>")
@@ -72,10 +70,9 @@ def first_generation_evidence(pairs: DataFrame, include_explanations: bool = Tru
 def second_generation_evidence(pairs: DataFrame, logits: DataFrame) -> DataFrame:
     """Matched skills with attention weights, missing skills, reasons and weighted paths.
 
-    ``pairs`` is profile-joined and carries ``score``; ``logits`` (job_id, skill, logit). Coverage in the
-    reasons counts shared skills after the cut to ten.
+    ``pairs`` is profile-joined and carries ``score``; ``logits`` (job_id, skill, logit).
     """
-    shared = F.slice(shared_skills(F.col("skills"), F.col("job_skills")), 1, PATH_SKILLS)
+    shared = shared_skills(F.col("skills"), F.col("job_skills"))
     attended = path_attention(pairs.withColumn("path_skills", shared), logits)
     matched = F.transform(
         F.array_sort(F.transform("attention", lambda e: F.struct((-e["weight"]).alias("w"), e["skill"].alias("skill")))),
@@ -92,11 +89,11 @@ def second_generation_evidence(pairs: DataFrame, logits: DataFrame) -> DataFrame
         F.when(F.array_contains("desired_types", F.col("job_job_type")), REASONS_V2["type"]),
     )
     out = attended.withColumn("matched_skills", matched).withColumn("reasons", reasons).withColumn(
-        "missing_skills", F.slice(gap_skills(F.col("skills"), F.col("job_skills")), 1, GAP_SKILLS)
+        "missing_skills", gap_skills(F.col("skills"), F.col("job_skills"))
     )
     user, job = F.col("user_id").cast("string"), F.col("job_id").cast("string")
     paths = F.transform(
-        F.slice("matched_skills", 1, PATHS_LIMIT),
+        "matched_skills",
         lambda s: F.concat(
             F.lit("Candidate:"), user, F.lit(" -HAS_SKILL("), s["weight"].cast("string"), F.lit(")-> Skill:"), s["skill"],
             F.lit(" <-REQUIRES_SKILL- Job:"), job,
@@ -127,7 +124,7 @@ def _edge(source: Column, target: Column, relation: str, attrs: Column | None =
     )
 
 
-def local_subgraph(evidence: DataFrame, max_missing: int = SUBGRAPH_GAPS) -> DataFrame:
+def local_subgraph(evidence: DataFrame, max_missing: int | None = None) -> DataFrame:
     """Add ``local_subgraph``: the pair, its matched and missing skills, and city and type context.
 
     Skill order follows the evidence; city and type nodes come in value order.
@@ -135,8 +132,7 @@ def local_subgraph(evidence: DataFrame, max_missing: int = SUBGRAPH_GAPS) -> Dat
     user, job = F.col("user_id").cast("string"), F.col("job_id").cast("string")
     me, post = F.concat(F.lit("candidate:"), user), F.concat(F.lit("job:"), job)
     score = F.round("score", 4)
-    matched = F.slice("matched_skills", 1, PATH_SKILLS)
-    missing = F.slice("missing_skills", 1, max_missing)
+    matched, missing = F.col("matched_skills"), head(F.col("missing_skills"), max_missing)
     live, at, kind = F.col("live_city").cast("string"), F.col("job_city").cast("string"), F.col("job_job_type")
     wanted_cities, wanted_types = F.col("desired_cities").cast("array<string>"), F.col("desired_types")
 
@@ -205,15 +201,15 @@ def allowed_terms() -> Column:
     return F.array_union(F.col("matched_skills.skill"), F.col("missing_skills"))
 
 
-def template_text() -> Column:
-    """Deterministic explanation of the pair."""
-    top = F.array_join(F.slice(F.col("matched_skills.skill"), 1, 4), "、")
+def template_text(max_matched: int | None = None, max_reasons: int | None = None, max_missing: int | None = None) -> Column:
+    """Deterministic explanation of the pair; each list can be shortened for display."""
+    top = F.array_join(head(F.col("matched_skills.skill"), max_matched), "、")
     return F.concat(
         F.lit("推荐岗位「"), F.col("job_title"), F.lit("」:你的技能 "),
         F.coalesce(F.nullif(top, F.lit("")), F.lit("(无直接技能重叠)")), F.lit(" 与该岗位要求匹配。"),
-        F.when(F.size("reasons") > 0, F.concat(F.lit("匹配依据:"), F.array_join(F.slice("reasons", 1, 3), ";"), F.lit("。"))).otherwise(""),
+        F.when(F.size("reasons") > 0, F.concat(F.lit("匹配依据:"), F.array_join(head(F.col("reasons"), max_reasons), ";"), F.lit("。"))).otherwise(""),
         F.when(F.size("missing_skills") > 0,
-               F.concat(F.lit("建议补充技能:"), F.array_join(F.slice("missing_skills", 1, 5), "、"), F.lit("。"))).otherwise(""),
+               F.concat(F.lit("建议补充技能:"), F.array_join(head(F.col("missing_skills"), max_missing), "、"), F.lit("。"))).otherwise(""),
     )
 
 

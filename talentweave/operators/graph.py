@@ -37,7 +37,6 @@ JOB_RELATIONS = [
     ("BELONGS_TO_JOB_TYPE", "jd_sub_type", "job_type"),
     ("REQUIRES_DEGREE", "min_edu_level", "degree"),
 ]
-USER_SKILL_LIMIT, JOB_SKILL_LIMIT = 60, 40
 STAT_ITEMS = {"city": "cities", "industry": "industries", "job_type": "job_types", "degree": "degrees",
               "company": "companies", "skill": "skills"}
 # ---------------------------------------------------------------------------------------------
@@ -141,12 +140,12 @@ def attribute_edges(cells: DataFrame, source_type: str, key: str, relations: lis
     return _edges(_multi_values(cells, key, relations), source_type, key, evidence, F.lit(1.0))
 
 
-def user_skills(cells: DataFrame, limit: int | None = USER_SKILL_LIMIT) -> DataFrame:
+def user_skills(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """(user_id, value) skill rows of the experience field."""
     return cells.select("user_id", F.explode(extract_skill_tokens(F.col("experience"), limit)).alias("value"))
 
 
-def job_skills(cells: DataFrame, limit: int | None = JOB_SKILL_LIMIT) -> DataFrame:
+def job_skills(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """(job_id, value) skill rows of title and description."""
     text = F.concat("jd_title", F.lit("\n"), "job_description")
     return cells.select("job_id", F.explode(extract_skill_tokens(text, limit)).alias("value"))
@@ -217,7 +216,7 @@ def edge_table(user_rows: DataFrame, job_rows: DataFrame, u_skills: DataFrame, j
 
 def build_graph(
     users: DataFrame, jobs: DataFrame, actions: DataFrame, min_skill_freq: int = 1,
-    user_skill_limit: int | None = USER_SKILL_LIMIT, job_skill_limit: int | None = JOB_SKILL_LIMIT,
+    user_skill_limit: int | None = None, job_skill_limit: int | None = None,
     prune_dangling: bool = False, parts: tuple[str, ...] = ("nodes", "edges", "stats"),
 ) -> dict[str, DataFrame]:
     """The asked ``parts`` of ``nodes``, ``edges`` and ``stats`` from the three raw tables.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_text
 from ..session import broadcast_if_small, cut_lineage, spread
-from .topk import blocked_topk, sparse_product, term_key
+from .ordering import top_per_group
+from .topk import SCORE_DIGITS, blocked_topk, sparse_product
 
 # ---- fixed values ---------------------------------------------------------------------------
 K1, B = 1.5, 0.75
@@ -26,8 +26,8 @@ TEXT_BLOCK_ROWS = 2048
 
 
 def tokens_table(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, tokens), written once: the branches below would otherwise tokenize every text again."""
-    return cut_lineage(spread(df, id_col).select(F.col(id_col).alias("id"), tokens.alias("tokens")))
+    """(id, tokens) of a text table."""
+    return spread(df, id_col).select(F.col(id_col).alias("id"), tokens.alias("tokens"))
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -43,6 +43,14 @@ def corpus_statistics(tokens: DataFrame) -> DataFrame:
     )
 
 
+def term_statistics(tokens: DataFrame) -> DataFrame:
+    """(term, df, tf): documents with the term and its occurrences; only sums per term are shuffled."""
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t")))
+    each = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t")))
+    rows = tokens.select(F.inline(F.concat(once, each)))
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("tf"))
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     """(term, df)."""
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -83,26 +91,22 @@ def _vectors(ids: DataFrame, entries: DataFrame) -> DataFrame:
 
 def bm25_rankings(
     queries: DataFrame, documents: DataFrame, topn: int, exclude: DataFrame | None = None, k1: float = K1,
-    b: float = B, min_score: float | None = None, item_block_rows: int = TEXT_BLOCK_ROWS,
+    b: float = B,
 ) -> DataFrame:
-    """(user_id, job_id, score, rank) from two token tables (id, tokens).
+    """(user_id, job_id, score, rank) from two token tables (id, tokens): the ``topn`` best with a common term.
 
     A repeated query term counts as often as it occurs; pass distinct tokens for the variant in which
-    neither side counts repeats.
+    neither side counts repeats. Query terms meet the postings on the term itself, a frequent term's postings are split
+    by the engine's skew join, and a document's partial scores are summed before and after the shuffle. Scores are
+    compared to 9 digits, so that equal texts tie and go by id.
     """
-    query_terms = term_counts(queries).select("id", "term", F.col("tf").cast("double").alias("weight"))
-    postings = bm25_postings(documents, query_terms, k1, b)
-    keyed = [F.col("id"), term_key(F.col("term")).alias("key"), F.col("weight")]
-    return blocked_topk(
-        _vectors(queries, query_terms.select(*keyed)),
-        _vectors(documents, postings.select(*keyed)),
-        topn,
-        sparse_product,
-        exclude,
-        item_block_rows=item_block_rows,
-        min_score=min_score,
-        sizes=(queries.count(), documents.count()),
-    )
+    asked = cut_lineage(term_counts(queries).select("id", "term", F.col("tf").cast("double").alias("times")))
+    postings = bm25_postings(documents, asked, k1, b).withColumnRenamed("id", "job_id")
+    met = asked.withColumnRenamed("id", "user_id").join(postings, "term")
+    scored = met.groupBy("user_id", "job_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), SCORE_DIGITS).alias("score"))
+    if exclude is not None:
+        scored = scored.join(exclude.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
+    return top_per_group(scored.where("score > 0"), ["user_id"], [F.desc("score"), F.asc("job_id")], topn)
 
 
 def job_document(title: Column, text: Column) -> Column:
@@ -111,7 +115,7 @@ def job_document(title: Column, text: Column) -> Column:
 
 
 def bm25_rankings_v1(users: DataFrame, jobs: DataFrame, topn: int, exclude: DataFrame | None = None,
-                     query_tokens: int | None = 220, document_tokens: int | None = 500) -> DataFrame:
+                     query_tokens: int | None = None, document_tokens: int | None = None) -> DataFrame:
     """First-generation BM25: distinct tokens on both sides, so every term frequency is 1."""
     queries = tokens_table(users, "user_id", tokenize_text(F.col("text"), query_tokens))
     documents = tokens_table(jobs, "job_id", tokenize_text(F.col("text"), document_tokens))
@@ -129,31 +133,18 @@ def bm25_rankings_v2(users: DataFrame, jobs: DataFrame, topn: int, exclude: Data
 # Hashed TF-IDF --------------------------------------------------------------------------------
 
 
-def _hash_terms(dim: int):
-    """Bucket and sign of a term: both come from one 64-bit little-endian digest."""
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = [
-                int.from_bytes(hashlib.blake2b(t.encode("utf-8"), digest_size=8).digest(), "little") for t in batch["term"]
-            ]
-            yield batch.assign(
-                bucket=[v % dim for v in values], sign=[1.0 if v % 2 == 0 else -1.0 for v in values]
-            )
-
-    return hashed
-
-
-def hash_buckets(terms: DataFrame, dim: int = HASH_DIM) -> DataFrame:
-    """(term, bucket, sign) for distinct terms: Python sees each term once, never a posting."""
-    return terms.select("term").distinct().mapInPandas(_hash_terms(dim), "term string, bucket long, sign double")
+def hash_bucket(term: Column, dim: int = HASH_DIM) -> tuple[Column, Column]:
+    """Bucket and sign of a term: both come from the first 15 hex digits of its MD5 sum."""
+    value = F.conv(F.substring(F.md5(term), 1, 15), 16, 10).cast("long")
+    return value % dim, F.when(value % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def hashed_vectors(tokens: DataFrame, idf: DataFrame, buckets: DataFrame) -> DataFrame:
+def hashed_vectors(tokens: DataFrame, idf: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     """(id, keys, weights): signed TF-IDF sums per bucket, L2-normalized; unseen terms weigh 1."""
+    bucket, sign = hash_bucket(F.col("term"), dim)
     entries = (
         term_counts(tokens)
-        .join(buckets, "term")
+        .withColumns({"bucket": bucket, "sign": sign})
         .join(idf, "term", "left")
         .groupBy("id", "bucket")
         .agg(F.sum(F.col("sign") * F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("value"))
@@ -166,14 +157,13 @@ def hashed_vectors(tokens: DataFrame, idf: DataFrame, buckets: DataFrame) -> Dat
 def hashed_rankings(queries: DataFrame, documents: DataFrame, topn: int, exclude: DataFrame | None = None,
                     dim: int = HASH_DIM, item_block_rows: int = TEXT_BLOCK_ROWS) -> DataFrame:
     """Cosine of hashed TF-IDF vectors, from two token tables."""
+    queries, documents = cut_lineage(queries), cut_lineage(documents)
     frequency = document_frequency(documents.select("id", F.explode(F.array_distinct("tokens")).alias("term")))
     n = documents.agg(F.count(F.lit(1)).alias("n"))
     idf = frequency.select("term", F.log(1.0 + n.scalar() / (1.0 + F.col("df"))).alias("idf"))
-    terms = documents.union(queries).select(F.explode("tokens").alias("term"))
-    buckets = cut_lineage(hash_buckets(terms, dim))
     return blocked_topk(
-        hashed_vectors(queries, idf, buckets),
-        hashed_vectors(documents, idf, buckets),
+        hashed_vectors(queries, idf, dim),
+        hashed_vectors(documents, idf, dim),
         topn,
         sparse_product,
         exclude,

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dense import dense_rankings
-from .ordering import exploded_range, global_position, position_in_group, top_per_group
+from .ordering import exploded_range, global_position, position_in_group
+
+
+def seeded(*keys: str, seed: int) -> Column:
+    """A number from 0 to 2**60 - 1 drawn from the keys' text: the first 15 hex digits of an MD5 sum."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *keys, F.lit(seed))), 1, 15), 16, 10).cast("long")
 
 
 def shuffled_catalogue(jobs: DataFrame, seed: int, bucket: list[str] | None = None) -> DataFrame:
     """Catalogue with a seeded random place: global, or inside each bucket together with the bucket size."""
-    keyed = jobs.select("job_id", *(bucket or [])).withColumn("_mix", F.xxhash64("job_id", F.lit(seed)))
+    keyed = jobs.select("job_id", *(bucket or [])).withColumn("_mix", seeded("job_id", seed=seed))
     if not bucket:
         return global_position(keyed, ["_mix", "job_id"], "place").drop("_mix")
     placed = position_in_group(keyed, bucket, ["_mix", "job_id"], "place").drop("_mix")
@@ -20,7 +25,7 @@ def shuffled_catalogue(jobs: DataFrame, seed: int, bucket: list[str] | None = No
 
 
 def _start(seed: int, size: Column, *keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), size)
+    return F.pmod(seeded(*keys, seed=seed), size)
 
 
 def uniform_negatives(pairs: DataFrame, jobs: DataFrame, known: DataFrame, per_pair: int, seed: int) -> DataFrame:
@@ -62,44 +67,36 @@ def sampled_pool(users: DataFrame, jobs: DataFrame, known: DataFrame, n: int, se
 
 
 def semantic_negatives(
-    user_vectors: DataFrame, job_vectors: DataFrame, seen: DataFrame, top: int = 200, slack: int = 50, **blocks: int
+    user_vectors: DataFrame, job_vectors: DataFrame, seen: DataFrame, top: int = 200, **blocks: int
 ) -> DataFrame:
-    """(user_id, job_id, rank): most similar jobs the user never touched.
-
-    Reads the best ``top + slack`` jobs, drops the seen ones, keeps the first ``top``.
-    """
-    nearest = dense_rankings(user_vectors, job_vectors, top + slack, None, **blocks)
-    untouched = nearest.drop("rank").join(seen.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
-    return top_per_group(untouched, ["user_id"], [F.desc("score"), F.asc("job_id")], top)
+    """(user_id, job_id, score, rank): the ``top`` most similar jobs the user never touched, however many it has seen."""
+    return dense_rankings(user_vectors, job_vectors, top, seen, **blocks)
 
 
 def structural_negatives(
-    pairs: DataFrame, jobs: DataFrame, known: DataFrame, seed: int, tries: int = 5, bucket: tuple[str, ...] = ("job_type", "city")
+    pairs: DataFrame, jobs: DataFrame, known: DataFrame, seed: int, bucket: tuple[str, ...] = ("job_type", "city")
 ) -> DataFrame:
     """(user_id, job_id, negative_id): one job of the same type and city as the positive, not a known positive.
 
-    Each pair draws ``tries`` places of its bucket and keeps the first that is no known positive; a pair
-    whose draws all fail yields no row. The draws meet the bucket on (bucket, place), so a bucket holding
-    a third of all jobs is never paired with all its positives.
+    Each pair reads a run of its bucket's shuffled places from a random start. A run of as many places as the user knows
+    jobs in the bucket, plus one, holds a free job if there is one; a pair whose user knows the whole bucket has a NULL
+    ``negative_id``. Places meet the bucket on (bucket, place), so a bucket holding a third of all jobs is never paired
+    with all its positives.
     """
     keys = list(bucket)
     placed = shuffled_catalogue(jobs, seed, keys)
-    sizes = placed.select("job_id", *keys, "size").where(F.col("size") > 1)
-    draws = (
-        pairs.select("user_id", "job_id")
-        .distinct()
-        .join(sizes, "job_id")
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-        .withColumn("place", F.pmod(F.xxhash64("user_id", "job_id", "draw", F.lit(seed)), F.col("size")))
-    )
+    sizes = placed.select("job_id", *keys, "size")
+    blocked = known.select("user_id", "job_id").distinct()
+    taken = blocked.join(placed.select("job_id", *keys), "job_id").groupBy("user_id", *keys).agg(F.count(F.lit(1)).alias("_taken"))
+    asked = pairs.select("user_id", "job_id").distinct().join(sizes, "job_id").join(taken, ["user_id", *keys], "left").fillna(0, ["_taken"])
+    draws = exploded_range(asked, F.least(F.col("size"), F.col("_taken") + 1), "draw")
+    draws = draws.withColumn("place", F.pmod(seeded("user_id", "job_id", seed=seed) + F.col("draw"), F.col("size")))
     members = placed.select(*keys, "place", F.col("job_id").alias("negative_id"))
-    drawn = draws.join(members, [*keys, "place"])
-    blocked = known.select("user_id", F.col("job_id").alias("negative_id"))
-    return (
-        drawn.join(blocked, ["user_id", "negative_id"], "left_anti")
-        .groupBy("user_id", "job_id")
-        .agg(F.min_by("negative_id", "draw").alias("negative_id"))
+    free = draws.join(members, [*keys, "place"]).join(
+        blocked.select("user_id", F.col("job_id").alias("negative_id")), ["user_id", "negative_id"], "left_anti"
     )
+    first = free.groupBy("user_id", "job_id").agg(F.min_by("negative_id", "draw").alias("negative_id"))
+    return asked.select("user_id", "job_id").join(first, ["user_id", "job_id"], "left")
 
 
 def mixed_negatives(
@@ -111,11 +108,11 @@ def mixed_negatives(
     one under 0.7 a structural one, the rest a uniform one; a source that has nothing falls through.
     """
     rolls = uniform.join(pairs.select("user_id", "job_id").distinct(), ["user_id", "job_id"], "left_semi").withColumn(
-        "_roll", F.pmod(F.xxhash64("user_id", "job_id", "draw", F.lit(epoch), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+        "_roll", F.pmod(seeded("user_id", "job_id", "draw", seed=seed + epoch), F.lit(1_000_000)) / 1_000_000.0
     )
     sizes = semantic.groupBy("user_id").agg(F.max("rank").alias("_n"))
     picked = rolls.join(sizes, "user_id", "left").withColumn(
-        "_rank", F.pmod(F.xxhash64("user_id", "job_id", "draw", F.lit(seed + 1)), F.col("_n")) + 1
+        "_rank", F.pmod(seeded("user_id", "job_id", "draw", seed=seed - 1), F.col("_n")) + 1
     )
     by_rank = semantic.select("user_id", F.col("rank").cast("long").alias("_rank"), F.col("job_id").alias("_semantic"))
     same_bucket = structural.select("user_id", "job_id", F.col("negative_id").alias("_structural"))

@@ -21,6 +21,12 @@ from .scoring import two_stage
 RECALL_K = 500
 
 
+def _int_id(name: str) -> Column:
+    """ALS takes 32-bit ids; a larger one must not wrap around silently."""
+    fits = F.col(name) < (1 << 31)
+    return F.when(fits, F.col(name).cast("int")).otherwise(F.raise_error(F.lit("more users or jobs than ALS can number"))).alias(name)
+
+
 def als_factors(
     pairs: DataFrame, rank: int = 32, iterations: int = 10, regularization: float = 0.05, alpha: float = 10.0, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +36,7 @@ def als_factors(
     ratings = (
         pairs.groupBy("user_id", "job_id").agg(F.max("level").cast("float").alias("rating"))
         .join(users, "user_id").join(jobs, "job_id")
-        .select(F.col("_u").cast("int").alias("_u"), F.col("_j").cast("int").alias("_j"), "rating")
+        .select(_int_id("_u"), _int_id("_j"), "rating")
     )
     model = ALS(
         userCol="_u", itemCol="_j", ratingCol="rating", implicitPrefs=True, rank=rank, maxIter=iterations,
@@ -49,7 +55,7 @@ def split_nodes(nodes: DataFrame, user_type: str, job_type: str) -> tuple[DataFr
 
     def side(prefix: str, id_type: str) -> DataFrame:
         mine = nodes.where(F.col("node").startswith(prefix))
-        return mine.select(F.substring("node", 3, 1 << 20).cast(id_type).alias("id"), "vector")
+        return mine.select(F.expr("substring(node, 3)").cast(id_type).alias("id"), "vector")
 
     return side("c:", user_type), side("j:", job_type)
 

@@ -183,7 +183,8 @@ def two_stage(first: DataFrame, second_scores: DataFrame, recall_k: int) -> Data
     """
     head = first.where(F.col("rank") <= recall_k).select("user_id", "job_id")
     order = W.partitionBy("user_id").orderBy(F.desc("score"), F.asc("job_id"))
-    rescored = head.join(second_scores.select("user_id", "job_id", "score"), ["user_id", "job_id"])
+    # a pair without a second score stays behind those with one
+    rescored = head.join(second_scores.select("user_id", "job_id", "score"), ["user_id", "job_id"], "left")
     return rescored.withColumn("rank", F.row_number().over(order)).unionByName(
         first.where(F.col("rank") > recall_k).select("user_id", "job_id", "score", "rank")
     )

@@ -9,22 +9,26 @@ from ..session import cut_lineage
 from .ordering import first_occurrence
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """(career_code, name, parent_code, path, has_children) of a (career_code, parent_code, name) table.
 
-    One equi-join per level; rows whose parent is missing are roots. Stops when a level is empty.
+    One equi-join per level until a level is empty; rows whose parent is missing are roots. Rows that no root leads to lie
+    on or under a cycle: that raises.
     """
     base = cut_lineage(nodes.select("career_code", "parent_code", "name"))
     codes = base.select(F.col("career_code").alias("parent_code"))
     level = base.join(codes, "parent_code", "left_anti").withColumn("path", F.array("name"))
     level = level.select("career_code", "parent_code", "name", "path")
     found = level
-    for _ in range(max_depth):
+    while True:
         parents = level.select(F.col("career_code").alias("parent_code"), F.col("path").alias("_path"))
         level = cut_lineage(base.join(parents, "parent_code").select("career_code", "parent_code", "name", F.concat("_path", F.array("name")).alias("path")))
         if level.isEmpty():
             break
         found = found.unionByName(level)
+    found = cut_lineage(found)
+    if not base.where("career_code is not null").join(found.select("career_code"), "career_code", "left_anti").isEmpty():
+        raise ValueError("the taxonomy has a cycle")
     with_children = base.select(F.col("parent_code").alias("career_code")).distinct().withColumn("_c", F.lit(True))
     return found.join(with_children, "career_code", "left").withColumn("has_children", F.col("_c").isNotNull()).drop("_c")
 

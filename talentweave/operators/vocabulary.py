@@ -143,8 +143,8 @@ def build_vocabulary(tags: DataFrame, min_count: int = 2, gate: SkillGate | None
     return numbered.select("skill", F.col("skill_id").cast("int").alias("skill_id"), "freq")
 
 
-def ids_of_tags(tags: DataFrame, vocabulary: DataFrame, limit: int | None = 64) -> DataFrame:
-    """(user_id, skill_ids): vocabulary ids of a user's tags in tag order, at most ``limit``."""
+def ids_of_tags(tags: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
+    """(user_id, skill_ids): vocabulary ids of a user's tags in tag order, all of them or at most ``limit``."""
     found = tags.join(broadcast_if_small(vocabulary.select(F.col("skill").alias("tag"), "skill_id")), "tag")
     if limit is not None:
         found = top_per_group(found, ["user_id"], [F.asc("pos")], limit, "_n")
@@ -207,7 +207,7 @@ def match_dictionary(fields: DataFrame, vocabulary: DataFrame, strict_boundaries
     return matched.groupBy("id", "skill_id").agg(F.round(F.sum(value), 9).alias("score"))
 
 
-def text_fields(jobs: DataFrame, title_weight: float = 2.0, max_chars: int | None = 1200) -> DataFrame:
+def text_fields(jobs: DataFrame, title_weight: float = 2.0, max_chars: int | None = None) -> DataFrame:
     """(id, text, field_weight) rows of job titles and descriptions."""
     description = F.col("description") if max_chars is None else F.substring("description", 1, max_chars)
     parts = F.array(
@@ -217,10 +217,12 @@ def text_fields(jobs: DataFrame, title_weight: float = 2.0, max_chars: int | Non
     return jobs.select(F.col("job_id").alias("id"), F.explode(parts).alias("_f")).select("id", "_f.*")
 
 
-def top_skills(matches: DataFrame, max_skills: int = 20) -> DataFrame:
-    """(id, skill_ids, skill_weights): best skills of each text, weights rounded to 3 digits."""
-    best = top_per_group(matches, ["id"], [F.desc("score"), F.asc("skill_id")], max_skills)
+def top_skills(matches: DataFrame, max_skills: int | None = None) -> DataFrame:
+    """(id, skill_ids, skill_weights): skills of each text, best first, all or ``max_skills``; weights have 3 digits."""
+    best = matches
+    if max_skills is not None:
+        best = top_per_group(matches, ["id"], [F.desc("score"), F.asc("skill_id")], max_skills)
     listed = best.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "skill_id", F.round("score", 3).alias("weight")))).alias("_s")
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("place"), "skill_id", F.round("score", 3).alias("weight")))).alias("_s")
     )
     return listed.select("id", F.col("_s.skill_id").alias("skill_ids"), F.col("_s.weight").alias("skill_weights"))

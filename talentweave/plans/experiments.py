@@ -82,10 +82,16 @@ def rank_dense(b: Bundle, topn: int = TOPN, **_) -> DataFrame:
 
 
 def smoothed_factors(b: Bundle, dim: int = 32, layers: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Collaborative factors of the train pairs, smoothed over the train graph."""
+    """Collaborative factors of the train pairs, smoothed over the train graph; a zero vector where there are none."""
     train = b.pairs("train")
     users, jobs = als_factors(pair_levels(train, b.interactions), rank=dim, seed=seed)
-    smooth = cut_lineage(propagate(tagged_nodes(users, jobs), train, layers, dim))
+    nothing = F.array_repeat(F.lit(0.0), dim)
+
+    def whole(side: DataFrame, factors: DataFrame, key: str) -> DataFrame:
+        return side.select(F.col(key).alias("id")).join(factors, "id", "left").withColumn("vector", F.coalesce("vector", nothing))
+
+    nodes = tagged_nodes(whole(b.users, users, "user_id"), whole(b.jobs, jobs, "job_id"))
+    smooth = cut_lineage(propagate(nodes, train, layers, dim))
     return split_nodes(smooth, b.with_ids("user"), b.with_ids("job"))
 
 
@@ -110,7 +116,6 @@ def rank_two_stage(
     if pair_interaction:
         text_users, text_jobs = _text_vectors(b)
         users, jobs = cut_lineage(concat_views(text_users, users)), cut_lineage(concat_views(text_jobs, jobs))
-        users, jobs = users.where(F.size("vector") > 0), jobs.where(F.size("vector") > 0)
 
     def features(pairs: DataFrame) -> DataFrame:
         with_vectors = attach_vectors(pairs, users, jobs)

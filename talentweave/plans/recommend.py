@@ -48,7 +48,7 @@ REQUEST_SCHEMA = T.StructType(
 CANDIDATE_COLUMNS = ["user_id", "text", "skills", "city_ids", "desired_city_ids", "industries", "desired_types", "degree", "degree_rank", "years"]
 
 
-def profile_to_candidate(profiles: DataFrame, max_tokens: int | None = 160) -> DataFrame:
+def profile_to_candidate(profiles: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """Candidate rows of ad-hoc profiles (a ``candidate_profile`` struct): explicit skills first, then text tokens."""
     p = "candidate_profile."
     none = F.array().cast("array<string>")
@@ -86,6 +86,7 @@ def resolve_requests(requests: DataFrame, candidates: DataFrame, stored_model: s
         "top_k", F.least(F.greatest(F.coalesce("top_k", F.lit(10)), F.lit(1)), F.lit(MAX_TOP_K))
     ).withColumn("include_explanations", F.coalesce("include_explanations", F.lit(True)))
     known = candidates.select(*CANDIDATE_COLUMNS)
+    # requests without an id would all meet in one task
     looked_up = asked.join(known.select(F.col("user_id").alias("_known")), F.col("candidate_id") == F.col("_known"), "left")
     error = (
         F.when(~F.col("model").isin(supported), "UNSUPPORTED_MODEL")
@@ -109,8 +110,8 @@ def resolve_requests(requests: DataFrame, candidates: DataFrame, stored_model: s
 
 def recommend(
     requests: DataFrame, candidates: DataFrame, jobs: DataFrame, stored_rankings: DataFrame | None = None,
-    stored_model: str = STORED_MODEL, bm25_tokens: int | None = 220, hashed_tokens: int | None = 300,
-    document_tokens: int | None = 500,
+    stored_model: str = STORED_MODEL, bm25_tokens: int | None = None, hashed_tokens: int | None = None,
+    document_tokens: int | None = None,
 ) -> dict[str, DataFrame]:
     """``items`` (one row per recommended job with evidence) and ``rejects`` (failed requests).
 

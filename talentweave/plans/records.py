@@ -14,18 +14,13 @@ from ..operators.vocabulary import (
 )
 from ..session import broadcast_if_small, cut_lineage
 
-# ---- fixed values ---------------------------------------------------------------------------
-CANDIDATE_TOKENS, JOB_TOKENS = 160, 220
-TEXT_TAGS, TEXT_INDUSTRIES, TEXT_DESCRIPTION = 48, 6, 480
-MATCHED_DESCRIPTION = 1200
-# ---------------------------------------------------------------------------------------------
 
 
 def _cell(table: DataFrame, name: str) -> Column:
     return normalize_value(F.col(name)) if name in table.columns else F.lit("")
 
 
-def candidates_v1(users: DataFrame, as_of_year: int, max_tokens: int | None = CANDIDATE_TOKENS) -> DataFrame:
+def candidates_v1(users: DataFrame, as_of_year: int, max_tokens: int | None = None) -> DataFrame:
     """First-generation candidate rows; skills are the tokens of the experience field."""
     desired = split_multi_value(_cell(users, "desire_jd_type_id"))
     industries = F.concat(split_multi_value(_cell(users, "desire_jd_industry_id")), split_multi_value(_cell(users, "cur_industry_id")))
@@ -45,7 +40,7 @@ def candidates_v1(users: DataFrame, as_of_year: int, max_tokens: int | None = CA
     ).where(F.col("user_id") != "")
 
 
-def jobs_v1(jobs: DataFrame, as_of_year: int, max_tokens: int | None = JOB_TOKENS) -> DataFrame:
+def jobs_v1(jobs: DataFrame, as_of_year: int, max_tokens: int | None = None) -> DataFrame:
     """First-generation job rows; skills are the tokens of title, type and description."""
     title, kind, degree = _cell(jobs, "jd_title"), _cell(jobs, "jd_sub_type"), _cell(jobs, "min_edu_level")
     text = join_non_empty(title, kind, _cell(jobs, "job_description"))
@@ -63,8 +58,8 @@ def jobs_v1(jobs: DataFrame, as_of_year: int, max_tokens: int | None = JOB_TOKEN
     ).where(F.col("job_id") != "")
 
 
-def users_v2(users: DataFrame, tags: DataFrame, vocabulary: DataFrame, as_of_year: int, max_skills: int | None = 64,
-             max_text_tags: int | None = TEXT_TAGS) -> DataFrame:
+def users_v2(users: DataFrame, tags: DataFrame, vocabulary: DataFrame, as_of_year: int, max_skills: int | None = None,
+             max_text_tags: int | None = None) -> DataFrame:
     """Second-generation user rows; ``tags`` holds the (user_id, pos, tag) rows the gate kept."""
     kept = tags.groupBy("user_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda e: e["tag"]).alias("_tags")
@@ -93,13 +88,13 @@ def users_v2(users: DataFrame, tags: DataFrame, vocabulary: DataFrame, as_of_yea
         "live_city", "desired_cities", "desired_types", "industries", "degree_rank", "years",
         join_non_empty(
             F.concat_ws(" ", text_tags), F.concat_ws(" ", "desired_types"),
-            F.concat_ws(" ", F.slice("industries", 1, TEXT_INDUSTRIES)), F.col("_type"), F.col("_degree"),
+            F.concat_ws(" ", "industries"), F.col("_type"), F.col("_degree"),
         ).alias("text"),
     )
 
 
-def jobs_v2(jobs: DataFrame, skills: DataFrame, as_of_year: int, max_text_chars: int | None = TEXT_DESCRIPTION,
-            max_match_chars: int | None = MATCHED_DESCRIPTION) -> DataFrame:
+def jobs_v2(jobs: DataFrame, skills: DataFrame, as_of_year: int, max_text_chars: int | None = None,
+            max_match_chars: int | None = None) -> DataFrame:
     """Second-generation job rows; ``skills`` holds (id, skill_ids, skill_weights) of the matched texts."""
     title, kind, description = _cell(jobs, "jd_title"), _cell(jobs, "jd_sub_type"), _cell(jobs, "job_description")
     cuts = [n for n in (max_match_chars, max_text_chars) if n is not None]
@@ -124,9 +119,9 @@ def jobs_v2(jobs: DataFrame, skills: DataFrame, as_of_year: int, max_text_chars:
 
 def preprocess(
     users: DataFrame, jobs: DataFrame, actions: DataFrame, as_of_year: int, gate: SkillGate | None = None,
-    reference: DataFrame | None = None, min_count: int = 2, max_job_skills: int = 20, max_user_skills: int | None = 64,
-    title_weight: float = 2.0, max_desc_chars: int | None = MATCHED_DESCRIPTION, max_text_chars: int | None = TEXT_DESCRIPTION,
-    max_text_tags: int | None = TEXT_TAGS,
+    reference: DataFrame | None = None, min_count: int = 2, max_job_skills: int | None = None, max_user_skills: int | None = None,
+    title_weight: float = 2.0, max_desc_chars: int | None = None, max_text_chars: int | None = None,
+    max_text_tags: int | None = None,
 ) -> dict[str, DataFrame]:
     """Raw tables to ``users``, ``jobs``, ``interactions``, ``skill_vocab`` and ``meta``."""
     gate = gate or SkillGate(enabled=False)

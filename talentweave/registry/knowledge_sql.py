@@ -73,7 +73,7 @@ lg AS (SELECT s.skill, ln(((SELECT count(*) FROM jobs) + 1) / (count(*) + 1)) AS
 att AS (SELECT ks.user_id, ks.job_id, ks.skill, ks.pos, exp(logit - max(logit) OVER w) / sum(exp(logit)) OVER w * exp(max(logit) OVER w) AS weight
         FROM ks JOIN lg ON lg.skill = ks.skill WHERE has WINDOW w AS (PARTITION BY ks.user_id, ks.job_id)),
 am AS (SELECT user_id, job_id, string_agg(skill, '|' ORDER BY round(weight, 12) DESC, skill) AS matched, count(*) AS n,
-        array_to_string(list(skill ORDER BY round(weight, 12) DESC, skill)[1:4], '、') AS top4 FROM att GROUP BY ALL),
+        array_to_string(list(skill ORDER BY round(weight, 12) DESC, skill), '、') AS top4 FROM att GROUP BY ALL),
 mi AS (SELECT user_id, job_id, string_agg(skill, '|' ORDER BY pos) AS missing, string_agg(skill, '、' ORDER BY pos) AS listed FROM ks WHERE NOT has GROUP BY ALL),
 ev2 AS (SELECT f.user_id, f.job_id, coalesce(am.matched, '') AS matched, coalesce(mi.missing, '') AS missing, coalesce(am.n, 0) AS n, coalesce(am.top4, '') AS top4, mi.listed,
   list_filter(['技能覆盖率 ' || CAST(round_even(100.0 * f.n / f.n_job, 0) AS INTEGER) || '%(' || f.n || '/' || f.n_job || ' 项要求技能匹配)',
@@ -86,7 +86,7 @@ tx AS (SELECT k.user_id, k.job_id, w1, 'Fits <you>: ' || w1 || ' & more.' || chr
 ok AS (SELECT t.*, EXISTS (SELECT 1 FROM jskill s WHERE s.job_id = t.job_id AND s.skill = t.w1) OR t.w1 = (SELECT lower(title) FROM alljobs a WHERE a.job_id = t.job_id) AS fits FROM tx t),
 exd AS (SELECT e.user_id, e.job_id, CASE WHEN o.fits THEN 'llm' WHEN o.given IS NOT NULL THEN 'template_fallback_unfaithful' ELSE 'template' END AS source,
   CASE WHEN o.fits THEN o.given ELSE '推荐岗位「' || a.title || '」:你的技能 ' || CASE WHEN e.top4 = '' THEN '(无直接技能重叠)' ELSE e.top4 END || ' 与该岗位要求匹配。'
-    || '匹配依据:' || array_to_string(e.reasons[1:3], ';') || '。' || CASE WHEN e.missing = '' THEN '' ELSE '建议补充技能:' || e.listed || '。' END END AS text,
+    || '匹配依据:' || array_to_string(e.reasons, ';') || '。' || CASE WHEN e.missing = '' THEN '' ELSE '建议补充技能:' || e.listed || '。' END END AS text,
   CASE WHEN o.given IS NOT NULL AND NOT o.fits THEN o.given ELSE '' END AS rejected
   FROM ev2 e JOIN alljobs a ON a.job_id = e.job_id LEFT JOIN ok o ON o.user_id = e.user_id AND o.job_id = e.job_id)"""
 

@@ -85,7 +85,7 @@ def users_in_actions(spark, d):
 
 def jobs_for_actions(spark, d):
     demanded = b.levels(spark, d).select(F.col("job_id").cast("string").alias("job_id"))
-    return raw.jobs_for_actions(b.raw_jobs(spark, d), demanded, 3000).select("jd_no", "jd_title", "row_index")
+    return raw.jobs_for_actions(b.raw_jobs(spark, d), demanded).select("jd_no", "jd_title", "row_index")
 
 
 def last_action_per_pair(spark, d):
@@ -118,6 +118,12 @@ def rule_ranking(spark, d):
     return _ranked(experiments.rank_rule(b.bundle(spark, d)))
 
 
+def rule_ranking_top_10(spark, d):
+    """The same cut to ten places, over several blocks of the catalogue."""
+    bundle = b.bundle(spark, d)
+    return _ranked(scoring.rule_rankings(bundle.queries(), bundle.jobs, bundle.hidden(), 10, item_block_rows=32, query_block_rows=64))
+
+
 def rule_ranking_weighted(spark, d):
     return _ranked(experiments.rank_rule(b.bundle(spark, d), weights={"city": 2.0, "years": 0.0}))
 
@@ -300,6 +306,12 @@ def structural_negatives(spark, d):
     return negatives.structural_negatives(bundle.pairs("train"), bundle.jobs, bundle.pairs(), 7, bucket=("job_type",))
 
 
+def structural_negatives_by_city(spark, d):
+    bundle = b.bundle(spark, d)
+    found = negatives.structural_negatives(bundle.pairs("train"), bundle.jobs, bundle.pairs(), 7)
+    return found.select("user_id", "job_id", F.coalesce("negative_id", F.lit(-1)).alias("negative_id"))
+
+
 def semantic_negatives(spark, d):
     users, jobs = b.node_vectors(spark, d)
     split = cut_lineage(b.interactions(spark, d))
@@ -408,6 +420,30 @@ def pair_interaction_ranking(spark, d):
     return _ranked(experiments.rank_two_stage(b.bundle(spark, d), pair_interaction=True))
 
 
+def _ranking_facts(ranked: DataFrame, hidden: DataFrame) -> DataFrame:
+    """What every trained ranking must satisfy: places without gaps, each job once, no hidden pair."""
+    shown = ranked.join(hidden.withColumn("_h", F.lit(1)), ["user_id", "job_id"], "left")
+    return shown.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("places"), F.countDistinct("job_id").alias("jobs"), F.min("rank").cast("int").alias("first"),
+        F.max("rank").cast("int").alias("last"), F.count("_h").alias("hidden"),
+    )
+
+
+def als_ranking_facts(spark, d):
+    bundle = b.bundle(spark, d)
+    return _ranking_facts(experiments.rank_graph(bundle), bundle.hidden())
+
+
+def two_stage_ranking_facts(spark, d):
+    bundle = b.bundle(spark, d)
+    return _ranking_facts(experiments.rank_two_stage(bundle), bundle.hidden())
+
+
+def pair_interaction_ranking_facts(spark, d):
+    bundle = b.bundle(spark, d)
+    return _ranking_facts(experiments.rank_two_stage(bundle, pair_interaction=True), bundle.hidden())
+
+
 def interaction_vectors(spark, d):
     """Pair-interaction vectors of every train pair, one row per dimension."""
     users, jobs = b.node_vectors(spark, d)
@@ -448,8 +484,9 @@ QUERIES = {
         popularity_report, rule_report, rule_report_v1, user_ndcg, paired_t_test, model_comparison, seed_deviation,
         prediction_sample, two_stage_rule, full_ranking, masked_pairs, pair_features_v1, pair_features_v2, shared_skill_counts,
         skill_frequency, skill_entries, requirement_scores, requirement_paths, skill_aliases, uniform_negatives, sampled_pool,
-        structural_negatives, semantic_negatives, mixed_negatives, dense_ranking, dense_label_report, node_degree,
+        structural_negatives, structural_negatives_by_city, semantic_negatives, mixed_negatives, dense_ranking, dense_label_report, node_degree,
         propagated_vectors, relation_means, relational_encoding, graph_dot_ranking, als_ranking, two_stage_ranking,
-        pair_interaction_ranking, interaction_vectors, node_inputs, fused_encoding,
+        pair_interaction_ranking, als_ranking_facts, two_stage_ranking_facts, pair_interaction_ranking_facts, rule_ranking_top_10,
+        interaction_vectors, node_inputs, fused_encoding,
     )
 }

@@ -34,9 +34,9 @@ jskill AS (
   GROUP BY job_id, skill),
 jn AS (SELECT job_id, count(*) AS n_job FROM jskill GROUP BY job_id),
 jobs AS (SELECT a.*, jn.n_job FROM alljobs a JOIN jn ON a.job_id = jn.job_id WHERE a.job_id IN (SELECT job_id FROM lv)),
-views AS (SELECT user_id, job_id, row_number() OVER (PARTITION BY user_id ORDER BY row_index) AS n FROM lv WHERE level = 1),
-uskill AS (SELECT DISTINCT v.user_id, s.skill FROM views v JOIN jskill s ON v.job_id = s.job_id WHERE v.n <= 3),
-utype AS (SELECT DISTINCT v.user_id, a.job_type FROM views v JOIN alljobs a ON v.job_id = a.job_id WHERE v.n <= 3),
+views AS (SELECT DISTINCT user_id, job_id FROM lv WHERE level = 1),
+uskill AS (SELECT v.user_id, s.skill FROM views v JOIN jskill s ON v.job_id = s.job_id GROUP BY v.user_id, s.skill HAVING count(*) >= 2),
+utype AS (SELECT v.user_id, a.job_type FROM views v JOIN alljobs a ON v.job_id = a.job_id GROUP BY v.user_id, a.job_type HAVING count(*) >= 2),
 users AS (
   SELECT c_custkey AS user_id, CAST(c_nationkey AS VARCHAR) AS live_city, CAST((c_nationkey + 1) % 25 AS VARCHAR) AS next_city,
          CAST(1 + c_custkey % 8 AS INTEGER) AS degree_rank, floor(abs(c_acctbal) / 1000) AS years
@@ -157,10 +157,7 @@ LEFT JOIN (SELECT user_id, string_agg(job_type, '|' ORDER BY job_type) AS types
 SELECT CAST(c_custkey AS VARCHAR) AS user_id, n_name AS live_city_id, c_custkey AS row_index
 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT user_id FROM lv)"""),
     "jobs_for_actions": sql("""
-SELECT CAST(job_id AS VARCHAR) AS jd_no, title AS jd_title, job_id AS row_index FROM (
-  SELECT *, row_number() OVER (ORDER BY job_id) AS taken FROM (
-    SELECT *, row_number() OVER (ORDER BY job_id) AS place FROM alljobs)
-  WHERE place <= 500 OR job_id IN (SELECT job_id FROM lv)) WHERE taken <= 3000"""),
+SELECT CAST(job_id AS VARCHAR) AS jd_no, title AS jd_title, job_id AS row_index FROM alljobs WHERE job_id IN (SELECT job_id FROM lv)"""),
     "last_action_per_pair": sql("""
 SELECT user_id, job_id, CAST(arg_max(level, row_index) AS INTEGER) AS level, max(row_index) AS row_index FROM lv GROUP BY user_id, job_id"""),
     "systematic_sample": sql("""
@@ -170,6 +167,7 @@ SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS
     "popularity_counts": sql("SELECT job_id, score FROM pop"),
     "popularity_ranking": sql(RANKED.format("poprank", 1000)),
     "rule_ranking": sql(RANKED.format("rulerank", 1000)),
+    "rule_ranking_top_10": sql(RANKED.format("rulerank", 10)),
     "rule_ranking_weighted": sql(RANKED.format("""(
   SELECT r.user_id, r.job_id, r.score, row_number() OVER (PARTITION BY r.user_id ORDER BY r.score DESC, r.job_id) AS rank
   FROM (SELECT user_id, job_id, round(3.0 * n / n_job + 2.0 * city + 1.5 * type + CASE WHEN degree_rank >= min_degree_rank THEN 0.3 ELSE 0 END, 9) AS score FROM pairs) r
@@ -251,9 +249,9 @@ SELECT job_id, string_agg(CASE WHEN skill IN (SELECT lower(p_type) FROM part) TH
 FROM jskill GROUP BY job_id"""),
     "semantic_negatives": sql("""
 SELECT user_id, job_id, round(score, 6) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS INTEGER) AS rank
-FROM near n ANTI JOIN seen s ON s.user_id = n.user_id AND s.job_id = n.job_id WHERE place <= 250
+FROM near n ANTI JOIN seen s ON s.user_id = n.user_id AND s.job_id = n.job_id
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) <= 200""", """
-near AS (SELECT user_id, job_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS place FROM (
+near AS (SELECT user_id, job_id, score FROM (
   SELECT a.user_id, j.job_id, round(sum(x.v * y.v), 9) AS score FROM (SELECT DISTINCT user_id FROM train) a
   JOIN unitv x ON x.vec_id = a.user_id CROSS JOIN jobs j
   JOIN unitv y ON y.vec_id = (SELECT max(vec_id) FROM embeddings) - j.job_id AND y.dim = x.dim GROUP BY ALL))"""),
@@ -326,3 +324,77 @@ peruser AS (SELECT e.vec_id, s.n, min(h.rank) AS first, """
     + """ FROM embeddings e JOIN (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY label) s ON s.label = e.label
   LEFT JOIN hits h ON h.user_id = e.vec_id GROUP BY ALL)""",
 )
+
+
+# Seeded samples: a number is drawn from the first 15 hex digits of an MD5 sum of the keys and the seed
+
+def _drawn(*keys: str, seed: int) -> str:
+    return "CAST('0x' || substr(md5(concat_ws(':', " + ", ".join(keys) + f", {seed})), 1, 15) AS BIGINT)"
+
+
+_KNOWN = "kn AS (SELECT DISTINCT user_id, job_id FROM sp WHERE level >= 2)"
+
+
+def _uniform(pairs: str, per_pair: int, seed: int) -> str:
+    """Named tables up to ``uniform(user_id, job_id, draw, negative_id)``; ``pairs`` holds (user_id, job_id)."""
+    return f"""
+{_KNOWN},
+cat AS (SELECT job_id, row_number() OVER (ORDER BY {_drawn('job_id', seed=seed)}, job_id) - 1 AS place, count(*) OVER () AS n FROM jobs),
+asks AS ({pairs}),
+runs AS (SELECT w.user_id, least((SELECT max(n) FROM cat), w.wanted + coalesce(k.known, 0)) AS length
+  FROM (SELECT user_id, count(*) * {per_pair} AS wanted FROM asks GROUP BY user_id) w
+  LEFT JOIN (SELECT user_id, count(*) AS known FROM kn GROUP BY user_id) k ON k.user_id = w.user_id),
+steps AS (SELECT user_id, unnest(range(length)) AS step FROM runs),
+free AS (SELECT s.user_id, s.step, c.job_id FROM steps s
+  JOIN cat c ON c.place = ({_drawn('s.user_id', seed=seed)} % c.n + s.step) % c.n
+  ANTI JOIN kn k ON k.user_id = s.user_id AND k.job_id = c.job_id),
+pool AS (SELECT user_id, job_id, row_number() OVER (PARTITION BY user_id ORDER BY step) - 1 AS slot, count(*) OVER (PARTITION BY user_id) AS size FROM free),
+numbered AS (SELECT user_id, job_id, row_number() OVER (PARTITION BY user_id ORDER BY job_id) - 1 AS pair FROM asks),
+uniform AS (SELECT p.user_id, p.job_id, CAST(d.draw AS INTEGER) AS draw, o.job_id AS negative_id
+  FROM numbered p CROSS JOIN range({per_pair}) d(draw) JOIN pool o ON o.user_id = p.user_id AND o.slot = (p.pair * {per_pair} + d.draw) % o.size)"""
+
+
+def _structural(keys: tuple[str, ...], seed: int, known: bool = True) -> str:
+    """Named tables up to ``structural(user_id, job_id, negative_id)``."""
+    names, same = ", ".join(keys), lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    return f"""
+{_KNOWN + ',' if known else ''}
+placed AS (SELECT job_id, {names}, row_number() OVER (PARTITION BY {names} ORDER BY {_drawn('job_id', seed=seed)}, job_id) - 1 AS place,
+  count(*) OVER (PARTITION BY {names}) AS size FROM jobs),
+taken AS (SELECT k.user_id, {', '.join('p.' + k for k in keys)}, count(*) AS n FROM kn k JOIN placed p ON p.job_id = k.job_id GROUP BY ALL),
+tries AS (SELECT t.user_id, t.job_id, p.size, {', '.join('p.' + k for k in keys)}, unnest(range(least(p.size, coalesce(n, 0) + 1))) AS draw
+  FROM train t JOIN placed p ON p.job_id = t.job_id LEFT JOIN taken x ON x.user_id = t.user_id AND {same('x', 'p')}),
+structural AS (SELECT t.user_id, t.job_id, f.negative_id FROM (SELECT DISTINCT user_id, job_id FROM tries) t LEFT JOIN (
+  SELECT r.user_id, r.job_id, arg_min(m.job_id, r.draw) AS negative_id FROM tries r
+  JOIN placed m ON {same('m', 'r')} AND m.place = ({_drawn('r.user_id', 'r.job_id', seed=seed)} + r.draw) % r.size
+  ANTI JOIN kn k ON k.user_id = r.user_id AND k.job_id = m.job_id GROUP BY ALL) f ON f.user_id = t.user_id AND f.job_id = t.job_id)"""
+
+
+SQL["uniform_negatives"] = sql("SELECT user_id, job_id, draw, negative_id FROM uniform", _uniform("SELECT user_id, job_id FROM train", 2, 7))
+SQL["sampled_pool"] = sql("SELECT DISTINCT user_id, negative_id AS job_id FROM uniform", _uniform("SELECT user_id, CAST(NULL AS BIGINT) AS job_id FROM users", 10, 7))
+SQL["structural_negatives"] = sql("SELECT user_id, job_id, negative_id FROM structural", _structural(("job_type",), 7))
+SQL["structural_negatives_by_city"] = sql("SELECT user_id, job_id, coalesce(negative_id, -1) AS negative_id FROM structural", _structural(("job_type", "city"), 7))
+SQL["mixed_negatives"] = sql(f"""
+SELECT user_id, job_id, draw,
+  CASE WHEN roll < 0.5 AND s IS NOT NULL THEN s WHEN roll < 0.7 AND t IS NOT NULL THEN t ELSE negative_id END AS negative_id,
+  CASE WHEN roll < 0.5 AND s IS NOT NULL THEN 'semantic' WHEN roll < 0.7 AND t IS NOT NULL THEN 'structural' ELSE 'uniform' END AS source
+FROM (SELECT u.user_id, u.job_id, u.draw, u.negative_id, n.job_id AS s, t.negative_id AS t,
+    {_drawn('u.user_id', 'u.job_id', 'u.draw', seed=12)} % 1000000 / 1000000.0 AS roll
+  FROM uniform u LEFT JOIN (SELECT user_id, max(rank) AS n FROM near GROUP BY user_id) z ON z.user_id = u.user_id
+  LEFT JOIN near n ON n.user_id = u.user_id AND n.rank = {_drawn('u.user_id', 'u.job_id', 'u.draw', seed=6)} % z.n + 1
+  LEFT JOIN structural t ON t.user_id = u.user_id AND t.job_id = u.job_id)""",
+    _uniform("SELECT user_id, job_id FROM train", 2, 7).strip() + "," + _structural(("job_type",), 7, known=False) + """,
+near AS (SELECT user_id, job_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS rank FROM (
+  SELECT a.user_id, j.job_id, round(sum(x.v * y.v), 9) AS score FROM users a
+  JOIN unitv x ON x.vec_id = a.user_id CROSS JOIN jobs j
+  JOIN unitv y ON y.vec_id = (SELECT max(vec_id) FROM embeddings) - j.job_id AND y.dim = x.dim GROUP BY ALL) n
+  ANTI JOIN seen s ON s.user_id = n.user_id AND s.job_id = n.job_id
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) <= 200)""")
+
+_FACTS = sql("""
+SELECT a.user_id, n.jobs - coalesce(h.hidden, 0) AS places, n.jobs - coalesce(h.hidden, 0) AS jobs, 1 AS first,
+  CAST(n.jobs - coalesce(h.hidden, 0) AS INTEGER) AS last, CAST(0 AS BIGINT) AS hidden
+FROM askers a CROSS JOIN (SELECT count(*) AS jobs FROM jobs) n
+LEFT JOIN (SELECT user_id, count(*) AS hidden FROM hidden WHERE job_id IN (SELECT job_id FROM jobs) GROUP BY user_id) h ON h.user_id = a.user_id""")
+for _name in ("als_ranking_facts", "two_stage_ranking_facts", "pair_interaction_ranking_facts"):
+    SQL[_name] = _FACTS

@@ -21,8 +21,7 @@ def _tokens(spark, d, name: str, key: str, distinct: bool) -> DataFrame:
 
 
 def document_frequency(spark, d):
-    counts = lexical.term_counts(_tokens(spark, d, "documents", "doc_id", False))
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return lexical.term_statistics(_tokens(spark, d, "documents", "doc_id", False))
 
 
 def corpus_statistics(spark, d):
@@ -40,6 +39,11 @@ def bm25_ranking_v2(spark, d):
     return _ranked(lexical.bm25_rankings(queries, _tokens(spark, d, "documents", "doc_id", False), 1000))
 
 
+def bm25_ranking_top_10(spark, d):
+    queries = _tokens(spark, d, "benchmark", "item_id", False)
+    return _ranked(lexical.bm25_rankings(queries, _tokens(spark, d, "documents", "doc_id", False), 10))
+
+
 def hashed_ranking(spark, d):
     queries = _tokens(spark, d, "benchmark", "item_id", True)
     return _ranked(lexical.hashed_rankings(queries, _tokens(spark, d, "documents", "doc_id", True), 1000))
@@ -172,7 +176,7 @@ def tag_ids(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        document_frequency, corpus_statistics, bm25_ranking_v1, bm25_ranking_v2, hashed_ranking, encoded_documents, encoder_hook,
+        document_frequency, corpus_statistics, bm25_ranking_v1, bm25_ranking_v2, bm25_ranking_top_10, hashed_ranking, encoded_documents, encoder_hook,
         squeezed_texts, url_values, field_parsers, standard_names, gate_decisions, gate_summary, skill_vocabulary,
         dictionary_matches, top_text_skills, tag_ids,
     )

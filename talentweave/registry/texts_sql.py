@@ -43,7 +43,7 @@ DOC = tokens_cte("doc", "documents", "doc_id")
 ASK = tokens_cte("ask", "benchmark", "item_id")
 
 
-def bm25_sql(distinct: bool) -> str:
+def bm25_sql(distinct: bool, topn: int = 1000) -> str:
     d = "SELECT DISTINCT id, term FROM doc" if distinct else "SELECT id, term FROM doc"
     q = "SELECT DISTINCT id, term FROM ask" if distinct else "SELECT id, term FROM ask"
     return f"""WITH {DOC.strip()},{ASK},
@@ -54,9 +54,24 @@ st AS (SELECT count(*) AS docs, avg(n) AS average FROM len),
 idf AS (SELECT term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term, docs),
 sc AS (SELECT qt.id AS user_id, tf.id AS job_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len.n / average))) AS score
   FROM qt JOIN tf ON tf.term = qt.term JOIN idf ON idf.term = qt.term JOIN len ON len.id = tf.id CROSS JOIN st GROUP BY ALL),
-al AS (SELECT b.item_id AS user_id, x.doc_id AS job_id, round(coalesce(s.score, 0), 9) AS score FROM benchmark b CROSS JOIN documents x
-  LEFT JOIN sc s ON s.user_id = b.item_id AND s.job_id = x.doc_id)
+al AS (SELECT user_id, job_id, round(score, 9) AS score FROM sc WHERE round(score, 9) > 0)
 SELECT user_id, job_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS INTEGER) AS rank
+FROM al QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) <= {topn}"""
+
+
+HASHED = f"""WITH {DOC.strip()},{ASK},
+dt AS (SELECT DISTINCT id, term FROM doc), qt AS (SELECT DISTINCT id, term FROM ask),
+idf AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / (1 + count(*))) AS idf FROM dt GROUP BY term),
+bk AS (SELECT term, v % 512 AS bucket, CASE WHEN v % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM (
+  SELECT term, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS v FROM (SELECT term FROM dt UNION SELECT term FROM qt))),
+dv AS (SELECT id, bucket, sum(sign * coalesce(idf, 1)) AS v FROM dt JOIN bk USING (term) LEFT JOIN idf USING (term) GROUP BY ALL),
+qv AS (SELECT id, bucket, sum(sign * coalesce(idf, 1)) AS v FROM qt JOIN bk USING (term) LEFT JOIN idf USING (term) GROUP BY ALL),
+dn AS (SELECT id, sqrt(sum(v * v)) AS n FROM dv GROUP BY id), qn AS (SELECT id, sqrt(sum(v * v)) AS n FROM qv GROUP BY id),
+sc AS (SELECT q.id AS user_id, d.id AS job_id, sum(q.v * d.v) / any_value(qn.n * dn.n) AS score FROM qv q JOIN dv d ON d.bucket = q.bucket
+  JOIN qn ON qn.id = q.id JOIN dn ON dn.id = d.id WHERE qn.n > 0 AND dn.n > 0 GROUP BY ALL),
+al AS (SELECT b.item_id AS user_id, x.doc_id AS job_id, round(coalesce(s.score, 0), 9) + 0.0 AS score FROM benchmark b CROSS JOIN documents x
+  LEFT JOIN sc s ON s.user_id = b.item_id AND s.job_id = x.doc_id)
+SELECT user_id, job_id, round(score, 6) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS INTEGER) AS rank
 FROM al QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) <= 1000"""
 
 
@@ -101,6 +116,8 @@ SELECT count(*) AS documents, round(avg(greatest(1, coalesce(n, 0))), 6) AS aver
 FROM documents x LEFT JOIN (SELECT id, count(*) AS n FROM doc GROUP BY id) l ON l.id = x.doc_id""",
     "bm25_ranking_v1": bm25_sql(True),
     "bm25_ranking_v2": bm25_sql(False),
+    "bm25_ranking_top_10": bm25_sql(False, 10),
+    "hashed_ranking": HASHED,
     "encoder_hook": """
 SELECT doc_id, round(c / n, 6) AS chars, round(s / n, 6) AS blanks, round(e / n, 6) AS letters_e FROM (
   SELECT *, sqrt(c * c + s * s + e * e) AS n FROM (

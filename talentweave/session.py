@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SPREAD_BYTES_PER_CORE = 16 << 20
 
 
 def build_session(app: str = "talentweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,6 +19,8 @@ def build_session(app: str = "talentweave", master: str | None = None, **conf: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # a checkpoint's files go when nothing refers to it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # call sites of every column expression are only worth their time while debugging
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -33,12 +34,20 @@ def build_session(app: str = "talentweave", master: str | None = None, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; fall back to a local one only where none is named."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it names none, a local session works under ``checkpoints`` in its own working folder; on a cluster executors
+    could not see each other's files, so that raises.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talentweave-checkpoint-"))
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder shared by driver and executors in spark.checkpoint.dir")
+        folder = os.path.abspath("checkpoints")
+    context.setCheckpointDir(folder)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -58,15 +67,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition small inputs by unique keys so that costly expressions use all cores.
-
-    A file of one row group is read by one task however costly its rows are. Judged by the estimated size
-    of the tables read: enough bytes for every core come in enough splits and are left alone.
-    """
+    """Repartition inputs that come in fewer files than there are cores, so that costly expressions use all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df if size >= cores * SPREAD_BYTES_PER_CORE else df.repartition(cores, *keys)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -70,8 +70,8 @@ def users_in_actions(users: DataFrame, interactions: DataFrame, max_users: int |
     return capped_by_order(_one_row_per_id(known, "user_id"), max_users, ["row_index"])
 
 
-def jobs_for_actions(jobs: DataFrame, interactions: DataFrame, max_jobs: int | None = 3000) -> DataFrame:
-    """Jobs seen in the actions plus the first ``min(max_jobs, 500)`` jobs of the file, cut at ``max_jobs``."""
+def jobs_for_actions(jobs: DataFrame, interactions: DataFrame, max_jobs: int | None = None) -> DataFrame:
+    """Jobs seen in the actions; with ``max_jobs`` also the first 500 jobs of the file, and not more than that many."""
     rows = jobs.withColumn("jd_no", normalize_value(F.col("jd_no"))).where(F.col("jd_no") != "")
     distinct_jobs = _one_row_per_id(rows, "jd_no")
     demanded = interactions.select(F.col("job_id").alias("jd_no")).distinct()

@@ -83,15 +83,15 @@ def test_allowed_terms(rows):
     assert rows.select(ev.allowed_terms()).first()[0] == ["python", "mysql", "redis", "docker"]
 
 
-def test_coverage_counts_after_the_cut(spark):
+def test_whole_skill_lists_are_shown(spark):
     many = [f"s{i:02d}" for i in range(12)]
     users = spark.createDataFrame([("u", many, "", [], [], 1, 0.0)], "user_id string, skills array<string>, live_city string, desired_cities array<string>, desired_types array<string>, degree_rank int, years double")
     jobs = spark.createDataFrame([("j", "t", many, "c", "x", 0, 0.0)], "job_id string, title string, skills array<string>, city string, job_type string, min_degree_rank int, min_years double")
     joined = pairs.attach_profiles(spark.createDataFrame([("u", "j", 0.5)], "user_id string, job_id string, score double"), users, jobs)
     logits = spark.createDataFrame([("j", "s03", 5.0)], "job_id string, skill string, logit double")
     row = ev.second_generation_evidence(joined, logits).first()
-    assert row["reasons"] == ["技能覆盖率 83%(10/12 项要求技能匹配)"]
-    assert len(row["matched_skills"]) == 10 and row["matched_skills"][0]["skill"] == "s03" and len(row["graph_paths"]) == 5
+    assert row["reasons"] == ["技能覆盖率 100%(12/12 项要求技能匹配)"]
+    assert len(row["matched_skills"]) == 12 and row["matched_skills"][0]["skill"] == "s03" and len(row["graph_paths"]) == 12
     assert row["graph_paths"][0].startswith("Candidate:u -HAS_SKILL(0.9") and row["missing_skills"] == []
 
 

@@ -54,9 +54,9 @@ def test_semantic_and_mixed(spark, data):
     jobs, train, known = data
     job_vectors = jobs.select(F.col("job_id").alias("id"), F.array(F.cos("job_id"), F.sin("job_id")).alias("vector"))
     user_vectors = train.select("user_id").distinct().select(F.col("user_id").alias("id"), F.array(F.cos("user_id"), F.sin("user_id")).alias("vector"))
-    semantic = negatives.semantic_negatives(user_vectors, job_vectors, known, 5, 40)
+    semantic = negatives.semantic_negatives(user_vectors, job_vectors, known, 5)
     assert semantic.join(known, ["user_id", "job_id"]).count() == 0
-    assert {r["user_id"]: r["count"] for r in semantic.groupBy("user_id").count().collect()}[0] == 4
+    assert {r["user_id"]: r["count"] for r in semantic.groupBy("user_id").count().collect()}[0] == 5
     uniform = negatives.uniform_negatives(train, jobs, known, 4, 1)
     structural = negatives.structural_negatives(train, jobs, known, 1)
     before = negatives.mixed_negatives(train, uniform, semantic, structural, 0, 3, 1)
