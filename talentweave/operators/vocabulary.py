@@ -113,12 +113,15 @@ def gate_decisions(tokens: DataFrame, gate: SkillGate, reference: DataFrame | No
     return rows.withColumn("_d", verdict).select(*tokens.columns, "_d.*")
 
 
+REFERENCE_KINDS = ("occupation", "category", "work_type", "standard", "task")
+
+
 def gate_summary(gate: SkillGate, reference: DataFrame) -> DataFrame:
-    """(item, count): reference terms per kind and sizes of the configured lists."""
-    terms = reference.groupBy(F.concat(F.lit("reference_"), F.col("kind")).alias("item")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    sizes = {"drop_terms": len(gate.drop_terms), "transversal_terms": len(gate.transversal_terms),
+    """(item, count): whether the gate is on, reference terms of every kind, and sizes of the configured lists."""
+    counted = reference.groupBy("kind").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = reference.sparkSession.createDataFrame([(k,) for k in REFERENCE_KINDS], "kind string").join(counted, "kind", "full")
+    terms = kinds.select(F.concat(F.lit("reference_"), F.col("kind")).alias("item"), F.coalesce("_n", F.lit(0)).alias("count"))
+    sizes = {"enabled": int(gate.enabled), "drop_terms": len(gate.drop_terms), "transversal_terms": len(gate.transversal_terms),
              "english_min_len": gate.english_min_len}
     listed = F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.lit(v).cast("long").alias("count")) for k, v in sizes.items()]))
     return terms.union(reference.sparkSession.range(1).select(listed.alias("_s")).select("_s.*"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions.features import pair_features_v1, rule_score_v1
-from ..operators import evidence, graph, interactions, pairs, propagation, taxonomy
+from ..operators import evaluation, evidence, graph, interactions, pairs, propagation, taxonomy
 from ..operators.ordering import dense_index, first_rows
 from ..operators.vocabulary import SkillGate
 from ..plans import experiments, recommend, records
@@ -138,6 +138,28 @@ def metrics_sink(spark, d):
     return rows.select("model", *numbers).withColumn("mrr", F.round("mrr", 6))
 
 
+def user_ndcg_sink(spark, d):
+    """Per-user NDCG written partitioned by model and seed, and read back."""
+    folder = shared_folder(spark, "user_ndcg")
+    bundle = b.bundle(spark, d)
+    sinks.write_user_ndcg(evaluation.user_ndcg(experiments.rank_popularity(bundle), bundle.pairs("test"), "popularity", 42), folder)
+    return spark.read.parquet(folder).select("model", F.col("seed").cast("int").alias("seed"), "user_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+def vector_tables(spark, d):
+    """Vector tables of a run written and read back: length and first place of every vector."""
+    folder = shared_folder(spark, "vectors")
+    users, jobs = b.node_vectors(spark, d)
+    stored = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    for name, rows in (("user", users), ("job", jobs), ("skill", stored)):
+        rows.write.parquet(f"{folder}/emb_{name}")
+    shown = [
+        t.select(F.lit(name).alias("side"), F.col("id").cast("long").alias("id"), F.size("vector").alias("places"), F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
+        for name, t in readers.read_vectors(spark, folder).items()
+    ]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 def stored_rankings(spark, d):
     """Popularity ranking stored and read back as served orders."""
     folder = shared_folder(spark, "rankings")
@@ -348,6 +370,19 @@ def invalid_profiles(spark, d):
     return recommend.invalid_profiles(people, ["candidate_id", "live_city_id"]).select("user_id", "reason")
 
 
+def invalid_jobs(spark, d):
+    """Job profiles without an id or a title."""
+    posts = b.raw_jobs(spark, d).withColumn("title", F.when(F.col("row_index") % 13 == 0, "").otherwise(F.col("jd_title")))
+    posts = posts.withColumn("job_id", F.when(F.col("row_index") % 10 == 0, "").otherwise(F.col("jd_no")))
+    return recommend.invalid_profiles(posts, ["job_id", "title"]).select("jd_no", "reason")
+
+
+def candidate_pages_by_experience(spark, d):
+    """Candidates per job, the most experienced first, first page of five."""
+    rows = _known_pairs(spark, d).select("user_id", "job_id", "years")
+    return recommend.paged(rows, "job_id", F.col("years"), "user_id", 1, 5)
+
+
 # Taxonomy -------------------------------------------------------------------------------------
 
 
@@ -375,7 +410,7 @@ QUERIES = {
         jobs_v1, processed_users, processed_jobs, processed_run, raw_scan, raw_preview, metrics_sink, stored_rankings,
         occupation_reference, match_evidence_v1, match_evidence_v2, path_attention, pooled_paths, subgraph_edges, subgraph_nodes,
         explanations, explanation_documents, requirement_explanations, recommendations, recommendations_by_rule,
-        recommendations_for_profiles, rejected_requests, candidate_pages, health, invalid_profiles, taxonomy_tree,
+        recommendations_for_profiles, rejected_requests, candidate_pages, candidate_pages_by_experience, health, invalid_profiles, invalid_jobs, user_ndcg_sink, vector_tables, taxonomy_tree,
         latest_occupations,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .matching_sql import SQL as SQL_MATCHING
 from .matching_sql import sql
 
 # Raw tables as the bindings lay them out.
@@ -169,7 +170,7 @@ JOIN (SELECT user_id, job_id, list_filter([CASE WHEN round(cov, 6) > 0 THEN '技
 LEFT JOIN (SELECT user_id, job_id, string_agg(skill, '|' ORDER BY skill) FILTER (has) AS matched, string_agg(skill, '|' ORDER BY skill) FILTER (NOT has) AS missing,
     string_agg('Candidate:' || user_id || ' -> Skill:' || skill || ' <- Job:' || job_id, '|' ORDER BY skill) FILTER (has) AS paths FROM ks GROUP BY ALL) s ON s.user_id = f.user_id AND s.job_id = f.job_id""", EVIDENCE),
     "match_evidence_v2": sql("""
-SELECT user_id, job_id, matched, missing, array_to_string(reasons, '|') AS reasons, CAST(least(n, 5) AS INTEGER) AS paths,
+SELECT user_id, job_id, matched, missing, array_to_string(reasons, '|') AS reasons, CAST(n AS INTEGER) AS paths,
   array_to_string(list_filter([matched, missing], lambda x: x <> ''), '|') AS allowed FROM ev2""", EVIDENCE),
     "path_attention": sql("SELECT user_id, job_id, skill, round(weight, 6) AS weight FROM att", EVIDENCE),
     "pooled_paths": sql("""
@@ -223,6 +224,18 @@ SELECT job_id, user_id, match, 2 AS page, place, total, CAST(ceil(total / 10) AS
   SELECT f.job_id, f.user_id, match, row_number() OVER (PARTITION BY f.job_id ORDER BY match DESC, f.user_id) AS place, count(*) OVER (PARTITION BY f.job_id) AS total
   FROM (SELECT k.job_id, k.user_id, CAST(greatest(0, least(100, round(100 * r.score))) AS INTEGER) AS match FROM kp k JOIN rule1 r ON r.user_id = k.user_id AND r.job_id = k.job_id) f)
 WHERE place > 10 AND place <= 20""", EVIDENCE),
+    "candidate_pages_by_experience": sql("""
+SELECT user_id, job_id, years, 1 AS page, place, total, CAST(ceil(total / 5) AS BIGINT) AS total_pages FROM (
+  SELECT k.job_id, k.user_id, u.years, row_number() OVER (PARTITION BY k.job_id ORDER BY u.years DESC, k.user_id) AS place, count(*) OVER (PARTITION BY k.job_id) AS total
+  FROM kp k JOIN users u ON u.user_id = k.user_id JOIN jobs j ON j.job_id = k.job_id) WHERE place <= 5""", EVIDENCE),
+    "user_ndcg_sink": SQL_MATCHING["user_ndcg"],
+    "vector_tables": sql("""
+SELECT 'user' AS side, u.user_id AS id, 64 AS places, round(v, 6) + 0.0 AS first FROM users u JOIN vec ON vec.vec_id = u.user_id WHERE dim = 0
+UNION ALL SELECT 'job', j.job_id, 64, round(v, 6) FROM jobs j JOIN vec ON vec.vec_id = (SELECT max(vec_id) FROM embeddings) - j.job_id WHERE dim = 0
+UNION ALL SELECT 'skill', vec_id, 64, round(v, 6) FROM vec WHERE dim = 0"""),
+    "invalid_jobs": """
+SELECT CAST(p_partkey AS VARCHAR) AS jd_no, CASE WHEN p_partkey % 10 = 0 THEN 'job_id is required' ELSE 'title is required' END AS reason
+FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 13 = 0""",
     "health": sql("SELECT 'candidates' AS item, count(*) AS n FROM users UNION ALL SELECT 'jobs', count(*) FROM jobs"),
     "invalid_profiles": "SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'candidate_id is required' AS reason FROM customer WHERE c_custkey % 10 = 0",
     "taxonomy_tree": """

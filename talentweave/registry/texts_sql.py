@@ -142,6 +142,7 @@ SELECT p_partkey, replace(p_name, ' ', '') AS standard, replace(p_name, ' ', '')
     "gate_decisions": f"WITH {GATED}\nSELECT token, keep, skill_type, weight, reason FROM gate",
     "gate_summary": f"""WITH {GATED}
 SELECT 'reference_' || kind AS item, count(*) AS n FROM ref GROUP BY kind
+UNION ALL SELECT 'reference_' || kind, 0 FROM (VALUES ('category'), ('work_type'), ('standard')) k(kind) UNION ALL SELECT 'enabled', 1
 UNION ALL SELECT 'drop_terms', {len(DROP_TERMS)} UNION ALL SELECT 'transversal_terms', {len(TRANSVERSAL_TERMS)} UNION ALL SELECT 'english_min_len', 3""",
     "skill_vocabulary": f"WITH {GATED}\nSELECT skill, skill_id, freq FROM vocab",
     "dictionary_matches": f"WITH {GATED}\nSELECT id, skill_id, round(score, 6) AS score FROM found",
