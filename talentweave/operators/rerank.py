@@ -104,7 +104,8 @@ def node_inputs(
 def fuse_vectors(inputs: DataFrame, dim: int) -> DataFrame:
     """(id, vector): text vector with structured numbers and hashed city and type indicators added at fixed places."""
     def indicator(code: Column, name: str) -> Column:
-        return F.when(code > 0, F.pmod(F.xxhash64(F.lit(name), code), F.lit(dim))).otherwise(-1)
+        drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(name), code.cast("string"))), 1, 15), 16, 10).cast("long")
+        return F.when(code > 0, drawn % dim).otherwise(-1)
 
     places = F.sequence(F.lit(0), F.lit(dim - 1))
     city, kind = indicator(F.col("city_code"), "city"), indicator(F.col("type_code"), "type")

@@ -126,6 +126,11 @@ RANKED = "SELECT user_id, job_id, round(score, 6) + 0.0 AS score, CAST(rank AS I
 TWO = f"nd AS ({ndcg_sql('popularity', 'poprank', 50)} UNION ALL {ndcg_sql('rule', 'rulerank', 50)})"
 ALL_PAIRS = "(SELECT DISTINCT user_id, job_id FROM lv) k JOIN {} f ON f.user_id = k.user_id AND f.job_id = k.job_id"
 
+CODES = """
+codes AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY value) AS code FROM (
+  SELECT 'city' AS kind, live_city AS value FROM users UNION SELECT 'city', city FROM jobs UNION SELECT 'type', job_type FROM jobs
+  UNION SELECT 'type', min(job_type) FROM utype GROUP BY user_id))"""
+
 SQL: dict[str, str] = {
     "behaviour_levels": sql("SELECT user_id, job_id, CAST(level AS INTEGER) AS level, row_index FROM lv"),
     "leave_last_out": sql("SELECT user_id, job_id, CAST(level AS INTEGER) AS level, row_index, split FROM sp"),
@@ -293,10 +298,7 @@ LEFT JOIN nodes n ON n.node = 'c:' || u.user_id AND n.dim = 0
 UNION ALL
 SELECT 'job', j.job_id, CAST(coalesce(c.code, 0) AS INTEGER), CAST(coalesce(t.code, 0) AS INTEGER), round(min_degree_rank / 8, 6), round(ln(1 + min_years) / 4, 6), round(n.v, 6)
 FROM jobs j LEFT JOIN codes c ON c.kind = 'city' AND c.value = j.city LEFT JOIN codes t ON t.kind = 'type' AND t.value = j.job_type
-LEFT JOIN nodes n ON n.node = 'j:' || j.job_id AND n.dim = 0""", """
-codes AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY value) AS code FROM (
-  SELECT 'city' AS kind, live_city AS value FROM users UNION SELECT 'city', city FROM jobs UNION SELECT 'type', job_type FROM jobs
-  UNION SELECT 'type', min(job_type) FROM utype GROUP BY user_id))"""),
+LEFT JOIN nodes n ON n.node = 'j:' || j.job_id AND n.dim = 0""", CODES),
 }
 
 _LABEL_KS = (10, 50)
@@ -398,3 +400,18 @@ FROM askers a CROSS JOIN (SELECT count(*) AS jobs FROM jobs) n
 LEFT JOIN (SELECT user_id, count(*) AS hidden FROM hidden WHERE job_id IN (SELECT job_id FROM jobs) GROUP BY user_id) h ON h.user_id = a.user_id""")
 for _name in ("als_ranking_facts", "two_stage_ranking_facts", "pair_interaction_ranking_facts"):
     SQL[_name] = _FACTS
+
+_PLACE = "CAST('0x' || substr(md5('{0}:' || i.{0}_code), 1, 15) AS BIGINT) % 64"
+SQL["fused_encoding"] = sql("SELECT node, CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS value FROM h1", CODES.strip() + f""",
+inputs AS (
+  SELECT 'c:' || u.user_id AS node, degree_rank / 8 AS s0, ln(1 + years) / 4 AS s1, coalesce(c.code, 0) AS city_code, coalesce(t.code, 0) AS type_code
+  FROM users u LEFT JOIN (SELECT user_id, min(job_type) AS job_type FROM utype GROUP BY user_id) f ON f.user_id = u.user_id
+  LEFT JOIN codes c ON c.kind = 'city' AND c.value = u.live_city LEFT JOIN codes t ON t.kind = 'type' AND t.value = f.job_type
+  UNION ALL SELECT 'j:' || j.job_id, min_degree_rank / 8, ln(1 + min_years) / 4, coalesce(c.code, 0), coalesce(t.code, 0)
+  FROM jobs j LEFT JOIN codes c ON c.kind = 'city' AND c.value = j.city LEFT JOIN codes t ON t.kind = 'type' AND t.value = j.job_type),
+fz AS (SELECT i.node, d.dim, coalesce(n.v, 0) + CASE WHEN city_code > 0 AND {_PLACE.format('city')} = d.dim THEN 0.1 ELSE 0 END
+    + CASE WHEN type_code > 0 AND {_PLACE.format('type')} = d.dim THEN 0.1 ELSE 0 END + 0.1 * CASE d.dim WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE 0 END AS v
+  FROM inputs i CROSS JOIN range(64) d(dim) LEFT JOIN nodes n ON n.node = i.node AND n.dim = d.dim),
+m1 AS (SELECT dst, dim, avg(v) AS v FROM edges JOIN fz ON edges.src = fz.node GROUP BY ALL),
+p1 AS (SELECT n.node, n.dim, n.v + coalesce(0.5 * m.v * (1 + tanh(sqrt(2 / pi()) * (m.v + 0.044715 * m.v ** 3))), 0) AS v FROM fz n LEFT JOIN m1 m ON m.dst = n.node AND m.dim = n.dim),
+h1 AS (SELECT node, dim, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) AS v FROM p1 WINDOW w AS (PARTITION BY node))""")
