@@ -167,7 +167,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, size: int = 5, ro
     named = scanned.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"))
     classes = cut_lineage(classes)
-    members = classes.select("c", F.explode("bands").alias("bucket"))
+    members = classes.select("c", F.posexplode("bands").alias("band", "bucket"))
     # a bucket of one class says nothing; the smallest class of a bucket is its centre
     shared = members.groupBy("bucket").agg(F.min("c").alias("centre"), F.max("c").alias("last")).where("centre <> last").drop("last")
     mates = cut_lineage(members.join(shared, "bucket"))
@@ -184,13 +184,16 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, size: int = 5, ro
     own = mates.join(of, "c", "left").withColumn("own", F.coalesce("own", "c"))
     centre_of = label.select(F.col("node").alias("centre"), F.col("component").alias("theirs"))
     own = cut_lineage(own.join(centre_of, "centre", "left").withColumn("theirs", F.coalesce("theirs", "centre")))
-    apart = own.where("own <> theirs").select("bucket", F.col("c").alias("a"), F.col("own").alias("own_a"))
+    keys = sketches.join(classes.select(F.col("c").alias("doc_id"), "bands"), "doc_id")
+    apart = own.where("own <> theirs").select("bucket", "band", F.col("c").alias("a"), F.col("own").alias("own_a"))
     rest = own.where("c <> centre").select("bucket", F.col("c").alias("b"), F.col("own").alias("own_b"), "theirs")
-    rest = rest.join(sketches.toDF("b", "sketch_b"), "b")
-    apart = apart.join(sketches.toDF("a", "sketch_a"), "a")
+    rest = rest.join(keys.toDF("b", "sketch_b", "bands_b"), "b")
+    apart = apart.join(keys.toDF("a", "sketch_a", "bands_a"), "a")
+    # a pair that shares several buckets counts in the first of them
+    first_band = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) - 1
     new = apart.join(rest, "bucket").where(
         (F.col("own_a") != F.col("own_b")) & ((F.col("own_b") == F.col("theirs")) | (F.col("b") < F.col("a")))
-        & (_differing("sketch_a", "sketch_b") <= limit)
+        & (_differing("sketch_a", "sketch_b") <= limit) & (F.col("band") == first_band)
     )
     second = cut_lineage(new.select("a", "b").distinct())
     more = confirmed(second, sets, percent)
