@@ -50,6 +50,14 @@ def test_structural_negatives_share_the_bucket(data):
     assert overlap(got, known) == 0
 
 
+def test_structural_negatives_answer_every_pair(spark):
+    jobs = spark.createDataFrame([(i, "t" if i < 40 else "u", "c") for i in range(41)], "job_id int, job_type string, city string")
+    known = spark.createDataFrame([(1, i) for i in range(39)] + [(2, 40)], "user_id int, job_id int")
+    got = {(r["user_id"], r["job_id"]): r["negative_id"] for r in negatives.structural_negatives(known, jobs, known, 3).collect()}
+    # all but one job of the bucket are known; the other user knows its whole bucket
+    assert got == {**{(1, i): 39 for i in range(39)}, (2, 40): None}
+
+
 def test_semantic_and_mixed(spark, data):
     jobs, train, known = data
     job_vectors = jobs.select(F.col("job_id").alias("id"), F.array(F.cos("job_id"), F.sin("job_id")).alias("vector"))
