@@ -54,3 +54,12 @@ def test_stages_stand_odd_rows(spark):
     assert corpus_pipeline.encode(spark, odd, SMALL).count() == odd.count()
     kept = corpus_pipeline.identify_language(spark, odd, SMALL)
     assert kept.where("doc_id >= 5000").count() == 0
+
+
+def test_registration():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "bpe_encoding"]
