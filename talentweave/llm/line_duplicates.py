@@ -133,6 +133,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """(doc_id, row, line_no, near): the lines to go, with false for copies and true for lines one edit from an earlier one."""
     lines = _lines(docs).select("doc_id", "row", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b"))
     first = lines.groupBy("a", "b").agg(F.expr(f"min({PLACE})").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    first = cut_lineage(first)  # so that the join is between two shuffles and a hot line's copies can be split
     copies = lines.join(first, ["a", "b"]).where(F.expr(f"first < {PLACE}")).select("doc_id", "row", "line_no", F.lit(False).alias("near"))
     return copies.union(near_matches(docs, min_chars).select("doc_id", "row", "line_no", F.lit(True)))
 
