@@ -35,7 +35,7 @@ from .frames import by_batch
 
 LEAF = 256
 SPREAD = 1 << 15
-REMEMBER = 300_000
+REMEMBER = 150_000
 BATCH_BYTES = 1 << 22
 END = "</w>"
 
