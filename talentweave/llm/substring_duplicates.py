@@ -152,7 +152,8 @@ def duplicate_spans(docs: DataFrame, size: int = 50) -> DataFrame:
         F.min("doc_id").alias("reference"), F.max("doc_id").alias("last"), (F.min("block") == F.max("block")).alias("agrees")
     )
     # an anchor of one document cannot make any of its windows repeat an earlier one
-    index = index.where("reference <> last").drop("last")
+    # written, so that the join below is between two shuffles and a hot anchor's occurrences can be split
+    index = cut_lineage(index.where("reference <> last").drop("last"))
     met = found.join(index, "anchor").where("not agrees or doc_id > reference")
     met = cut_lineage(met.select("doc_id", "row", "lo", "hi", "anchor", F.when(~F.col("agrees"), F.col("block")).alias("block")))
     span = ("doc_id", "row", "lo", (F.col("hi") + size).alias("hi"))
@@ -161,7 +162,7 @@ def duplicate_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     # an anchor with several blocks: a block's later documents copy it; what its first document shares with the anchor's
     # other blocks is seen window by window
     several = met.where("block is not null")
-    owners = several.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"))
+    owners = cut_lineage(several.groupBy("anchor", "block").agg(F.min("doc_id").alias("first")))
     several = cut_lineage(several.join(owners, ["anchor", "block"]).drop("block"))
     runs = several.where("doc_id = first").groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("runs"))
     edge = cut_lineage(boundary_windows(docs.join(runs, ["doc_id", "row"]).select("row", "doc_id", "text", "runs"), size))
