@@ -3,10 +3,12 @@
 * A text is cut into pre-tokens by the tokenizer's pattern; a leaf holds ``LEAF`` of them, as its number of characters and
   of tokens. A binary tree of sums over the leaves is kept beside the text as one array of (characters, tokens) in heap
   order (root first), so a table of trees is an ordinary Parquet table.
-* An edit replaces ``removed`` characters at ``at`` by a text. The tree leads to the leaf with the last character before
-  the edit; from that leaf's start, a true pre-token boundary, the new text is cut again until a boundary beyond the edit
-  falls on the start of a former leaf. The pattern looks at nothing before a boundary, so from there on every pre-token
-  is as it was: only the region's leaves and the sums above them change.
+* An edit replaces ``removed`` characters at ``at`` by a text. Where a pre-token ends depends on at most ``AHEAD``
+  characters after it: the rest of a white-space run and what follows it, or two letters after an apostrophe. So the tree
+  leads to the leaf with the character ``AHEAD`` before the edit; all pre-tokens before that leaf stay, and from its start
+  the new text is cut again until a boundary beyond the edit falls on the start of a former leaf. The pattern looks at
+  nothing before a boundary, so from there on every pre-token is as it was: only the region's leaves and the sums above
+  them change. A splitting pattern that looks further ahead, or behind, is not supported.
 
 Defined cases: a null text counts as empty (no tokens); edits are applied in the order given, each to the text the one
 before left; positions beyond the text are its end, negative ones its start, a null removal removes nothing, a null
@@ -30,6 +32,7 @@ from .bpe import Merges, byte_symbols
 from .frames import by_batch
 
 LEAF = 64
+AHEAD = 2
 REMEMBER = 300_000
 BATCH_BYTES = 1 << 22
 EDITS = "array<struct<at:bigint,removed:bigint,inserted:string>>"
@@ -121,7 +124,7 @@ class Tree:
         at = min(max(at, 0), len(old))
         removed = min(max(removed, 0), len(old) - at)
         new = old[:at] + inserted + old[at + removed :]
-        leaf, start = self.leaf_at(max(at - 1, 0)) if old else (0, 0)
+        leaf, start = self.leaf_at(max(at - AHEAD, 0)) if old else (0, 0)
         chars = self.nodes[self.width - 1 :, 0]
         shift, ends_at = len(inserted) - removed, at + removed
         # starts of the leaves at or after the edit's end, where the former cut may be met again

@@ -122,6 +122,27 @@ def test_counts_follow_edits(library, documents):
             assert tree.nodes[0, 0] == len(expected)
 
 
+def test_edits_at_leaf_boundaries(library):
+    own = edit_counts.Counter(PATH, public_tokenizers.PATTERN)
+    count = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+    # pairs that a leaf boundary parts, and what follows them
+    parted = [("\n", "\nx"), ("\n\n", " x"), (" \t", "\n1"), ("\n", "\n"), ("'", "rx"), ("'", "vx"), ("'", "s"), ("'", "l"), ("'", "x"), ("x", "'s"), (" ", "'re"), ("\u3000", "\u2003é"), ("!", "!?")]
+    for before, after in parted:
+        for pieces in range(edit_counts.LEAF - 4, edit_counts.LEAF + 1):
+            text = " a" * pieces + before + after + " b" * 200
+            place = 2 * pieces + len(before)
+            for at in range(place - 3, place + 5):
+                for removed in (0, 1, 2):
+                    for inserted in ("", " ", "\n", " inserted ", "x", "e", "l", "'", "1"):
+                        tree = edit_counts.Tree(text, edit_counts.tree_of(own.leaves(text)), own)
+                        tree.edit(at, removed, inserted)
+                        assert tree.text == text[:at] + inserted + text[at + removed :]
+                        assert np.array_equal(tree.nodes[0], own.leaves(tree.text).sum(axis=0)), (text[:place], at, removed, inserted)
+    tree = edit_counts.Tree(" a" * 63 + "\n\nx", edit_counts.tree_of(own.leaves(" a" * 63 + "\n\nx")), own)
+    tree.edit(128, 0, " inserted ")
+    assert tree.tokens == count(tree.text) == 66
+
+
 def test_edits_touch_little(documents):
     own = edit_counts.Counter(PATH, public_tokenizers.PATTERN)
     text = " ".join(f"word{i}" for i in range(40_000))
