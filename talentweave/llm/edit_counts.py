@@ -197,7 +197,8 @@ def trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def edited(kept: DataFrame, path: str, pattern: str) -> DataFrame:
     """``trees`` with a column ``edits`` (array of at, removed, inserted), brought up to date.
 
-    doc_id, text, tree, n_tokens, and n_encoded: the pre-tokens that were cut and encoded again.
+    doc_id, text, tree, n_tokens, n_encoded: the pre-tokens that were cut and encoded again, and n_tokens_given: the
+    tokens before the edits.
     """
     kind = kept.schema["doc_id"].dataType.simpleString()
 
@@ -209,14 +210,15 @@ def edited(kept: DataFrame, path: str, pattern: str) -> DataFrame:
         def rows():
             for i, (doc, text, edits) in enumerate(zip(column, batch.column("text"), batch.column("edits"), strict=True)):
                 tree = Tree(text.as_py(), values[at[i] : at[i + 1]].copy(), own)
+                given = tree.tokens
                 for e in edits.as_py() or ():
                     if e is not None:
                         tree.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
-                yield doc.as_py(), tree.text, _nodes(tree.nodes), tree.tokens, tree.encoded
+                yield doc.as_py(), tree.text, _nodes(tree.nodes), tree.tokens, tree.encoded, given
 
-        yield from _emit(rows(), pa.schema([("doc_id", column.type), ("text", pa.string()), ("tree", _TREE), ("n_tokens", pa.int64()), ("n_encoded", pa.int64())]))
+        yield from _emit(rows(), pa.schema([("doc_id", column.type), ("text", pa.string()), ("tree", _TREE), ("n_tokens", pa.int64()), ("n_encoded", pa.int64()), ("n_tokens_given", pa.int64())]))
 
-    return by_batch(kept.select("doc_id", "text", "tree", "edits"), work, f"doc_id {kind}, text string, tree {TREE}, n_tokens bigint, n_encoded bigint")
+    return by_batch(kept.select("doc_id", "text", "tree", "edits"), work, f"doc_id {kind}, text string, tree {TREE}, n_tokens bigint, n_encoded bigint, n_tokens_given bigint")
 
 
 def with_edits(kept: DataFrame, edits: DataFrame) -> DataFrame:

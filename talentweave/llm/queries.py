@@ -34,7 +34,7 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     edits = F.array(edit(F.floor(size / 3), 7, number), edit(F.floor(2 * size / 3), 0, F.lit(" inserted ")), edit(size + 100, 0, F.concat(F.lit("\n"), number)))
     found = edit_counts.edited(kept.withColumn("edits", edits), path, pattern)
-    return found.select("doc_id", F.col("n_tokens").alias("n_tokens_edited"), "n_encoded", F.length("text").cast("long").alias("n_chars_edited"))
+    return found.select("doc_id", F.col("n_tokens_given").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_encoded", F.length("text").cast("long").alias("n_chars_edited"))
 
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -167,6 +167,20 @@ def test_edit_table(spark, docs, documents, no_docs, library):
     assert edit_counts.trees(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_query_counts_texts_before_and_after(spark, library, tmp_path):
+    given = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 40").collect()}
+    spark.createDataFrame(list(given.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    count = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+    rows = queries.op4_token_counts(spark, str(tmp_path)).collect()
+    assert len(rows) == len(given)
+    for r in rows:
+        text, third = given[r.doc_id], len(given[r.doc_id]) // 3
+        after = text[:third] + str(r.doc_id) + text[third + 7 :]
+        place = min(2 * len(text) // 3, len(after))
+        after = after[:place] + " inserted " + after[place:] + "\n" + str(r.doc_id)
+        assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited) == (count(text), count(after), len(after))
+
+
 def test_words_of_long_rows_are_hashed_in_pieces(monkeypatch):
     import pyarrow as pa
 
