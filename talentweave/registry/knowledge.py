@@ -226,7 +226,7 @@ def pooled_paths(spark, d):
     skills = b.all_jobs(spark, d).select(F.explode("skills").alias("skill")).distinct()
     numbered = dense_index(skills, "skill", "vec_id")
     vectors = numbered.join(b.table(spark, d, "embeddings"), "vec_id").select("skill", F.col("embedding").alias("vector"))
-    rows = _evidence_v2(spark, d).withColumn("gap_skills", F.slice("missing_skills", 1, 10))
+    rows = _evidence_v2(spark, d).withColumn("gap_skills", F.col("missing_skills"))
     pooled = propagation.pooled_paths(rows, vectors, DIM)
     return _by_dimension(pooled.select("user_id", "job_id", F.concat("path_vector", "gap_vector").alias("vector")), "user_id", "job_id")
 

@@ -131,3 +131,16 @@ def test_pair_model_learns_and_levels_default(spark):
     train = spark.createDataFrame([("u", "a"), ("u", "b")], "user_id string, job_id string")
     seen = spark.createDataFrame([("u", "a", 3, 1, "train"), ("u", "a", 2, 2, "train"), ("u", "b", 3, 3, "test")], "user_id string, job_id string, level int, row_index long, split string")
     assert {r["job_id"]: r["level"] for r in rerank.pair_levels(train, seen).collect()} == {"a": 2, "b": 2}
+
+
+def test_pooled_query_takes_all_gaps(spark, monkeypatch):
+    from talentweave.registry import knowledge
+
+    skills = [f"s{i:02d}" for i in range(12)]
+    rows = spark.createDataFrame([(1, 2, [], skills)], "user_id long, job_id long, attention array<struct<skill:string,weight:double>>, missing_skills array<string>")
+    vectors = spark.createDataFrame([(i, [float(i)] * knowledge.DIM) for i in range(12)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(knowledge, "_evidence_v2", lambda spark, d: rows)
+    monkeypatch.setattr(knowledge.b, "all_jobs", lambda spark, d: spark.createDataFrame([(skills,)], "skills array<string>"))
+    monkeypatch.setattr(knowledge.b, "table", lambda spark, d, name: vectors)
+    found = knowledge.pooled_paths(spark, "").where(f"dim >= {knowledge.DIM}").collect()
+    assert len(found) == knowledge.DIM and {r.value for r in found} == {5.5}
