@@ -44,6 +44,38 @@ def test_language_cases(spark, docs, documents, no_docs):
     assert language_id.identified(no_docs, model).count() == 0
 
 
+def skewed_texts(letters, size, n, seed):
+    """Texts in which nearly every pair of letters occurs, the first ones most often."""
+    rng = np.random.default_rng(seed)
+    share = 1 / np.arange(1, len(letters) + 1)
+    return ["".join(rng.choice(list(letters), size, p=share / share.sum())) for _ in range(n)]
+
+
+def test_long_texts_keep_their_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz ,.;:!?"
+    short = [(t, lang) for lang, own in (("x", letters), ("y", letters[::-1])) for t in skewed_texts(own, 1500, 40, 1)]
+    long = [(t, lang) for lang, own in (("x", letters), ("y", letters[::-1])) for t in skewed_texts(own, 600_000, 4, 2)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(short)], "doc_id long, text string, lang string")
+    model = language_id.learned(docs)
+    scores = model.scores(block([t for t, _ in long]))
+    assert [model.languages[i] for i in scores.argmax(axis=1)] == [lang for _, lang in long]
+    assert np.all(np.abs(scores[:, 0] - scores[:, 1]) > 0.5)
+    # a text is the mean of its chunks, whatever block it is in, and no gram between chunks is lost
+    text = block([long[0][0], "abc", "", long[5][0][:30_000]])
+    assert np.allclose(model.scores(text)[3], model.scores(block([long[5][0][:30_000]]))[0], atol=1e-5)
+    owner, pieces = zip(*language_id.chunks(text), strict=True)
+    assert np.bincount(np.concatenate(owner)).tolist() == [30, 1, 1, 2]
+    assert np.array_equal(np.concatenate([language_id.presence(p) for p in pieces])[:30].max(axis=0), language_id.presence(text)[0])
+
+
+def test_languages_of_long_texts_are_learnt(spark):
+    rows = [(i, "short words here " * 20, "x") for i in range(20)] + [(i, "längere wörter ändern " * 2000, "y") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learned(docs)
+    assert model.languages == ["x", "y"]
+    assert language_id.identified(docs, model).where("lang <> lang_pred").count() == 0
+
+
 def test_quality_of_held_out_texts(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     rows = queries.op7_quality_classifier(spark, SMALL).join(labels, "doc_id").where("held_out").collect()
