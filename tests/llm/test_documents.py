@@ -100,6 +100,21 @@ def test_shards(spark, docs, documents, no_docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 1000
 
 
+def test_texts_of_one_prefix_have_cells(spark):
+    names = [None, ""] + [f"https://www.site-{i:03d}.example" for i in range(70)] + ["https://www.é"]
+    rows = [(n, i) for k, n in enumerate(names) for i in range(200 if k == 40 else 1 + k % 5)]
+    df = spark.createDataFrame(rows, "source string, size long").repartition(7)
+    known = sorted(n for n, _ in rows if n is not None)
+    bounds = sorted({known[-(-i * len(known) // 32) - 1] for i in range(1, 32)})
+    assert sharding.cuts(df, ["source"], 5)["source"] == bounds and len(bounds) > 15
+    found = {(r.source, r.curve) for r in sharding.with_curve(df, ["source"]).collect()}
+    cells = {n: sum(b <= n for b in bounds) if n is not None else 0 for n in names}
+    assert found == {(n, int(sharding.hilbert_index(np.array([[c]]), 5)[0])) for n, c in cells.items()}
+    assert len({c for _, c in found}) > 15
+    assert sharding.with_curve(df.limit(0), ["source", "size"]).count() == 0
+    assert {r.curve for r in sharding.with_curve(df.where("source is null"), ["source"]).collect()} == {0}
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(PATH)
