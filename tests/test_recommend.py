@@ -83,3 +83,18 @@ def test_invalid_profiles(spark):
 
 def test_health(tables):
     assert {r["item"]: r["count"] for r in rec.health(*tables).collect()} == {"candidates": 1, "jobs": 2}
+
+
+def test_registered_requests_are_answered_from_whole_stored_rankings(spark, small_dir):
+    from talentweave.registry import knowledge
+
+    stored = [tuple(r) for r in knowledge._stored_whole(spark, small_dir).collect()]
+    places = {}
+    for user, _, rank in stored:
+        places[user] = max(places.get(user, 0), rank)
+    assert any(int(u) % 2 for u in places) and max(places.values()) > 20
+    served = {}
+    for r in knowledge.recommendations(spark, small_dir).where("model = 'graph'").collect():
+        served.setdefault(int(r.request_id[1:]), []).append(r.rank)
+    wanted = {int(u): min(n, max(int(u) % 7 * 20, 1), 100) for u, n in places.items() if int(u) % 5 == 1 and int(u) % 11 != 10}
+    assert {k: len(v) for k, v in served.items()} == wanted and max(wanted.values()) > 20 and any(k % 2 for k in wanted)
