@@ -23,7 +23,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import by_batch
+from .frames import by_batch, kept
 
 LEAF = 256
 SPREAD = 1 << 15
@@ -221,9 +220,8 @@ def leaves(symbols: list[int]) -> list[list[int]]:
     return pieces
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return kept(("bpe", path), lambda: Vocabulary(path))
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:

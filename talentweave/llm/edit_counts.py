@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merges, byte_symbols
-from .frames import by_batch
+from .frames import by_batch, kept
 
 LEAF = 64
 AHEAD = 2
@@ -75,9 +74,8 @@ class Counter(Merges):
         return np.stack([np.add.reduceat(sizes, starts), np.add.reduceat(counts, starts)], axis=1)
 
 
-@lru_cache(maxsize=2)
 def counter(path: str, pattern: str) -> Counter:
-    return Counter(path, pattern)
+    return kept(("edit_counts", path, pattern), lambda: Counter(path, pattern))
 
 
 def tree_of(leaves: np.ndarray) -> np.ndarray:

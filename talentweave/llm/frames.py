@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,3 +34,11 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordB
 def ordered_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, the first by a hash of ``key``: a sample that doesn't depend on partitions."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def kept(key: tuple, build: Callable[[], Any]) -> Any:
+    """``build()``, once per worker process. Functions travel by value, so a module's own table would be new in every task."""
+    store = sys.__dict__.setdefault("_talentweave_kept", {})
+    if key not in store:
+        store[key] = build()
+    return store[key]
