@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, edit_counts, language_id, line_duplicates, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates
+from . import bpe, decontamination, edit_counts, language_id, line_duplicates, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates, token_files
 from .frames import held_out, table
 
 
@@ -69,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_labelling.judged(docs, line_labelling.learned(docs, table(spark, folder, "labels")))
 
 
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_file_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,5 +86,6 @@ QUERIES = {
         op8_language_id,
         op9_sharding,
         op10_quality_rules,
+        op12_token_files,
     )
 }
