@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, edit_counts, language_id, line_duplicates, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates, token_files
+from . import bpe, conversation_repair, decontamination, edit_counts, language_id, line_duplicates, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates, token_files
 from .frames import held_out, table
 
 
@@ -69,6 +69,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_labelling.judged(docs, line_labelling.learned(docs, table(spark, folder, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(given), given)
+
+
 def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_file_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -86,6 +91,7 @@ QUERIES = {
         op8_language_id,
         op9_sharding,
         op10_quality_rules,
+        op11_conversation_repair,
         op12_token_files,
     )
 }

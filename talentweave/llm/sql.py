@@ -58,9 +58,65 @@ FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM seen GROUP BY doc_
 LEFT JOIN (SELECT doc_id, count(*) FILTER (NOT near) AS n_copies, count(*) FILTER (near) AS n_near,
   string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS places FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id"""
 
+# states of a conversation: nothing yet, after system, user, assistant; the state a new or reroled row leads to; its role
+_EXPECTED = {"st": "us", "sy": "us", "us": "ai", "ai": "us"}
+_KEPT = {"st": {"s": "sy", "u": "us"}, "sy": {"u": "us"}, "us": {"a": "ai"}, "ai": {"u": "us"}}
+_ROLES = {"us": "user", "ai": "assistant"}
+
+
+def _before(rest: str, cost: str, letter: str, line: str) -> str:
+    """An edit in front of ``rest``, a struct of cost, audit and repaired lines; such structs compare in this order."""
+    return f"{{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 'b': {line} || {rest}.b}}"
+
+
+def _edits(q: str) -> str:
+    """The best of deleting, keeping and reroling row x in state q, by what p says of the rows after it."""
+    keep = " ".join(f"WHEN '{initial}' THEN {_before('p.' + to, 'x.extra', 'K', 'x.line')}" for initial, to in _KEPT[q].items())
+    rerole = _before("p." + _EXPECTED[q], "1 + x.extra", "R", f"'{_ROLES[_EXPECTED[q]]}:' || x.text || chr(10)")
+    delete = _before("p." + q, "2", "D", "''")
+    return f"CASE WHEN x.gone THEN {delete} ELSE list_min([{delete}, {rerole}, CASE x.initial {keep} END]) END"
+
+
+def _insert(q: str, suffix: str) -> str:
+    return f"list_min([{q}, {_before(_EXPECTED[q] + suffix, '5', 'I', chr(39) + _ROLES[_EXPECTED[q]] + ':' + chr(39) + ' || chr(10)')}])"
+
+
+_STEP = ", ".join(f"{_edits(q)} AS {q}" for q in _EXPECTED)
+_ONE_MORE = ", ".join(f"{_insert(q, '')} AS {q}_1" for q in _EXPECTED)
+_TWO_MORE = ", ".join(f"CASE WHEN gone THEN {q} ELSE {_insert(q, '_1')} END AS {q}" for q in _EXPECTED)
+
+CONVERSATIONS = rf"""
+WITH RECURSIVE crcs AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k FROM conversations),
+drawn AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(k, lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda r, b: xor(r >> 8, t[(xor(r, b) & 255) + 1])), 4294967295) % 20 AS fault FROM keyed, crcs),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
+placed AS (SELECT conv_id, turn, role, text, left(role, 1) AS initial, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS prior,
+  regexp_replace(text, '[ 	-
+]+$', '') AS ends
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+faults AS (SELECT *, ends = '' AS blank, ends <> '' AND said > 1 AS dup, ends <> '' AND said = 1 AND right(ends, 1) NOT IN ('.', '!', '?') AS cut
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS said FROM placed)),
+live AS (SELECT conv_id, i, initial, text, blank OR dup AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS extra, role || ':' || text || chr(10) AS line FROM faults),
+best AS (SELECT conv_id, max(i) + 1 AS i, {{'c': 0, 'a': '', 'b': ''}} AS st, {{'c': 10, 'a': 'II', 'b': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS sy,
+    {{'c': 5, 'a': 'I', 'b': 'assistant:' || chr(10)}} AS us, {{'c': 0, 'a': '', 'b': ''}} AS ai FROM live GROUP BY conv_id
+  UNION ALL SELECT conv_id, i, {_TWO_MORE} FROM (SELECT *, {_ONE_MORE} FROM (
+    SELECT p.conv_id, x.i, x.gone, {_STEP} FROM best p JOIN live x ON x.conv_id IS NOT DISTINCT FROM p.conv_id AND x.i = p.i - 1))),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (cut) AS truncated, count(*) FILTER (prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT g.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, CAST(coalesce(b.st.c, 0) AS BIGINT) AS cost, coalesce(b.st.a, '') AS audit,
+  sha256(coalesce(left(b.st.b, length(b.st.b) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM g.conv_id AND b.i = 1"""
+
 SQL: dict[str, str] = {
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op3_minhash_near_dedup": NEAR_DUPLICATES,
     "op5_substring_dedup": SUBSTRINGS,
     "op6_line_dedup": LINES,
+    "op11_conversation_repair": CONVERSATIONS,
 }
