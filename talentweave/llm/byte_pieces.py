@@ -1,8 +1,8 @@
 """Ids of whole texts by a byte-level tokenizer file: cut by its pattern, each distinct piece encoded once by the library.
 
 A text of a byte-level BPE is cut into pieces by a pattern, and no merge crosses a piece, so a piece has the same ids in
-every text. ``PieceEncoder`` keeps a bounded table of pieces; what is not in it goes through the model of the tokenizers
-library. Ids are 16 bits wide here.
+every text. ``PieceEncoder`` keeps a bounded table of pieces in two generations, so that pieces in use outlast those met once;
+what is in neither goes through the model of the tokenizers library. Ids are 16 bits wide here.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ class PieceEncoder:
         self.special = {t.content: np.array([i], "<u2").tobytes() for i, t in library.get_added_tokens_decoder().items()} if special else {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
@@ -55,11 +56,12 @@ class PieceEncoder:
             return b"".join(map(memory.__getitem__, found))
         except KeyError:
             if len(memory) > REMEMBER:
-                memory.clear()
+                self.older, self.memory = memory, {}
+                memory = self.memory
             out = []
             for piece in found:
                 if (ids := memory.get(piece)) is None:
-                    ids = self.piece(piece)
+                    ids = self.older.get(piece) or self.piece(piece)
                     if len(piece) <= LONG:
                         memory[piece] = ids
                 out.append(ids)
