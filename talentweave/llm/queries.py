@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, decontamination, edit_counts, language_id, line_duplicates, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates, token_files
+from . import bpe, conversation_repair, decontamination, edit_counts, language_id, line_duplicates, line_labelling, near_duplicates, quality_classifier, sharding, substring_duplicates, token_alignment, token_files
 from .frames import held_out, table
 
 
@@ -78,6 +78,10 @@ def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_file_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,5 +97,6 @@ QUERIES = {
         op10_quality_rules,
         op11_conversation_repair,
         op12_token_files,
+        op13_token_alignment,
     )
 }
