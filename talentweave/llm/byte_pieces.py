@@ -20,16 +20,26 @@ REMEMBER = 400_000
 LONG = 64
 
 # fixed values: the splitting pattern of the tokenizer file, and its letters, numbers and white space below U+0250
-_FULL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_FULL = regex.compile(PATTERN)
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+def narrowness(text: str) -> int:
+    """0 for an ASCII text, 1 for one below U+0250, else 2; of two texts together, the greater of theirs."""
+    return 0 if text.isascii() else 1 if max(text) < "ɐ" else 2
+
+
+def splitter(narrowness: int):
+    """The quickest of the patterns that cut a text of this narrowness alike."""
+    return (_ASCII, _LATIN, _FULL)[narrowness]
+
+
 def pieces(text: str) -> list[str]:
     """The text's pieces, in order; together they are the text."""
-    quick = _ASCII if text.isascii() else _LATIN if max(text) < "ɐ" else _FULL
-    return quick.findall(text)
+    return splitter(narrowness(text)).findall(text)
 
 
 class PieceEncoder:

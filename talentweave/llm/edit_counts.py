@@ -9,6 +9,8 @@
   the new text is cut again until a boundary beyond the edit falls on the start of a former leaf. The pattern looks at
   nothing before a boundary, so from there on every pre-token is as it was: only the region's leaves and the sums above
   them change. A splitting pattern that looks further ahead, or behind, is not supported.
+* The region's pre-tokens go into one leaf. Once they are more than ``HEAVY``, they are dealt to new leaves and the sums
+  are built anew, without encoding anything again. A single long pre-token stays one leaf, whatever its length.
 
 Defined cases: a null text counts as empty (no tokens); edits are applied in the order given, each to the text the one
 before left; positions beyond the text are its end, negative ones its start, a null removal removes nothing, a null
@@ -27,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import byte_pieces
 from .bpe import Merges, byte_symbols
 from .frames import by_batch, kept
 
-LEAF = 64
+LEAF = 16
+HEAVY = 8 * LEAF
 AHEAD = 2
 REMEMBER = 300_000
 BATCH_BYTES = 1 << 22
@@ -51,27 +55,44 @@ class Counter(Merges):
             self.merge[ids[a], ids[b]] = (rank, ids[a + b])
         self.bytes = [ids[s] for s in byte_symbols()]
         self.pattern = regex.compile(pattern)
+        self.known_pattern = pattern == byte_pieces.PATTERN
         self.memory: dict[str, int] = {}
-
-    def tokens(self, piece: str) -> int:
-        found = self.memory.get(piece)
-        if found is None:
-            if len(self.memory) >= REMEMBER:
-                self.memory.clear()
-            found = len(self.merged([self.bytes[b] for b in piece.encode()]))
-            if len(piece) <= 40:
-                self.memory[piece] = found
-        return found
+        self.older: dict[str, int] = {}
+
+    def narrowness(self, text: str) -> int:
+        return byte_pieces.narrowness(text) if self.known_pattern else 2
+
+    def splitter(self, narrowness: int):
+        return byte_pieces.splitter(narrowness) if self.known_pattern else self.pattern
+
+    def tokens(self, pieces: list[str]) -> list[int]:
+        """Tokens of each pre-token."""
+        try:
+            return list(map(self.memory.__getitem__, pieces))
+        except KeyError:
+            if len(self.memory) >= REMEMBER:  # pre-tokens still in use come back from the older table
+                self.older, self.memory = self.memory, {}
+            out = []
+            for piece in pieces:
+                found = self.memory.get(piece)
+                if found is None:
+                    found = self.older.get(piece) or len(self.merged([self.bytes[b] for b in piece.encode()]))
+                    if len(piece) <= 40:
+                        self.memory[piece] = found
+                out.append(found)
+            return out
 
     def leaves(self, text: str) -> np.ndarray:
         """leaves x (characters, tokens)."""
-        pieces = self.pattern.findall(text)
+        pieces = self.splitter(self.narrowness(text)).findall(text)
         if not pieces:
             return np.zeros((1, 2), np.int64)
-        starts = np.arange(0, len(pieces), LEAF)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        counts = np.fromiter(map(self.tokens, pieces), np.int64, len(pieces))
-        return np.stack([np.add.reduceat(sizes, starts), np.add.reduceat(counts, starts)], axis=1)
+        return leaf_sums(list(map(len, pieces)), self.tokens(pieces))
+
+
+def leaf_sums(sizes: list[int], counts: list[int]) -> np.ndarray:
+    """(characters, tokens) of each ``LEAF`` pre-tokens."""
+    return np.add.reduceat(np.array([sizes, counts], np.int64), np.arange(0, len(sizes), LEAF), axis=1).T
 
 
 def counter(path: str, pattern: str) -> Counter:
@@ -92,7 +113,7 @@ class Tree:
 
     def __init__(self, text: str, nodes: np.ndarray, counter: Counter):
         self.text, self.nodes, self.counter, self.encoded = text, nodes, counter, 0
-        self.width = (len(nodes) + 1) // 2
+        self.width, self.narrowness = (len(nodes) + 1) // 2, counter.narrowness(text)
 
     @property
     def tokens(self) -> int:
@@ -118,60 +139,69 @@ class Tree:
             node = (node - 1) // 2
 
     def edit(self, at: int, removed: int, inserted: str) -> None:
-        old = self.text
+        old, width = self.text, self.width
         at = min(max(at, 0), len(old))
         removed = min(max(removed, 0), len(old) - at)
         new = old[:at] + inserted + old[at + removed :]
+        if inserted:
+            self.narrowness = max(self.narrowness, self.counter.narrowness(inserted))
         leaf, start = self.leaf_at(max(at - AHEAD, 0)) if old else (0, 0)
-        chars = self.nodes[self.width - 1 :, 0]
+        chars = self.nodes[width - 1 :, 0].tolist()
         shift, ends_at = len(inserted) - removed, at + removed
         # starts of the leaves at or after the edit's end, where the former cut may be met again
         last, old_end = leaf, start
-        while last < self.width and old_end < ends_at:
-            old_end += int(chars[last])
+        while last < width and old_end < ends_at:
+            old_end += chars[last]
             last += 1
-        total = tokens = 0
-        where, done = start, False
-        for match in self.counter.pattern.finditer(new, start):
-            while last < self.width and old_end + shift < where:
-                old_end += int(chars[last])
-                last += 1
-            if last > leaf and old_end >= ends_at and old_end + shift == where and where < len(new):
-                done = True
-                break
+        cut, where, goal, done = [], start, -1, False
+        for match in self.counter.splitter(self.narrowness).finditer(new, start):
+            if where >= goal:
+                while last < width and old_end + shift < where:
+                    old_end += chars[last]
+                    last += 1
+                goal = old_end + shift
+                if goal == where and last > leaf and old_end >= ends_at and where < len(new):
+                    done = True
+                    break
             where = match.end()
-            total += len(match.group())
-            tokens += self.counter.tokens(match.group())
-            self.encoded += 1
+            cut.append(match.group())
         if not done:
-            last = self.width
+            last = width
+        sizes, counts = list(map(len, cut)), self.counter.tokens(cut)
+        self.encoded += len(cut)
         self.text = new
-        self.put(leaf, (total, tokens))
+        if len(cut) > HEAVY:
+            leaves = self.nodes[width - 1 :]
+            leaves = np.concatenate([leaves[:leaf], leaf_sums(sizes, counts), leaves[last:]])
+            self.nodes = tree_of(leaves[leaves[:, 0] > 0])
+            self.width = (len(self.nodes) + 1) // 2
+            return
+        self.put(leaf, (sum(sizes), sum(counts)))
         for i in range(leaf + 1, last):
-            if self.nodes[i + self.width - 1].any():
+            if chars[i]:
                 self.put(i, (0, 0))
-        if total > 4096 + 64 * LEAF:  # a long insertion made one leaf too heavy to be cut again each time
-            self.nodes = tree_of(self.counter.leaves(new))
-            self.width = (len(self.nodes) + 1) // 2
 
 
-def _emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], names: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text, nodes, numbers ...) of bounded size."""
+
+    def batch():
+        docs, texts, trees, *numbers = zip(*held, strict=True)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in trees])]).astype(np.int32)
+        nodes = np.concatenate(trees)
+        values = pa.StructArray.from_arrays([pa.array(nodes[:, 0].copy()), pa.array(nodes[:, 1].copy())], ["chars", "tokens"])
+        columns = [pa.array(docs, kind), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), values), *(pa.array(c, pa.int64()) for c in numbers)]
+        return pa.RecordBatch.from_arrays(columns, names)
+
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += 4 * len(row[1]) + 24 * len(row[2])
+        size += 4 * len(row[1]) + 16 * len(row[2])
         if size > BATCH_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            yield batch()
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-
-def _nodes(tree: np.ndarray) -> list[dict]:
-    return [{"chars": c, "tokens": t} for c, t in tree.tolist()]
-
-
-_TREE = pa.list_(pa.struct([("chars", pa.int64()), ("tokens", pa.int64())]))
+        yield batch()
 
 
 def trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -182,12 +212,12 @@ def trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own, column = counter(path, pattern), batch.column("doc_id")
 
         def rows():
-            for doc, text in zip(column, batch.column("text"), strict=True):
+            for doc, text in zip(column.to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py() or ""
                 tree = tree_of(own.leaves(text))
-                yield doc.as_py(), text, _nodes(tree), int(tree[0, 1])
+                yield doc, text, tree, int(tree[0, 1])
 
-        yield from _emit(rows(), pa.schema([("doc_id", column.type), ("text", pa.string()), ("tree", _TREE), ("n_tokens", pa.int64())]))
+        yield from _batches(rows(), ["doc_id", "text", "tree", "n_tokens"], column.type)
 
     return by_batch(docs.select("doc_id", "text"), work, f"doc_id {kind}, text string, tree {TREE}, n_tokens bigint")
 
@@ -206,15 +236,15 @@ def edited(kept: DataFrame, path: str, pattern: str) -> DataFrame:
         values = np.stack([stored.values.field(c).to_numpy() for c in ("chars", "tokens")], axis=1)
 
         def rows():
-            for i, (doc, text, edits) in enumerate(zip(column, batch.column("text"), batch.column("edits"), strict=True)):
+            for i, (doc, text, edits) in enumerate(zip(column.to_pylist(), batch.column("text"), batch.column("edits"), strict=True)):
                 tree = Tree(text.as_py(), values[at[i] : at[i + 1]].copy(), own)
                 given = tree.tokens
                 for e in edits.as_py() or ():
                     if e is not None:
                         tree.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
-                yield doc.as_py(), tree.text, _nodes(tree.nodes), tree.tokens, tree.encoded, given
+                yield doc, tree.text, tree.nodes, tree.tokens, tree.encoded, given
 
-        yield from _emit(rows(), pa.schema([("doc_id", column.type), ("text", pa.string()), ("tree", _TREE), ("n_tokens", pa.int64()), ("n_encoded", pa.int64()), ("n_tokens_given", pa.int64())]))
+        yield from _batches(rows(), ["doc_id", "text", "tree", "n_tokens", "n_encoded", "n_tokens_given"], column.type)
 
     return by_batch(kept.select("doc_id", "text", "tree", "edits"), work, f"doc_id {kind}, text string, tree {TREE}, n_tokens bigint, n_encoded bigint, n_tokens_given bigint")
 

@@ -166,6 +166,26 @@ def test_edits_touch_little(documents):
     assert tree.encoded <= 4 * edit_counts.LEAF
 
 
+def test_long_words_stay_leaves(library):
+    own = edit_counts.Counter(PATH, public_tokenizers.PATTERN)
+    text = "word " * 80_000 + "x" * 20_000 + " tail" * 100
+    tree = edit_counts.Tree(text, edit_counts.tree_of(own.leaves(text)), own)
+    count = lambda: len(library.encode(tree.text, add_special_tokens=False).ids)
+    for at in (400_100, 405_000, 410_000, 419_990, 399_999):
+        tree.edit(at, 0, "y")
+    assert tree.tokens == count() and tree.encoded <= 5 * 3 * edit_counts.LEAF
+    # a long insertion is dealt to leaves of its own, and later edits touch little of it
+    tree.edit(1000, 3, "new words here " * 2000)
+    before = tree.encoded
+    for at in (1500, 9000, 20_000):
+        tree.edit(at, 2, "é!")
+    assert tree.tokens == count() and tree.encoded - before <= 3 * 4 * edit_counts.LEAF
+    tree.edit(0, len(tree.text), "")
+    assert tree.tokens == 0 and tree.text == ""
+    tree.edit(0, 0, "again " * 500)
+    assert tree.tokens == count()
+
+
 def test_edit_table(spark, docs, documents, no_docs, library):
     kept = edit_counts.trees(docs, PATH, public_tokenizers.PATTERN)
     edits = spark.createDataFrame([(3, 1, 10, 5, "abc"), (3, 0, 0, 0, "start "), (7, 0, 999_999, 9, " end"), (1001, 0, 0, 4, "x y"), (8, 0, None, None, None), (None, 0, 1, 1, "z")], "doc_id long, seq int, at int, removed int, inserted string")
