@@ -83,3 +83,22 @@ def test_passages_met_in_different_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for size in (50, 20):
         same(substring_duplicates.without_repeats(docs, size), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.substring(rows, size))
+
+
+def test_factors_name_equal_words_of_earlier_documents(spark, docs, documents):
+    keyed = docs.select("doc_id", "text").withColumn("row", F.crc32(F.col("text").cast("binary")))
+    texts = {}
+    for doc, text in documents:
+        texts.setdefault(doc, []).append(brute.BLANK.findall(text or ""))
+    found = substring_duplicates.factors(keyed).join(keyed, ["doc_id", "row"]).collect()
+    assert len(found) > 10
+    for r in found:
+        words = brute.BLANK.findall(r.text)
+        for s in r.spans:
+            assert s.reference < r.doc_id and s.hi - s.lo >= 50
+            assert words[s.lo : s.hi] in [w[s.reference_lo : s.reference_lo + s.hi - s.lo] for w in texts[s.reference]]
+    # a whole copy is one factor, however many blocks it has
+    base = [f"b{i}" for i in range(2000)]
+    copies = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(["x"] * 9 + base)), (3, "y " + " ".join(base[100:]))], "doc_id long, text string")
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in substring_duplicates.factors(copies.withColumn("row", F.crc32(F.col("text").cast("binary")))).collect()}
+    assert spans[2] == [(9, 2009, 1, 0)] and spans[3] == [(1, 1901, 1, 100)]
