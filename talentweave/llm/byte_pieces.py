@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from .bpe import byte_symbols
 from .frames import kept
 
-REMEMBER = 400_000
+REMEMBER = 250_000
 LONG = 64
 
 # fixed values: the splitting pattern of the tokenizer file, and its letters, numbers and white space below U+0250

@@ -33,7 +33,7 @@ from .bpe import byte_symbols
 from .byte_pieces import encoder
 from .frames import by_batch, kept
 
-BLOCK_DOCS, BLOCK_BYTES = 8192, 1 << 23  # a longer text is a block of its own
+BLOCK_DOCS, BLOCK_BYTES = 8192, 3 << 20  # a longer text is a block of its own
 WIDE = 256  # links of a group from which on its distinct ids are counted instead
 _DENSE = 16  # a posting with more than one document in so many is stored as bits
 
