@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_text
-from ..session import broadcast_if_small, cut_lineage, spread
+from ..session import broadcast_if_small, cut_lineage, spread, written
 from .ordering import top_per_group
+from .pruning import Pruned, pruned_candidates
 from .topk import SCORE_DIGITS, blocked_topk, sparse_product
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -32,7 +33,8 @@ def tokens_table(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(id, term, tf)."""
-    exploded = tokens.select("id", F.explode("tokens").alias("term"))
+    # the outer generator: a plain one makes the optimizer test the array first, which runs the tokenizer once more
+    exploded = tokens.select("id", F.explode_outer("tokens").alias("term")).where("term is not null")
     return exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -47,7 +49,7 @@ def term_statistics(tokens: DataFrame) -> DataFrame:
     """(term, df, tf): documents with the term and its occurrences; only sums per term are shuffled."""
     once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t")))
     each = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t")))
-    rows = tokens.select(F.inline(F.concat(once, each)))
+    rows = tokens.select(F.inline_outer(F.concat(once, each))).where("term is not null")
     return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("tf"))
 
 
@@ -60,23 +62,21 @@ def bm25_idf(documents: Column, df: Column) -> Column:
     return F.log(1.0 + (documents - df + 0.5) / (df + 0.5))
 
 
-def bm25_postings(tokens: DataFrame, wanted_terms: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(id, term, weight): BM25 weight of every term of every document.
+def bm25_postings(tokens: DataFrame, wanted_terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(term, job_id, block, low, high): BM25 weights of the documents' terms that occur in ``wanted_terms``.
 
-    ``wanted_terms`` restricts the postings to terms that occur in some query; all other terms add
-    nothing to any score. Document counts and lengths still cover the whole corpus.
+    All other terms add nothing to any score; document counts and lengths still cover the whole corpus. ``tokens`` is read
+    twice: pass a written table. Blocks hold documents of like length, in which a term's weights differ little.
     """
-    rows = tokens.select("id", F.greatest(F.lit(1), F.size("tokens")).alias("length"), F.explode("tokens").alias("term"))
-    if wanted_terms is not None:
-        rows = rows.join(broadcast_if_small(wanted_terms.select("term").distinct()), "term", "left_semi")
-    counts = rows.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_statistics(tokens)
-    frequency = document_frequency(counts).select(
-        "term", bm25_idf(stats.select("documents").scalar(), F.col("df")).alias("idf")
-    )
-    norm = k1 * (1.0 - b + b * F.col("length") / stats.select("average_length").scalar())
+    rows = tokens.select("id", F.greatest(F.lit(1), F.size("tokens")).alias("length"), F.explode_outer("tokens").alias("term"))
+    rows = rows.where("term is not null").join(broadcast_if_small(wanted_terms.select("term").distinct()), "term", "left_semi")
+    counts = cut_lineage(rows.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    stats = corpus_statistics(tokens).select(F.struct("documents", "average_length")).scalar()
+    frequency = document_frequency(counts).select("term", bm25_idf(stats["documents"], F.col("df")).alias("idf"))
+    norm = k1 * (1.0 - b + b * F.col("length") / stats["average_length"])
     weight = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)
-    return counts.join(frequency, "term").select("id", "term", weight.alias("weight"))
+    block = F.floor(4 * F.log2("length")).cast("int")
+    return counts.join(frequency, "term").select("term", F.col("id").alias("job_id"), block.alias("block"), weight.alias("low"), weight.alias("high"))
 
 
 def _vectors(ids: DataFrame, entries: DataFrame) -> DataFrame:
@@ -95,20 +95,81 @@ def bm25_rankings(
 ) -> DataFrame:
     """(user_id, job_id, score, rank) from two token tables (id, tokens): the ``topn`` best with a common term.
 
-    A repeated query term counts as often as it occurs; pass distinct tokens for the variant in which
-    neither side counts repeats. Query terms meet the postings on the term itself, a frequent term's postings are split
-    by the engine's skew join, and a document's partial scores are summed before and after the shuffle. Scores are
-    compared to 9 digits, so that equal texts tie and go by id.
+    A repeated query term counts as often as it occurs; pass distinct tokens for the variant in which neither side counts
+    repeats. Texts are cut into tokens once. Frequent terms are only met for documents that they can lift into the result
+    (``pruning``). Scores are compared to 9 digits, so that equal texts tie and go by id.
     """
-    asked = cut_lineage(term_counts(queries).select("id", "term", F.col("tf").cast("double").alias("times")))
-    postings = bm25_postings(documents, asked, k1, b).withColumnRenamed("id", "job_id")
-    met = asked.withColumnRenamed("id", "user_id").join(postings, "term")
-    scored = met.groupBy("user_id", "job_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), SCORE_DIGITS).alias("score"))
-    if exclude is not None:
-        scored = scored.join(exclude.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
+    found, postings = _bm25_candidates(queries, documents, topn, exclude, k1, b)
+    # what the lists that were left out add to the candidates: each pair of term and document is one posting
+    more = found.candidates.select("user_id", "job_id").join(found.left_out, "user_id").join(postings, ["term", "job_id"])
+    parts = found.candidates.select("user_id", "job_id", F.col("low").alias("part")).union(
+        more.select("user_id", "job_id", F.col("times") * F.col("low"))
+    )
+    scored = parts.groupBy("user_id", "job_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
     return top_per_group(scored.where("score > 0"), ["user_id"], [F.desc("score"), F.asc("job_id")], topn)
 
 
+def _bm25_candidates(queries, documents, topn, exclude, k1, b) -> tuple[Pruned, DataFrame]:
+    asked = cut_lineage(term_counts(queries).select(F.col("id").alias("user_id"), "term", F.col("tf").cast("double").alias("times")))
+    postings = cut_lineage(bm25_postings(written(documents.select("id", "tokens"), "tokens"), asked, k1, b))
+    return pruned_candidates(asked, postings, topn, exclude), postings
+
+
+def bm25_pairs_met(queries: DataFrame, documents: DataFrame, topn: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(user_id, pairs, read, candidates, looked_up): postings of a query's terms, those its ranking reads in full, the
+    documents it completes, and the terms it looks up for them."""
+    found, _ = _bm25_candidates(queries, documents, topn, None, k1, b)
+    read, left = (F.when(c, F.col("entries")).otherwise(0) for c in (F.col("step") < 3, F.col("step") == 3))
+    lists = found.lists.groupBy("user_id").agg(F.sum("entries").alias("pairs"), F.sum(read).alias("read"), F.count(F.when(left > 0, 1)).alias("_left"))
+    completed = found.candidates.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates"))
+    both = lists.join(completed, "user_id", "left").fillna(0, ["candidates"])
+    return both.select("user_id", "pairs", "read", "candidates", (F.col("candidates") * F.col("_left")).alias("looked_up"))
+
+
+def _vectors(ids: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, keys, weights) for every id, empty where it has no entry; entries hold (id, key, weight)."""
+    listed = entries.groupBy("id").agg(F.collect_list(F.struct("key", "weight")).alias("_e"))
+    return ids.select("id").join(listed, "id", "left").select(
+        "id",
+        F.coalesce("_e.key", F.array().cast("array<bigint>")).alias("keys"),
+        F.coalesce("_e.weight", F.array().cast("array<double>")).alias("weights"),
+    )
+
+
+def bm25_rankings(
+    queries: DataFrame, documents: DataFrame, topn: int, exclude: DataFrame | None = None, k1: float = K1,
+    b: float = B,
+) -> DataFrame:
+    """(user_id, job_id, score, rank) from two token tables (id, tokens): the ``topn`` best with a common term.
+
+    A repeated query term counts as often as it occurs; pass distinct tokens for the variant in which neither side counts
+    repeats. Texts are cut into tokens once. Frequent terms are only met for documents that they can lift into the result
+    (``pruning``). Scores are compared to 9 digits, so that equal texts tie and go by id.
+    """
+    found, postings = _bm25_candidates(queries, documents, topn, exclude, k1, b)
+    # what the lists that were left out add to the candidates: each pair of term and document is one posting
+    more = found.candidates.select("user_id", "job_id").join(found.left_out, "user_id").join(postings, ["term", "job_id"])
+    parts = found.candidates.select("user_id", "job_id", F.col("low").alias("part")).union(
+        more.select("user_id", "job_id", F.col("times") * F.col("low"))
+    )
+    scored = parts.groupBy("user_id", "job_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+    return top_per_group(scored.where("score > 0"), ["user_id"], [F.desc("score"), F.asc("job_id")], topn)
+
+
+def _bm25_candidates(queries, documents, topn, exclude, k1, b) -> tuple[Pruned, DataFrame]:
+    asked = cut_lineage(term_counts(queries).select(F.col("id").alias("user_id"), "term", F.col("tf").cast("double").alias("times")))
+    postings = cut_lineage(bm25_postings(written(documents.select("id", "tokens"), "tokens"), asked, k1, b))
+    return pruned_candidates(asked, postings, topn, exclude), postings
+
+
+def bm25_pairs_met(queries: DataFrame, documents: DataFrame, topn: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(user_id, pairs, read, candidates): postings of a query's terms, those its ranking reads in full, and its candidates."""
+    found, _ = _bm25_candidates(queries, documents, topn, None, k1, b)
+    read = F.sum(F.when(F.col("step") < 3, F.col("entries")).otherwise(0))
+    lists = found.lists.groupBy("user_id").agg(F.sum("entries").alias("pairs"), read.alias("read"))
+    return lists.join(found.candidates.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates")), "user_id", "left").fillna(0, ["candidates"])
+
+
 def job_document(title: Column, text: Column) -> Column:
     """Second-generation document: the title twice, then the text (which starts with the title)."""
     return F.concat(title, F.lit(" "), title, F.lit(" "), text)

@@ -129,12 +129,13 @@ def gate_summary(gate: SkillGate, reference: DataFrame) -> DataFrame:
 
 def user_tags(users: DataFrame, experience: str = "experience") -> DataFrame:
     """(user_id, pos, tag) rows of a tag field."""
-    return users.select("user_id", F.posexplode(split_tags(F.col(experience))).alias("pos", "tag"))
+    return users.select("user_id", F.posexplode_outer(split_tags(F.col(experience))).alias("pos", "tag")).where("tag is not null")
 
 
-def build_vocabulary(tags: DataFrame, min_count: int = 2, gate: SkillGate | None = None,
-                     reference: DataFrame | None = None) -> DataFrame:
-    """(skill, skill_id, freq): tags of at least ``min_count`` rows that pass the gate, ids in lexicographic order.
+def weighted_vocabulary(tags: DataFrame, min_count: int = 2, gate: SkillGate | None = None,
+                        reference: DataFrame | None = None) -> DataFrame:
+    """(skill, skill_id, freq, weight): tags of at least ``min_count`` rows that pass the gate, with its weight; ids in
+    lexicographic order.
 
     The gate judges each distinct frequent tag once.
     """
@@ -142,8 +143,16 @@ def build_vocabulary(tags: DataFrame, min_count: int = 2, gate: SkillGate | None
     frequent = frequent.where(F.col("freq") >= min_count)
     if gate is not None and gate.enabled:
         frequent = gate_decisions(frequent, gate, reference).where("keep")
-    numbered = global_position(frequent.select(F.col("token").alias("skill"), "freq"), ["skill"], "skill_id")
-    return numbered.select("skill", F.col("skill_id").cast("int").alias("skill_id"), "freq")
+    else:
+        frequent = frequent.withColumn("weight", F.lit(1.0))
+    numbered = global_position(frequent.select(F.col("token").alias("skill"), "freq", "weight"), ["skill"], "skill_id")
+    return numbered.select("skill", F.col("skill_id").cast("int").alias("skill_id"), "freq", "weight")
+
+
+def build_vocabulary(tags: DataFrame, min_count: int = 2, gate: SkillGate | None = None,
+                     reference: DataFrame | None = None) -> DataFrame:
+    """(skill, skill_id, freq): the vocabulary without the gate's weights."""
+    return weighted_vocabulary(tags, min_count, gate, reference).drop("weight")
 
 
 def ids_of_tags(tags: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions import fields, text
 from ..operators import lexical, vocabulary
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, spread, written
 from .matching import _ranked
 
 MIN_DOCUMENTS = 5
@@ -44,6 +44,12 @@ def bm25_ranking_top_10(spark, d):
     return _ranked(lexical.bm25_rankings(queries, _tokens(spark, d, "documents", "doc_id", False), 10))
 
 
+def bm25_pairs_met(spark, d):
+    """Postings of each query's terms and how many of them a ranking of ten places reads."""
+    queries = _tokens(spark, d, "benchmark", "item_id", False)
+    return lexical.bm25_pairs_met(queries, _tokens(spark, d, "documents", "doc_id", False), 10)
+
+
 def hashed_ranking(spark, d):
     queries = _tokens(spark, d, "benchmark", "item_id", True)
     return _ranked(lexical.hashed_rankings(queries, _tokens(spark, d, "documents", "doc_id", True), 1000))
@@ -119,13 +125,13 @@ def standard_names(spark, d):
 
 def _document_tags(spark, d) -> DataFrame:
     tokens = _tokens(spark, d, "documents", "doc_id", True)
-    return tokens.select(F.col("id").alias("user_id"), F.posexplode("tokens").alias("pos", "tag"))
+    return tokens.select(F.col("id").alias("user_id"), F.posexplode_outer("tokens").alias("pos", "tag")).where("tag is not null")
 
 
 def _reference(spark, d) -> DataFrame:
     """Conversation roles stand in for occupations, benchmark words for task terms."""
     roles = b.table(spark, d, "conversations").select(F.lit("occupation").alias("kind"), F.lower("role").alias("term"))
-    words = _tokens(spark, d, "benchmark", "item_id", True).select(F.lit("task").alias("kind"), F.explode("tokens").alias("term"))
+    words = _tokens(spark, d, "benchmark", "item_id", True).select(F.lit("task").alias("kind"), F.explode_outer("tokens").alias("term")).where("term is not null")
     return roles.union(words).distinct()
 
 
@@ -142,16 +148,8 @@ def skill_vocabulary(spark, d):
     return vocabulary.build_vocabulary(_document_tags(spark, d), MIN_DOCUMENTS, GATE, _reference(spark, d))
 
 
-def _weighted_vocabulary(spark, d) -> tuple[DataFrame, DataFrame]:
-    tags = _document_tags(spark, d)
-    reference = cut_lineage(_reference(spark, d))
-    vocab = cut_lineage(vocabulary.build_vocabulary(tags, MIN_DOCUMENTS, GATE, reference))
-    judged = vocabulary.gate_decisions(vocab.select(F.col("skill").alias("token"), "skill_id"), GATE, reference)
-    return tags, judged.select(F.col("token").alias("skill"), "skill_id", "weight")
-
-
 def _matches(spark, d) -> DataFrame:
-    _, vocab = _weighted_vocabulary(spark, d)
+    vocab = cut_lineage(vocabulary.weighted_vocabulary(_document_tags(spark, d), MIN_DOCUMENTS, GATE, _reference(spark, d)))
     fields_ = b.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit(1.0).alias("field_weight"))
     return vocabulary.match_dictionary(fields_, vocab)
 
@@ -169,14 +167,15 @@ def top_text_skills(spark, d):
 
 
 def tag_ids(spark, d):
-    tags, vocab = _weighted_vocabulary(spark, d)
+    tags = written(_document_tags(spark, d), "tags")
+    vocab = vocabulary.weighted_vocabulary(tags, MIN_DOCUMENTS, GATE, _reference(spark, d))
     return vocabulary.ids_of_tags(tags, vocab, None).select("user_id", F.explode("skill_ids").alias("skill_id"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        document_frequency, corpus_statistics, bm25_ranking_v1, bm25_ranking_v2, bm25_ranking_top_10, hashed_ranking, encoded_documents, encoder_hook,
+        document_frequency, corpus_statistics, bm25_ranking_v1, bm25_ranking_v2, bm25_ranking_top_10, bm25_pairs_met, hashed_ranking, encoded_documents, encoder_hook,
         squeezed_texts, url_values, field_parsers, standard_names, gate_decisions, gate_summary, skill_vocabulary,
         dictionary_matches, top_text_skills, tag_ids,
     )

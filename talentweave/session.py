@@ -66,6 +66,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as compressed Parquet to a new shared folder and go on from there: for wide rows that are read twice."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition inputs that come in fewer files than there are cores, so that costly expressions use all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
