@@ -1,11 +1,31 @@
-"""Dense retrieval over precomputed vectors."""
+"""Dense retrieval over precomputed vectors: exact, with bounds that skip groups of items.
+
+Items are grouped around pivots. What an item of a group can score is bounded by the query's product with the group's centre
+plus the query's length times the group's radius (and by the two lengths). A query first visits the groups of highest bound
+that hold enough items; the ``topn``-th best score found so far then rules out every group whose bound is below it, and the
+remaining ones are visited in rounds that grow fourfold. A group is scored block against block with NumPy, in slices of
+bounded size on both sides, so a group that holds most items, or that most queries ask for, is spread over many tasks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .topk import blocked_topk, dense_scores
+from ..session import cut_lineage
+from .ordering import top_per_group
+from .topk import _CELLS, _block_winners, dense_scores
+
+QUERY_BLOCK_ROWS = 16_384
+ITEM_BLOCK_ROWS = 8_192
+MOST_GROUPS = 1024  # so that all centres fit into a task: 1024 vectors
+SLACK = 1e-8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,7 +46,166 @@ def unit_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("vector"))
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def grouped_items(items: DataFrame, rows: int, n: int) -> DataFrame:
+    """(id, vector, group): items by their nearest pivot. Pivots are the first items by a hash of the id, one per ``rows``
+    items and at most ``MOST_GROUPS``."""
+    count = min(MOST_GROUPS, ceil(n / rows))
+    if count <= 1:
+        return items.select("id", "vector", F.lit(0).alias("group"))
+    chosen = items.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").collect()  # at most MOST_GROUPS rows
+    pivots = np.array([r.vector for r in chosen], np.float64)
+    half = (pivots * pivots).sum(axis=1) / 2
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                group = np.argmax(_matrix(batch.column("vector")) @ pivots.T - half, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(group.astype(np.int32))], ["id", "vector", "group"])
+
+    kinds = [items.schema[c].dataType.simpleString() for c in ("id", "vector")]
+    return items.select("id", "vector").mapInArrow(nearest, f"id {kinds[0]}, vector {kinds[1]}, group int")
+
+
+class Groups:
+    """Centre, radius, greatest length and size of each group; bounds of a matrix of queries."""
+
+    def __init__(self, grouped: DataFrame):
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                values, group = _matrix(batch.column("vector")), batch.column("group").to_numpy()
+                kinds, at = np.unique(group, return_inverse=True)
+                sums = np.zeros((len(kinds), values.shape[1]))
+                np.add.at(sums, at, values)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.bincount(at)), pa.array(list(sums))], ["group", "rows", "sums"])
+
+        # one row for each group and batch, then for each group: at most MOST_GROUPS rows here
+        parts = grouped.select("vector", "group").mapInArrow(partial, "group int, rows bigint, sums array<double>")
+        added = F.aggregate(F.collect_list("sums"), F.transform(F.first("sums"), lambda _: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        found = parts.groupBy("group").agg(F.sum("rows").alias("rows"), added.alias("sums")).orderBy("group").collect()
+        self.names = np.array([r.group for r in found], np.int32)
+        self.sizes = np.array([r.rows for r in found], np.int64)
+        self.centres = np.array([r.sums for r in found]) / self.sizes[:, None]
+        names, centres = self.names, self.centres
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                values, group = _matrix(batch.column("vector")), batch.column("group").to_numpy()
+                far = np.linalg.norm(values - centres[np.searchsorted(names, group)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(far), pa.array(np.linalg.norm(values, axis=1))], ["group", "far", "length"])
+
+        extent = grouped.select("vector", "group").mapInArrow(spread, "group int, far double, length double")
+        found = extent.groupBy("group").agg(F.max("far").alias("radius"), F.max("length").alias("length")).orderBy("group").collect()
+        self.radius, self.length = (np.array([r[c] for r in found]) for c in ("radius", "length"))
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        own = np.linalg.norm(queries, axis=1)[:, None]
+        return np.minimum(queries @ self.centres.T + own * self.radius, own * self.length)
+
+
+def _visits(queries: DataFrame, groups: Groups, topn: int, round_: int) -> DataFrame:
+    """(id, group): the groups each query visits in this round; ``queries`` (id, vector, threshold).
+
+    The first round takes the groups of highest bound until they hold ``topn`` items, each later one four times as many.
+    """
+    before, after = (4**round_ - 1) // 3, (4 ** (round_ + 1) - 1) // 3
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bound = groups.bounds(_matrix(batch.column("vector")))
+            order = np.argsort(-bound, axis=1, kind="stable")
+            first = 1 + np.argmax(np.cumsum(groups.sizes[order], axis=1) >= min(topn, groups.sizes.sum()), axis=1)[:, None]
+            place = np.arange(bound.shape[1])[None, :]
+            reached = batch.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)[:, None]
+            row, at = np.nonzero((place >= before * first) & (place < after * first) & (np.take_along_axis(bound, order, axis=1) >= reached - SLACK))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(groups.names[order[row, at]])], ["id", "group"])
+
+    return queries.select("id", "vector", "threshold").mapInArrow(plan, f"id {queries.schema['id'].dataType.simpleString()}, group int")
+
+
+def _slice(column: Column, n: Column) -> Column:
+    return F.pmod(F.xxhash64(column), n).cast("int")
+
+
+def _round(visits, queries, items, groups: Groups, hidden, topn: int, query_rows: int, item_rows: int) -> DataFrame:
+    """Best ``topn`` of every visited group's slices: (user_id, job_id, score)."""
+    spark = queries.sparkSession
+    asked = {r.group: r["count"] for r in visits.groupBy("group").count().collect()}  # at most MOST_GROUPS rows
+    cores, plan = spark.sparkContext.defaultParallelism, []
+    for group, size in zip(groups.names.tolist(), groups.sizes.tolist(), strict=True):
+        if n := asked.get(group):
+            item_slices = max(1, ceil(size / item_rows))
+            plan.append((group, max(ceil(n / query_rows), min(cores, n, ceil(n * size / _CELLS / item_slices))), item_slices))
+    plan = F.broadcast(spark.createDataFrame(plan, "group int, _nq int, _ni int"))
+    left = visits.join(plan, "group").join(queries.select("id", "vector"), "id")
+    left = left.withColumn("_q", _slice(F.col("id"), F.col("_nq"))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)))
+    # fresh column ids: both sides may come from one table
+    right = items.select(*[F.col(c).alias(c) for c in items.columns]).join(plan, "group").withColumn("_i", _slice(F.col("id"), F.col("_ni"))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+    kind = items.schema["id"].dataType
+    if hidden is not None:
+        unseen = hidden.join(plan.select("group", "_ni"), "group").withColumn("_i", _slice(F.col("_j"), F.col("_ni")))
+        left = left.join(unseen.groupBy("id", "group", "_i").agg(F.collect_set("_j").alias("_hidden")), ["id", "group", "_i"], "left")
+    else:
+        left = left.withColumn("_hidden", F.lit(None).cast(T.ArrayType(kind)))
+    schema = T.StructType([T.StructField("user_id", queries.schema["id"].dataType), T.StructField("job_id", kind), T.StructField("score", T.DoubleType())])
+
+    def task(q: pa.Table, i: pa.Table) -> pa.Table:
+        return _block_winners(q, i, dense_scores("vector"), topn, None)
+
+    keys = ("group", "_q", "_i")
+    return left.select(*keys, "id", "vector", "_hidden").groupBy(*keys).cogroup(right.select(*keys, "id", "vector").groupBy(*keys)).applyInArrow(task, schema)
+
+
+def _search(queries, items, topn, exclude, query_block_rows, item_block_rows) -> tuple[DataFrame, DataFrame, int]:
+    """(ranking, visits (id, group, round), number of groups)."""
+    queries, items = cut_lineage(queries.select("id", "vector")), cut_lineage(items.select("id", "vector"))
+    n, kind = items.count(), items.schema["id"].dataType
+    asker = queries.schema["id"].dataType.simpleString()
+    if n == 0:
+        empty = f"user_id {asker}, job_id {kind.simpleString()}, score double, rank int"
+        return queries.sparkSession.createDataFrame([], empty), queries.sparkSession.createDataFrame([], f"id {asker}, group int, round int"), 0
+    grouped = cut_lineage(grouped_items(items, item_block_rows, n))
+    groups = Groups(grouped)
+    hidden = None
+    if exclude is not None:
+        wanted = exclude.select(F.col("user_id").alias("id"), F.col("job_id").cast(kind).alias("_j")).distinct()
+        hidden = cut_lineage(wanted.join(grouped.select(F.col("id").alias("_j"), "group"), "_j"))
+    best, reached, seen, round_ = None, queries.withColumn("threshold", F.lit(None).cast("double")), None, 0
+    while True:
+        visits = cut_lineage(_visits(reached, groups, topn, round_))
+        if round_ and visits.isEmpty():
+            return best, seen, len(groups.names)
+        winners = _round(visits, queries, grouped, groups, hidden, topn, query_block_rows, item_block_rows)
+        winners = winners if best is None else winners.unionByName(best.drop("rank"))
+        best = cut_lineage(top_per_group(winners, ["user_id"], [F.desc("score"), F.asc("job_id")], topn))
+        seen = visits.withColumn("round", F.lit(round_)) if seen is None else seen.union(visits.withColumn("round", F.lit(round_)))
+        if len(groups.names) == 1:
+            return best, seen, 1
+        last = best.where(F.col("rank") == topn).select(F.col("user_id").alias("id"), F.col("score").alias("threshold"))
+        reached, round_ = queries.join(last, "id", "left"), round_ + 1
+
+
 def dense_rankings(queries: DataFrame, items: DataFrame, topn: int, exclude: DataFrame | None = None,
-                   **blocks: int) -> DataFrame:
-    """(user_id, job_id, score, rank) by dot product of (id, vector) tables; exact, block against block."""
-    return blocked_topk(queries, items, topn, dense_scores("vector"), exclude, **blocks)
+                   query_block_rows: int = QUERY_BLOCK_ROWS, item_block_rows: int = ITEM_BLOCK_ROWS) -> DataFrame:
+    """(user_id, job_id, score, rank): the ``topn`` best items of every query by dot product of (id, vector) tables; exact.
+
+    Ties go to the smaller item id; ``exclude`` (user_id, job_id) pairs are never returned. ``item_block_rows`` is the size
+    of a group of items and of a slice of it, ``query_block_rows`` that of a slice of the queries.
+    """
+    return _search(queries, items, topn, exclude, query_block_rows, item_block_rows)[0]
+
+
+def dense_groups_visited(queries: DataFrame, items: DataFrame, topn: int, exclude: DataFrame | None = None,
+                         query_block_rows: int = QUERY_BLOCK_ROWS, item_block_rows: int = ITEM_BLOCK_ROWS) -> DataFrame:
+    """(user_id, groups, visited, rounds): how many groups of items a query's exact ranking visits."""
+    _, seen, n = _search(queries, items, topn, exclude, query_block_rows, item_block_rows)
+    return seen.groupBy(F.col("id").alias("user_id")).agg(F.lit(n).alias("groups"), F.count(F.lit(1)).alias("visited"), (F.max("round") + 1).alias("rounds"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions import features as fx
-from ..operators import evaluation, interactions, negatives, ordering, pairs, propagation, rerank, scoring
+from ..operators import dense, evaluation, interactions, negatives, ordering, pairs, propagation, rerank, scoring
 from ..operators.dense import dense_rankings, unit_vectors
 from ..operators.graph import with_reverse
 from ..plans import experiments, recommend
@@ -347,6 +347,18 @@ def dense_ranking(spark, d):
     return _ranked(dense_rankings(vectors, vectors, 50, _self_pairs(vectors)))
 
 
+def dense_ranking_by_groups(spark, d):
+    """Ten nearest of every vector over many groups, most of which the bounds may skip."""
+    vectors = cut_lineage(_unit_embeddings(spark, d))
+    return _ranked(dense_rankings(vectors, vectors, 10, _self_pairs(vectors), item_block_rows=64))
+
+
+def dense_groups_visited(spark, d):
+    """Groups visited by each vector's search for its ten nearest."""
+    vectors = cut_lineage(_unit_embeddings(spark, d))
+    return dense.dense_groups_visited(vectors, vectors, 10, _self_pairs(vectors), item_block_rows=64)
+
+
 def dense_label_report(spark, d):
     """Macro metrics of the dense ranking where a hit is a vector of the same label."""
     vectors = _unit_embeddings(spark, d)
@@ -484,7 +496,7 @@ QUERIES = {
         popularity_report, rule_report, rule_report_v1, user_ndcg, paired_t_test, model_comparison, seed_deviation,
         prediction_sample, two_stage_rule, full_ranking, masked_pairs, pair_features_v1, pair_features_v2, shared_skill_counts,
         skill_frequency, skill_entries, requirement_scores, requirement_paths, skill_aliases, uniform_negatives, sampled_pool,
-        structural_negatives, structural_negatives_by_city, semantic_negatives, mixed_negatives, dense_ranking, dense_label_report, node_degree,
+        structural_negatives, structural_negatives_by_city, semantic_negatives, mixed_negatives, dense_ranking, dense_ranking_by_groups, dense_groups_visited, dense_label_report, node_degree,
         propagated_vectors, relation_means, relational_encoding, graph_dot_ranking, als_ranking, two_stage_ranking,
         pair_interaction_ranking, als_ranking_facts, two_stage_ranking_facts, pair_interaction_ranking_facts, rule_ranking_top_10,
         interaction_vectors, node_inputs, fused_encoding,

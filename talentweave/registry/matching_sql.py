@@ -261,6 +261,10 @@ near AS (SELECT user_id, job_id, score FROM (
   JOIN unitv x ON x.vec_id = a.user_id CROSS JOIN jobs j
   JOIN unitv y ON y.vec_id = (SELECT max(vec_id) FROM embeddings) - j.job_id AND y.dim = x.dim GROUP BY ALL))"""),
     "dense_ranking": sql("SELECT user_id, job_id, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 50", """
+near AS (SELECT user_id, job_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS rank FROM (
+  SELECT x.vec_id AS user_id, y.vec_id AS job_id, round(sum(x.v * y.v), 9) AS score
+  FROM unitv x JOIN unitv y ON x.dim = y.dim AND x.vec_id <> y.vec_id GROUP BY ALL))"""),
+    "dense_ranking_by_groups": sql("SELECT user_id, job_id, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 10", """
 near AS (SELECT user_id, job_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS rank FROM (
   SELECT x.vec_id AS user_id, y.vec_id AS job_id, round(sum(x.v * y.v), 9) AS score
   FROM unitv x JOIN unitv y ON x.dim = y.dim AND x.vec_id <> y.vec_id GROUP BY ALL))"""),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talentweave.operators import topk
-from talentweave.operators.dense import dense_rankings, unit_vectors
+from talentweave.operators.dense import dense_groups_visited, dense_rankings, unit_vectors
 from talentweave.operators.topk import blocked_topk, sparse_product, term_keys
 
 rng = np.random.default_rng(5)
@@ -71,6 +71,24 @@ def test_dense_and_self_exclusion(spark):
     assert got == brute(unit @ unit.T, 10, {(i, i) for i in range(60)})
 
 
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_groups_are_skipped_without_loss(spark, k):
+    """Clusters of vectors, of unlike length, with one that holds a third of all items."""
+    centres = rng.normal(size=(12, 6)) * rng.uniform(0.5, 3, size=(12, 1))
+    which = np.where(rng.random(400) < 0.33, 0, rng.integers(0, 12, 400))
+    items = np.round(centres[which] + rng.normal(size=(400, 6)) * 0.1, 3)
+    items[50:60] = items[50]  # ties
+    asks = np.round(centres[rng.integers(0, 12, 40)] + rng.normal(size=(40, 6)) * 0.3, 3)
+    asks[3] = 0
+    frame = lambda rows: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id long, vector array<double>")
+    hidden = {(u, j) for u in range(40) for j in range(400) if (u + j) % 13 == 0}
+    exclude = spark.createDataFrame(sorted(hidden), "user_id long, job_id long")
+    got = found(dense_rankings(frame(asks), frame(items), k, exclude, query_block_rows=11, item_block_rows=15))
+    assert got == brute(asks @ items.T, k, hidden)
+    visits = dense_groups_visited(frame(asks), frame(items), k, exclude, item_block_rows=15).agg(F.sum("visited"), F.sum("groups"), F.count("*")).first()
+    assert visits[2] == 40 and (visits[0] < 0.4 * visits[1] if k == 1 else visits[0] <= visits[1])
+
+
 def test_string_ids(spark):
     queries = spark.createDataFrame([("q", [1.0])], "id string, vector array<double>")
     items = spark.createDataFrame([("b", [1.0]), ("a", [1.0]), ("c", [2.0])], "id string, vector array<double>")
