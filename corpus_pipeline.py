@@ -19,8 +19,11 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and texts that look like no learned language."""
-    found = language_id.identified(docs, language_id.learned(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    # all given columns but the text travel as one, so that none can clash with a prediction
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("given")
+    found = language_id.identified(docs.select("text", given), language_id.learned(docs.select("doc_id", "text", "lang")))
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*[F.col("text") if c == "text" else F.col("given")[c].alias(c) for c in docs.columns])
 
 
 def drop_duplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,18 @@ def test_stages_stand_odd_rows(spark):
     assert kept.where("doc_id >= 5000").count() == 0
 
 
+def test_given_columns_come_through(spark):
+    names = ["score", "lang_pred", "_letter", "row", "given", "kept", "component_id", "contaminated", "gone", "_rest", "place"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30)
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.lit(":"), F.col("doc_id")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[name] == f"{name}:{r.doc_id}" for r in rows for name in names)
+
+
 def test_registration():
     import __spark_entry__
 
