@@ -190,9 +190,10 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = 1200, lines: int = 4
     """Field from a bounded sample: at most ``rows`` texts' line features are gathered, half of each label."""
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     fit = docs.where((F.octet_length("text") <= learn_bytes) & (F.size(F.split("text", "\n")) <= lines))
-    known = marked.join(fit.select("doc_id"), "doc_id", "left_semi")
+    known = marked.join(fit.select("doc_id"), "doc_id", "left_semi").distinct()
     chosen = [ordered_sample(known.where(F.col("quality") == q), "doc_id", rows // 2) for q in (0, 1)]
-    sample = fit.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("quality", "text")
+    sample = fit.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")  # one row of an id
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batch.column("text")):

@@ -143,9 +143,10 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = 1600, learn_bytes: i
     """Network from a bounded sample: at most ``rows`` texts of at most ``learn_bytes`` bytes are gathered (10 MB)."""
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     texts = docs.where(F.octet_length("text") <= learn_bytes).select("doc_id")
-    known = marked.join(texts, "doc_id", "left_semi")
+    known = marked.join(texts, "doc_id", "left_semi").distinct()
     chosen = [ordered_sample(known.where(F.col("quality") == q), "doc_id", rows // 2) for q in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").where(F.octet_length("text") <= learn_bytes)
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one row of an id, however often it comes
     found = sorted({(r.doc_id, r.text or "", r.quality) for r in sample.collect()})
     if not found:
         return None
