@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from math import log1p
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.features import RULE_V1_WEIGHTS, RULE_V2_WEIGHTS
-from .ordering import exploded_range, global_position, position_in_group
-from .topk import blocked_topk, reaches, sparse_product, term_keys
+from ..session import cut_lineage
+from .ordering import exploded_range, global_position, position_in_group, top_per_group
+from .pruning import pruned_candidates
+from .topk import SCORE_DIGITS
 
 TOPN = 1000
 HEAD_SLACK = 1000
@@ -71,102 +73,171 @@ def popularity_rankings(
     )
 
 
+def _rule_topn(people: DataFrame, posts: DataFrame, exclude: DataFrame | None, topn: int, gains: dict[str, Column | float], score: Column) -> DataFrame:
+    """Best ``topn`` posts of every person by a sum of rules, without meeting every pair.
+
+    ``people`` (user_id, skills, cities, types, degree, years) and ``posts`` (job_id, skills, cities, types, need_degree,
+    need_years, n_skills, extra) hold distinct values. ``gains``: what a shared skill adds at least and at most (``skill_low``,
+    ``skill_high``, of a post), a shared city and type, a reached degree and years; none is negative. ``score`` is the exact
+    value of a pair, over ``shared`` (number of common skills), ``same_city``, ``same_type`` and both sides' columns.
+
+    * Every skill, city and type has an inverted list of its posts. The lists' greatest gains bound what a list that is not
+      read can add, so long lists are only met where they can lift a post into the result (``pruning``).
+    * A post that shares nothing is worth what its degree, years and ``extra`` give. Such posts are read in order of that
+      worth from lists by requirement steps, for people whose result may hold any.
+    * Pairs that are left are scored exactly.
+    """
+    people, posts = cut_lineage(people), cut_lineage(posts)
+    if any(not isinstance(g, Column) and g < 0 for g in gains.values()):
+        raise ValueError("rule weights must not be negative")
+
+    def named(prefix: str, values: str) -> Column:
+        return F.transform(F.filter(values, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(prefix), x.cast("string")))
+
+    terms = [named(prefix, values) for prefix, values in (("s:", "skills"), ("c:", "cities"), ("t:", "types"))]
+    asked = people.select("user_id", F.explode_outer(F.concat(*terms)).alias("term")).where("term is not null").withColumn("times", F.lit(1.0))
+    worth = ((gains["skill_low"], gains["skill_high"]), (gains["city"], gains["city"]), (gains["type"], gains["type"]))
+    as_column = lambda g: g if isinstance(g, Column) else F.lit(float(g))
+    entries = []
+    for values, (low, high) in zip(terms, worth, strict=True):
+        pair = F.array(F.struct(as_column(low).cast("double").alias("low"), as_column(high).cast("double").alias("high")))
+        entries.append(F.zip_with(values, F.array_repeat(pair[0], F.size(values)), lambda t, g: F.struct(t.alias("term"), g["low"].alias("low"), g["high"].alias("high"))))
+    postings = posts.select("job_id", F.least(F.lit(64), F.col("n_skills")).cast("int").alias("block"), F.inline_outer(F.concat(*entries))).where("term is not null")
+    most = posts.agg(F.coalesce(F.max("extra"), F.lit(0.0))).first()[0]
+    base = float(gains["degree"]) + float(gains["years"]) + float(most)
+    found = pruned_candidates(cut_lineage(asked), cut_lineage(postings), topn, exclude, base)
+    pairs = found.candidates.select("user_id", "job_id").unionByName(_sharing_nothing(people, posts, found.candidates, exclude, topn, gains, base))
+    own = [F.col(c).alias(f"_{c}") for c in ("skills", "cities", "types")]
+    both = pairs.join(people.select("user_id", "skills", "cities", "types", "degree", "years"), "user_id")
+    both = both.join(posts.select("job_id", *own, "need_degree", "need_years", "n_skills", "extra"), "job_id")
+    overlap = lambda c: F.coalesce(F.arrays_overlap(c, f"_{c}"), F.lit(False)).cast("double")
+    both = both.withColumns({"shared": F.size(F.array_intersect("skills", "_skills")).cast("double"), "same_city": overlap("cities"), "same_type": overlap("types")})
+    scored = both.select("user_id", "job_id", F.round(score, SCORE_DIGITS).alias("score"))
+    return top_per_group(scored, ["user_id"], [F.desc("score"), F.asc("job_id")], topn)
+
+
+def _steps(value: float | Column, have: str, need: str) -> Column:
+    return F.when(F.col(have) >= F.col(need), F.lit(float(value))).otherwise(0.0)
+
+
+def _sharing_nothing(people, posts, candidates, exclude, topn: int, gains, base: float) -> DataFrame:
+    """(user_id, job_id): the best posts that are no candidates, for people whose result may hold some."""
+    best = top_per_group(candidates.select("user_id", "low"), ["user_id"], [F.desc("low")], topn, "_place")
+    full = best.where((F.col("_place") == topn) & (F.col("low") > base + 1e-7)).select("user_id")
+    # a person's degree and years count as the highest step of the posts that they reach
+    steps_of = posts.agg(F.collect_set("need_degree").alias("_degrees"), F.collect_set("need_years").alias("_years"))  # one row
+    reached = [
+        F.coalesce(F.array_max(F.filter(steps, lambda step: step <= F.col(have))), F.lit(float("-inf"))).alias(have)  # noqa: B023
+        for have, steps in (("degree", "_degrees"), ("years", "_years"))
+    ]
+    left = people.select("user_id", "degree", "years").join(full, "user_id", "left_anti")
+    open_people = cut_lineage(left.crossJoin(F.broadcast(steps_of)).select("user_id", *reached))
+    # places to read: those of a full result, of all candidates and of all hidden posts
+    taken = candidates.join(open_people.select("user_id"), "user_id", "left_semi").select("user_id", "job_id")
+    if exclude is not None:
+        taken = taken.union(exclude.join(open_people.select("user_id"), "user_id", "left_semi").select("user_id", "job_id")).distinct()
+    taken = cut_lineage(taken)
+    counts = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = open_people.join(counts, "user_id", "left").select("user_id", "degree", "years", (F.coalesce("_n", F.lit(0)) + topn).alias("_wanted"))
+    longest = wanted.agg(F.max("_wanted")).first()[0]
+    if longest is None:
+        return taken.limit(0)
+    # requirement steps of the posts, and classes of people who reach the same steps: both as few as the steps are
+    steps = ["need_degree", "need_years", "extra"]
+    listed = cut_lineage(top_per_group(posts.select("job_id", *steps), steps, [F.asc("job_id")], longest, "_place").drop("_place"))
+    kinds = F.broadcast(listed.select(*steps).distinct())
+    classes = cut_lineage(wanted.select("degree", "years").distinct())
+    value = _steps(gains["degree"], "degree", "need_degree") + _steps(gains["years"], "years", "need_years") + F.col("extra")
+    worth = classes.withColumn("_all", F.lit(1)).join(kinds.withColumn("_all", F.lit(1)), "_all").withColumn("_worth", F.round(value, SCORE_DIGITS))
+    ranked = worth.join(listed, steps)
+    ranked = top_per_group(ranked, ["degree", "years"], [F.desc("_worth"), F.asc("job_id")], longest, "_place")
+    read = wanted.join(ranked.select("degree", "years", "job_id", "_place"), ["degree", "years"]).where(F.col("_place") <= F.col("_wanted"))
+    return read.select("user_id", "job_id").join(taken, ["user_id", "job_id"], "left_anti")
+
+
 def rule_rankings(
     users: DataFrame,
     jobs: DataFrame,
     exclude: DataFrame | None,
     topn: int = TOPN,
     weights: dict[str, float] | None = None,
-    **blocks: int,
 ) -> DataFrame:
     """Second-generation rule ranking of the whole catalogue.
 
-    coverage, city, type, degree and years terms with overridable weights. An empty home city counts as
+    coverage, city, type, degree and years terms with overridable weights (none negative). An empty home city counts as
     a city of the user, and a user without desired types gets no type term.
     """
     w = {**RULE_V2_WEIGHTS, **(weights or {})}
-    queries = users.select(
-        F.col("user_id").alias("id"),
-        term_keys(F.array_distinct("skills")).alias("skills"),
-        term_keys(F.array_distinct(F.concat("desired_cities", F.array("live_city")))).alias("cities"),
-        term_keys(F.array_distinct("desired_types")).alias("types"),
+    people = users.select(
+        "user_id",
+        F.array_distinct("skills").alias("skills"),
+        F.array_distinct(F.concat("desired_cities", F.array("live_city"))).alias("cities"),
+        F.array_distinct("desired_types").alias("types"),
         F.col("degree_rank").cast("double").alias("degree"),
         F.col("years").cast("double").alias("years"),
     )
-    items = jobs.select(
-        F.col("job_id").alias("id"),
-        term_keys(F.array_distinct("skills")).alias("skills"),
-        term_keys(F.array("city")).alias("cities"),
-        term_keys(F.array("job_type")).alias("types"),
-        F.col("min_degree_rank").cast("double").alias("degree"),
-        F.col("min_years").cast("double").alias("years"),
-        F.greatest(F.lit(1), F.size(F.array_distinct("skills"))).cast("double").alias("n_skills"),
+    posts = jobs.select(
+        "job_id",
+        F.array_distinct("skills").alias("skills"),
+        F.array("city").alias("cities"),
+        F.array("job_type").alias("types"),
+        F.col("min_degree_rank").cast("double").alias("need_degree"),
+        F.col("min_years").cast("double").alias("need_years"),
+        F.size(F.array_distinct("skills")).cast("double").alias("n_skills"),
+        F.lit(0.0).alias("extra"),
     )
-
-    def score(q: pa.Table, i: pa.Table):
-        shared = sparse_product(q, i, "skills", None)
-        city, kind = sparse_product(q, i, "cities", None), sparse_product(q, i, "types", None)
-        n_skills = i.column("n_skills").to_numpy()[None, :]
-
-        def rows(a: int, b: int) -> np.ndarray:
-            return (
-                w["coverage"] * (shared(a, b) / n_skills)
-                + w["city"] * city(a, b)
-                + w["type"] * kind(a, b)
-                + w["degree"] * reaches(q, i, "degree", "degree", a, b)
-                + w["years"] * reaches(q, i, "years", "years", a, b)
-            )
-
-        return rows
-
-    return blocked_topk(queries, items, topn, score, exclude, **blocks)
+    each = F.lit(float(w["coverage"])) / F.greatest(F.lit(1.0), F.col("n_skills"))
+    gains = {"skill_low": each, "skill_high": each, "city": w["city"], "type": w["type"], "degree": w["degree"], "years": w["years"]}
+    score = (
+        w["coverage"] * (F.col("shared") / F.greatest(F.lit(1.0), F.col("n_skills")))
+        + w["city"] * F.col("same_city")
+        + w["type"] * F.col("same_type")
+        + _steps(w["degree"], "degree", "need_degree")
+        + _steps(w["years"], "years", "need_years")
+    )
+    return _rule_topn(people, posts, exclude, topn, gains, score)
 
 
-def rule_rankings_v1(
-    users: DataFrame, jobs: DataFrame, exclude: DataFrame | None, topn: int = TOPN, **blocks: int
-) -> DataFrame:
+def rule_rankings_v1(users: DataFrame, jobs: DataFrame, exclude: DataFrame | None, topn: int = TOPN) -> DataFrame:
     """First-generation rule ranking: unstated requirements score 0, shared skills add a log term."""
     w = RULE_V1_WEIGHTS
-    queries = users.select(
-        F.col("user_id").alias("id"),
-        term_keys(F.array_distinct("skills")).alias("skills"),
-        term_keys(F.array_distinct(F.concat("city_ids", "desired_city_ids"))).alias("cities"),
-        term_keys(F.array_distinct("desired_types")).alias("types"),
+    people = users.select(
+        "user_id",
+        F.array_distinct("skills").alias("skills"),
+        F.array_distinct(F.concat("city_ids", "desired_city_ids")).alias("cities"),
+        F.array_distinct("desired_types").alias("types"),
         F.col("degree_rank").cast("double").alias("degree"),
         F.col("years").cast("double").alias("years"),
     )
     never = F.lit(float("inf"))
-    items = jobs.select(
-        F.col("job_id").alias("id"),
-        term_keys(F.array_distinct("skills")).alias("skills"),
-        term_keys(F.array("city")).alias("cities"),
-        term_keys(F.filter(F.array("job_type"), lambda t: t != "")).alias("types"),
-        F.when(F.col("min_degree") == "", never).otherwise(F.col("min_degree_rank").cast("double")).alias("degree"),
-        F.when(F.col("min_years") == 0, never).otherwise(F.col("min_years").cast("double")).alias("years"),
-        F.size(F.array_distinct("skills")).cast("double").alias("n_skills"),
+    n_skills = F.size(F.array_distinct("skills")).cast("double")
+    posts = jobs.select(
+        "job_id",
+        F.array_distinct("skills").alias("skills"),
+        F.array("city").alias("cities"),
+        F.filter(F.array("job_type"), lambda t: t != "").alias("types"),
+        F.when(F.col("min_degree") == "", never).otherwise(F.col("min_degree_rank").cast("double")).alias("need_degree"),
+        F.when(F.col("min_years") == 0, never).otherwise(F.col("min_years").cast("double")).alias("need_years"),
+        n_skills.alias("n_skills"),
+        # nothing is missing where no skill is asked for
+        F.when(n_skills == 0, F.lit(w["missing"])).otherwise(0.0).alias("extra"),
     )
-
-    def score(q: pa.Table, i: pa.Table):
-        shared = sparse_product(q, i, "skills", None)
-        city, kind = sparse_product(q, i, "cities", None), sparse_product(q, i, "types", None)
-        n_skills = i.column("n_skills").to_numpy()[None, :]
-        at_least_one = np.maximum(1.0, n_skills)
-
-        def rows(a: int, b: int) -> np.ndarray:
-            n = shared(a, b)
-            return (
-                w["coverage"] * (n / at_least_one)
-                + w["missing"] * (1.0 - (n_skills - n) / at_least_one)
-                + w["city"] * city(a, b)
-                + w["education"] * reaches(q, i, "degree", "degree", a, b)
-                + w["experience"] * reaches(q, i, "years", "years", a, b)
-                + w["type"] * kind(a, b)
-                + w["paths"] * np.log1p(n)
-            )
-
-        return rows
-
-    return blocked_topk(queries, items, topn, score, exclude, **blocks)
+    at_least_one = F.greatest(F.lit(1.0), F.col("n_skills"))
+    each = F.lit(w["coverage"] + w["missing"]) / at_least_one
+    gains = {
+        "skill_low": each, "skill_high": each + w["paths"] * log1p(1.0), "city": w["city"], "type": w["type"],
+        "degree": w["education"], "years": w["experience"],
+    }
+    score = (
+        w["coverage"] * (F.col("shared") / at_least_one)
+        + w["missing"] * (1.0 - (F.col("n_skills") - F.col("shared")) / at_least_one)
+        + w["city"] * F.col("same_city")
+        + _steps(w["education"], "degree", "need_degree")
+        + _steps(w["experience"], "years", "need_years")
+        + w["type"] * F.col("same_type")
+        + w["paths"] * F.log1p("shared")
+    )
+    return _rule_topn(people, posts, exclude, topn, gains, score)
 
 
 def full_ranking(scored: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Popularity and rule rankings, two stages, full rankings."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from talentweave.functions import features as fx
 from talentweave.operators import pairs, scoring
+from talentweave.plans.experiments import FEATURES
 
 USER = "user_id string, skills array<string>, live_city string, desired_cities array<string>, desired_types array<string>, degree_rank int, years double"
 JOB = "job_id string, skills array<string>, city string, job_type string, min_degree_rank int, min_years double"
@@ -37,6 +40,36 @@ def test_rule_edge_cases(spark):
     assert got["b"] == 0.0
 
 
+@pytest.mark.parametrize("topn", [2, 9, 500])
+def test_rule_rankings_equal_all_pairs(spark, topn):
+    """Rankings cut short, with hidden posts, people who share nothing with most posts, and posts that ask for nothing."""
+    rng = random.Random(topn)
+    skills = [f"k{i}" for i in range(12)]
+    people = [(f"u{i:02d}", [s for n, s in enumerate(skills) if rng.random() < 0.5 / (n + 1)], rng.choice(["", "1", "2"]), rng.sample(["2", "3", "4"], rng.randint(0, 2)),
+               rng.sample(["x", "y"], rng.randint(0, 1)), rng.randint(0, 6), rng.choice([0.0, 0.5, 3.0, 9.0])) for i in range(25)]
+    posts = [(f"j{i:03d}", [s for n, s in enumerate(skills) if rng.random() < 0.6 / (n + 1)], rng.choice(["1", "2", "3", "9"]), rng.choice(["", "x", "y", "z"]),
+              rng.randint(0, 5), rng.choice([0.0, 1.0, 3.0, 5.0])) for i in range(120)]
+    users, jobs = spark.createDataFrame(people, USER), spark.createDataFrame(posts, JOB)
+    hidden = {(u[0], j[0]) for u in people for j in posts if rng.random() < 0.15}
+    exclude = spark.createDataFrame(sorted(hidden), "user_id string, job_id string")
+    pairs_ = pairs.attach_profiles(users.select("user_id").crossJoin(jobs.select("job_id")), users, jobs).withColumns(dict(zip(FEATURES, fx.pair_features_v2(), strict=True)))
+    w = fx.RULE_V2_WEIGHTS
+    want = {}
+    for r in pairs_.collect():
+        if (r.user_id, r.job_id) not in hidden:
+            value = w["coverage"] * r.coverage + w["city"] * r.city + w["type"] * r.type + w["degree"] * r.degree + w["years"] * r.experience
+            want.setdefault(r.user_id, []).append((-round(value, 9), r.job_id))
+    got = {}
+    for r in scoring.rule_rankings(users, jobs, exclude, topn).collect():
+        got.setdefault(r.user_id, []).append((r["rank"], r.job_id, r.score))
+    assert got.keys() == want.keys()
+    for u, rows in got.items():
+        best = sorted(want[u])[:topn]
+        assert [(j, pytest.approx(-s)) for s, j in best] == [(j, s) for _, j, s in sorted(rows)]
+    with pytest.raises(ValueError):
+        scoring.rule_rankings(users, jobs, exclude, topn, {"city": -1.0})
+
+
 def test_rule_v1_ignores_unstated_requirements(spark):
     users = spark.createDataFrame([("u", ["x", "y"], ["c"], ["c"], ["t"], 5, 2.0)],
                                   "user_id string, skills array<string>, city_ids array<string>, desired_city_ids array<string>, desired_types array<string>, degree_rank int, years double")
