@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions import features as fx
-from ..operators import dense, evaluation, interactions, negatives, ordering, pairs, propagation, rerank, scoring
+from ..operators import dense, evaluation, factors, interactions, negatives, ordering, pairs, propagation, rerank, scoring
 from ..operators.dense import dense_rankings, unit_vectors
 from ..operators.graph import with_reverse
 from ..plans import experiments, recommend
@@ -432,6 +432,23 @@ def pair_interaction_ranking(spark, d):
     return _ranked(experiments.rank_two_stage(b.bundle(spark, d), pair_interaction=True))
 
 
+def pairwise_ranking(spark, d):
+    """Ranking by factors learnt from pairwise preferences of the train pairs."""
+    bundle = b.bundle(spark, d)
+    return _ranked(_pairwise(bundle))
+
+
+def _pairwise(bundle) -> DataFrame:
+    learned = factors.pairwise_factors(bundle.pairs("train"), bundle.users, bundle.jobs, dim=16, epochs=3, blocks=2)
+    asked = learned.users.join(bundle.queries().select(F.col("user_id").alias("id")), "id", "left_semi")
+    return dense_rankings(asked, learned.jobs, scoring.TOPN, bundle.hidden())
+
+
+def pairwise_ranking_facts(spark, d):
+    bundle = b.bundle(spark, d)
+    return _ranking_facts(_pairwise(bundle), bundle.hidden())
+
+
 def _ranking_facts(ranked: DataFrame, hidden: DataFrame) -> DataFrame:
     """What every trained ranking must satisfy: places without gaps, each job once, no hidden pair."""
     shown = ranked.join(hidden.withColumn("_h", F.lit(1)), ["user_id", "job_id"], "left")
@@ -497,7 +514,7 @@ QUERIES = {
         prediction_sample, two_stage_rule, full_ranking, masked_pairs, pair_features_v1, pair_features_v2, shared_skill_counts,
         skill_frequency, skill_entries, requirement_scores, requirement_paths, skill_aliases, uniform_negatives, sampled_pool,
         structural_negatives, structural_negatives_by_city, semantic_negatives, mixed_negatives, dense_ranking, dense_ranking_by_groups, dense_groups_visited, dense_label_report, node_degree,
-        propagated_vectors, relation_means, relational_encoding, graph_dot_ranking, als_ranking, two_stage_ranking,
+        propagated_vectors, relation_means, relational_encoding, graph_dot_ranking, als_ranking, pairwise_ranking, pairwise_ranking_facts, two_stage_ranking,
         pair_interaction_ranking, als_ranking_facts, two_stage_ranking_facts, pair_interaction_ranking_facts, rule_ranking_top_10,
         interaction_vectors, node_inputs, fused_encoding,
     )

@@ -402,7 +402,7 @@ SELECT a.user_id, n.jobs - coalesce(h.hidden, 0) AS places, n.jobs - coalesce(h.
   CAST(n.jobs - coalesce(h.hidden, 0) AS INTEGER) AS last, CAST(0 AS BIGINT) AS hidden
 FROM askers a CROSS JOIN (SELECT count(*) AS jobs FROM jobs) n
 LEFT JOIN (SELECT user_id, count(*) AS hidden FROM hidden WHERE job_id IN (SELECT job_id FROM jobs) GROUP BY user_id) h ON h.user_id = a.user_id""")
-for _name in ("als_ranking_facts", "two_stage_ranking_facts", "pair_interaction_ranking_facts"):
+for _name in ("als_ranking_facts", "pairwise_ranking_facts", "two_stage_ranking_facts", "pair_interaction_ranking_facts"):
     SQL[_name] = _FACTS
 
 _PLACE = "CAST('0x' || substr(md5('{0}:' || i.{0}_code), 1, 15) AS BIGINT) % 64"
