@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_token, split_tags
-from ..session import broadcast_if_small, spread
+from ..session import broadcast_if_small, cut_lineage, spread
 from .ordering import first_occurrence, global_position, top_per_group
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -35,12 +37,11 @@ TYPE_WEIGHTS = {"hard_or_knowledge": 1.0, "reference_task": 1.0, "transversal":
 ENGLISH_MIN_LENGTH = 3
 # Latin-script tokens after lower-casing, and the characters that may not touch a match of one.
 ASCII_SKILL = r"^[a-z0-9+.#\-]+$"
-BOUNDARY = r"^[a-z0-9+#.]$"
+BOUNDARY_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789+#."
 # ---------------------------------------------------------------------------------------------
 
 OCCUPATION_KINDS = ["occupation", "category", "work_type"]
 TASK_KINDS = ["task", "standard"]
-PIECE_CHARS = 512
 
 
 @dataclass(frozen=True)
@@ -165,6 +166,60 @@ def ids_of_tags(tags: DataFrame, vocabulary: DataFrame, limit: int | None = None
     )
 
 
+# Positions of a text whose fingerprints are held at once.
+PIECE_CHARS = 1 << 16
+# Odd base of the polynomial fingerprints modulo 2**64, and its inverse.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+class _Fingerprints:
+    """Fingerprints of all substrings of a text, from prefix sums of a polynomial over its code points."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def prefixes(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        if len(self.up) <= len(codes):
+            size = 1 << len(codes).bit_length()
+            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b), dtype=np.uint64)]) for b in (_BASE, _INVERSE))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * self.up[: len(codes)], out=sums[1:])
+        return sums
+
+    def of_length(self, sums: np.ndarray, n: int, bits: int) -> np.ndarray:
+        """The upper bits of the fingerprint of each substring of ``n`` characters."""
+        count = max(len(sums) - n, 0)
+        value = (sums[n:] - sums[:count]) * self.down[:count]
+        value ^= value >> np.uint64(32)
+        return value * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)
+
+
+def _term_bitmaps(terms: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """A bitmap of the terms' fingerprints for each term length, and the bits of a place in it.
+
+    A bitmap has about 16 bits a term, at most 2**26; as many rows of 64 bits at most reach the driver for each length.
+    """
+    bits = min(max((16 * terms.count()).bit_length(), 16), 26)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Fingerprints()
+        for batch in batches:
+            found = [(len(t), int(own.of_length(own.prefixes(t), len(t), bits)[0])) for t in batch.column("term").to_pylist()]
+            if found:
+                n, place = (np.array(c, np.int64) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), pa.array(place >> 6), pa.array(place & 63)], ["n", "word", "bit"])
+
+    rows = terms.select("term").mapInArrow(places, "n int, word bigint, bit bigint")
+    words = rows.groupBy("n", "word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask")).toPandas()
+    bitmaps = {}
+    for n, own in words.groupby("n"):
+        bitmaps[int(n)] = np.zeros(1 << bits - 6, np.uint64)
+        bitmaps[int(n)][own["word"].to_numpy()] = own["mask"].to_numpy(np.int64).view(np.uint64)
+    return bitmaps, bits
+
+
 def match_dictionary(fields: DataFrame, vocabulary: DataFrame, strict_boundaries: bool = True) -> DataFrame:
     """(id, skill_id, score): weighted occurrences of every vocabulary term in every text field.
 
@@ -172,50 +227,42 @@ def match_dictionary(fields: DataFrame, vocabulary: DataFrame, strict_boundaries
     All occurrences count, overlapping ones too, at ``weight * field_weight * (1 + 0.1 * length)``. A
     Latin-script term must not touch a Latin letter, a digit or one of ``+ # .``.
 
-    Texts are cut into overlapping pieces of a fixed length. Each position looks up the term lengths that
-    its first two characters allow, and only those substrings meet the vocabulary, on the whole term:
-    a frequent prefix never pairs all its positions with all its terms.
+    Prefix sums of a polynomial give the fingerprint of every substring of a text. Only substrings whose fingerprint is in
+    the bitmap of their length leave their text, by themselves; they meet the vocabulary on the whole term, which settles
+    chance hits. No text is carried along, and a frequent prefix costs nothing. Fingerprints of a long text are made for
+    stretches of ``PIECE_CHARS`` positions at a time.
     """
-    terms = vocabulary.select(F.lower("skill").alias("term"), "skill_id", "weight")
-    terms = first_occurrence(terms, ["term"], "skill_id", last=True).withColumn("ascii", F.col("term").rlike(ASCII_SKILL))
-    longest = terms.agg(F.coalesce(F.max(F.length("term")), F.lit(2))).first()[0]
-    prefixes = terms.groupBy(F.substring("term", 1, 2).alias("prefix"), "ascii").agg(
-        F.collect_set(F.length("term")).alias("lengths")
-    )
-    lowered = spread(fields, "id").select("id", "field_weight", F.lower("text").alias("text")).where(F.length("text") >= 2)
-    pieces = lowered.select(
-        "id",
-        "field_weight",
-        "text",
-        F.length("text").alias("chars"),
-        F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(PIECE_CHARS))).alias("start"),
-    ).select(
-        "id",
-        "field_weight",
-        F.least(F.lit(PIECE_CHARS), F.col("chars") - F.col("start")).alias("positions"),
-        # one character of left context (a blank at the start of the text), then the piece
-        F.when(F.col("start") == 0, F.concat(F.lit(" "), F.substring("text", F.lit(1), F.lit(PIECE_CHARS + longest + 1))))
-        .otherwise(F.substring("text", F.col("start"), F.lit(PIECE_CHARS + longest + 2)))
-        .alias("piece"),
-    )
-    at = pieces.select(
-        "id", "field_weight", "piece", F.explode(F.sequence(F.lit(2), F.col("positions") + 1)).alias("at")
-    ).withColumn("prefix", F.substring("piece", F.col("at"), F.lit(2)))
-    free_left = ~F.substring("piece", F.col("at") - 1, F.lit(1)).rlike(BOUNDARY)
-    free_right = ~F.substring("piece", F.col("at") + F.col("n"), F.lit(1)).rlike(BOUNDARY)
-    if not strict_boundaries:
-        free_left = free_right = F.lit(True)
-    candidates = (
-        at.join(broadcast_if_small(prefixes), "prefix")
-        .where(~F.col("ascii") | free_left)
-        .withColumn("n", F.explode("lengths"))
-        .where(~F.col("ascii") | free_right)
-        .select("id", "field_weight", "n", F.substring("piece", F.col("at"), F.col("n")).alias("term"))
-        .where(F.length("term") == F.col("n"))  # the text may end before the term does
-    )
+    terms = vocabulary.select(F.lower("skill").alias("term"), "skill_id", "weight").where(F.length("skill") > 0)
+    terms = cut_lineage(first_occurrence(terms, ["term"], "skill_id", last=True).withColumn("ascii", F.col("term").rlike(ASCII_SKILL)))
+    bitmaps, bits = _term_bitmaps(terms)
+    shared = fields.sparkSession.sparkContext.broadcast(bitmaps)
+    piece, longest = PIECE_CHARS, max(bitmaps, default=1)
+    lowered = spread(fields, "id").select("id", F.col("field_weight").cast("double").alias("field_weight"), F.lower("text").alias("text")).where(F.length("text") >= 2)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table, touching = _Fingerprints(), shared.value, frozenset(BOUNDARY_CHARS)
+        for batch in batches:
+            row, found, free = [], [], []
+            stretches = ((i, text, start) for i, text in enumerate(batch.column("text").to_pylist()) for start in range(0, len(text), piece))
+            for i, text, start in stretches:
+                sums = own.prefixes(text[start : start + piece + longest - 1])
+                for n, bitmap in table.items():
+                    place = own.of_length(sums, n, bits)[:piece]
+                    hits = np.flatnonzero(bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) + start
+                    for at in hits.tolist():
+                        row.append(i)
+                        found.append(text[at : at + n])
+                        free.append((at == 0 or text[at - 1] not in touching) and (at + n == len(text) or text[at + n] not in touching))
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("field_weight").take(take), pa.array(found, pa.string()), pa.array(free, pa.bool_())], ["id", "field_weight", "term", "free"])
+
+    kind = lowered.schema["id"].dataType.simpleString()
+    met = lowered.mapInArrow(candidates, f"id {kind}, field_weight double, term string, free boolean")
     # each term is one vocabulary row, so the join never yields more rows than there are candidates
+    matched = met.join(broadcast_if_small(terms.select("term", "skill_id", "weight", "ascii")), "term")
+    if strict_boundaries:
+        matched = matched.where(~F.col("ascii") | F.col("free"))
     value = F.col("weight") * F.col("field_weight") * (1.0 + 0.1 * F.length("term"))
-    matched = candidates.join(broadcast_if_small(terms.select("term", "skill_id", "weight")), "term")
     return matched.groupBy("id", "skill_id").agg(F.round(F.sum(value), 9).alias("score"))
 
 

@@ -133,3 +133,22 @@ def test_taxonomy(spark):
     assert got == {"1": (["root"], True), "1-1": (["root", "mid"], True), "1-1-1": (["root", "mid", "leaf"], False), "9": (["stray"], False)}
     rows = spark.createDataFrame([("a", 1, "old", 0), ("a", 1, "new", 1), ("", 1, "x", 2), ("b", None, "y", 3)], "career_code string, version_id int, name string, row_index long")
     assert [r["name"] for r in taxonomy.latest_occupations(rows).collect()] == ["new"]
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    """Rounds grow with the logarithm of the depth; a cycle below a chain raises."""
+    from talentweave.operators import taxonomy
+
+    written = []
+    cut = taxonomy.cut_lineage
+    monkeypatch.setattr(taxonomy, "cut_lineage", lambda df: written.append(1) or cut(df))
+    n = 300
+    chain = [(f"c{i}", f"c{i - 1}" if i else None, f"n{i}") for i in range(n)] + [("other", "gone", "o"), ("leaf", "c7", "l")]
+    frame = spark.createDataFrame(chain, "career_code string, parent_code string, name string")
+    got = {r.career_code: (r.path, r.has_children) for r in taxonomy.flatten_tree(frame).collect()}
+    assert len(got) == len(chain) and got["other"] == (["o"], False) and got["leaf"] == ([*[f"n{i}" for i in range(8)], "l"], False)
+    assert got[f"c{n - 1}"] == ([f"n{i}" for i in range(n)], False) and got["c0"][1]
+    assert len(written) <= 3 + 2 * 9  # 9 doublings for the pointers and as many for the paths
+    loop = [("x", "y", "x"), ("y", "x", "y"), ("under", "x", "u")]
+    with pytest.raises(ValueError):
+        taxonomy.flatten_tree(spark.createDataFrame(chain[:5] + loop, "career_code string, parent_code string, name string"))
