@@ -131,7 +131,8 @@ def _sharing_nothing(people, posts, candidates, exclude, topn: int, gains, base:
         for have, steps in (("degree", "_degrees"), ("years", "_years"))
     ]
     left = people.select("user_id", "degree", "years").join(full, "user_id", "left_anti")
-    open_people = cut_lineage(left.crossJoin(F.broadcast(steps_of)).select("user_id", *reached))
+    left = left.withColumns({c: steps_of.select(c).scalar() for c in steps_of.columns})
+    open_people = cut_lineage(left.select("user_id", *reached))
     # places to read: those of a full result, of all candidates and of all hidden posts
     taken = candidates.join(open_people.select("user_id"), "user_id", "left_semi").select("user_id", "job_id")
     if exclude is not None:
@@ -145,10 +146,10 @@ def _sharing_nothing(people, posts, candidates, exclude, topn: int, gains, base:
     # requirement steps of the posts, and classes of people who reach the same steps: both as few as the steps are
     steps = ["need_degree", "need_years", "extra"]
     listed = cut_lineage(top_per_group(posts.select("job_id", *steps), steps, [F.asc("job_id")], longest, "_place").drop("_place"))
-    kinds = F.broadcast(listed.select(*steps).distinct())
-    classes = cut_lineage(wanted.select("degree", "years").distinct())
+    kinds = listed.agg(F.collect_set(F.struct(*steps)).alias("_kinds"))  # one row
+    classes = wanted.select("degree", "years").distinct().withColumn("_kinds", kinds.scalar())
     value = _steps(gains["degree"], "degree", "need_degree") + _steps(gains["years"], "years", "need_years") + F.col("extra")
-    worth = classes.withColumn("_all", F.lit(1)).join(kinds.withColumn("_all", F.lit(1)), "_all").withColumn("_worth", F.round(value, SCORE_DIGITS))
+    worth = cut_lineage(classes.select("degree", "years", F.inline("_kinds")).withColumn("_worth", F.round(value, SCORE_DIGITS)))
     ranked = worth.join(listed, steps)
     ranked = top_per_group(ranked, ["degree", "years"], [F.desc("_worth"), F.asc("job_id")], longest, "_place")
     read = wanted.join(ranked.select("degree", "years", "job_id", "_place"), ["degree", "years"]).where(F.col("_place") <= F.col("_wanted"))
