@@ -126,50 +126,6 @@ def bm25_pairs_met(queries: DataFrame, documents: DataFrame, topn: int, k1: floa
     return both.select("user_id", "pairs", "read", "candidates", (F.col("candidates") * F.col("_left")).alias("looked_up"))
 
 
-def _vectors(ids: DataFrame, entries: DataFrame) -> DataFrame:
-    """(id, keys, weights) for every id, empty where it has no entry; entries hold (id, key, weight)."""
-    listed = entries.groupBy("id").agg(F.collect_list(F.struct("key", "weight")).alias("_e"))
-    return ids.select("id").join(listed, "id", "left").select(
-        "id",
-        F.coalesce("_e.key", F.array().cast("array<bigint>")).alias("keys"),
-        F.coalesce("_e.weight", F.array().cast("array<double>")).alias("weights"),
-    )
-
-
-def bm25_rankings(
-    queries: DataFrame, documents: DataFrame, topn: int, exclude: DataFrame | None = None, k1: float = K1,
-    b: float = B,
-) -> DataFrame:
-    """(user_id, job_id, score, rank) from two token tables (id, tokens): the ``topn`` best with a common term.
-
-    A repeated query term counts as often as it occurs; pass distinct tokens for the variant in which neither side counts
-    repeats. Texts are cut into tokens once. Frequent terms are only met for documents that they can lift into the result
-    (``pruning``). Scores are compared to 9 digits, so that equal texts tie and go by id.
-    """
-    found, postings = _bm25_candidates(queries, documents, topn, exclude, k1, b)
-    # what the lists that were left out add to the candidates: each pair of term and document is one posting
-    more = found.candidates.select("user_id", "job_id").join(found.left_out, "user_id").join(postings, ["term", "job_id"])
-    parts = found.candidates.select("user_id", "job_id", F.col("low").alias("part")).union(
-        more.select("user_id", "job_id", F.col("times") * F.col("low"))
-    )
-    scored = parts.groupBy("user_id", "job_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-    return top_per_group(scored.where("score > 0"), ["user_id"], [F.desc("score"), F.asc("job_id")], topn)
-
-
-def _bm25_candidates(queries, documents, topn, exclude, k1, b) -> tuple[Pruned, DataFrame]:
-    asked = cut_lineage(term_counts(queries).select(F.col("id").alias("user_id"), "term", F.col("tf").cast("double").alias("times")))
-    postings = cut_lineage(bm25_postings(written(documents.select("id", "tokens"), "tokens"), asked, k1, b))
-    return pruned_candidates(asked, postings, topn, exclude), postings
-
-
-def bm25_pairs_met(queries: DataFrame, documents: DataFrame, topn: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(user_id, pairs, read, candidates): postings of a query's terms, those its ranking reads in full, and its candidates."""
-    found, _ = _bm25_candidates(queries, documents, topn, None, k1, b)
-    read = F.sum(F.when(F.col("step") < 3, F.col("entries")).otherwise(0))
-    lists = found.lists.groupBy("user_id").agg(F.sum("entries").alias("pairs"), read.alias("read"))
-    return lists.join(found.candidates.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates")), "user_id", "left").fillna(0, ["candidates"])
-
-
 def job_document(title: Column, text: Column) -> Column:
     """Second-generation document: the title twice, then the text (which starts with the title)."""
     return F.concat(title, F.lit(" "), title, F.lit(" "), text)
