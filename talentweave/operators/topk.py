@@ -195,12 +195,6 @@ def sparse_product(q: pa.Table, i: pa.Table, keys: str = "keys", weights: str |
     return rows
 
 
-def reaches(q: pa.Table, i: pa.Table, have: str, need: str, start: int, stop: int) -> np.ndarray:
-    """1.0 where the query value is at least the item value."""
-    left, right = q.column(have).to_numpy()[start:stop], i.column(need).to_numpy()
-    return (left[:, None] >= right[None, :]).astype(np.float64)
-
-
 def dense_scores(vector: str = "vector"):
     """Scorer: dot product of dense vectors of one length."""
 
