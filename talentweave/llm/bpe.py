@@ -137,6 +137,7 @@ class Vocabulary(Merges):
         self.last = [ids[s + END] for s in symbols]
         self.parts = {i: self._symbols(t, ids) for t, i in ids.items()}
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _symbols(token: str, ids: dict[str, int]) -> tuple[int, ...]:
@@ -184,12 +185,13 @@ class Vocabulary(Merges):
         try:
             return b"".join(map(memory.__getitem__, words))
         except KeyError:
+            if len(memory) >= REMEMBER:  # words still in use come back from the older table
+                self.older, self.memory = memory, {}
+                memory = self.memory
             out = []
             for w in words:
                 if (ids := memory.get(w)) is None:
-                    if len(memory) >= REMEMBER:
-                        memory.clear()
-                    ids = np.array(self.word(w), "<u4").tobytes()
+                    ids = self.older.get(w) or np.array(self.word(w), "<u4").tobytes()
                     if len(w) <= 40:
                         memory[w] = ids
                 out.append(ids)
