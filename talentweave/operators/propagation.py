@@ -7,8 +7,9 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from .graph import with_reverse
+from .vectorsums import HUB, hub_slices, vector_sums
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
@@ -16,12 +17,6 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("degree"))
 
 
-def _sum_vectors(df: DataFrame, keys: list[str], vector: Column, dim: int, how=F.sum) -> DataFrame:
-    """Element-wise aggregate of vectors, one aggregate per dimension with map-side combine."""
-    parts = [how(F.get(vector, F.lit(i))).alias(f"_v{i}") for i in range(dim)]
-    return df.groupBy(*keys).agg(*parts).select(*keys, F.array(*[F.col(f"_v{i}") for i in range(dim)]).alias("vector"))
-
-
 def bipartite_edges(pairs: DataFrame) -> DataFrame:
     """Both directions of user-job pairs with tagged node names (``c:`` users, ``j:`` jobs)."""
     rows = pairs.select(
@@ -30,42 +25,46 @@ def bipartite_edges(pairs: DataFrame) -> DataFrame:
     return with_reverse(rows).select("src", "dst")
 
 
-def propagate(nodes: DataFrame, pairs: DataFrame, layers: int, dim: int, keep_raw_without_edges: bool = False) -> DataFrame:
+def propagate(
+    nodes: DataFrame, pairs: DataFrame, layers: int, dim: int, keep_raw_without_edges: bool = False, hub: int = HUB
+) -> DataFrame:
     """(node, vector): mean over the layers 0..K of degree-normalized neighbour sums.
 
-    ``nodes`` holds (node, vector). A node without edges adds zeros after layer 0. Each layer is one join
-    on the source node and one partially combined sum; it is written before the next one starts, so the
-    plan does not grow and a lost executor re-reads the layer.
+    ``nodes`` holds (node, vector) with ``dim`` numbers each. A node without edges adds zeros after layer 0. Each
+    layer is one join on the source node and one partially combined sum, in two levels if a node has more than
+    ``hub`` edges; it is written before the next one starts, so the plan does not grow and a lost executor re-reads
+    the layer.
     """
     edges = bipartite_edges(pairs.select("user_id", "job_id").distinct())
     if keep_raw_without_edges and edges.limit(1).count() == 0:
         return nodes
     degree = node_degree(edges)
+    sliced, hubs = hub_slices(edges, ["dst"], "src", hub)
     weighted = cut_lineage(
-        edges.join(degree.select(F.col("node").alias("src"), F.col("degree").alias("_ds")), "src")
+        sliced.join(degree.select(F.col("node").alias("src"), F.col("degree").alias("_ds")), "src")
         .join(degree.select(F.col("node").alias("dst"), F.col("degree").alias("_dd")), "dst")
-        .select("src", "dst", (1.0 / F.sqrt(F.col("_ds") * F.col("_dd"))).alias("norm"))
+        .select("src", "dst", "slice", (1.0 / F.sqrt(F.col("_ds") * F.col("_dd"))).alias("norm"))
     )
     layer = nodes.select("node", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     stacked = layer
     for _ in range(layers):
         messages = weighted.join(layer.withColumnRenamed("node", "src"), "src")
-        scaled = messages.select(F.col("dst").alias("node"), "norm", "vector")
-        parts = [F.sum(F.get("vector", F.lit(i)) * F.col("norm")).alias(f"_v{i}") for i in range(dim)]
-        layer = cut_lineage(
-            scaled.groupBy("node").agg(*parts).select("node", F.array(*[F.col(f"_v{i}") for i in range(dim)]).alias("vector"))
-        )
+        layer = cut_lineage(vector_sums(messages.withColumnRenamed("dst", "node"), ["node"], "norm", hubs))
         stacked = stacked.unionByName(layer)
-    total = _sum_vectors(stacked, ["node"], F.col("vector"), dim)
+    total = vector_sums(stacked, ["node"])
     return total.select("node", F.transform("vector", lambda x: x / float(layers + 1)).alias("vector")).join(
         nodes.select("node"), "node", "left_semi"
     )
 
 
-def relation_means(nodes: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
+def relation_means(nodes: DataFrame, edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(relation, dst, vector): mean of the source vectors over each relation's edges."""
-    messages = edges.join(nodes.select(F.col("node").alias("src"), "vector"), "src")
-    return _sum_vectors(messages, ["relation", "dst"], F.col("vector"), dim, F.avg)
+    return _means(nodes, *hub_slices(edges, ["relation", "dst"], "src", hub))
+
+
+def _means(nodes: DataFrame, sliced: DataFrame, hubs: bool) -> DataFrame:
+    messages = sliced.join(nodes.select(F.col("node").alias("src"), F.transform("vector", lambda x: x.cast("double")).alias("vector")), "src")
+    return vector_sums(messages, ["relation", "dst"], slices=hubs, mean=True)
 
 
 def _gelu(x: Column) -> Column:
@@ -85,8 +84,9 @@ def relational_encode(nodes: DataFrame, edges: DataFrame, dim: int, layers: int
     The relations carry no learned matrices; node names must be tagged by type.
     """
     state = nodes.select("node", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    sliced = hub_slices(edges, ["relation", "dst"], "src")
     for _ in range(layers):
-        incoming = _sum_vectors(relation_means(state, edges, dim), ["dst"], F.col("vector"), dim)
+        incoming = vector_sums(_means(state, *sliced), ["dst"])
         joined = state.join(incoming.select(F.col("dst").alias("node"), F.col("vector").alias("_m")), "node", "left")
         zero = F.array_repeat(F.lit(0.0), dim)
         mixed = F.zip_with("vector", F.coalesce("_m", zero), lambda h, m: h + _gelu(m))
@@ -129,7 +129,7 @@ def pooled_paths(pairs: DataFrame, skill_vectors: DataFrame, dim: int) -> DataFr
 
     ``pairs`` holds ``attention`` and ``gap_skills``; ``skill_vectors`` (skill, vector).
     """
-    vectors = broadcast_if_small(skill_vectors.select("skill", "vector"))
+    vectors = skill_vectors.select("skill", "vector")
     shared = pairs.select("user_id", "job_id", F.inline("attention")).withColumn("side", F.lit("path"))
     gaps = pairs.select(
         "user_id", "job_id", F.explode("gap_skills").alias("skill"), (1.0 / F.size("gap_skills")).alias("weight"), F.lit("gap").alias("side")

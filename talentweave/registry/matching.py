@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions import features as fx
-from ..operators import dense, evaluation, factors, interactions, negatives, ordering, pairs, propagation, rerank, scoring
+from ..operators import dense, evaluation, factors, interactions, negatives, ordering, pairs, propagation, relations, rerank, scoring
 from ..operators.dense import dense_rankings, unit_vectors
 from ..operators.graph import with_reverse
 from ..plans import experiments, recommend
@@ -22,7 +22,9 @@ def _r(name: str, alias: str | None = None):
 
 
 def _ranked(df: DataFrame) -> DataFrame:
-    return df.select("user_id", "job_id", _r("score"), F.col("rank").cast("int").alias("rank"))
+    # scores are kept to nine digits; a half in the seventh is rounded as the SQL does, on the scaled number
+    score = F.round(F.col("score") * 1e6) / 1e6
+    return df.select("user_id", "job_id", score.alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def _report(df: DataFrame) -> DataFrame:
@@ -403,7 +405,7 @@ def propagated_vectors(spark, d):
 
 def relation_means(spark, d):
     nodes, train = _train_nodes(spark, d)
-    return _by_dimension(propagation.relation_means(nodes, _train_edges(train), DIM), "relation", "dst")
+    return _by_dimension(propagation.relation_means(nodes, _train_edges(train)), "relation", "dst")
 
 
 def relational_encoding(spark, d):
@@ -411,6 +413,20 @@ def relational_encoding(spark, d):
     return _by_dimension(propagation.relational_encode(nodes, _train_edges(train), DIM, 2), "node")
 
 
+def relation_gram_sums(spark, d):
+    """Gram sums that the relation matrices of the first layer are solved from, one row per entry."""
+    nodes, train = _train_nodes(spark, d)
+    means = propagation.relation_means(nodes, _train_edges(train))
+    entries = relations.gram_sums(means, nodes, DIM).select("relation", "place", F.posexplode("vector").alias("entry", "_v"))
+    return entries.select("relation", "place", "entry", F.round("_v", 6).alias("value"))
+
+
+def learned_encoding(spark, d):
+    """Train graph passed through two relation layers with learned matrices."""
+    nodes, train = _train_nodes(spark, d)
+    return _by_dimension(relations.learned_relational_encode(nodes, _train_edges(train), DIM, 2).nodes, "node")
+
+
 def graph_dot_ranking(spark, d):
     """Dot product of propagated vectors."""
     nodes, train = _train_nodes(spark, d)
@@ -514,7 +530,7 @@ QUERIES = {
         prediction_sample, two_stage_rule, full_ranking, masked_pairs, pair_features_v1, pair_features_v2, shared_skill_counts,
         skill_frequency, skill_entries, requirement_scores, requirement_paths, skill_aliases, uniform_negatives, sampled_pool,
         structural_negatives, structural_negatives_by_city, semantic_negatives, mixed_negatives, dense_ranking, dense_ranking_by_groups, dense_groups_visited, dense_label_report, node_degree,
-        propagated_vectors, relation_means, relational_encoding, graph_dot_ranking, als_ranking, pairwise_ranking, pairwise_ranking_facts, two_stage_ranking,
+        propagated_vectors, relation_means, relational_encoding, relation_gram_sums, learned_encoding, graph_dot_ranking, als_ranking, pairwise_ranking, pairwise_ranking_facts, two_stage_ranking,
         pair_interaction_ranking, als_ranking_facts, two_stage_ranking_facts, pair_interaction_ranking_facts, rule_ranking_top_10,
         interaction_vectors, node_inputs, fused_encoding,
     )

@@ -281,6 +281,12 @@ h1 AS (SELECT node, dim, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) AS
 m2 AS (SELECT dst, dim, avg(v) AS v FROM edges JOIN h1 ON edges.src = h1.node GROUP BY ALL),
 p2 AS (SELECT n.node, n.dim, n.v + coalesce(0.5 * m.v * (1 + tanh(sqrt(2 / pi()) * (m.v + 0.044715 * m.v ** 3))), 0) AS v FROM h1 n LEFT JOIN m2 m ON m.dst = n.node AND m.dim = n.dim),
 h2 AS (SELECT node, dim, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) AS v FROM p2 WINDOW w AS (PARTITION BY node))"""),
+    "relation_gram_sums": sql("""
+SELECT x.relation, CAST(x.dim AS INTEGER) AS place, CAST(e.dim AS INTEGER) AS entry, round(sum(x.v * e.v), 6) + 0.0 AS value
+FROM xs x JOIN es e ON e.relation = x.relation AND e.dst = x.dst GROUP BY ALL""", """
+ms AS (SELECT relation, dst, dim, avg(v) AS v FROM edges JOIN nodes ON edges.src = nodes.node WHERE dst IN (SELECT node FROM nodes) GROUP BY ALL),
+xs AS (SELECT relation, dst, dim, v FROM ms UNION ALL SELECT DISTINCT relation, dst, 64, 1.0::DOUBLE FROM ms),
+es AS (SELECT * FROM xs UNION ALL SELECT m.relation, m.dst, 65 + n.dim, n.v FROM (SELECT DISTINCT relation, dst FROM ms) m JOIN nodes n ON n.node = m.dst)"""),
     "graph_dot_ranking": sql("""
 SELECT r.user_id, r.job_id, round(r.score, 6) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY r.user_id ORDER BY r.score DESC, r.job_id) AS INTEGER) AS rank FROM (
   SELECT a.user_id, j.job_id, round(sum(x.v * y.v), 9) AS score FROM askers a JOIN smooth x ON x.node = 'c:' || a.user_id CROSS JOIN jobs j
