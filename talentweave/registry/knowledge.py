@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions.features import pair_features_v1, rule_score_v1
-from ..operators import evaluation, evidence, graph, interactions, pairs, propagation, taxonomy
+from ..operators import evaluation, evidence, graph, interactions, pairs, propagation, reverse, taxonomy
 from ..operators.ordering import dense_index, first_rows
 from ..operators.vocabulary import SkillGate
 from ..plans import experiments, recommend, records
@@ -388,6 +388,26 @@ def candidate_pages_by_experience(spark, d):
     return recommend.paged(rows, "job_id", F.col("years"), "user_id", 1, 5)
 
 
+def job_candidate_pages(spark, d):
+    """All users ranked for every hundredth job by match, salary and experience: one page each, near the top or far down."""
+    people = b.users(spark, d).join(b.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").cast("double").alias("salary")), "user_id")
+    posts = b.all_jobs(spark, d).where(F.col("job_id") % 100 == 0).withColumn(
+        "min_degree", F.when(F.col("min_degree_rank") == 0, "").otherwise(F.col("min_degree_rank").cast("string"))
+    )
+    sort = F.explode(F.array(F.lit("match"), F.lit("salary"), F.lit("experience"))).alias("sort_by")
+    renamed = [F.col(c).alias(f"job_{c}") for c in ("city", "job_type", "min_degree", "min_degree_rank", "min_years", "skills")]
+    asked = posts.select("job_id", *renamed, sort).withColumn("request_id", F.concat_ws(":", "job_id", "sort_by"))
+    asked = asked.withColumn("page", (F.col("job_id") / 100 * 13 % 60 + 1).cast("int")).withColumn("page_size", F.lit(20))
+
+    def score(rows):
+        rows = rows.select("*", *pair_features_v1()).withColumn("match", recommend.match_percent(rule_score_v1(), F.lit(1.0)))
+        value = F.when(F.col("sort_by") == "match", F.col("match")).when(F.col("sort_by") == "salary", F.col("salary")).otherwise(F.col("years"))
+        return rows.select("request_id", "user_id", "place", "match", value.cast("double").alias("value"))
+
+    pages = reverse.candidate_pages(asked, people, score)
+    return pages.select("job_id", "sort_by", "page", "place", "user_id", "match", F.round("value", 2).alias("value"), "total", "total_pages")
+
+
 # Taxonomy -------------------------------------------------------------------------------------
 
 
@@ -415,7 +435,7 @@ QUERIES = {
         jobs_v1, processed_users, processed_jobs, processed_run, raw_scan, raw_preview, metrics_sink, stored_rankings,
         occupation_reference, match_evidence_v1, match_evidence_v2, path_attention, pooled_paths, subgraph_edges, subgraph_nodes,
         explanations, explanation_documents, requirement_explanations, recommendations, recommendations_by_rule,
-        recommendations_for_profiles, rejected_requests, candidate_pages, candidate_pages_by_experience, health, invalid_profiles, invalid_jobs, user_ndcg_sink, vector_tables, taxonomy_tree,
+        recommendations_for_profiles, rejected_requests, candidate_pages, candidate_pages_by_experience, job_candidate_pages, health, invalid_profiles, invalid_jobs, user_ndcg_sink, vector_tables, taxonomy_tree,
         latest_occupations,
     )
 }

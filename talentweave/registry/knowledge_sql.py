@@ -228,6 +228,23 @@ WHERE place > 10 AND place <= 20""", EVIDENCE),
 SELECT user_id, job_id, years, 1 AS page, place, total, CAST(ceil(total / 5) AS BIGINT) AS total_pages FROM (
   SELECT k.job_id, k.user_id, u.years, row_number() OVER (PARTITION BY k.job_id ORDER BY u.years DESC, k.user_id) AS place, count(*) OVER (PARTITION BY k.job_id) AS total
   FROM kp k JOIN users u ON u.user_id = k.user_id JOIN jobs j ON j.job_id = k.job_id) WHERE place <= 5""", EVIDENCE),
+    "job_candidate_pages": sql("""
+SELECT job_id, sort_by, page, place, user_id, match, round(value, 2) + 0.0 AS value, total, CAST(ceil(total / 20) AS BIGINT) AS total_pages FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id, sort_by ORDER BY value DESC, user_id) AS place, count(*) OVER (PARTITION BY job_id, sort_by) AS total
+  FROM (SELECT r.job_id, s.sort_by, CAST(r.job_id // 100 * 13 % 60 + 1 AS INTEGER) AS page, r.user_id,
+      CAST(greatest(0, least(100, round(100 * r.score))) AS INTEGER) AS match,
+      CASE s.sort_by WHEN 'match' THEN greatest(0, least(100, round(100 * r.score))) WHEN 'salary' THEN CAST(c.c_acctbal AS DOUBLE) ELSE CAST(u.years AS DOUBLE) END AS value
+    FROM judged r JOIN users u ON u.user_id = r.user_id JOIN customer c ON c.c_custkey = r.user_id
+    CROSS JOIN (SELECT unnest(['match', 'salary', 'experience']) AS sort_by) s))
+WHERE place > (page - 1) * 20 AND place <= page * 20""", """
+judged AS (
+  SELECT user_id, job_id, 0.5 * n / n_job + 0.1 * (1 - (n_job - n) / n_job) + 0.15 * city + 0.1 * edu + 0.1 * exp + 0.05 * type + 0.03 * ln(1.0 + n) AS score FROM (
+    SELECT u.user_id, j.job_id, coalesce(s.n, 0) AS n, jn.n_job, CASE WHEN j.city IN (u.live_city, u.next_city) THEN 1 ELSE 0 END AS city,
+      CASE WHEN min_degree_rank > 0 AND degree_rank >= min_degree_rank THEN 1 ELSE 0 END AS edu,
+      CASE WHEN min_years > 0 AND years >= min_years THEN 1 ELSE 0 END AS exp, CASE WHEN t.user_id IS NOT NULL THEN 1 ELSE 0 END AS type
+    FROM users u CROSS JOIN (SELECT * FROM alljobs WHERE job_id % 100 = 0) j JOIN jn ON jn.job_id = j.job_id
+    LEFT JOIN sharedn s ON s.user_id = u.user_id AND s.job_id = j.job_id
+    LEFT JOIN utype t ON t.user_id = u.user_id AND t.job_type = j.job_type))"""),
     "user_ndcg_sink": SQL_MATCHING["user_ndcg"],
     "vector_tables": sql("""
 SELECT 'user' AS side, u.user_id AS id, 64 AS places, round(v, 6) + 0.0 AS first FROM users u JOIN vec ON vec.vec_id = u.user_id WHERE dim = 0
