@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.features import pair_features_v2
 from ..operators.dense import dense_rankings, unit_vectors
 from ..operators.evaluation import KS, evaluate_v2, seed_summary
+from ..operators.graph import message_graph
 from ..operators.interactions import positives
 from ..operators.lexical import bm25_rankings_v2, tfidf_encode
 from ..operators.negatives import uniform_negatives
 from ..operators.pairs import attach_profiles
+from ..operators.pathmodel import PathModel, Shape, pair_inputs, score_paths, train_path_model
 from ..operators.propagation import propagate
+from ..operators.relations import learned_relational_encode
 from ..operators.rerank import (
     als_factors, attach_vectors, concat_views, interaction_vector, labelled_pairs, pair_levels, recall_and_rerank, scaled_dot,
     score_pairs, split_nodes, tagged_nodes, train_pair_model,
@@ -142,6 +145,59 @@ def rank_two_stage(
     )
 
 
+@dataclass
+class TrainedPaths:
+    """Encoded (id, vector) of all users and jobs, the model, and the inputs of any pairs of them."""
+
+    users: DataFrame
+    jobs: DataFrame
+    model: PathModel
+    inputs: Callable[[DataFrame], DataFrame]
+
+
+def train_paths(
+    b: Bundle, dim: int = 64, layers: int = 1, per_pair: int = 4, steps: int = 15, decay: float = 1e-3, seed: int = 42
+) -> TrainedPaths:
+    """Relation layers with learned matrices over the train graph, then path attention and the pair head on top.
+
+    ``vectors`` of the bundle name the user, job and skill vectors of ``dim`` numbers; a user or job without one starts from
+    zeros. The layers read train pairs only.
+    """
+    if not {"user", "job", "skill"} <= set(b.vectors):
+        raise ValueError("path attention needs user, job and skill vectors")
+    tagged = {"user": ("c:", b.users, "user_id"), "job": ("j:", b.jobs, "job_id")}
+    nodes = b.vectors["skill"].select(F.concat(F.lit("s:"), "skill").alias("node"), "vector")
+    for side, (tag, rows, key) in tagged.items():
+        own = rows.select(F.col(key).alias("id")).join(b.vectors[side], "id", "left")
+        vector = F.coalesce(F.transform("vector", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), dim))
+        nodes = nodes.unionByName(own.select(F.concat(F.lit(tag), "id").alias("node"), vector.alias("vector")))
+    graph = message_graph(b.users, b.jobs, b.interactions)
+    ends = [F.concat(F.substring("relation", place, 1), F.lit(":"), F.col(name)).alias(name) for place, name in ((1, "src"), (2, "dst"))]
+    encoded = learned_relational_encode(nodes, graph.select("relation", *ends), dim, layers).nodes
+    users, jobs = split_nodes(encoded, b.with_ids("user"), b.with_ids("job"))
+    skills = encoded.where(F.col("node").startswith("s:")).select(F.expr("substring(node, 3)").alias("skill"), "vector")
+    train = b.pairs("train")
+
+    def inputs(pairs: DataFrame) -> DataFrame:
+        return pair_inputs(pairs, b.users, b.jobs, users, jobs, skills, pair_features_v2(), dim)
+
+    negatives = uniform_negatives(train, b.jobs, b.pairs("train", "valid", "test"), per_pair, seed)
+    model = train_path_model(inputs(labelled_pairs(train, negatives)), Shape(dim, len(FEATURES)), steps, decay, seed)
+    return TrainedPaths(users, jobs, model, inputs)
+
+
+def rank_paths(b: Bundle, topn: int = TOPN, recall_k: int = 500, exclude_valid: bool = True, **options) -> DataFrame:
+    """Whole catalogue by dot product of the encoded vectors, its head by path attention and the pair head."""
+    trained = train_paths(b, **options)
+    asked = trained.users.join(b.test_users().withColumnRenamed("user_id", "id"), "id", "left_semi")
+    hidden = b.pairs("train", "valid") if exclude_valid else b.pairs("train")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        return score_paths(trained.model, trained.inputs(pairs)).select("user_id", "job_id", "score")
+
+    return recall_and_rerank(asked, trained.jobs, hidden, score, topn, recall_k)
+
+
 MODELS: dict[str, Callable[..., DataFrame]] = {
     "popularity": rank_popularity,
     "rule": rank_rule,
@@ -149,6 +205,7 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "dense": rank_dense,
     "graph": rank_graph,
     "two_stage": rank_two_stage,
+    "paths": rank_paths,
 }
 
 

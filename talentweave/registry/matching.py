@@ -489,6 +489,35 @@ def pair_interaction_ranking_facts(spark, d):
     return _ranking_facts(experiments.rank_two_stage(bundle, pair_interaction=True), bundle.hidden())
 
 
+def _with_vectors(spark, d) -> experiments.Bundle:
+    """The bundle with stored vectors for users, jobs and skills; a skill's vector is the stored one at its rank."""
+    bundle = b.bundle(spark, d)
+    users, jobs = b.node_vectors(spark, d)
+    numbered = ordering.dense_index(b.all_jobs(spark, d).select(F.explode("skills").alias("skill")).distinct(), "skill", "vec_id")
+    stored = b.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    skills = numbered.join(stored, "vec_id").select("skill", "vector")
+    return experiments.Bundle(bundle.users, bundle.jobs, bundle.interactions, {"user": users, "job": jobs, "skill": skills})
+
+
+def path_model_ranking(spark, d):
+    """Catalogue ranked by encoded vectors, its head by learned path attention and the pair head."""
+    return _ranked(experiments.rank_paths(_with_vectors(spark, d)))
+
+
+def path_model_ranking_facts(spark, d):
+    bundle = _with_vectors(spark, d)
+    return _ranking_facts(experiments.rank_paths(bundle), bundle.hidden())
+
+
+def learned_path_attention(spark, d):
+    """Learned weights of the shared skills of every test pair: how many, and whether they add up to one."""
+    bundle = _with_vectors(spark, d)
+    trained = experiments.train_paths(bundle)
+    found = experiments.score_paths(trained.model, trained.inputs(bundle.pairs("test").distinct()))
+    total = F.aggregate("attention", F.lit(0.0), lambda acc, x: acc + x)
+    return found.select("user_id", "job_id", F.size("attention").alias("skills"), F.round(total, 6).alias("total"))
+
+
 def interaction_vectors(spark, d):
     """Pair-interaction vectors of every train pair, one row per dimension."""
     users, jobs = b.node_vectors(spark, d)
@@ -532,6 +561,6 @@ QUERIES = {
         structural_negatives, structural_negatives_by_city, semantic_negatives, mixed_negatives, dense_ranking, dense_ranking_by_groups, dense_groups_visited, dense_label_report, node_degree,
         propagated_vectors, relation_means, relational_encoding, relation_gram_sums, learned_encoding, graph_dot_ranking, als_ranking, pairwise_ranking, pairwise_ranking_facts, two_stage_ranking,
         pair_interaction_ranking, als_ranking_facts, two_stage_ranking_facts, pair_interaction_ranking_facts, rule_ranking_top_10,
-        interaction_vectors, node_inputs, fused_encoding,
+        path_model_ranking, path_model_ranking_facts, learned_path_attention, interaction_vectors, node_inputs, fused_encoding,
     )
 }

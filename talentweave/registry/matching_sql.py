@@ -281,6 +281,12 @@ h1 AS (SELECT node, dim, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) AS
 m2 AS (SELECT dst, dim, avg(v) AS v FROM edges JOIN h1 ON edges.src = h1.node GROUP BY ALL),
 p2 AS (SELECT n.node, n.dim, n.v + coalesce(0.5 * m.v * (1 + tanh(sqrt(2 / pi()) * (m.v + 0.044715 * m.v ** 3))), 0) AS v FROM h1 n LEFT JOIN m2 m ON m.dst = n.node AND m.dim = n.dim),
 h2 AS (SELECT node, dim, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) AS v FROM p2 WINDOW w AS (PARTITION BY node))"""),
+    "learned_path_attention": sql("""
+SELECT t.user_id, t.job_id, CAST(count(p.skill) AS INTEGER) AS skills, CASE WHEN count(p.skill) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS total
+FROM test t JOIN users u ON u.user_id = t.user_id JOIN jobs j ON j.job_id = t.job_id
+LEFT JOIN (SELECT k.user_id, s.job_id, s.skill FROM uskill k JOIN jskill s ON s.skill = k.skill
+           JOIN (SELECT skill, row_number() OVER (ORDER BY skill) - 1 AS vec_id FROM (SELECT DISTINCT skill FROM jskill)) n ON n.skill = s.skill
+           WHERE n.vec_id IN (SELECT vec_id FROM embeddings)) p ON p.user_id = t.user_id AND p.job_id = t.job_id GROUP BY ALL"""),
     "relation_gram_sums": sql("""
 SELECT x.relation, CAST(x.dim AS INTEGER) AS place, CAST(e.dim AS INTEGER) AS entry, round(sum(x.v * e.v), 6) + 0.0 AS value
 FROM xs x JOIN es e ON e.relation = x.relation AND e.dst = x.dst GROUP BY ALL""", """
@@ -408,7 +414,7 @@ SELECT a.user_id, n.jobs - coalesce(h.hidden, 0) AS places, n.jobs - coalesce(h.
   CAST(n.jobs - coalesce(h.hidden, 0) AS INTEGER) AS last, CAST(0 AS BIGINT) AS hidden
 FROM askers a CROSS JOIN (SELECT count(*) AS jobs FROM jobs) n
 LEFT JOIN (SELECT user_id, count(*) AS hidden FROM hidden WHERE job_id IN (SELECT job_id FROM jobs) GROUP BY user_id) h ON h.user_id = a.user_id""")
-for _name in ("als_ranking_facts", "pairwise_ranking_facts", "two_stage_ranking_facts", "pair_interaction_ranking_facts"):
+for _name in ("als_ranking_facts", "pairwise_ranking_facts", "two_stage_ranking_facts", "pair_interaction_ranking_facts", "path_model_ranking_facts"):
     SQL[_name] = _FACTS
 
 _PLACE = "CAST('0x' || substr(md5('{0}:' || i.{0}_code), 1, 15) AS BIGINT) % 64"
