@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dense import dense_rankings
+from .neighbours import approximate_rankings
 from .ordering import exploded_range, global_position, position_in_group
 
 
@@ -67,10 +68,14 @@ def sampled_pool(users: DataFrame, jobs: DataFrame, known: DataFrame, n: int, se
 
 
 def semantic_negatives(
-    user_vectors: DataFrame, job_vectors: DataFrame, seen: DataFrame, top: int = 200, **blocks: int
+    user_vectors: DataFrame, job_vectors: DataFrame, seen: DataFrame, top: int = 200, approximate: bool = False, **options
 ) -> DataFrame:
-    """(user_id, job_id, score, rank): the ``top`` most similar jobs the user never touched, however many it has seen."""
-    return dense_rankings(user_vectors, job_vectors, top, seen, **blocks)
+    """(user_id, job_id, score, rank): the ``top`` most similar jobs the user never touched, however many it has seen.
+
+    ``approximate`` looks only where inverted lists lead; ``options`` go to the search.
+    """
+    search = approximate_rankings if approximate else dense_rankings
+    return search(user_vectors, job_vectors, top, seen, **options)
 
 
 def structural_negatives(

