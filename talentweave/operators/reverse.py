@@ -10,19 +10,28 @@ the values are spread very unevenly.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordering import global_position
+from .ordering import exploded_range, global_position
 
 BINS = 256
 FEW = 1024
 REQUEST_BLOCK = 512
+TASK_USERS = 4096
+CELLS = 2_000_000
 UNKNOWN = -1e300  # sorts after every value that is known
+_LAST = np.iinfo(np.int64).max
+_BOUNDS = "low double, high double, low_place bigint, high_place bigint, inside bigint"
+Score = Callable[[DataFrame], DataFrame]
+BlockScore = Callable[[pa.Table, pa.Table], Callable[[int, int], np.ndarray]]
 
 
 def _ahead(value: Column, place: Column, high: Column, low_place: Column) -> Column:
@@ -41,25 +50,162 @@ def _bounds() -> list[Column]:
     ]
 
 
-def _narrowed(scored: DataFrame, state: DataFrame, bins: int) -> DataFrame:
+class _Scored:
+    """A block's rows as one table: ``score`` runs in every pass."""
+
+    def __init__(self, people: DataFrame, requests: DataFrame, score: Score):
+        rows = _known(score(people.crossJoin(F.broadcast(requests))))
+        self.rows = rows.drop(*[c for c in requests.columns if c != "request_id"])
+
+    def whole(self) -> DataFrame:
+        return self.rows.groupBy("request_id").agg(*_bounds())
+
+    def counted(self, state: DataFrame, bins: int) -> DataFrame:
+        ranges = F.broadcast(state.drop("inside"))  # two rows a request of the block
+        rows = self.rows.join(ranges, "request_id").where(
+            F.col("value").between(F.col("low"), F.col("high")) & F.col("place").between(F.col("low_place"), F.col("high_place"))
+        )
+        by_value = F.floor((F.col("high") - F.col("value")) / (F.col("high") - F.col("low")) * bins)
+        by_place = F.floor((F.col("place") - F.col("low_place")) / (F.col("high_place") - F.col("low_place") + 1) * bins)
+        part = F.least(F.lit(bins - 1), F.when(F.col("high") > F.col("low"), by_value).otherwise(by_place))
+        return rows.groupBy("request_id", "end", "target", "before", part.alias("_part")).agg(*_bounds())
+
+    def met(self, pages: DataFrame) -> DataFrame:
+        value, place = F.col("value"), F.col("place")
+        return self.rows.join(F.broadcast(pages), "request_id").where(
+            ~_ahead(value, place, F.col("high"), F.col("low_place")) & ~_behind(value, place, F.col("low"), F.col("high_place"))
+        )
+
+    def finished(self, shown: DataFrame) -> DataFrame:
+        return shown
+
+
+class _Valued:
+    """A block's values as matrices: a task holds the requests of the block and a batch of users, and passes on counts."""
+
+    def __init__(self, people: DataFrame, requests: DataFrame, score: Score, values: BlockScore):
+        self.people, self.requests, self.score, self.values = people, requests, score, values
+        self.asked = requests.toArrow()  # a block of requests
+        self.names = self.asked.column("request_id").to_pylist()
+        self.kind = requests.schema["request_id"].dataType.simpleString()
+
+    def _passed(self, task: Callable[[Iterator[tuple[int, np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """``task`` over (first request, values of a run of requests, places of the users) of the batches of a task."""
+        asked, values = self.asked, self.values
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def cells() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+                for batch in batches:
+                    if not batch.num_rows or not asked.num_rows:
+                        continue
+                    places, rows_of = batch.column("place").to_numpy(), values(asked, pa.Table.from_batches([batch]))
+                    step = max(1, CELLS // batch.num_rows)
+                    for at in range(0, asked.num_rows, step):
+                        found = rows_of(at, min(asked.num_rows, at + step))
+                        yield at, np.where(np.isnan(found), UNKNOWN, found), places
+
+            yield from task(cells())
+
+        return self.people.mapInArrow(run, schema)
+
+    def whole(self) -> DataFrame:
+        n = len(self.names)
+
+        def task(cells):
+            low, high, inside, ends = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64), []
+            for at, found, places in cells:
+                run = slice(at, at + len(found))
+                low[run], high[run] = np.minimum(low[run], found.min(axis=1)), np.maximum(high[run], found.max(axis=1))
+                inside[run] += len(places)
+                ends += [places.min(), places.max()]
+            if ends:
+                yield _batch(np.arange(n), low, high, np.full(n, min(ends)), np.full(n, max(ends)), inside)
+
+        return self._named(self._passed(task, f"_r int, {_BOUNDS}").groupBy("_r").agg(*_added()))
+
+    def counted(self, state: DataFrame, bins: int) -> DataFrame:
+        rows = state.select("request_id", "end", "target", "before", "low", "high", "low_place", "high_place").collect()  # two rows a request
+        at_name = {name: i for i, name in enumerate(self.names)}
+        ranges = [(at_name[r.request_id], r.low, r.high, r.low_place, r.high_place) for r in rows]
+
+        def task(cells):
+            held: dict[int, list[np.ndarray]] = {}
+            for at, found, places in cells:
+                for i, (r, low, high, low_place, high_place) in enumerate(ranges):
+                    if not at <= r < at + len(found):
+                        continue
+                    value = found[r - at]
+                    mine = (value >= low) & (value <= high) & (places >= low_place) & (places <= high_place)
+                    value, place = value[mine], places[mine]
+                    if not len(value):
+                        continue
+                    share = (high - value) / (high - low) if high > low else (place - low_place) / (high_place - low_place + 1)
+                    part = np.minimum(bins - 1, np.floor(share * bins)).astype(np.int64)
+                    if i not in held:
+                        held[i] = [np.full(bins, np.inf), np.full(bins, -np.inf), np.full(bins, _LAST), np.full(bins, -1), np.zeros(bins, np.int64)]
+                    least, most, first, last, inside = held[i]
+                    for put, into, x in ((np.minimum, least, value), (np.maximum, most, value), (np.minimum, first, place), (np.maximum, last, place)):
+                        put.at(into, part, x)
+                    inside += np.bincount(part, minlength=bins)
+            for i, (least, most, first, last, inside) in held.items():
+                on = np.flatnonzero(inside)
+                yield _batch(np.full(len(on), i), least[on], most[on], first[on], last[on], inside[on], on)
+
+        counted = self._passed(task, f"_i int, {_BOUNDS}, _part bigint").groupBy("_i", "_part").agg(*_added())
+        plan = [(i, r.request_id, r.end, r.target, r.before) for i, r in enumerate(rows)]
+        named = self.people.sparkSession.createDataFrame(plan, f"_i int, request_id {self.kind}, end string, target bigint, before bigint")
+        return counted.join(F.broadcast(named), "_i").drop("_i")
+
+    def met(self, pages: DataFrame) -> DataFrame:
+        at_name = {name: i for i, name in enumerate(self.names)}
+        found = pages.select("request_id", "low", "high", "low_place", "high_place").collect()  # one row a request
+        ranges = [(at_name[r.request_id], r.low, r.high, r.low_place, r.high_place) for r in found]
+
+        def task(cells):
+            for at, found, places in cells:
+                for r, low, high, low_place, high_place in ranges:
+                    if at <= r < at + len(found):
+                        value = found[r - at]
+                        ahead = (value > high) | ((value == high) & (places < low_place))
+                        on = np.flatnonzero(~ahead & ~((value < low) | ((value == low) & (places > high_place))))
+                        if len(on):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), r, np.int32)), pa.array(places[on]), pa.array(value[on])], ["_r", "place", "value"])
+
+        return self._named(self._passed(task, "_r int, place bigint, value double")).join(F.broadcast(pages), "request_id")
+
+    def finished(self, shown: DataFrame) -> DataFrame:
+        """The other columns of the rows shown, by ``score``."""
+        pairs = shown.select("request_id", F.col("_user").alias("place"))
+        rows = _known(self.score(pairs.join(self.people, "place").join(F.broadcast(self.requests), "request_id")))
+        rows = rows.drop(*[c for c in self.requests.columns if c != "request_id"]).withColumnRenamed("place", "_user")
+        return rows.join(shown.drop("value"), ["request_id", "_user"])
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        names = self.people.sparkSession.createDataFrame(list(enumerate(self.names)), f"_r int, request_id {self.kind}")
+        return rows.join(F.broadcast(names), "_r").drop("_r")
+
+
+def _batch(key: np.ndarray, low: np.ndarray, high: np.ndarray, low_place: np.ndarray, high_place: np.ndarray, inside: np.ndarray, part: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = {"_r" if part is None else "_i": key.astype(np.int32), "low": low, "high": high, "low_place": low_place.astype(np.int64), "high_place": high_place.astype(np.int64), "inside": inside}
+    return pa.RecordBatch.from_pydict(columns if part is None else columns | {"_part": part})
+
+
+def _added() -> list[Column]:
+    return [F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_place").alias("low_place"), F.max("high_place").alias("high_place"), F.sum("inside").alias("inside")]
+
+
+def _narrowed(rows: _Scored | _Valued, state: DataFrame, bins: int) -> DataFrame:
     """One pass: each range of ``state`` gives way to the one of its parts that holds its target position."""
-    ranges = F.broadcast(state.drop("inside"))  # two rows a request of the block
-    rows = scored.join(ranges, "request_id").where(
-        F.col("value").between(F.col("low"), F.col("high")) & F.col("place").between(F.col("low_place"), F.col("high_place"))
-    )
-    by_value = F.floor((F.col("high") - F.col("value")) / (F.col("high") - F.col("low")) * bins)
-    by_place = F.floor((F.col("place") - F.col("low_place")) / (F.col("high_place") - F.col("low_place") + 1) * bins)
-    part = F.least(F.lit(bins - 1), F.when(F.col("high") > F.col("low"), by_value).otherwise(by_place))
-    counted = rows.groupBy("request_id", "end", "target", "before", part.alias("_part")).agg(*_bounds())
+    counted = rows.counted(state, bins)
     # at most ``bins`` rows a range
     running = F.sum("inside").over(W.partitionBy("request_id", "end").orderBy("_part")) - F.col("inside")
     found = counted.withColumn("before", F.col("before") + running)
     return found.where((F.col("before") <= F.col("target")) & (F.col("target") < F.col("before") + F.col("inside"))).drop("_part")
 
 
-def _block_pages(scored: DataFrame, requests: DataFrame, bins: int, few: int) -> DataFrame:
+def _block_pages(rows: _Scored | _Valued, requests: DataFrame, bins: int, few: int) -> DataFrame:
     first = (F.col("page") - 1) * F.col("page_size")
-    whole = cut_lineage(scored.groupBy("request_id").agg(*_bounds()))
+    whole = cut_lineage(rows.whole())
     asked = requests.join(F.broadcast(whole), "request_id").withColumn("total", F.col("inside")).withColumn("_first", first)
     asked = asked.where(F.col("_first") < F.col("total"))
     last = F.least(F.col("_first") + F.col("page_size"), F.col("total")) - 1
@@ -68,24 +214,41 @@ def _block_pages(scored: DataFrame, requests: DataFrame, bins: int, few: int) ->
     begun = asked.withColumn("_e", ends).withColumn("before", F.lit(0).cast("long")).select("request_id", "_e.end", "_e.target", *names[3:])
     state = cut_lineage(begun)
     while not (wide := state.where(F.col("inside") > few)).isEmpty():
-        state = cut_lineage(state.where(F.col("inside") <= few).unionByName(_narrowed(scored, wide, bins).select(*names)))
+        state = cut_lineage(state.where(F.col("inside") <= few).unionByName(_narrowed(rows, wide, bins).select(*names)))
     starts = state.where(F.col("end") == "first").select("request_id", "high", "low_place", "before")
     stops = state.where(F.col("end") == "last").select("request_id", "low", "high_place")
     pages = asked.select(*requests.columns, "total").join(starts, "request_id").join(stops, "request_id")
-    value, place = F.col("value"), F.col("place")
-    met = scored.join(F.broadcast(pages), "request_id").where(
-        ~_ahead(value, place, F.col("high"), F.col("low_place")) & ~_behind(value, place, F.col("low"), F.col("high_place"))
-    )
     # at most a page and two narrow ranges a request
     order = W.partitionBy("request_id").orderBy(F.desc("value"), "place")
-    numbered = met.withColumn("place", F.col("before") + F.row_number().over(order))
+    numbered = rows.met(pages).withColumn("_user", F.col("place")).withColumn("place", F.col("before") + F.row_number().over(order))
     first = (F.col("page") - 1) * F.col("page_size")
-    shown = numbered.where((F.col("place") > first) & (F.col("place") <= first + F.col("page_size")))
-    return shown.withColumn("total_pages", F.ceil(F.col("total") / F.col("page_size")).cast("long")).drop("before", "high", "low", "low_place", "high_place")
+    shown = rows.finished(numbered.where((F.col("place") > first) & (F.col("place") <= first + F.col("page_size"))))
+    return shown.withColumn("total_pages", F.ceil(F.col("total") / F.col("page_size")).cast("long")).drop("before", "high", "low", "low_place", "high_place", "_user")
+
+
+def _known(rows: DataFrame, name: str = "value") -> DataFrame:
+    """Unknown values (null, NaN) sort after all others."""
+    return rows.withColumn(name, F.when(F.col(name).isNotNull() & ~F.isnan(name), F.col(name)).otherwise(F.lit(UNKNOWN)))
+
+
+def _own_pages(requests: DataFrame, people: DataFrame, total: int, value: Column, score: Score) -> DataFrame:
+    """Pages of requests that sort by a value of the users alone: one order for all of them, met by place."""
+    first = (F.col("page") - 1).cast("long") * F.col("page_size")
+    last = F.least(first + F.col("page_size"), F.lit(total)) - 1
+    asked = requests.where((first < total) & (F.col("page_size") > 0)).withColumn("total", F.lit(total).cast("long")).withColumn("total_pages", F.ceil(F.lit(total) / F.col("page_size")).cast("long"))
+    wanted = exploded_range(asked.withColumn("_first", first), last - F.col("_first") + 1, "_step").withColumn("_at", F.col("_first") + F.col("_step"))
+    order = _known(people.select("user_id", "place", value.cast("double").alias("_own")), "_own")
+    numbered = cut_lineage(global_position(order, [F.desc("_own"), F.asc("place")], "_at"))
+    met = wanted.join(numbered.select("_at", "place"), "_at").join(people, "place")
+    shown = _known(score(met.drop("_at", "_first", "_step", "total", "total_pages")))
+    shown = shown.drop(*[c for c in requests.columns if c != "request_id"])
+    places = numbered.select(F.col("place"), (F.col("_at") + 1).alias("_shown"))
+    return asked.join(shown, "request_id").join(places, "place").withColumn("place", F.col("_shown")).drop("_shown")
 
 
 def candidate_pages(
-    requests: DataFrame, users: DataFrame, score: Callable[[DataFrame], DataFrame], block: int = REQUEST_BLOCK, bins: int = BINS, few: int = FEW
+    requests: DataFrame, users: DataFrame, score: Score, block: int = REQUEST_BLOCK, bins: int = BINS, few: int = FEW,
+    own_order: Mapping[str, str] | None = None, kind: str = "sort_by", values: BlockScore | None = None,
 ) -> DataFrame:
     """The asked page of all ``users`` (user_id, ...) for each of ``requests`` (request_id, page, page_size, ...).
 
@@ -93,20 +256,36 @@ def candidate_pages(
     sort by, highest first; users with equal values come in the order of their ids, users without a value (null, NaN) last.
     It is applied in every pass, so it must give the same value each time. Requests are a stated set of queries: they meet the users
     in blocks of ``block`` rows. Request ids are unique and pages begin at 1; a page beyond the last one has no rows.
+
+    ``own_order`` names, by the value that a request has in the column ``kind``, the column of ``users`` that ``score`` gives as
+    ``value`` for such requests. That order is the same for all of them: the users are numbered once, a request looks up the
+    places of its page, and only those pairs are scored.
+
+    ``values(requests, users)`` prepares two Arrow tables and returns a function that gives the matrix of ``value`` for a slice
+    of the requests (NaN: unknown). With it the passes run in NumPy, and ``score`` is applied only to the rows of the pages.
     Returns the scored columns with ``place`` (from 1), ``total`` and ``total_pages``.
     """
     if block < 1 or bins < 2 or few < 1:
         raise ValueError("a block holds a request, a range has two parts, and few is at least 1")
     people = cut_lineage(global_position(users, ["user_id"], "place"))
-    asked = cut_lineage(global_position(requests, ["request_id"], "_at"))
-    n = asked.count()
+    total = people.count()
+    # every pass is costly per user and request: one task for a few thousand users
+    tasks = max(users.sparkSession.sparkContext.defaultParallelism, ceil(total / TASK_USERS))
+    people = cut_lineage(people.repartition(tasks))
     found = None
-    for start in range(0, max(n, 1), block):
+    compared = requests
+    if own_order:
+        stated = F.coalesce(F.col(kind).isin(list(own_order)), F.lit(False))
+        compared = requests.where(~stated)
+        for name, column in own_order.items():
+            pages = _own_pages(requests.where(F.col(kind) == name), people, total, F.col(column), score)
+            found = pages if found is None else found.unionByName(pages)
+    asked = cut_lineage(global_position(compared, ["request_id"], "_at"))
+    n = asked.count()
+    for start in range(0, n if found is not None else max(n, 1), block):
         some = asked.where((F.col("_at") >= start) & (F.col("_at") < start + block)).drop("_at")
-        scored = score(people.crossJoin(F.broadcast(some)))
-        known = F.col("value").isNotNull() & ~F.isnan("value")
-        scored = scored.withColumn("value", F.when(known, F.col("value")).otherwise(F.lit(UNKNOWN)))
+        rows = _Valued(people, some, score, values) if values else _Scored(people, some, score)
         own = [c for c in some.columns if c not in ("page", "page_size")]
-        pages = _block_pages(scored.drop(*[c for c in some.columns if c != "request_id"]), some.select(*own, "page", "page_size"), bins, few)
+        pages = _block_pages(rows, some.select(*own, "page", "page_size"), bins, few)
         found = pages if found is None else found.unionByName(pages)
     return found

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log1p
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from ..functions.features import RULE_V1_WEIGHTS, RULE_V2_WEIGHTS
 from ..session import cut_lineage
 from .ordering import exploded_range, global_position, position_in_group, top_per_group
 from .pruning import pruned_candidates
-from .topk import SCORE_DIGITS
+from .topk import SCORE_DIGITS, sparse_product
 
 TOPN = 1000
 HEAD_SLACK = 1000
@@ -265,3 +268,31 @@ def two_stage(first: DataFrame, second_scores: DataFrame, recall_k: int) -> Data
 def mask_pairs(scored: DataFrame, hidden: DataFrame) -> DataFrame:
     """Scored pairs without the hidden ones."""
     return scored.join(hidden.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
+
+
+def rule_scores_v1_block(q: pa.Table, i: pa.Table) -> Callable[[int, int], np.ndarray]:
+    """``rule_score_v1`` of two blocks: jobs ``q`` and users ``i``, NaN where the job's skills are unknown.
+
+    Jobs carry ``skill_keys``, ``city_keys``, ``type_keys`` (``term_keys`` of distinct values, without unknown ones),
+    ``n_skills``, ``degree_stated``, ``job_min_degree_rank`` and ``job_min_years``; users the same keys, ``degree_rank`` and ``years``.
+    """
+    shared, city, kind = (sparse_product(q, i, keys, None) for keys in ("skill_keys", "city_keys", "type_keys"))
+
+    def numbers(t: pa.Table, name: str) -> np.ndarray:
+        return t.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64)  # unknown: NaN, which compares as no
+
+    n_job, stated, degree, least = (numbers(q, c)[:, None] for c in ("n_skills", "degree_stated", "job_min_degree_rank", "job_min_years"))
+    rank, years = numbers(i, "degree_rank"), numbers(i, "years")
+    w = RULE_V1_WEIGHTS
+
+    def rows(start: int, stop: int) -> np.ndarray:
+        own = slice(start, stop)
+        n, all_ = shared(start, stop), n_job[own]
+        each = np.maximum(1, all_)
+        return (
+            w["coverage"] * (n / each) + w["missing"] * (1.0 - (all_ - n) / each) + w["city"] * (city(start, stop) > 0)
+            + w["education"] * ((stated[own] == 1) & (rank >= degree[own])) + w["experience"] * ((least[own] != 0) & (years >= least[own]))
+            + w["type"] * (kind(start, stop) > 0) + w["paths"] * np.log1p(np.arange(n.max() + 1))[n.astype(np.int64)]
+        )
+
+    return rows

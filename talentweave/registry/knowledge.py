@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions.features import pair_features_v1, rule_score_v1
-from ..operators import evaluation, evidence, graph, interactions, pairs, propagation, reverse, taxonomy
+from ..operators import evaluation, evidence, graph, interactions, pairs, propagation, reverse, scoring, taxonomy
 from ..operators.ordering import dense_index, first_rows
+from ..operators.topk import term_keys
 from ..operators.vocabulary import SkillGate
 from ..plans import experiments, recommend, records
 from ..session import cut_lineage, shared_folder
@@ -399,12 +401,32 @@ def job_candidate_pages(spark, d):
     asked = posts.select("job_id", *renamed, sort).withColumn("request_id", F.concat_ws(":", "job_id", "sort_by"))
     asked = asked.withColumn("page", (F.col("job_id") / 100 * 13 % 60 + 1).cast("int")).withColumn("page_size", F.lit(20))
 
+    def keys(values):
+        return term_keys(F.array_distinct(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isNotNull())))
+
+    # what the matrix form of the score reads
+    people = people.withColumns({"skill_keys": keys(F.col("skills")), "city_keys": keys(F.concat("city_ids", "desired_city_ids")), "type_keys": keys(F.col("desired_types"))})
+    asked = asked.withColumns({
+        "skill_keys_": keys(F.col("job_skills")), "city_keys_": keys(F.array("job_city")), "type_keys_": keys(F.array(F.nullif("job_job_type", F.lit("")))),
+        "n_skills": F.size(F.array_distinct("job_skills")), "degree_stated": F.coalesce((F.col("job_min_degree") != "").cast("int"), F.lit(0)),
+    })
+
+    def values(jobs, users):
+        jobs = jobs.rename_columns([c.removesuffix("_") if c.endswith("keys_") else c for c in jobs.column_names])
+        rows = scoring.rule_scores_v1_block(jobs, users)
+
+        def percent(start, stop):
+            found = np.floor(100.0 * rows(start, stop) + 0.5)
+            return np.where(np.isnan(found), 100.0, np.clip(found, 0, 100))  # as match_percent does
+
+        return percent
+
     def score(rows):
         rows = rows.select("*", *pair_features_v1()).withColumn("match", recommend.match_percent(rule_score_v1(), F.lit(1.0)))
         value = F.when(F.col("sort_by") == "match", F.col("match")).when(F.col("sort_by") == "salary", F.col("salary")).otherwise(F.col("years"))
         return rows.select("request_id", "user_id", "place", "match", value.cast("double").alias("value"))
 
-    pages = reverse.candidate_pages(asked, people, score)
+    pages = reverse.candidate_pages(asked, people, score, own_order={"salary": "salary", "experience": "years"}, values=values, block=2048)
     return pages.select("job_id", "sort_by", "page", "place", "user_id", "match", F.round("value", 2).alias("value"), "total", "total_pages")
 
 
