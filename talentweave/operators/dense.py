@@ -3,28 +3,34 @@
 Items are grouped around pivots. What an item of a group can score is bounded by the query's product with the group's centre
 plus the query's length times the group's radius (and by the two lengths). A query first visits the groups of highest bound
 that hold enough items; the ``topn``-th best score found so far then rules out every group whose bound is below it, and the
-remaining ones are visited in rounds that grow fourfold. A group is scored block against block with NumPy, in slices of
-bounded size on both sides, so a group that holds most items, or that most queries ask for, is spread over many tasks.
+remaining ones are visited in rounds that grow fourfold. Small groups are put together into bundles of bounded size; a query
+is sent once to each bundle in which it visits any group, and comes back with at most ``topn`` items of all of them. A bundle
+is scored block against block with NumPy, in slices of bounded size on both sides, so a group that holds most items, or that
+most queries ask for, is spread over many tasks.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .ordering import top_per_group
-from .topk import _CELLS, _block_winners, dense_scores
+from .topk import _CELLS, SCORE_DIGITS, _hidden_cells
 
 QUERY_BLOCK_ROWS = 16_384
 ITEM_BLOCK_ROWS = 8_192
 MOST_GROUPS = 1024  # so that all centres fit into a task: 1024 vectors
+BUNDLE_NUMBERS = 4_000_000  # of the items of a bundle: 32 MB in a task
+BOUNDS = 1_000_000  # of a run of queries at a time
 SLACK = 1e-8
 
 
@@ -71,9 +77,9 @@ def grouped_items(items: DataFrame, rows: int, n: int) -> DataFrame:
 
 
 class Groups:
-    """Centre, radius, greatest length and size of each group; bounds of a matrix of queries."""
+    """Centre, radius, greatest length, size and bundle of each group; bounds of a matrix of queries."""
 
-    def __init__(self, grouped: DataFrame):
+    def __init__(self, grouped: DataFrame, item_rows: int):
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
@@ -104,6 +110,13 @@ class Groups:
         extent = grouped.select("vector", "group").mapInArrow(spread, "group int, far double, length double")
         found = extent.groupBy("group").agg(F.max("far").alias("radius"), F.max("length").alias("length")).orderBy("group").collect()
         self.radius, self.length = (np.array([r[c] for r in found]) for c in ("radius", "length"))
+        #: most items of a slice of a bundle
+        self.rows = max(item_rows, min(MOST_GROUPS * item_rows, BUNDLE_NUMBERS // max(1, self.centres.shape[1])))
+        self.bundle, held, at = np.zeros(len(self.names), np.int32), 0, 0
+        for i, size in enumerate(self.sizes.tolist()):
+            if held and held + size > self.rows:
+                held, at = 0, at + 1
+            self.bundle[i], held = at, held + size
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         own = np.linalg.norm(queries, axis=1)[:, None]
@@ -111,80 +124,143 @@ class Groups:
 
 
 def _visits(queries: DataFrame, groups: Groups, topn: int, round_: int) -> DataFrame:
-    """(id, group): the groups each query visits in this round; ``queries`` (id, vector, threshold).
+    """(id, bundle, groups): the groups of each bundle that a query visits in this round; ``queries`` (id, vector, threshold).
 
     The first round takes the groups of highest bound until they hold ``topn`` items, each later one four times as many.
     """
     before, after = (4**round_ - 1) // 3, (4 ** (round_ + 1) - 1) // 3
+    step = max(1, BOUNDS // len(groups.names))
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bound = groups.bounds(_matrix(batch.column("vector")))
-            order = np.argsort(-bound, axis=1, kind="stable")
-            first = 1 + np.argmax(np.cumsum(groups.sizes[order], axis=1) >= min(topn, groups.sizes.sum()), axis=1)[:, None]
-            place = np.arange(bound.shape[1])[None, :]
-            reached = batch.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)[:, None]
-            row, at = np.nonzero((place >= before * first) & (place < after * first) & (np.take_along_axis(bound, order, axis=1) >= reached - SLACK))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(groups.names[order[row, at]])], ["id", "group"])
-
-    return queries.select("id", "vector", "threshold").mapInArrow(plan, f"id {queries.schema['id'].dataType.simpleString()}, group int")
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                bound = groups.bounds(_matrix(batch.column("vector")))
+                order = np.argsort(-bound, axis=1, kind="stable")
+                first = 1 + np.argmax(np.cumsum(groups.sizes[order], axis=1) >= min(topn, groups.sizes.sum()), axis=1)[:, None]
+                place = np.arange(bound.shape[1])[None, :]
+                reached = batch.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)[:, None]
+                row, at = np.nonzero((place >= before * first) & (place < after * first) & (np.take_along_axis(bound, order, axis=1) >= reached - SLACK))
+                at = order[row, at]
+                sorted_ = np.lexsort((at, row))  # bundles hold runs of groups
+                row, at = row[sorted_], at[sorted_]
+                bundle = groups.bundle[at]
+                starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bundle[1:] != bundle[:-1])]) if len(row) else np.empty(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(groups.names[at]))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[starts])), pa.array(bundle[starts]), lists], ["id", "bundle", "groups"])
+
+    kind = queries.schema["id"].dataType.simpleString()
+    return queries.select("id", "vector", "threshold").mapInArrow(plan, f"id {kind}, bundle int, groups array<int>")
 
 
 def _slice(column: Column, n: Column) -> Column:
     return F.pmod(F.xxhash64(column), n).cast("int")
 
 
-def _round(visits, queries, items, groups: Groups, hidden, topn: int, query_rows: int, item_rows: int) -> DataFrame:
-    """Best ``topn`` of every visited group's slices: (user_id, job_id, score)."""
+def _bundle_winners(q: pa.Table, i: pa.Table, topn: int) -> pa.Table:
+    """Best ``topn`` items of the groups it visits, for every query of a slice; none below the query's threshold."""
+    out_q, out_i, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    if q.num_rows and i.num_rows:
+        i = i.take(pc.sort_indices(i, sort_keys=[("group", "ascending"), ("id", "ascending")]))
+        by_id = np.empty(i.num_rows, np.int64)  # place of an item by its id
+        by_id[pc.sort_indices(i, sort_keys=[("id", "ascending")]).to_numpy()] = np.arange(i.num_rows)
+        names, starts = np.unique(i.column("group").to_numpy(), return_index=True)
+        ends = np.r_[starts[1:], i.num_rows]
+        lists, reached = q.column("groups").combine_chunks(), q.column("threshold").fill_null(-np.inf).to_numpy()
+        asked, owner = lists.flatten().to_numpy(), np.repeat(np.arange(q.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+        here = names[at] == asked  # a slice may hold no item of a group
+        at, owner = at[here], owner[here]
+        left, right = (_matrix(t.column("vector").combine_chunks()) for t in (q, i))
+        hidden_row, hidden_item = _hidden_cells(q.column("_hidden").combine_chunks(), i.column("id").combine_chunks())
+        hidden = np.sort(hidden_row * i.num_rows + hidden_item)
+        most_hidden = np.bincount(hidden_row, minlength=q.num_rows)
+        # runs of queries that visit a bounded number of cells
+        run = np.cumsum(np.bincount(owner, (ends - starts)[at], q.num_rows)) // _CELLS
+        for first, last in itertools.pairwise(np.r_[0, np.flatnonzero(np.diff(run)) + 1, q.num_rows].tolist()):
+            x, y = np.searchsorted(owner, [first, last])
+            order = x + np.argsort(at[x:y], kind="stable")
+            found = []
+            for mine in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                if not len(mine):
+                    continue
+                g, rows = at[mine[0]], owner[mine]
+                cells = left[rows] @ right[starts[g] : ends[g]].T
+                bar, n = reached[rows], cells.shape[1]
+                cut = topn + int(most_hidden[rows].max())  # hidden items go later
+                if cut < n and np.isinf(bar).any():
+                    bar = np.maximum(bar, np.partition(cells, n - cut, axis=1)[:, n - cut])
+                r, c = np.nonzero(cells >= bar[:, None] - SLACK)
+                found.append((rows[r], c + starts[g], cells[r, c]))
+            if not found:
+                continue
+            row, item, value = (np.concatenate(part) for part in zip(*found, strict=True))
+            if len(hidden):
+                key = row * i.num_rows + item
+                shown = hidden[np.minimum(np.searchsorted(hidden, key), len(hidden) - 1)] != key
+                row, item, value = row[shown], item[shown], value[shown]
+            value = np.round(value, SCORE_DIGITS) + 0.0
+            order = np.lexsort((by_id[item], -value, row))
+            row, item, value = row[order], item[order], value[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < topn
+            for held, part in zip((out_q, out_i, out_s), (row, item, value), strict=True):
+                held.append(part[best])
+    rows, items, scores = (np.concatenate(held) for held in (out_q, out_i, out_s))
+    return pa.table({"user_id": q.column("id").take(pa.array(rows)), "job_id": i.column("id").take(pa.array(items)), "score": scores})
+
+
+def _round(visits, queries, items, groups: Groups, hidden, topn: int, query_rows: int) -> DataFrame:
+    """Best ``topn`` of every visited slice of a bundle: (user_id, job_id, score)."""
     spark = queries.sparkSession
-    asked = {r.group: r["count"] for r in visits.groupBy("group").count().collect()}  # at most MOST_GROUPS rows
+    asked = {r.bundle: r["count"] for r in visits.groupBy("bundle").count().collect()}  # at most MOST_GROUPS rows
     cores, plan = spark.sparkContext.defaultParallelism, []
-    for group, size in zip(groups.names.tolist(), groups.sizes.tolist(), strict=True):
-        if n := asked.get(group):
-            item_slices = max(1, ceil(size / item_rows))
-            plan.append((group, max(ceil(n / query_rows), min(cores, n, ceil(n * size / _CELLS / item_slices))), item_slices))
-    plan = F.broadcast(spark.createDataFrame(plan, "group int, _nq int, _ni int"))
-    left = visits.join(plan, "group").join(queries.select("id", "vector"), "id")
+    for bundle, size in enumerate(np.bincount(groups.bundle, groups.sizes).astype(int).tolist()):
+        if n := asked.get(bundle):
+            item_slices = max(1, ceil(size / groups.rows))
+            plan.append((bundle, max(ceil(n / query_rows), min(cores, n, ceil(n * size / _CELLS / item_slices))), item_slices))
+    plan = F.broadcast(spark.createDataFrame(plan, "bundle int, _nq int, _ni int"))
+    left = visits.join(plan, "bundle").join(queries.select("id", "vector", "threshold"), "id")
     left = left.withColumn("_q", _slice(F.col("id"), F.col("_nq"))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)))
     # fresh column ids: both sides may come from one table
-    right = items.select(*[F.col(c).alias(c) for c in items.columns]).join(plan, "group").withColumn("_i", _slice(F.col("id"), F.col("_ni"))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+    right = items.select(*[F.col(c).alias(c) for c in items.columns]).join(plan, "bundle").withColumn("_i", _slice(F.col("id"), F.col("_ni"))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
     kind = items.schema["id"].dataType
     if hidden is not None:
-        unseen = hidden.join(plan.select("group", "_ni"), "group").withColumn("_i", _slice(F.col("_j"), F.col("_ni")))
-        left = left.join(unseen.groupBy("id", "group", "_i").agg(F.collect_set("_j").alias("_hidden")), ["id", "group", "_i"], "left")
+        unseen = hidden.join(plan.select("bundle", "_ni"), "bundle").withColumn("_i", _slice(F.col("_j"), F.col("_ni")))
+        left = left.join(unseen.groupBy("id", "bundle", "_i").agg(F.collect_set("_j").alias("_hidden")), ["id", "bundle", "_i"], "left")
     else:
         left = left.withColumn("_hidden", F.lit(None).cast(T.ArrayType(kind)))
     schema = T.StructType([T.StructField("user_id", queries.schema["id"].dataType), T.StructField("job_id", kind), T.StructField("score", T.DoubleType())])
 
     def task(q: pa.Table, i: pa.Table) -> pa.Table:
-        return _block_winners(q, i, dense_scores("vector"), topn, None)
+        return _bundle_winners(q, i, topn)
 
-    keys = ("group", "_q", "_i")
-    return left.select(*keys, "id", "vector", "_hidden").groupBy(*keys).cogroup(right.select(*keys, "id", "vector").groupBy(*keys)).applyInArrow(task, schema)
+    keys = ("bundle", "_q", "_i")
+    left, right = left.select(*keys, "id", "vector", "threshold", "groups", "_hidden"), right.select(*keys, "id", "vector", "group")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(task, schema)
 
 
 def _search(queries, items, topn, exclude, query_block_rows, item_block_rows) -> tuple[DataFrame, DataFrame, int]:
-    """(ranking, visits (id, group, round), number of groups)."""
+    """(ranking, visits (id, bundle, groups, round), number of groups)."""
     queries, items = cut_lineage(queries.select("id", "vector")), cut_lineage(items.select("id", "vector"))
     n, kind = items.count(), items.schema["id"].dataType
     asker = queries.schema["id"].dataType.simpleString()
     if n == 0:
         empty = f"user_id {asker}, job_id {kind.simpleString()}, score double, rank int"
-        return queries.sparkSession.createDataFrame([], empty), queries.sparkSession.createDataFrame([], f"id {asker}, group int, round int"), 0
+        return queries.sparkSession.createDataFrame([], empty), queries.sparkSession.createDataFrame([], f"id {asker}, bundle int, groups array<int>, round int"), 0
     grouped = cut_lineage(grouped_items(items, item_block_rows, n))
-    groups = Groups(grouped)
+    groups = Groups(grouped, item_block_rows)
+    bundles = queries.sparkSession.createDataFrame(list(zip(groups.names.tolist(), groups.bundle.tolist(), strict=True)), "group int, bundle int")
+    grouped = grouped.join(F.broadcast(bundles), "group")
     hidden = None
     if exclude is not None:
         wanted = exclude.select(F.col("user_id").alias("id"), F.col("job_id").cast(kind).alias("_j")).distinct()
-        hidden = cut_lineage(wanted.join(grouped.select(F.col("id").alias("_j"), "group"), "_j"))
+        hidden = cut_lineage(wanted.join(grouped.select(F.col("id").alias("_j"), "bundle"), "_j"))
     best, reached, seen, round_ = None, queries.withColumn("threshold", F.lit(None).cast("double")), None, 0
     while True:
         visits = cut_lineage(_visits(reached, groups, topn, round_))
         if round_ and visits.isEmpty():
             return best, seen, len(groups.names)
-        winners = _round(visits, queries, grouped, groups, hidden, topn, query_block_rows, item_block_rows)
+        winners = _round(visits, reached, grouped, groups, hidden, topn, query_block_rows)
         winners = winners if best is None else winners.unionByName(best.drop("rank"))
         best = cut_lineage(top_per_group(winners, ["user_id"], [F.desc("score"), F.asc("job_id")], topn))
         seen = visits.withColumn("round", F.lit(round_)) if seen is None else seen.union(visits.withColumn("round", F.lit(round_)))
@@ -199,7 +275,7 @@ def dense_rankings(queries: DataFrame, items: DataFrame, topn: int, exclude: Dat
     """(user_id, job_id, score, rank): the ``topn`` best items of every query by dot product of (id, vector) tables; exact.
 
     Ties go to the smaller item id; ``exclude`` (user_id, job_id) pairs are never returned. ``item_block_rows`` is the size
-    of a group of items and of a slice of it, ``query_block_rows`` that of a slice of the queries.
+    of a group of items, ``query_block_rows`` that of a slice of the queries.
     """
     return _search(queries, items, topn, exclude, query_block_rows, item_block_rows)[0]
 
@@ -208,4 +284,4 @@ def dense_groups_visited(queries: DataFrame, items: DataFrame, topn: int, exclud
                          query_block_rows: int = QUERY_BLOCK_ROWS, item_block_rows: int = ITEM_BLOCK_ROWS) -> DataFrame:
     """(user_id, groups, visited, rounds): how many groups of items a query's exact ranking visits."""
     _, seen, n = _search(queries, items, topn, exclude, query_block_rows, item_block_rows)
-    return seen.groupBy(F.col("id").alias("user_id")).agg(F.lit(n).alias("groups"), F.count(F.lit(1)).alias("visited"), (F.max("round") + 1).alias("rounds"))
+    return seen.groupBy(F.col("id").alias("user_id")).agg(F.lit(n).alias("groups"), F.sum(F.size("groups")).alias("visited"), (F.max("round") + 1).alias("rounds"))
