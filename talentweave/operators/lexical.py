@@ -214,7 +214,8 @@ def tfidf_encode(df: DataFrame, id_col: str, text_col: str, dim: int = 256) -> D
     tokens = spread(df, id_col).select(
         F.col(id_col).alias("id"), tokenize_text(F.col(text_col), distinct=False).alias("tokens")
     )
-    counted = HashingTF(numFeatures=dim, inputCol="tokens", outputCol="tf").transform(tokens)
+    # at most ``dim`` counts a text, written because the fit reads them too: texts are cut into tokens once
+    counted = cut_lineage(HashingTF(numFeatures=dim, inputCol="tokens", outputCol="tf").transform(tokens).select("id", "tf"))
     weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
     unit = Normalizer(inputCol="tfidf", outputCol="unit").transform(weighted)
     return unit.select("id", vector_to_array("unit").alias("vector"))
