@@ -16,7 +16,7 @@ from ..operators.interactions import positives
 from ..operators.lexical import bm25_rankings_v2, tfidf_encode
 from ..operators.negatives import uniform_negatives
 from ..operators.pairs import attach_profiles
-from ..operators.pathmodel import PathModel, Shape, pair_inputs, score_paths, train_path_model
+from ..operators.pathmodel import PathModel, Shape, pair_blocks, path_tables, score_paths, train_path_model
 from ..operators.propagation import propagate
 from ..operators.relations import learned_relational_encode
 from ..operators.rerank import (
@@ -177,9 +177,10 @@ def train_paths(
     users, jobs = split_nodes(encoded, b.with_ids("user"), b.with_ids("job"))
     skills = encoded.where(F.col("node").startswith("s:")).select(F.expr("substring(node, 3)").alias("skill"), "vector")
     train = b.pairs("train")
+    tables = path_tables(b.users, b.jobs, users, jobs, skills, dim)
 
     def inputs(pairs: DataFrame) -> DataFrame:
-        return pair_inputs(pairs, b.users, b.jobs, users, jobs, skills, pair_features_v2(), dim)
+        return pair_blocks(pairs, tables, pair_features_v2())
 
     negatives = uniform_negatives(train, b.jobs, b.pairs("train", "valid", "test"), per_pair, seed)
     model = train_path_model(inputs(labelled_pairs(train, negatives)), Shape(dim, len(FEATURES)), steps, decay, seed)
