@@ -339,8 +339,9 @@ def _summing(shape: Shape, theta: np.ndarray) -> Callable[[Iterator[pa.RecordBat
     return total
 
 
-def quasi_newton(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, steps: int, memory: int = 8) -> tuple[np.ndarray, list[float]]:
-    """Limited-memory quasi-Newton descent; the value after every step. Ends early where no step lowers the value."""
+def quasi_newton(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, steps: int, memory: int = 8, tolerance: float = 0.0) -> tuple[np.ndarray, list[float]]:
+    """Limited-memory quasi-Newton descent; the value after every step. Ends early where no step lowers the value, or only by
+    ``tolerance`` of it."""
     value, slope = evaluate(theta)
     values, met = [value], []
     for _ in range(steps):
@@ -367,8 +368,11 @@ def quasi_newton(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], the
             return theta, values
         if (tried - theta) @ (new_slope - slope) > 1e-12:
             met = [*met, (tried - theta, new_slope - slope)][-memory:]
+        gained = value - new_value
         theta, value, slope = tried, new_value, new_slope
         values.append(value)
+        if gained < tolerance * abs(value):
+            break
     return theta, values
 
 

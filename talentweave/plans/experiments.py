@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import pair_features_v2
@@ -15,12 +15,13 @@ from ..operators.graph import message_graph
 from ..operators.interactions import positives
 from ..operators.lexical import bm25_rankings_v2, tfidf_encode
 from ..operators.negatives import uniform_negatives
+from ..operators.pairhead import numbered_vectors, score_interactions, train_interaction_head, vector_cells
 from ..operators.pairs import attach_profiles
 from ..operators.pathmodel import PathModel, Shape, pair_blocks, path_tables, score_paths, train_path_model
 from ..operators.propagation import propagate
 from ..operators.relations import learned_relational_encode
 from ..operators.rerank import (
-    als_factors, attach_vectors, concat_views, interaction_vector, labelled_pairs, pair_levels, recall_and_rerank, scaled_dot,
+    als_factors, attach_vectors, concat_views, labelled_pairs, pair_levels, recall_and_rerank, scaled_dot,
     score_pairs, split_nodes, tagged_nodes, train_pair_model,
 )
 from ..operators.scoring import TOPN, popularity_rankings, rule_rankings
@@ -118,31 +119,33 @@ def rank_two_stage(
     users, jobs = smoothed_factors(b, dim, layers, seed)
     if pair_interaction:
         text_users, text_jobs = _text_vectors(b)
-        users, jobs = cut_lineage(concat_views(text_users, users)), cut_lineage(concat_views(text_jobs, jobs))
+        users, jobs = numbered_vectors(concat_views(text_users, users)), numbered_vectors(concat_views(text_jobs, jobs))
+    known = b.pairs("train", "valid", "test")
+    labelled = labelled_pairs(train, uniform_negatives(train, b.jobs, known, per_pair, seed))
+    score = _interaction_scorer(labelled, users, jobs) if pair_interaction else _feature_scorer(b, labelled, users, jobs, dim)
+
+    asked = users.join(b.test_users().withColumnRenamed("user_id", "id"), "id", "left_semi")
+    hidden = b.pairs("train", "valid") if exclude_valid else train
+    return recall_and_rerank(asked.select("id", "vector"), jobs.select("id", "vector"), hidden, score, topn, recall_k)
+
+
+def _interaction_scorer(labelled: DataFrame, users: DataFrame, jobs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Scores of pairs by the head over interaction vectors, learnt from labelled pairs."""
+    head = train_interaction_head(vector_cells(labelled, users, jobs))
+    return lambda pairs: score_interactions(head, vector_cells(pairs, users, jobs))
+
+
+def _feature_scorer(b: Bundle, labelled: DataFrame, users: DataFrame, jobs: DataFrame, dim: int) -> Callable[[DataFrame], DataFrame]:
+    """Scores of pairs by the head over rule features and the scaled dot product, learnt from labelled pairs."""
 
     def features(pairs: DataFrame) -> DataFrame:
-        with_vectors = attach_vectors(pairs, users, jobs)
-        if pair_interaction:
-            return with_vectors.withColumn("interaction", interaction_vector(F.col("user_vector"), F.col("job_vector")))
-        joined = attach_profiles(with_vectors, b.users, b.jobs)
+        joined = attach_profiles(attach_vectors(pairs, users, jobs), b.users, b.jobs)
         named = [c.alias(n) for c, n in zip(pair_features_v2(), FEATURES, strict=True)]
         keep = ["label"] if "label" in pairs.columns else []
         return joined.select("user_id", "job_id", *keep, *named, scaled_dot(dim).alias("dot"))
 
-    known = b.pairs("train", "valid", "test")
-    negatives = uniform_negatives(train, b.jobs, known, per_pair, seed)
-    labelled = features(labelled_pairs(train, negatives))
-    numeric, vectors = ([], ["interaction"]) if pair_interaction else ([*FEATURES, "dot"], [])
-    model = train_pair_model(labelled, numeric, vectors)
-    residual: Column | None = None
-    if pair_interaction:
-        residual = F.aggregate(F.zip_with("user_vector", "job_vector", lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v)
-
-    asked = users.join(b.test_users().withColumnRenamed("user_id", "id"), "id", "left_semi")
-    hidden = b.pairs("train", "valid") if exclude_valid else train
-    return recall_and_rerank(
-        asked, jobs, hidden, lambda pairs: score_pairs(model, features(pairs), vectors, residual), topn, recall_k
-    )
+    model = train_pair_model(features(labelled), [*FEATURES, "dot"])
+    return lambda pairs: score_pairs(model, features(pairs))
 
 
 @dataclass
