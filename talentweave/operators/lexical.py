@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_text
 from ..session import broadcast_if_small, cut_lineage, spread, written
-from .ordering import top_per_group
-from .pruning import Pruned, pruned_candidates
-from .topk import SCORE_DIGITS, blocked_topk, sparse_product
+from .pruning import pruned_candidates
+from .topk import blocked_topk, bucket_product, sparse_product, term_key
 
 # ---- fixed values ---------------------------------------------------------------------------
 K1, B = 1.5, 0.75
@@ -23,7 +22,9 @@ HASH_DIM = 512
 # ---------------------------------------------------------------------------------------------
 
 # A document block carries whole term vectors, so it holds fewer rows than a profile block.
-TEXT_BLOCK_ROWS = 2048
+TEXT_BLOCK_ROWS = 4096
+# Vectors of more buckets than these meet as sorted lists, not as rows of a matrix.
+MATRIX_DIM = 4096
 
 
 def tokens_table(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -62,31 +63,31 @@ def bm25_idf(documents: Column, df: Column) -> Column:
     return F.log(1.0 + (documents - df + 0.5) / (df + 0.5))
 
 
+def _term_frequencies(tokens: DataFrame, wanted_terms: DataFrame) -> DataFrame:
+    """(id, length, term, tf) of the terms in ``wanted_terms``; a document is counted inside one task."""
+    rows = tokens.repartition("id").select("id", F.greatest(F.lit(1), F.size("tokens")).alias("length"), F.explode_outer("tokens").alias("term"))
+    rows = rows.where("term is not null").join(broadcast_if_small(wanted_terms.select("term").distinct()), "term", "left_semi")
+    return rows.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _saturated(tf: Column, length: Column, average_length: Column, k1: float, b: float) -> Column:
+    """What a document's term frequency contributes to a BM25 weight, besides the term's idf."""
+    return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / average_length))
+
+
 def bm25_postings(tokens: DataFrame, wanted_terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(term, job_id, block, low, high): BM25 weights of the documents' terms that occur in ``wanted_terms``.
 
     All other terms add nothing to any score; document counts and lengths still cover the whole corpus. ``tokens`` is read
     twice: pass a written table. Blocks hold documents of like length, in which a term's weights differ little.
     """
-    rows = tokens.select("id", F.greatest(F.lit(1), F.size("tokens")).alias("length"), F.explode_outer("tokens").alias("term"))
-    rows = rows.where("term is not null").join(broadcast_if_small(wanted_terms.select("term").distinct()), "term", "left_semi")
-    counts = cut_lineage(rows.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    counts = written(_term_frequencies(tokens, wanted_terms), "counts")
     stats = corpus_statistics(tokens).select(F.struct("documents", "average_length")).scalar()
     frequency = document_frequency(counts).select("term", bm25_idf(stats["documents"], F.col("df")).alias("idf"))
-    norm = k1 * (1.0 - b + b * F.col("length") / stats["average_length"])
-    weight = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)
+    weight = F.col("idf") * _saturated(F.col("tf"), F.col("length"), stats["average_length"], k1, b)
     block = F.floor(4 * F.log2("length")).cast("int")
-    return counts.join(frequency, "term").select("term", F.col("id").alias("job_id"), block.alias("block"), weight.alias("low"), weight.alias("high"))
-
-
-def _vectors(ids: DataFrame, entries: DataFrame) -> DataFrame:
-    """(id, keys, weights) for every id, empty where it has no entry; entries hold (id, key, weight)."""
-    listed = entries.groupBy("id").agg(F.collect_list(F.struct("key", "weight")).alias("_e"))
-    return ids.select("id").join(listed, "id", "left").select(
-        "id",
-        F.coalesce("_e.key", F.array().cast("array<bigint>")).alias("keys"),
-        F.coalesce("_e.weight", F.array().cast("array<double>")).alias("weights"),
-    )
+    weighed = counts.join(broadcast_if_small(cut_lineage(frequency)), "term")
+    return weighed.select("term", F.col("id").alias("job_id"), block.alias("block"), weight.alias("low"), weight.alias("high"))
 
 
 def bm25_rankings(
@@ -96,29 +97,42 @@ def bm25_rankings(
     """(user_id, job_id, score, rank) from two token tables (id, tokens): the ``topn`` best with a common term.
 
     A repeated query term counts as often as it occurs; pass distinct tokens for the variant in which neither side counts
-    repeats. Texts are cut into tokens once. Frequent terms are only met for documents that they can lift into the result
-    (``pruning``). Scores are compared to 9 digits, so that equal texts tie and go by id.
+    repeats. Texts are cut into tokens once. Documents keep only the terms that are asked for, in blocks that meet blocks of
+    queries (``topk``): no row per query and document is made, and at most ``topn`` places per query leave a block. Scores
+    are compared to 9 digits, so that equal texts tie and go by id.
     """
-    found, postings = _bm25_candidates(queries, documents, topn, exclude, k1, b)
-    # what the lists that were left out add to the candidates: each pair of term and document is one posting
-    more = found.candidates.select("user_id", "job_id").join(found.left_out, "user_id").join(postings, ["term", "job_id"])
-    parts = found.candidates.select("user_id", "job_id", F.col("low").alias("part")).union(
-        more.select("user_id", "job_id", F.col("times") * F.col("low"))
+    asked = _asked(queries)
+    tokens = written(documents.select("id", "tokens"), "tokens")
+    entry = F.struct(term_key(F.col("term")).alias("key"), "length", "tf")
+    listed = written(_term_frequencies(tokens, asked).groupBy("id").agg(F.collect_list(entry).alias("_e")), "postings")
+    stats = corpus_statistics(tokens).first()
+    average = F.lit(stats["average_length"]).cast("double")
+    items = listed.select(
+        "id", F.col("_e.key").alias("keys"), F.transform("_e", lambda e: _saturated(e["tf"], e["length"], average, k1, b)).alias("weights")
+    )
+    # one entry of a list is one document with the term
+    frequency = listed.select(F.explode("_e.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    idf = frequency.select("key", bm25_idf(F.lit(stats["documents"]), F.col("df")).alias("idf"))
+    found = asked.select(F.col("user_id").alias("id"), term_key(F.col("term")).alias("key"), "times").join(idf, "key")
+    entry = F.struct("key", (F.col("times") * F.col("idf")).alias("weight"))
+    asks = cut_lineage(found.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("_e")))
+    asks = asks.select("id", F.col("_e.key").alias("keys"), F.col("_e.weight").alias("weights"))
+    return blocked_topk(
+        asks, items, topn, sparse_product, exclude, item_block_rows=TEXT_BLOCK_ROWS, min_score=0.0, sizes=(asks.count(), listed.count())
     )
-    scored = parts.groupBy("user_id", "job_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-    return top_per_group(scored.where("score > 0"), ["user_id"], [F.desc("score"), F.asc("job_id")], topn)
 
 
-def _bm25_candidates(queries, documents, topn, exclude, k1, b) -> tuple[Pruned, DataFrame]:
-    asked = cut_lineage(term_counts(queries).select(F.col("id").alias("user_id"), "term", F.col("tf").cast("double").alias("times")))
-    postings = cut_lineage(bm25_postings(written(documents.select("id", "tokens"), "tokens"), asked, k1, b))
-    return pruned_candidates(asked, postings, topn, exclude), postings
+def _asked(queries: DataFrame) -> DataFrame:
+    """(user_id, term, times), written because it is read several times."""
+    return cut_lineage(term_counts(queries).select(F.col("id").alias("user_id"), "term", F.col("tf").cast("double").alias("times")))
 
 
 def bm25_pairs_met(queries: DataFrame, documents: DataFrame, topn: int, k1: float = K1, b: float = B) -> DataFrame:
     """(user_id, pairs, read, candidates, looked_up): postings of a query's terms, those its ranking reads in full, the
     documents it completes, and the terms it looks up for them."""
-    found, _ = _bm25_candidates(queries, documents, topn, None, k1, b)
+    asked = _asked(queries)
+    postings = written(bm25_postings(written(documents.select("id", "tokens"), "tokens"), asked, k1, b), "postings")
+    found = pruned_candidates(asked, postings, topn)
     read, left = (F.when(c, F.col("entries")).otherwise(0) for c in (F.col("step") < 3, F.col("step") == 3))
     lists = found.lists.groupBy("user_id").agg(F.sum("entries").alias("pairs"), F.sum(read).alias("read"), F.count(F.when(left > 0, 1)).alias("_left"))
     completed = found.candidates.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates"))
@@ -157,35 +171,47 @@ def hash_bucket(term: Column, dim: int = HASH_DIM) -> tuple[Column, Column]:
 
 
 def hashed_vectors(tokens: DataFrame, idf: DataFrame, dim: int = HASH_DIM) -> DataFrame:
-    """(id, keys, weights): signed TF-IDF sums per bucket, L2-normalized; unseen terms weigh 1."""
+    """(id, keys, weights): signed TF-IDF sums per bucket, L2-normalized; unseen terms weigh 1.
+
+    ``idf`` (term, bucket, value) holds the signed weight of each known term, so that only unseen ones are hashed here.
+    """
     bucket, sign = hash_bucket(F.col("term"), dim)
-    entries = (
-        term_counts(tokens)
-        .withColumns({"bucket": bucket, "sign": sign})
-        .join(idf, "term", "left")
-        .groupBy("id", "bucket")
-        .agg(F.sum(F.col("sign") * F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("value"))
+    # a document stays inside one task from its tokens to its vector, unless the terms are too many to be sent to all
+    rows = tokens.repartition("id").select("id", F.posexplode_outer("tokens").alias("_pos", "term"))
+    # a text's first token stands for its row; a null token has no bucket
+    row = F.when(F.coalesce("_pos", F.lit(0)) == 0, 1).otherwise(0).alias("row")
+    entries = rows.join(idf, "term", "left").select(
+        "id", F.coalesce("bucket", bucket).alias("key"), F.coalesce("value", sign).alias("value"), row
+    ).groupBy("id", "key").agg(F.sum("value").alias("value"), F.sum("row").alias("rows"))
+    kept = F.when(F.col("key").isNotNull(), F.struct("key", "value"))
+    vectors = entries.groupBy("id").agg(F.collect_list(kept).alias("_e"), F.sum("rows").alias("rows"))
+    norm = F.sqrt(F.aggregate("_e.value", F.lit(0.0), lambda s, v: s + v * v))
+    vectors = vectors.withColumn("_norm", F.when(F.col("id").isNotNull(), norm)).withColumn("_e", F.when(F.col("_norm") > 0, F.col("_e")))
+    # a repeated id has as many rows as texts
+    return vectors.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(
+        "id",
+        F.coalesce("_e.key", F.array().cast("array<bigint>")).alias("keys"),
+        F.coalesce(F.transform("_e.value", lambda v: v / F.col("_norm")), F.array().cast("array<double>")).alias("weights"),
     )
-    norms = entries.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    scaled = entries.join(norms.where(F.col("norm") > 0), "id")
-    return _vectors(tokens, scaled.select("id", F.col("bucket").alias("key"), (F.col("value") / F.col("norm")).alias("weight")))
 
 
 def hashed_rankings(queries: DataFrame, documents: DataFrame, topn: int, exclude: DataFrame | None = None,
                     dim: int = HASH_DIM, item_block_rows: int = TEXT_BLOCK_ROWS) -> DataFrame:
     """Cosine of hashed TF-IDF vectors, from two token tables."""
-    queries, documents = cut_lineage(queries), cut_lineage(documents)
-    frequency = document_frequency(documents.select("id", F.explode(F.array_distinct("tokens")).alias("term")))
-    n = documents.agg(F.count(F.lit(1)).alias("n"))
-    idf = frequency.select("term", F.log(1.0 + n.scalar() / (1.0 + F.col("df"))).alias("idf"))
+    queries, documents = cut_lineage(queries), written(documents.select("id", "tokens"), "tokens")
+    sizes = queries.count(), documents.count()
+    frequency = document_frequency(documents.select("id", F.explode(F.array_distinct("tokens")).alias("term")).where("term is not null"))
+    bucket, sign = hash_bucket(F.col("term"), dim)
+    weight = F.log(1.0 + F.lit(sizes[1]) / (1.0 + F.col("df")))
+    idf = broadcast_if_small(cut_lineage(frequency.select("term", bucket.alias("bucket"), (sign * weight).alias("value"))))
     return blocked_topk(
         hashed_vectors(queries, idf, dim),
         hashed_vectors(documents, idf, dim),
         topn,
-        sparse_product,
+        bucket_product(dim) if dim <= MATRIX_DIM else sparse_product,
         exclude,
         item_block_rows=item_block_rows,
-        sizes=(queries.count(), documents.count()),
+        sizes=sizes,
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 from .ordering import top_per_group
 
 FIRST_READ = 4
@@ -51,7 +51,8 @@ def _threshold(sums: DataFrame, topn: int) -> DataFrame:
 
 
 def _sums(asked: DataFrame, postings: DataFrame, exclude: DataFrame | None) -> DataFrame:
-    met = asked.select("user_id", "term", "times").join(postings, "term")
+    # the terms asked for are few, the postings many: those stay where they are
+    met = postings.join(broadcast_if_small(asked.select("user_id", "term", "times")), "term")
     sums = met.groupBy("user_id", "job_id", "block").agg(F.sum(F.col("times") * F.col("low")).alias("low"), F.sum(F.col("times") * F.col("high")).alias("high"))
     return sums if exclude is None else sums.join(exclude.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
 
@@ -81,7 +82,11 @@ def pruned_candidates(
     # the best items so far, looked up in the other lists: their whole sums are a far better threshold than the first part
     heads = top_per_group(first.select("user_id", "job_id", "low"), ["user_id"], [F.desc("low"), F.asc("job_id")], FIRST_READ * topn, "_place")
     heads = cut_lineage(heads.drop("_place"))
-    seen = heads.select("user_id", "job_id").join(rest.select("user_id", "term", "times"), "user_id").join(postings, ["term", "job_id"])
+    asked_of = rest.select("user_id", "term", "times")
+    if heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        seen = postings.join(F.broadcast(heads.select("user_id", "job_id")), "job_id").join(asked_of, ["user_id", "term"])
+    else:
+        seen = heads.select("user_id", "job_id").join(asked_of, "user_id").join(postings, ["term", "job_id"])
     whole = heads.union(seen.select("user_id", "job_id", F.col("times") * F.col("low"))).groupBy("user_id", "job_id").agg(F.sum("low").alias("low"))
     reached = cut_lineage(_threshold(whole, topn))
     rest = rest.join(reached, "user_id", "left")

@@ -104,7 +104,7 @@ def blocked_topk(
 
 def _block_winners(q: pa.Table, i: pa.Table, score, k: int, min_score: float | None) -> pa.Table:
     """Best ``k`` items of one item block for every query of one query block."""
-    i = i.take(pc.sort_indices(i, sort_keys=[("id", "ascending")]))
+    i = i.take(pc.sort_indices(i, sort_keys=[("id", "ascending")], null_placement="at_start"))
     item_ids = i.column("id").combine_chunks()
     out_q, out_i, out_s = [], [], []
     if q.num_rows and i.num_rows:
@@ -195,6 +195,22 @@ def sparse_product(q: pa.Table, i: pa.Table, keys: str = "keys", weights: str |
     return rows
 
 
+def bucket_product(dim: int, keys: str = "keys", weights: str = "weights"):
+    """Scorer: dot product of sparse vectors with unique keys below ``dim``, as rows of a matrix."""
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        at, row = _flat(t, keys)
+        cells = np.zeros((t.num_rows, dim))
+        cells[row, at] = _flat(t, weights)[0]
+        return cells
+
+    def prepare(q: pa.Table, i: pa.Table):
+        left, right = matrix(q), matrix(i).T
+        return lambda start, stop: left[start:stop] @ right
+
+    return prepare
+
+
 def dense_scores(vector: str = "vector"):
     """Scorer: dot product of dense vectors of one length."""
 
