@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from .functions.fields import behaviour_level
 from .operators.interactions import jobs_with_behaviour, leave_last_out, restrict_to_known
 from .plans.experiments import Bundle
-from .session import cut_lineage
+from .session import cut_lineage, written
 
 AS_OF_YEAR = 2024
 MIN_VIEWS = 2
@@ -63,14 +63,14 @@ def all_jobs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalogue: jobs with any behaviour."""
-    return jobs_with_behaviour(all_jobs(spark, folder), levels(spark, folder))
+def jobs(spark: SparkSession, folder: str, behaviour: DataFrame | None = None) -> DataFrame:
+    """Catalogue: jobs with any behaviour (``behaviour``: the levels where they are at hand)."""
+    return jobs_with_behaviour(all_jobs(spark, folder), levels(spark, folder) if behaviour is None else behaviour)
 
 
-def users(spark: SparkSession, folder: str) -> DataFrame:
+def users(spark: SparkSession, folder: str, behaviour: DataFrame | None = None) -> DataFrame:
     """Profiles of the users with behaviour: the skills and types met in at least two of all the jobs a user viewed."""
-    behaviour = levels(spark, folder)
+    behaviour = levels(spark, folder) if behaviour is None else behaviour
     viewed = behaviour.where(F.col("level") == 1).select("user_id", "job_id").distinct()
     met = viewed.join(all_jobs(spark, folder).select("job_id", "skills", "job_type"), "job_id")
     values = met.select("user_id", F.explode(F.concat(
@@ -101,17 +101,17 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def jobs_with_stated_degree(spark: SparkSession, folder: str) -> DataFrame:
+def jobs_with_stated_degree(spark: SparkSession, folder: str, behaviour: DataFrame | None = None) -> DataFrame:
     """Catalogue with the degree label column of the first generation; rank 0 means unstated."""
-    return jobs(spark, folder).withColumn(
+    return jobs(spark, folder, behaviour).withColumn(
         "min_degree", F.when(F.col("min_degree_rank") == 0, "").otherwise(F.col("min_degree_rank").cast("string"))
     )
 
 
-def interactions(spark: SparkSession, folder: str, min_level: int = 2) -> DataFrame:
+def interactions(spark: SparkSession, folder: str, min_level: int = 2, behaviour: DataFrame | None = None) -> DataFrame:
     """Split behaviour rows restricted to known users and jobs."""
     known = restrict_to_known(
-        levels(spark, folder),
+        levels(spark, folder) if behaviour is None else behaviour,
         table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id")),
         table(spark, folder, "part").select(F.col("p_partkey").alias("job_id")),
     )
@@ -120,17 +120,23 @@ def interactions(spark: SparkSession, folder: str, min_level: int = 2) -> DataFr
 
 def bundle(spark: SparkSession, folder: str) -> Bundle:
     """The three processed tables, written once because every model reads them many times."""
+    behaviour = written(levels(spark, folder), "levels")  # actions are parsed once
     return Bundle(
-        cut_lineage(users(spark, folder)), cut_lineage(jobs(spark, folder)), cut_lineage(interactions(spark, folder))
+        cut_lineage(users(spark, folder, behaviour)), cut_lineage(jobs(spark, folder, behaviour)),
+        cut_lineage(interactions(spark, folder, behaviour=behaviour)),
     )
 
 
-def node_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(id, vector) of users and jobs: users count up from the first stored vector, jobs down from the last."""
+def node_vectors(spark: SparkSession, folder: str, known: Bundle | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, vector) of users and jobs: users count up from the first stored vector, jobs down from the last.
+
+    ``known`` gives the processed tables where they are at hand.
+    """
+    people, posts = (users(spark, folder), jobs(spark, folder)) if known is None else (known.users, known.jobs)
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     last = vectors.agg(F.max("vec_id").alias("last"))
-    user_side = users(spark, folder).select(F.col("user_id").alias("vec_id")).join(vectors, "vec_id")
-    job_side = jobs(spark, folder).select("job_id").withColumn("vec_id", last.scalar() - F.col("job_id")).join(vectors, "vec_id")
+    user_side = people.select(F.col("user_id").alias("vec_id")).join(vectors, "vec_id")
+    job_side = posts.select("job_id").withColumn("vec_id", last.scalar() - F.col("job_id")).join(vectors, "vec_id")
     return user_side.select(F.col("vec_id").alias("id"), "vector"), job_side.select(F.col("job_id").alias("id"), "vector")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import BEHAVIOUR_WEIGHTS, flag_is_set
 from ..functions.text import clean_token, extract_skill_tokens, node_id, normalize_value, split_multi_value
-from ..session import spread
+from ..session import spread, written
 from .interactions import browsed_pairs, positives
 from .ordering import first_occurrence
 from .pairs import skill_entries
@@ -113,8 +113,9 @@ def _multi_values(cells: DataFrame, key: str, relations: list[tuple[str, str, st
             for relation, source, target in relations
         ]
     )
-    flat = cells.select(key, F.inline(entries))
-    return flat.select(key, "relation", "field", "target_type", F.explode("values").alias("value"))
+    # outer generators: plain ones make the optimizer test the arrays first, which splits every cell once more
+    flat = cells.select(key, F.inline_outer(entries))
+    return flat.select(key, "relation", "field", "target_type", F.posexplode_outer("values").alias("_pos", "value")).where("_pos is not null").drop("_pos")
 
 
 def _edges(rows: DataFrame, source_type: str, key: str, evidence: Column, weight: Column) -> DataFrame:
@@ -142,13 +143,17 @@ def attribute_edges(cells: DataFrame, source_type: str, key: str, relations: lis
 
 def user_skills(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """(user_id, value) skill rows of the experience field."""
-    return cells.select("user_id", F.explode(extract_skill_tokens(F.col("experience"), limit)).alias("value"))
+    return _listed(cells, "user_id", extract_skill_tokens(F.col("experience"), limit))
 
 
 def job_skills(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """(job_id, value) skill rows of title and description."""
     text = F.concat("jd_title", F.lit("\n"), "job_description")
-    return cells.select("job_id", F.explode(extract_skill_tokens(text, limit)).alias("value"))
+    return _listed(cells, "job_id", extract_skill_tokens(text, limit))
+
+
+def _listed(cells: DataFrame, key: str, tokens: Column) -> DataFrame:
+    return cells.select(key, F.posexplode_outer(tokens).alias("_pos", "value")).where("_pos is not null").drop("_pos")
 
 
 def skill_edges(skills: DataFrame, source_type: str, key: str, relation: str, evidence: str) -> DataFrame:
@@ -222,19 +227,22 @@ def build_graph(
     """The asked ``parts`` of ``nodes``, ``edges`` and ``stats`` from the three raw tables.
 
     Rare skills lose their node but keep their edges unless ``prune_dangling`` is set. Users and jobs are
-    counted before deduplication, edges after.
+    counted before deduplication, edges after. Cells, skills and what several parts share are written once.
     """
-    u, j = user_cells(spread(users, "user_id")), job_cells(spread(jobs, "jd_no"))
+    u, j = written(user_cells(spread(users, "user_id")), "user_cells"), written(job_cells(spread(jobs, "jd_no")), "job_cells")
     u_skills, j_skills = user_skills(u, user_skill_limit), job_skills(j, job_skill_limit)
+    if "nodes" in parts and parts != ("nodes",):
+        u_skills, j_skills = written(u_skills, "user_skills"), written(j_skills, "job_skills")
     graph: dict[str, DataFrame] = {}
     if parts != ("edges",) or prune_dangling:
         values = dimension_values(u, j).union(skill_values(u_skills, j_skills, min_skill_freq))
+        values = written(values, "values") if "stats" in parts else values
         graph["nodes"] = node_table(u, j, values)
     if parts != ("nodes",):
         edges = edge_table(u, j, u_skills, j_skills, spread(actions, "user_id", "jd_no"))
         if prune_dangling:
             edges = edges.join(graph["nodes"].select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
-        graph["edges"] = edges
+        graph["edges"] = written(edges, "edges") if "stats" in parts else edges
     if "stats" in parts:
         graph["stats"] = graph_stats(u, j, values, graph["edges"])
     return {name: graph[name] for name in parts}

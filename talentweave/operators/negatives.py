@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .dense import dense_rankings
 from .neighbours import approximate_rankings
 from .ordering import exploded_range, global_position, position_in_group
@@ -115,6 +116,7 @@ def mixed_negatives(
     rolls = uniform.join(pairs.select("user_id", "job_id").distinct(), ["user_id", "job_id"], "left_semi").withColumn(
         "_roll", F.pmod(seeded("user_id", "job_id", "draw", seed=seed + epoch), F.lit(1_000_000)) / 1_000_000.0
     )
+    semantic = written(semantic.select("user_id", "job_id", "rank"), "semantic")  # a search that is read twice
     sizes = semantic.groupBy("user_id").agg(F.max("rank").alias("_n"))
     picked = rolls.join(sizes, "user_id", "left").withColumn(
         "_rank", F.pmod(seeded("user_id", "job_id", "draw", seed=seed - 1), F.col("_n")) + 1

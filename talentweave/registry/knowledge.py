@@ -13,7 +13,7 @@ from ..operators.ordering import dense_index, first_rows
 from ..operators.topk import term_keys
 from ..operators.vocabulary import SkillGate
 from ..plans import experiments, recommend, records
-from ..session import cut_lineage, shared_folder
+from ..session import cut_lineage, shared_folder, written
 from ..sources import bundle as readers
 from ..sources import raw, sinks
 from .matching import DIM, _by_dimension, _requirement_sides
@@ -257,7 +257,7 @@ def _texts(spark, d) -> DataFrame:
 
 def _explained(spark, d) -> DataFrame:
     vocabulary = b.all_jobs(spark, d).select(F.explode("skills").alias("skill")).distinct()
-    return evidence.grounded_explanations(cut_lineage(_evidence_v2(spark, d)), cut_lineage(_texts(spark, d)), vocabulary)
+    return evidence.grounded_explanations(written(_evidence_v2(spark, d), "evidence"), written(_texts(spark, d), "texts"), vocabulary)
 
 
 def explanations(spark, d):
@@ -292,8 +292,9 @@ def requirement_explanations(spark, d):
 
 
 def _service_tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    people = b.users(spark, d).withColumn("user_id", F.col("user_id").cast("string")).withColumn("degree", F.col("degree_rank").cast("string"))
-    posts = b.jobs_with_stated_degree(spark, d).withColumn("job_id", F.col("job_id").cast("string"))
+    behaviour = written(b.levels(spark, d), "levels")
+    people = b.users(spark, d, behaviour).withColumn("user_id", F.col("user_id").cast("string")).withColumn("degree", F.col("degree_rank").cast("string"))
+    posts = b.jobs_with_stated_degree(spark, d, behaviour).withColumn("job_id", F.col("job_id").cast("string"))
     return cut_lineage(people), cut_lineage(posts)
 
 

@@ -342,7 +342,7 @@ def neighbour_recall(spark, d):
 
 def mixed_negatives(spark, d):
     bundle = b.bundle(spark, d)
-    users, jobs = b.node_vectors(spark, d)
+    users, jobs = b.node_vectors(spark, d, bundle)
     train, known = cut_lineage(bundle.pairs("train")), cut_lineage(bundle.pairs())
     uniform = negatives.uniform_negatives(train, bundle.jobs, known, 2, 7)
     semantic = negatives.semantic_negatives(unit_vectors(users, "id", "vector"), unit_vectors(jobs, "id", "vector"), interactions.seen_pairs(bundle.interactions))

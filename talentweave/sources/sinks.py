@@ -15,7 +15,9 @@ def write_graph(graph: dict[str, DataFrame], folder: str, csv: bool = True) -> N
     for name, table in graph.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
         if csv:
-            table.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{folder}/{name}_csv")
+            # the rows just written: a table is computed once
+            rows = table.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
+            rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{folder}/{name}_csv")
 
 
 def write_processed(tables: dict[str, DataFrame], folder: str) -> None:
@@ -65,4 +67,5 @@ def explanation_json(explained: DataFrame, *columns: str) -> DataFrame:
 
 
 def write_explanations(explained: DataFrame, path: str, *columns: str) -> None:
-    explanation_json(explained, *columns).write.mode("overwrite").text(path)
+    """One JSON document per explained pair and line, compressed: payloads repeat most of their words."""
+    explanation_json(explained, *columns).write.mode("overwrite").option("compression", "gzip").text(path)
