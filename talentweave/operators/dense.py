@@ -3,10 +3,12 @@
 Items are grouped around pivots. What an item of a group can score is bounded by the query's product with the group's centre
 plus the query's length times the group's radius (and by the two lengths). A query first visits the groups of highest bound
 that hold enough items; the ``topn``-th best score found so far then rules out every group whose bound is below it, and the
-remaining ones are visited in rounds that grow fourfold. Small groups are put together into bundles of bounded size; a query
-is sent once to each bundle in which it visits any group, and comes back with at most ``topn`` items of all of them. A bundle
-is scored block against block with NumPy, in slices of bounded size on both sides, so a group that holds most items, or that
-most queries ask for, is spread over many tasks.
+remaining ones are visited in rounds that grow fourfold.
+
+A task holds a bounded number of queries and reads the items block by block, once for each round (``operators/streams.py``), so
+neither side is copied through a shuffle, and only a query's ``topn`` best items leave the task. Blocks hold the items in the
+order of their groups; a block is scored against the queries that visit any of its groups, with NumPy and in slices of bounded
+size, so a group that holds most items, or that most queries ask for, costs further blocks and no larger ones.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut_lineage
-from .ordering import top_per_group
+from .streams import Passes, packed, streamed, unpacked
 from .topk import _CELLS, SCORE_DIGITS, _hidden_cells
 
 QUERY_BLOCK_ROWS = 16_384
@@ -31,6 +33,7 @@ ITEM_BLOCK_ROWS = 8_192
 MOST_GROUPS = 1024  # so that all centres fit into a task: 1024 vectors
 BUNDLE_NUMBERS = 4_000_000  # of the items of a bundle: 32 MB in a task
 BOUNDS = 1_000_000  # of a run of queries at a time
+KEPT = 2_000_000  # items of all queries of a task
 SLACK = 1e-8
 
 
@@ -122,41 +125,48 @@ class Groups:
         own = np.linalg.norm(queries, axis=1)[:, None]
         return np.minimum(queries @ self.centres.T + own * self.radius, own * self.length)
 
+    def visited(self, queries: np.ndarray, reached: np.ndarray, topn: int, round_: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place of a group) of the visits of a round, in this order; ``reached`` holds the queries' thresholds.
+
+        The first round takes the groups of highest bound until they hold ``topn`` items, each later one four times as many.
+        """
+        before, after = (4**round_ - 1) // 3, (4 ** (round_ + 1) - 1) // 3
+        step, rows, places = max(1, BOUNDS // len(self.names)), [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for start in range(0, len(queries), step):
+            bound = self.bounds(queries[start : start + step])
+            order = np.argsort(-bound, axis=1, kind="stable")
+            first = 1 + np.argmax(np.cumsum(self.sizes[order], axis=1) >= min(topn, self.sizes.sum()), axis=1)[:, None]
+            place = np.arange(bound.shape[1])[None, :]
+            high = np.take_along_axis(bound, order, axis=1) >= reached[start : start + step, None] - SLACK
+            row, at = np.nonzero((place >= before * first) & (place < after * first) & high)
+            at = order[row, at]
+            sorted_ = np.lexsort((at, row))  # bundles hold runs of groups
+            rows.append((row[sorted_] + start).astype(np.int32))
+            places.append(at[sorted_].astype(np.int32))
+        return np.concatenate(rows), np.concatenate(places)
+
+    @property
+    def rounds(self) -> int:
+        """Most rounds in which a query can visit all groups."""
+        return next(r for r in range(1, 99) if (4**r - 1) // 3 >= len(self.names))
 
-def _visits(queries: DataFrame, groups: Groups, topn: int, round_: int) -> DataFrame:
-    """(id, bundle, groups): the groups of each bundle that a query visits in this round; ``queries`` (id, vector, threshold).
 
-    The first round takes the groups of highest bound until they hold ``topn`` items, each later one four times as many.
-    """
-    before, after = (4**round_ - 1) // 3, (4 ** (round_ + 1) - 1) // 3
-    step = max(1, BOUNDS // len(groups.names))
+def _visits(queries: DataFrame, groups: Groups, topn: int, round_: int) -> DataFrame:
+    """(id, bundle, groups): the groups of each bundle that a query visits in this round; ``queries`` (id, vector, threshold)."""
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
-                bound = groups.bounds(_matrix(batch.column("vector")))
-                order = np.argsort(-bound, axis=1, kind="stable")
-                first = 1 + np.argmax(np.cumsum(groups.sizes[order], axis=1) >= min(topn, groups.sizes.sum()), axis=1)[:, None]
-                place = np.arange(bound.shape[1])[None, :]
-                reached = batch.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)[:, None]
-                row, at = np.nonzero((place >= before * first) & (place < after * first) & (np.take_along_axis(bound, order, axis=1) >= reached - SLACK))
-                at = order[row, at]
-                sorted_ = np.lexsort((at, row))  # bundles hold runs of groups
-                row, at = row[sorted_], at[sorted_]
-                bundle = groups.bundle[at]
-                starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bundle[1:] != bundle[:-1])]) if len(row) else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(groups.names[at]))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[starts])), pa.array(bundle[starts]), lists], ["id", "bundle", "groups"])
+        for batch in batches:
+            reached = batch.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            row, at = groups.visited(_matrix(batch.column("vector")), reached, topn, round_)
+            bundle = groups.bundle[at]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bundle[1:] != bundle[:-1])]) if len(row) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(groups.names[at]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[starts])), pa.array(bundle[starts]), lists], ["id", "bundle", "groups"])
 
     kind = queries.schema["id"].dataType.simpleString()
     return queries.select("id", "vector", "threshold").mapInArrow(plan, f"id {kind}, bundle int, groups array<int>")
 
 
-def _slice(column: Column, n: Column) -> Column:
-    return F.pmod(F.xxhash64(column), n).cast("int")
-
-
 def _bundle_winners(q: pa.Table, i: pa.Table, topn: int) -> pa.Table:
     """Best ``topn`` items of the groups it visits, for every query of a slice; none below the query's threshold."""
     out_q, out_i, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
@@ -190,7 +200,7 @@ def _bundle_winners(q: pa.Table, i: pa.Table, topn: int) -> pa.Table:
                 cut = topn + int(most_hidden[rows].max())  # hidden items go later
                 if cut < n and np.isinf(bar).any():
                     bar = np.maximum(bar, np.partition(cells, n - cut, axis=1)[:, n - cut])
-                r, c = np.nonzero(cells >= bar[:, None] - SLACK)
+                r, c = np.divmod(np.flatnonzero(cells >= bar[:, None] - SLACK), n)  # faster than nonzero where few are left
                 found.append((rows[r], c + starts[g], cells[r, c]))
             if not found:
                 continue
@@ -209,65 +219,128 @@ def _bundle_winners(q: pa.Table, i: pa.Table, topn: int) -> pa.Table:
     return pa.table({"user_id": q.column("id").take(pa.array(rows)), "job_id": i.column("id").take(pa.array(items)), "score": scores})
 
 
-def _round(visits, queries, items, groups: Groups, hidden, topn: int, query_rows: int) -> DataFrame:
-    """Best ``topn`` of every visited slice of a bundle: (user_id, job_id, score)."""
-    spark = queries.sparkSession
-    asked = {r.bundle: r["count"] for r in visits.groupBy("bundle").count().collect()}  # at most MOST_GROUPS rows
-    cores, plan = spark.sparkContext.defaultParallelism, []
-    for bundle, size in enumerate(np.bincount(groups.bundle, groups.sizes).astype(int).tolist()):
-        if n := asked.get(bundle):
-            item_slices = max(1, ceil(size / groups.rows))
-            plan.append((bundle, max(ceil(n / query_rows), min(cores, n, ceil(n * size / _CELLS / item_slices))), item_slices))
-    plan = F.broadcast(spark.createDataFrame(plan, "bundle int, _nq int, _ni int"))
-    left = visits.join(plan, "bundle").join(queries.select("id", "vector", "threshold"), "id")
-    left = left.withColumn("_q", _slice(F.col("id"), F.col("_nq"))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)))
-    # fresh column ids: both sides may come from one table
-    right = items.select(*[F.col(c).alias(c) for c in items.columns]).join(plan, "bundle").withColumn("_i", _slice(F.col("id"), F.col("_ni"))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
-    kind = items.schema["id"].dataType
-    if hidden is not None:
-        unseen = hidden.join(plan.select("bundle", "_ni"), "bundle").withColumn("_i", _slice(F.col("_j"), F.col("_ni")))
-        left = left.join(unseen.groupBy("id", "bundle", "_i").agg(F.collect_set("_j").alias("_hidden")), ["id", "bundle", "_i"], "left")
-    else:
-        left = left.withColumn("_hidden", F.lit(None).cast(T.ArrayType(kind)))
-    schema = T.StructType([T.StructField("user_id", queries.schema["id"].dataType), T.StructField("job_id", kind), T.StructField("score", T.DoubleType())])
-
-    def task(q: pa.Table, i: pa.Table) -> pa.Table:
-        return _bundle_winners(q, i, topn)
-
-    keys = ("bundle", "_q", "_i")
-    left, right = left.select(*keys, "id", "vector", "threshold", "groups", "_hidden"), right.select(*keys, "id", "vector", "group")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(task, schema)
-
-
-def _search(queries, items, topn, exclude, query_block_rows, item_block_rows) -> tuple[DataFrame, DataFrame, int]:
-    """(ranking, visits (id, bundle, groups, round), number of groups)."""
-    queries, items = cut_lineage(queries.select("id", "vector")), cut_lineage(items.select("id", "vector"))
-    n, kind = items.count(), items.schema["id"].dataType
+class _Task:
+    """The queries of a task, what they must not return, and the best items found so far."""
+
+    def __init__(self, asked: list[pa.Table], hidden: list[pa.Table], kind: pa.DataType, groups: Groups, topn: int):
+        q = pa.concat_tables([block.select(["id", "vector"]) for block in asked]).combine_chunks()
+        self.groups, self.topn = groups, topn
+        self.names = q.column("id").combine_chunks().unique()  # rows of one id share a ranking
+        own = pc.index_in(q.column("id").combine_chunks(), value_set=self.names).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.asked, self.rows = own, np.repeat(np.arange(len(own)), np.bincount(own)[own])  # as often as its id occurs
+        self.owner = own[self.rows]
+        self.vectors = q.column("vector").combine_chunks()
+        self.hidden = self._lists(hidden) if hidden else pa.nulls(len(self.rows), pa.list_(kind))
+        self.reached = np.full(len(self.names), -np.inf)
+        self.best = pa.table({"owner": pa.array([], pa.int64()), "job_id": pa.array([], kind), "score": pa.array([], pa.float64())})
+        self.later, self.waiting = [], 0
+        self.visits, self.ended = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+
+    def _lists(self, parts: list[pa.Table]) -> pa.Array:
+        pairs = pa.concat_tables(parts).combine_chunks()
+        owner = pc.index_in(pairs.column("id").combine_chunks(), value_set=self.names)
+        known = owner.is_valid()
+        owner, items = owner.filter(known).to_numpy(zero_copy_only=False), pairs.column("_j").combine_chunks().filter(known)
+        order = np.argsort(owner, kind="stable")
+        ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(self.names)))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), items.take(pa.array(order))).take(pa.array(self.owner))
+
+    def begin(self, round_: int) -> bool:
+        """Whether any query visits a group in this round."""
+        self._merge()
+        row, at = self.groups.visited(_matrix(self.vectors), self.reached[self.asked], self.topn, round_)
+        n = np.bincount(row, minlength=len(self.asked))
+        self.visits += n
+        self.ended[n > 0] = round_ + 1
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(self.groups.names[at]))
+        self.met = np.unique(self.groups.names[at])
+        self.q = pa.table({"id": pa.array(np.arange(len(self.rows))), "vector": self.vectors.take(pa.array(self.rows)), "groups": lists.take(pa.array(self.rows)), "_hidden": self.hidden})
+        return len(row) > 0
+
+    def see(self, items: pa.Table) -> None:
+        if not np.isin(items.column("group").to_numpy(), self.met).any():
+            return
+        items = items.select(["id", "vector", "group"]).combine_chunks()
+        bar = self.reached[self.owner]
+        found = _bundle_winners(self.q.append_column("threshold", pa.array(bar, mask=np.isinf(bar))), items, self.topn)
+        own = pa.array(self.owner[found.column("user_id").to_numpy()])
+        self.later.append(found.set_column(0, "owner", own))
+        self.waiting += found.num_rows
+        if self.waiting >= max(KEPT // 2, len(self.owner) * self.topn):
+            self._merge()
+
+    def _merge(self) -> None:
+        if self.waiting:
+            found = pa.concat_tables([self.best, *self.later]).combine_chunks()
+            keys = [("owner", "ascending"), ("score", "descending"), ("job_id", "ascending")]
+            found = found.take(pc.sort_indices(found, sort_keys=keys, null_placement="at_start"))
+            own = found.column("owner").to_numpy()
+            place = np.arange(len(own)) - np.searchsorted(own, own)
+            full = place == self.topn - 1
+            self.reached[own[full]] = found.column("score").to_numpy()[full]
+            self.best = found.filter(pa.array(place < self.topn))
+        self.later, self.waiting = [], 0
+
+    def ranking(self) -> pa.Table:
+        self._merge()
+        own = self.best.column("owner").to_numpy()
+        rank = np.arange(1, len(own) + 1) - np.searchsorted(own, own)
+        return pa.table({"user_id": self.names.take(pa.array(own)), "job_id": self.best.column("job_id"), "score": self.best.column("score"), "rank": pa.array(rank.astype(np.int32))})
+
+    def visited(self) -> pa.Table:
+        n = len(self.names)
+        rounds = np.zeros(n, np.int32)
+        np.maximum.at(rounds, self.asked, self.ended.astype(np.int32))
+        return pa.table({"user_id": self.names, "visited": pa.array(np.bincount(self.asked, self.visits, n).astype(np.int64)), "rounds": pa.array(rounds)})
+
+
+def _search(queries, items, topn, exclude, query_block_rows, item_block_rows, report: bool = False) -> tuple[DataFrame, int]:
+    """(ranking, or, for a ``report``, (user_id, visited, rounds); number of groups)."""
+    alike, spark = queries is items, queries.sparkSession
+    items = cut_lineage(items.select("id", "vector"))
+    queries = items if alike else cut_lineage(queries.select("id", "vector"))
+    n, asking, kind = items.count(), queries.count(), items.schema["id"].dataType.simpleString()
     asker = queries.schema["id"].dataType.simpleString()
+    schema = f"user_id {asker}, visited bigint, rounds int" if report else f"user_id {asker}, job_id {kind}, score double, rank int"
     if n == 0:
-        empty = f"user_id {asker}, job_id {kind.simpleString()}, score double, rank int"
-        return queries.sparkSession.createDataFrame([], empty), queries.sparkSession.createDataFrame([], f"id {asker}, bundle int, groups array<int>, round int"), 0
-    grouped = cut_lineage(grouped_items(items, item_block_rows, n))
+        return spark.createDataFrame([], schema), 0
+    grouped = grouped_items(items, item_block_rows, n)
     groups = Groups(grouped, item_block_rows)
-    bundles = queries.sparkSession.createDataFrame(list(zip(groups.names.tolist(), groups.bundle.tolist(), strict=True)), "group int, bundle int")
-    grouped = grouped.join(F.broadcast(bundles), "group")
-    hidden = None
+    cores, items_kind = spark.sparkContext.defaultParallelism, to_arrow_type(items.schema["id"].dataType)
+    rows = max(1, min(query_block_rows, KEPT // max(1, topn)))
+    tasks = max(1, ceil(asking / rows), min(2 * cores, asking, ceil(asking * n / _CELLS)))
+
+    def task_of(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(tasks)).cast("int").alias("_t")
+
+    parts = max(min(cores, ceil(n / item_block_rows)), ceil(n * groups.centres.shape[1] / BUNDLE_NUMBERS))
+    # the order of the groups, in runs of like size whatever the size of a group
+    ordered = grouped.select("id", "vector", "group", task_of("id")).repartitionByRange(parts, "group", "id").sortWithinPartitions("group", "id")
+    sources = [packed(ordered, "items")]
+    if not alike:
+        sources.append(packed(queries.select("id", "vector", task_of("id")), "queries"))
     if exclude is not None:
-        wanted = exclude.select(F.col("user_id").alias("id"), F.col("job_id").cast(kind).alias("_j")).distinct()
-        hidden = cut_lineage(wanted.join(grouped.select(F.col("id").alias("_j"), "bundle"), "_j"))
-    best, reached, seen, round_ = None, queries.withColumn("threshold", F.lit(None).cast("double")), None, 0
-    while True:
-        visits = cut_lineage(_visits(reached, groups, topn, round_))
-        if round_ and visits.isEmpty():
-            return best, seen, len(groups.names)
-        winners = _round(visits, reached, grouped, groups, hidden, topn, query_block_rows)
-        winners = winners if best is None else winners.unionByName(best.drop("rank"))
-        best = cut_lineage(top_per_group(winners, ["user_id"], [F.desc("score"), F.asc("job_id")], topn))
-        seen = visits.withColumn("round", F.lit(round_)) if seen is None else seen.union(visits.withColumn("round", F.lit(round_)))
-        if len(groups.names) == 1:
-            return best, seen, 1
-        last = best.where(F.col("rank") == topn).select(F.col("user_id").alias("id"), F.col("score").alias("threshold"))
-        reached, round_ = queries.join(last, "id", "left"), round_ + 1
+        wanted = exclude.select(F.col("user_id").cast(asker).alias("id"), F.col("job_id").cast(kind).alias("_j")).dropna()
+        sources.append(packed(wanted.select("id", "_j", task_of("id")), "hidden"))
+
+    def task(number: int, passes: Passes) -> Iterator[pa.Table]:
+        own = {"items" if alike else "queries": [], "hidden": []}
+        for source, block in next(passes)[1]:
+            if source in own:
+                own[source].append(block.filter(pc.and_(pc.equal(block.column("_t"), number), block.column("id").is_valid())))
+        hidden, asked = own.pop("hidden"), next(iter(own.values()))
+        if not any(block.num_rows for block in asked):
+            return
+        state = _Task(asked, hidden, items_kind, groups, topn)
+        for pass_, blocks in passes:
+            if not state.begin(pass_ - 1):
+                break
+            for source, block in blocks:
+                if source == "items":
+                    state.see(block)
+        yield state.visited() if report else state.ranking()
+
+    return cut_lineage(unpacked(spark, streamed(sources, tasks, 1 + groups.rounds, task), schema)), len(groups.names)
 
 
 def dense_rankings(queries: DataFrame, items: DataFrame, topn: int, exclude: DataFrame | None = None,
@@ -275,7 +348,7 @@ def dense_rankings(queries: DataFrame, items: DataFrame, topn: int, exclude: Dat
     """(user_id, job_id, score, rank): the ``topn`` best items of every query by dot product of (id, vector) tables; exact.
 
     Ties go to the smaller item id; ``exclude`` (user_id, job_id) pairs are never returned. ``item_block_rows`` is the size
-    of a group of items, ``query_block_rows`` that of a slice of the queries.
+    of a group of items, ``query_block_rows`` the most queries of a task.
     """
     return _search(queries, items, topn, exclude, query_block_rows, item_block_rows)[0]
 
@@ -283,5 +356,5 @@ def dense_rankings(queries: DataFrame, items: DataFrame, topn: int, exclude: Dat
 def dense_groups_visited(queries: DataFrame, items: DataFrame, topn: int, exclude: DataFrame | None = None,
                          query_block_rows: int = QUERY_BLOCK_ROWS, item_block_rows: int = ITEM_BLOCK_ROWS) -> DataFrame:
     """(user_id, groups, visited, rounds): how many groups of items a query's exact ranking visits."""
-    _, seen, n = _search(queries, items, topn, exclude, query_block_rows, item_block_rows)
-    return seen.groupBy(F.col("id").alias("user_id")).agg(F.lit(n).alias("groups"), F.sum(F.size("groups")).alias("visited"), (F.max("round") + 1).alias("rounds"))
+    seen, n = _search(queries, items, topn, exclude, query_block_rows, item_block_rows, report=True)
+    return seen.select("user_id", F.lit(n).alias("groups"), "visited", "rounds")
