@@ -15,10 +15,11 @@ from ..functions.features import RULE_V1_WEIGHTS, RULE_V2_WEIGHTS
 from ..session import cut_lineage
 from .ordering import exploded_range, global_position, position_in_group, top_per_group
 from .pruning import pruned_candidates
-from .topk import SCORE_DIGITS, sparse_product
+from .topk import SCORE_DIGITS, _flat, sparse_product
 
 TOPN = 1000
 HEAD_SLACK = 1000
+DENSE_TERMS = 512  # up to so many terms, counts come from a product of matrices
 
 
 def popularity_counts(jobs: DataFrame, train_pairs: DataFrame) -> DataFrame:
@@ -270,29 +271,86 @@ def mask_pairs(scored: DataFrame, hidden: DataFrame) -> DataFrame:
     return scored.join(hidden.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
 
 
-def rule_scores_v1_block(q: pa.Table, i: pa.Table) -> Callable[[int, int], np.ndarray]:
-    """``rule_score_v1`` of two blocks: jobs ``q`` and users ``i``, NaN where the job's skills are unknown.
-
-    Jobs carry ``skill_keys``, ``city_keys``, ``type_keys`` (``term_keys`` of distinct values, without unknown ones),
+def _met_once(q: pa.Table, i: pa.Table, keys: str) -> Callable[[int, int], np.ndarray]:
+    """Function giving, for a slice of ``q``, whether a row of ``i`` has a key of it."""
+    q_keys, q_row = _flat(q, keys)
+    names = np.unique(q_keys)
+    if len(q_keys) > len(np.unique(q_row)) or len(names) > DENSE_TERMS:
+        cells = sparse_product(q, i, keys, None)
+        return lambda start, stop: cells(start, stop) > 0
+    i_keys, i_row = _flat(i, keys)
+    holds = np.zeros((len(names) + 1, i.num_rows), np.bool_)  # the last one for rows of ``q`` without a key
+    at = np.minimum(np.searchsorted(names, i_keys), max(0, len(names) - 1))
+    known = names[at] == i_keys if len(names) else np.zeros(len(i_keys), np.bool_)
+    holds[at[known], i_row[known]] = True
+    own = np.full(q.num_rows, len(names))
+    own[q_row] = np.searchsorted(names, q_keys)
+    return lambda start, stop: holds[own[start:stop]]
+
+
+def _shared_terms(q: pa.Table, i: pa.Table, keys: str) -> Callable[[int, int], np.ndarray]:
+    """Function giving, for a slice of ``q``, how many distinct keys it shares with the rows of ``i``."""
+    (q_keys, q_row), (i_keys, i_row) = _flat(q, keys), _flat(i, keys)
+    names = np.intersect1d(q_keys, i_keys)
+    if len(names) > DENSE_TERMS:
+        return sparse_product(q, i, keys, None)
+
+    def marks(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        cells = np.zeros((n, len(names)), np.float32)  # counts are exact up to 2^24
+        if len(names):
+            at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+            known = names[at] == values
+            cells[row[known], at[known]] = 1
+        return cells
+
+    left, right = marks(q_keys, q_row, q.num_rows), marks(i_keys, i_row, i.num_rows).T
+    return lambda start, stop: left[start:stop] @ right
+
+
+def rule_levels_v1_block(q: pa.Table, i: pa.Table) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
+    """``rule_score_v1`` of two blocks as (codes, table): the score of the ``r``-th job of a slice and a user is
+    ``table[r, codes[r, user]]``, NaN where the job's skills are unknown.
+
+    A code holds the number of shared skills and the four conditions that a pair meets or not. Jobs carry ``skill_keys``, ``city_keys``, ``type_keys`` (``term_keys`` of distinct values, without unknown ones),
     ``n_skills``, ``degree_stated``, ``job_min_degree_rank`` and ``job_min_years``; users the same keys, ``degree_rank`` and ``years``.
     """
-    shared, city, kind = (sparse_product(q, i, keys, None) for keys in ("skill_keys", "city_keys", "type_keys"))
+    shared, city, kind = _shared_terms(q, i, "skill_keys"), _met_once(q, i, "city_keys"), _met_once(q, i, "type_keys")
 
     def numbers(t: pa.Table, name: str) -> np.ndarray:
         return t.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64)  # unknown: NaN, which compares as no
 
     n_job, stated, degree, least = (numbers(q, c)[:, None] for c in ("n_skills", "degree_stated", "job_min_degree_rank", "job_min_years"))
+    degree, least = np.where(stated == 1, degree, np.nan), np.where(least != 0, least, np.nan)
     rank, years = numbers(i, "degree_rank"), numbers(i, "years")
+    most = int(np.bincount(_flat(q, "skill_keys")[1], minlength=1).max())
+    kinds = most + 1  # numbers of shared skills
+    small = np.uint8 if kinds * 16 <= 256 else np.uint16 if kinds * 16 <= 65_536 else np.int64
     w = RULE_V1_WEIGHTS
+    code = np.arange(kinds * 16)
+    n, met = code % kinds, [code // kinds & bit > 0 for bit in (1, 2, 4, 8)]
 
-    def rows(start: int, stop: int) -> np.ndarray:
+    def levels(start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         own = slice(start, stop)
-        n, all_ = shared(start, stop), n_job[own]
+        codes = shared(start, stop).astype(small)
+        for bit, cells in ((1, city(start, stop)), (2, rank >= degree[own]), (4, years >= least[own]), (8, kind(start, stop))):
+            codes += cells.view(np.uint8) * small(bit * kinds)
+        all_ = n_job[own]
         each = np.maximum(1, all_)
-        return (
-            w["coverage"] * (n / each) + w["missing"] * (1.0 - (all_ - n) / each) + w["city"] * (city(start, stop) > 0)
-            + w["education"] * ((stated[own] == 1) & (rank >= degree[own])) + w["experience"] * ((least[own] != 0) & (years >= least[own]))
-            + w["type"] * (kind(start, stop) > 0) + w["paths"] * np.log1p(np.arange(n.max() + 1))[n.astype(np.int64)]
+        table = (
+            w["coverage"] * (n / each) + w["missing"] * (1.0 - (all_ - n) / each) + w["city"] * met[0] + w["education"] * met[1]
+            + w["experience"] * met[2] + w["type"] * met[3] + w["paths"] * np.log1p(n)
         )
+        return codes, table
+
+    return levels
+
+
+def rule_scores_v1_block(q: pa.Table, i: pa.Table) -> Callable[[int, int], np.ndarray]:
+    """``rule_score_v1`` of two blocks, see ``rule_levels_v1_block``: jobs ``q`` and users ``i``, NaN where the job's skills are unknown."""
+    levels = rule_levels_v1_block(q, i)
+
+    def rows(start: int, stop: int) -> np.ndarray:
+        codes, table = levels(start, stop)
+        return np.take_along_axis(table, codes.astype(np.intp), axis=1)
 
     return rows

@@ -414,11 +414,12 @@ def job_candidate_pages(spark, d):
 
     def values(jobs, users):
         jobs = jobs.rename_columns([c.removesuffix("_") if c.endswith("keys_") else c for c in jobs.column_names])
-        rows = scoring.rule_scores_v1_block(jobs, users)
+        levels = scoring.rule_levels_v1_block(jobs, users)
 
         def percent(start, stop):
-            found = np.floor(100.0 * rows(start, stop) + 0.5)
-            return np.where(np.isnan(found), 100.0, np.clip(found, 0, 100))  # as match_percent does
+            codes, table = levels(start, stop)
+            found = np.floor(100.0 * table + 0.5)
+            return codes, np.where(np.isnan(found), 100.0, np.clip(found, 0, 100))  # as match_percent does
 
         return percent
 
@@ -427,7 +428,8 @@ def job_candidate_pages(spark, d):
         value = F.when(F.col("sort_by") == "match", F.col("match")).when(F.col("sort_by") == "salary", F.col("salary")).otherwise(F.col("years"))
         return rows.select("request_id", "user_id", "place", "match", value.cast("double").alias("value"))
 
-    pages = reverse.candidate_pages(asked, people, score, own_order={"salary": "salary", "experience": "years"}, values=values, block=2048)
+    reads = ("skill_keys", "city_keys", "type_keys", "degree_rank", "years")
+    pages = reverse.candidate_pages(asked, people, score, own_order={"salary": "salary", "experience": "years"}, values=values, block=8192, reads=reads, limits=(0, 100))
     return pages.select("job_id", "sort_by", "page", "place", "user_id", "match", F.round("value", 2).alias("value"), "total", "total_pages")
 
 
